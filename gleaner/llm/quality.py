@@ -1,6 +1,7 @@
 """Quality rules: hashed n-gram log-likelihood ratio between trusted target and raw corpus.
 
-Words and word pairs are hashed into BUCKETS buckets. The share of each bucket among the
+Tokens are runs of letters and digits, lower-cased, and runs of other characters; tokens
+and pairs of neighbours are hashed into BUCKETS buckets. The share of each bucket among the
 n-grams of trusted documents and among those of all documents gives its log-likelihood
 ratio; a document's score is the mean ratio of its n-grams, and a fixed threshold
 decides on each document. Everything is DataFrame functions.
@@ -20,7 +21,7 @@ from .common import materialise
 
 BUCKETS = 10_000
 TRUSTED = 20_000
-THRESHOLD = -0.04
+THRESHOLD = -0.25
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -28,8 +29,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def tokens_of(text: Column) -> Column:
+    return F.regexp_extract_all(
+        F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0)
+    )
+
+
 def ngrams(words: Column, buckets: int) -> Column:
-    """Bucket of each word and of each pair of neighbours."""
+    """Bucket of each token and of each pair of neighbours."""
     one = F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
     two = F.transform(
         F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
@@ -42,7 +49,7 @@ def fit(docs: DataFrame, trusted: DataFrame, text_col: str, buckets: int) -> lis
     """The log-likelihood ratio of each bucket. trusted: documents of the target."""
 
     def counts(of: DataFrame) -> DataFrame:
-        w = of.select(words_of(F.col(text_col)).alias("w"))
+        w = of.select(tokens_of(F.col(text_col)).alias("w"))
         return w.select(F.explode(ngrams(F.col("w"), buckets)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
 
     raw = {r["b"]: r["n"] for r in counts(docs).collect()}  # at most `buckets` rows
@@ -57,7 +64,7 @@ def fit(docs: DataFrame, trusted: DataFrame, text_col: str, buckets: int) -> lis
 
 
 def statistics(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _w (the words), n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumn("_w", words_of(F.col(text_col))).withColumn("_l", lines)
@@ -97,7 +104,7 @@ def statistics(docs: DataFrame, text_col: str) -> DataFrame:
         lambda acc, x: acc + x,
     )
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(
-        "_h", "_low", "_twice", "_v", "_p"
+        "_w", "_h", "_low", "_twice", "_v", "_p"
     )
 
 
@@ -135,13 +142,17 @@ def judge(
     docs = docs.drop(*new)
     ratios = fit(docs, trusted, text_col, buckets)
     table = F.expr(f"cast(split('{','.join(map(str, ratios))}', ',') as array<double>)")
-    df = statistics(docs, text_col).withColumn("_g", ngrams(F.col("_w"), buckets)).drop("_w")
+    df = statistics(docs, text_col).withColumn("_t", tokens_of(F.col(text_col)))
+    df = df.withColumn("_g", ngrams(F.col("_t"), buckets))
     total = F.aggregate("_g", F.lit(0.0), lambda acc, b: acc + F.get(table, b))
     llr = F.when(F.size("_g") > 0, total / F.size("_g")).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # The row number, never below zero, keeps a filter on `kept` from being pushed down, which
+    # would copy the nested expressions below into one another.
+    kept = ~failed & (F.col("llr") >= threshold) & (F.monotonically_increasing_id() >= 0)
     return (
         df.withColumn("llr", llr)
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.col("llr") >= threshold))
+        .withColumn("kept", kept)
         .select(*docs.columns, *new)
     )
