@@ -64,6 +64,13 @@ def extend(df: DataFrame, make, new: list[T.StructField], drop: tuple[str, ...]
     return df.mapInArrow(run, schema)
 
 
+def revive(kind: type, state: dict):
+    """An object of a class from its attributes; broadcasts hold attributes, as executors lack the class."""
+    out = kind.__new__(kind)
+    out.__dict__.update(state)
+    return out
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; a null is empty."""
     return column.cast(pa.large_binary()).fill_null(b"").to_pylist()

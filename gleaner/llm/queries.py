@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality, simhash
+from . import decontamination, language_id, line_dedup, lm_scoring, mixing, paragraph_dedup, pii, quality, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +26,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", lm_scoring.held_out("doc_id").alias("held_out"))
+    out = lm_scoring.score(docs, docs.where(~F.col("held_out")))
+    return out.drop("text")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -39,6 +50,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = quality.trusted_sample(docs, _table(spark, sf_dir, "labels"), "doc_id", quality.TRUSTED)
@@ -52,7 +75,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op3_mixing, op5_line_dedup, op9_quality_rules, op10_simhash)
+    for f in (
+        op1_decontamination,
+        op2_lm_scoring,
+        op3_mixing,
+        op4_language_id,
+        op5_line_dedup,
+        op6_pii,
+        op7_url_filter,
+        op8_substring_dedup,
+        op9_quality_rules,
+        op10_simhash,
+    )
 }
 
 _OP1 = r"""
@@ -115,4 +149,24 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-ORACLE_SQL = {"op1_decontamination": _OP1, "op5_line_dedup": _OP5}
+_OP7 = r"""
+WITH r(verdict, rh, rp) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+         ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS t FROM pages
+), s AS (
+  SELECT page_id, regexp_extract(t, '^[^/?#]*') AS h, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), p AS (
+  SELECT page_id, path,
+         translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+  FROM s
+), m AS (
+  SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+  GROUP BY page_id
+)
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+ORACLE_SQL = {"op7_url_filter": _OP7, "op1_decontamination": _OP1, "op5_line_dedup": _OP5}
