@@ -33,9 +33,11 @@ BASE = 1.5
 BITS_PER_ENTRY = 10
 PROBES = 5
 FOLDS, HELD_OUT = 7, 2
-#: Entries of the vocabulary and bytes of the filter that are broadcast at once.
-SHARD_TOKENS = 12_000_000
-SHARD_BYTES = 160 << 20
+#: Entries of the vocabulary and bytes of the filter that the driver loads and broadcasts in one piece.
+PIECE_TOKENS = 1_000_000
+PIECE_BYTES = 12 << 20
+#: Pieces of either that a task holds in one pass.
+SHARD_PIECES = 12
 SUB_FILTERS, SUB_BIGRAMS = 64, 1_000_000
 #: Tokens that a task counts before it passes counts on.
 COUNT_TOKENS = 2_000_000
@@ -106,36 +108,39 @@ def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def look_up(values: np.ndarray, vocabulary) -> np.ndarray:
-    """Counts of hashes in a (sorted hashes, counts) table, 0 for others."""
-    names, counts = vocabulary
-    if not len(names):
-        return np.zeros(len(values), np.int64)
-    at = np.minimum(np.searchsorted(names, values), len(names) - 1)
-    return np.where(names[at] == values, counts[at], 0).astype(np.int64)
+def look_up(values: np.ndarray, tables: list, pieces: int) -> np.ndarray:
+    """Counts of hashes in (piece, sorted hashes, counts) tables, 0 for others."""
+    out = np.zeros(len(values), np.int64)
+    piece = piece_of(values, pieces)
+    for k, names, counts in tables:
+        mine = np.flatnonzero(piece == k)
+        if len(names) and len(mine):
+            v = values[mine]
+            at = np.minimum(np.searchsorted(names, v), len(names) - 1)
+            out[mine] = np.where(names[at] == v, counts[at], 0)
+    return out
 
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return (h >> np.uint64(32)) % np.uint64(shards)
+def piece_of(h: np.ndarray, pieces: int) -> np.ndarray:
+    return (h >> np.uint64(32)) % np.uint64(pieces)
 
 
-def load_vocabulary(table: DataFrame, shard: int, shards: int):
-    part = table.where(F.pmod(F.shiftrightunsigned("h", 32), F.lit(shards)) == shard) if shards > 1 else table
-    t = part.toArrow()
+def load_vocabulary(table: DataFrame, piece: int, pieces: int):
+    t = table.where(F.pmod(F.shiftrightunsigned("h", 32), F.lit(pieces)) == piece).toArrow()
     h, c = t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy()
     order = np.argsort(h)
-    return h[order], c[order]
+    return piece, h[order], c[order]
 
 
-def bigram_rows(docs: DataFrame, text_col: str, vocabulary, shard: int, shards: int) -> DataFrame:
-    """(g, k, c): partial counts of bigrams whose history is in the shard, and the history's size class."""
+def bigram_rows(docs: DataFrame, text_col: str, vocabulary: list, group: list[int], pieces: int) -> DataFrame:
+    """(g, k, c): partial counts of bigrams whose history is in the group of pieces, and the history's size class."""
 
     def run(batches):
-        table, held, n = vocabulary.value, [], 0
+        table, held, n = [b.value for b in vocabulary], [], 0
         for batch in batches:
             for *_, seq, before in sequences(batch.column(0)):
-                if shards > 1:
-                    mine = shard_of(before, shards) == shard
+                if len(group) < pieces:
+                    mine = np.isin(piece_of(before, pieces), group)
                     seq, before = seq[mine], before[mine]
                 held.append((bigram(before, seq), before))
                 n += len(seq)
@@ -149,7 +154,7 @@ def bigram_rows(docs: DataFrame, text_col: str, vocabulary, shard: int, shards:
         g = np.concatenate([x for x, _ in held])
         before = np.concatenate([x for _, x in held])
         g, first, c = np.unique(g, return_index=True, return_counts=True)
-        k = size_class(look_up(before[first], table))
+        k = size_class(look_up(before[first], table, pieces))
         return pa.RecordBatch.from_arrays(
             [pa.array(g.view(np.int64)), pa.array(k.astype(np.int8)), pa.array(c.astype(np.int32))], names=["g", "k", "c"]
         )
@@ -238,24 +243,25 @@ class Filter:
         return out
 
 
-def _filter_shards(table: DataFrame, subs: int, shard_bytes: int):
-    sizes = {r["p"]: r["n"] for r in table.select("p", F.octet_length("filter").alias("n")).collect()}
-    groups, size = [[]], 0
+def _groups(sizes: dict[int, int], most: int) -> list[list[int]]:
+    """Runs of neighbours whose sizes add up to `most` at most (one alone may be larger)."""
+    out, size = [], most + 1
     for p in sorted(sizes):
-        if groups[-1] and size + sizes[p] > shard_bytes:
-            groups.append([])
+        if size + sizes[p] > most:
+            out.append([])
             size = 0
-        groups[-1].append(p)
+        out[-1].append(p)
         size += sizes[p]
-    return groups
+    return out
 
 
 def score(
     docs: DataFrame,
     train: DataFrame,
     text_col: str = "text",
-    shard_tokens: int = SHARD_TOKENS,
-    shard_bytes: int = SHARD_BYTES,
+    piece_tokens: int = PIECE_TOKENS,
+    piece_bytes: int = PIECE_BYTES,
+    shard_pieces: int = SHARD_PIECES,
 ) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score.
 
@@ -271,26 +277,35 @@ def score(
     vocabulary = materialise(count_tokens(train, text_col))
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, v_train = total["n"], total["v"]
-    v_shards = max(1, -(-v_train // shard_tokens))
+    pieces = max(1, -(-v_train // piece_tokens))
     subs = max(SUB_FILTERS, -(-n_train // SUB_BIGRAMS))
-
-    words = lambda s: spark.sparkContext.broadcast(load_vocabulary(vocabulary, s, v_shards))
-    loaded = {0: words(0)}
-    rows = bigram_rows(train, text_col, loaded[0], 0, v_shards)
-    for s in range(1, v_shards):
-        rows = rows.union(bigram_rows(train, text_col, words(s), s, v_shards))
+    share = spark.sparkContext.broadcast
+
+    # The driver holds one piece at a time; the broadcasts themselves live in files.
+    words = [share(load_vocabulary(vocabulary, k, pieces)) for k in range(pieces)]
+    v_shards = [list(range(k, min(k + shard_pieces, pieces))) for k in range(0, pieces, shard_pieces)]
+    rows = None
+    for group in v_shards:
+        more = bigram_rows(train, text_col, [words[k] for k in group], group, pieces)
+        rows = more if rows is None else rows.union(more)
     table = materialise(build(rows, subs))
     at = [F.sum(F.get("tokens", F.lit(i))).alias(f"t{i}") for i in range(CLASSES)]
     once = [F.sum(F.get("once", F.lit(i))).alias(f"o{i}") for i in range(CLASSES)]
     sums = table.agg(*at, *once).first()
-    share = np.array(
+    seen = np.array(
         [min(0.999, max(0.001, 1 - sums[f"o{i}"] / sums[f"t{i}"])) if sums[f"t{i}"] else 0.0 for i in range(CLASSES)]
     )
     ends = vocabulary.where(F.col("h") == int(END)).first()
-    constants = (n_train, v_train, share, ends["c"] if ends else 0, level_counts())
+    constants = (n_train, v_train, seen, ends["c"] if ends else 0, level_counts())
 
-    f_shards = _filter_shards(table, subs, shard_bytes)
-    passes = max(v_shards, len(f_shards))
+    sizes = {r["p"]: r["n"] for r in table.select("p", F.octet_length("filter").alias("n")).collect()}
+    filters = []
+    for group in _groups(sizes, piece_bytes):
+        some = table.where(F.col("p").isin(group)).select("p", "bits", "filter").collect()
+        filters.append(share(vars(Filter([tuple(r) for r in some], subs))))
+        del some
+    f_shards = [filters[k : k + shard_pieces] for k in range(0, len(filters), shard_pieces)]
+    passes = max(len(v_shards), len(f_shards))
     final = [
         T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()),
@@ -301,25 +316,22 @@ def score(
     carry = [T.StructField("_counts", T.BinaryType()), T.StructField("_levels", T.BinaryType())]
     out = docs
     for k in range(passes):
-        voc = (loaded.get(k) or words(k)) if k < v_shards else None
-        group = f_shards[k] if k < len(f_shards) else []
-        parts = [tuple(r) for r in table.where(F.col("p").isin(group)).select("p", "bits", "filter").collect()] if group else []
-        filt = spark.sparkContext.broadcast(vars(Filter(parts, subs)))
-        del parts
+        voc = [words[i] for i in v_shards[k]] if k < len(v_shards) else []
+        filt = f_shards[k] if k < len(f_shards) else []
         last = k == passes - 1
-        make = _pass(list(out.columns), text_col, voc, filt, k > 0, last, constants)
+        make = _pass(list(out.columns), text_col, voc, filt, k > 0, last, constants, pieces)
         out = extend(out, make, final if last else carry, drop=("_counts", "_levels"))
         if not last:
             out = materialise(out)
     return out
 
 
-def _pass(columns, text_col, voc, filt, carried, last, constants):
+def _pass(columns, text_col, voc, filt, carried, last, constants, pieces):
     at = columns.index(text_col)
 
     def make():
-        words = voc.value if voc is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        sub_filters = revive(Filter, filt.value)
+        words = [b.value for b in voc]
+        filters = [revive(Filter, b.value) for b in filt]
 
         def step(batch):
             done = []
@@ -327,9 +339,12 @@ def _pass(columns, text_col, voc, filt, carried, last, constants):
                 old_c, old_q = (batch.column(columns.index(c)).to_pylist() for c in ("_counts", "_levels"))
             for i, j, size, seq, before in sequences(batch.column(at)):
                 u, inverse = np.unique(seq, return_inverse=True)
-                c = look_up(u, words)[inverse]
+                c = look_up(u, words, pieces)[inverse]
                 u, inverse = np.unique(bigram(before, seq), return_inverse=True)
-                q = sub_filters.levels(u)[inverse]
+                q = np.zeros(len(u), np.uint8)
+                for f in filters:
+                    q = np.maximum(q, f.levels(u))
+                q = q[inverse]
                 if carried:
                     c = c + np.frombuffer(b"".join(old_c[i:j]), np.int64)
                     q = np.maximum(q, np.frombuffer(b"".join(old_q[i:j]), np.uint8))
