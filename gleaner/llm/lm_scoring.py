@@ -40,7 +40,7 @@ PIECE_BYTES = 12 << 20
 SHARD_PIECES = 12
 SUB_FILTERS, SUB_BIGRAMS = 64, 1_000_000
 #: Tokens that a task counts before it passes counts on.
-COUNT_TOKENS = 2_000_000
+COUNT_TOKENS = 1_000_000
 CLASSES = 48
 
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -129,6 +129,7 @@ def load_vocabulary(table: DataFrame, piece: int, pieces: int):
     t = table.where(F.pmod(F.shiftrightunsigned("h", 32), F.lit(pieces)) == piece).toArrow()
     h, c = t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy()
     order = np.argsort(h)
+    c = c.astype(np.int32) if not len(c) or c.max() < 1 << 31 else c
     return piece, h[order], c[order]
 
 
