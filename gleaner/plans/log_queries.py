@@ -2,5 +2,421 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions import parse, scalars
+from gleaner.functions import tokens as tk
+from gleaner.operators import mining, ring, table, terms
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def event_lines(spark, sf):
+    """L1: one line for each event, with its time as text."""
+    ts = F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss")
+    line = F.concat(ts, F.lit(" "), F.col("event_type"), F.lit(" user"), F.col("user_id"), F.lit(" props "), F.col("props"))
+    return _t(spark, sf, "events").select(F.col("event_id").alias("seq"), line.alias("value"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"))
+
+
+def document_lines(spark, sf):
+    """L2: lines of documents that are not blank."""
+    at = F.posexplode(F.split("text", "\n", -1)).alias("at", "value")
+    lines = _t(spark, sf, "documents").select("doc_id", at)
+    return lines.select("doc_id", (F.col("doc_id") * 1000000 + F.col("at")).alias("seq"), "value").where("value != ''")
+
+
+def tokenised(lines, keywords=(), ignorewords=()):
+    return lines.withColumn("tokens", tk.tokens(F.col("value"), keywords, ignorewords))
+
+
+_L1 = "SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' user' || user_id || ' props ' || props AS value, CAST(epoch(ts) AS BIGINT) AS epoch FROM events"
+_L2 = "SELECT doc_id, doc_id * 1000000 + at_ AS seq, value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(len(string_split(text, chr(10))))) AS at_ FROM documents) WHERE value <> ''"
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in tk.STOP_WORDS)
+_PAT = tk.DELIMITERS.replace("'", "''")
+
+
+def _tokens_sql(value="value", keywords=(), ignorewords=()):
+    key = "list_contains([" + ", ".join(f"'{k}'" for k in keywords) + "], w)" if keywords else "false"
+    ign = "list_contains([" + ", ".join(f"'{k}'" for k in ignorewords) + "], w)" if ignorewords else "false"
+    words = f"list_filter(string_split(regexp_replace({value}, '{_PAT}', ' ', 'g'), ' '), lambda w: w <> '')"
+    star = f"list_transform({words}, lambda w: CASE WHEN {ign} THEN '*' WHEN w IN ({_STOP}) AND NOT {key} THEN '*' ELSE w END)"
+    low = f"list_transform({star}, lambda w: struct_pack(k := {key}, t := CASE WHEN strlen(lower(w)) > 1 THEN regexp_replace(lower(w), '\\.$', '') ELSE lower(w) END))"
+    keep = r"x.t = '*' OR x.k OR (strlen(x.t) > 2 AND NOT (regexp_matches(x.t, '^\p{Nd}+$') AND NOT regexp_matches(x.t, '^0.') AND strlen(x.t) > 3))"
+    return f"list_transform(list_filter({low}, lambda x: {keep}), lambda x: x.t)"
+
+
+_TERMS = f"WITH l AS ({_L2}), k AS (SELECT seq, {_tokens_sql()} AS tokens FROM l), e AS (SELECT seq, unnest(tokens) AS term FROM k), terms AS (SELECT term, count(*) AS cnt FROM e WHERE term <> '*' GROUP BY term)"
+
+
+@query(f"SELECT seq, len({_tokens_sql()}) AS n_tokens, array_to_string({_tokens_sql()}, ' ') AS tokens FROM ({_L2})")
+def tokenize_docs(spark, sf):
+    return tokenised(document_lines(spark, sf)).select("seq", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+def _terms(spark, sf):
+    return terms.term_counts(tokenised(document_lines(spark, sf)))
+
+
+@query(f"{_TERMS} SELECT term, cnt FROM terms")
+def term_freq(spark, sf):
+    return _terms(spark, sf).select("term", "cnt")
+
+
+@query(f"{_TERMS} SELECT term, cnt FROM terms ORDER BY cnt DESC, term LIMIT 100")
+def top_terms(spark, sf):
+    return _terms(spark, sf).select("term", "cnt").orderBy(F.desc("cnt"), "term").limit(100)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
+def scan_filter_project(spark, sf):
+    fits = (F.col("l_quantity") > 45) & (F.col("l_returnflag") == "R")
+    return table.scan(_t(spark, sf, "lineitem"), fits, ["l_orderkey", "l_linenumber", "l_quantity"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 1")
+def first_match(spark, sf):
+    df = _t(spark, sf, "customer")
+    r = table.first_match(df, F.col("c_mktsegment") == "BUILDING", ["c_custkey", "c_name"], ["c_custkey"])
+    return spark.createDataFrame([r], "c_custkey long, c_name string")
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+def count_where(spark, sf):
+    return table.count(_t(spark, sf, "orders"), F.col("o_orderstatus") == "F")
+
+
+@query("SELECT round(coalesce(sum(l_quantity), 0), 2) AS total FROM lineitem WHERE l_returnflag = 'A'")
+def sum_where(spark, sf):
+    return table.total(_t(spark, sf, "lineitem"), "l_quantity", F.col("l_returnflag") == "A").select(F.round("total", 2).alias("total"))
+
+
+@query("SELECT coalesce(min(o_totalprice), 0) AS least, coalesce(max(o_totalprice), 0) AS most FROM orders WHERE o_orderstatus = 'O'")
+def min_max_where(spark, sf):
+    return table.extremes(_t(spark, sf, "orders"), "o_totalprice", F.col("o_orderstatus") == "O")
+
+
+@query("SELECT CAST(0 AS DOUBLE) AS least, CAST(0 AS DOUBLE) AS most")
+def min_max_empty(spark, sf):
+    return table.extremes(_t(spark, sf, "orders"), "o_totalprice", F.col("o_orderkey") < 0)
+
+
+@query("SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_size, p_retailprice, p_partkey")
+def order_multi_asc(spark, sf):
+    df = _t(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    return table.order_by(df, ["p_size", "p_retailprice", "p_partkey"], ["int", "float", "int"])
+
+
+@query("SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_size DESC, p_retailprice DESC, p_partkey DESC")
+def order_multi_desc(spark, sf):
+    df = _t(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    return table.order_by(df, ["p_size", "p_retailprice", "p_partkey"], ["int", "float", "int"], descending=True)
+
+
+@query("SELECT count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) WHERE k < 10")
+def group_union_count(spark, sf):
+    two = [_t(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"))]
+    return table.union_count(two, F.col("k") < 10)
+
+
+_N = "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS grp FROM nation"
+
+
+def _nations(spark, sf):
+    return _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("grp"))
+
+
+@query(f"{_N} UNION ALL SELECT CAST(99 AS BIGINT), '', CAST(7 AS BIGINT)")
+def insert_rows(spark, sf):
+    return table.insert(_nations(spark, sf), spark.createDataFrame([(99, 7)], "id long, grp long"))
+
+
+@query(f"SELECT id, CASE WHEN grp = 1 THEN 'x' ELSE name END AS name, grp FROM ({_N})")
+def update_rows(spark, sf):
+    return table.update(_nations(spark, sf), {"name": "x"}, F.col("grp") == 1)
+
+
+@query(f"SELECT id, CASE WHEN id = 3 THEN 'y' ELSE name END AS name, grp FROM ({_N}) UNION ALL SELECT CAST(77 AS BIGINT), 'z', CAST(5 AS BIGINT)")
+def upsert_rows(spark, sf):
+    once = table.upsert(_nations(spark, sf), {"id": 3, "name": "y"}, F.col("id") == 3)
+    return table.upsert(once, {"id": 77, "name": "z", "grp": 5}, F.col("id") == 77)
+
+
+@query(f"SELECT * FROM ({_N}) WHERE NOT (grp = 1 OR id = 7)")
+def delete_rows(spark, sf):
+    return table.delete(_nations(spark, sf), (F.col("grp") == 1) | (F.col("id") == 7))
+
+
+@query(f"SELECT * FROM ({_N}) WHERE false")
+def truncate_table(spark, sf):
+    return table.delete(_nations(spark, sf))
+
+
+@query(f"SELECT seq, value FROM ({_L1}) WHERE regexp_matches(value, 'click|view') AND regexp_matches(value, 'user1') AND NOT regexp_matches(value, 'user1[0-4]')")
+def filter_include_exclude(spark, sf):
+    lines = event_lines(spark, sf)
+    return lines.where(parse.matches(F.col("value"), ["click|view", "user1"], ["user1[0-4]"])).select("seq", "value")
+
+
+_FORMAT = r"^(?P<timestamp>\d+-\d+-\d+ \d+:\d+:\d+) (?P<message>.+)$"
+_NOW = "2031-12-31 00:00:00"
+
+
+@query(f"SELECT seq, CAST(epoch(CAST('2031' || substr(value, 5, 15) AS TIMESTAMP)) AS BIGINT) AS epoch, substr(value, 21) AS message FROM ({_L1}) WHERE substr(value, 6, 5) <> '02-29'")
+def parse_log_format(spark, sf):
+    lines = event_lines(spark, sf)
+    at = parse.parsed(F.col("value"), _FORMAT, "2006-01-02 15:04:05", F.lit(0), F.to_timestamp(F.lit(_NOW)))
+    return lines.where("substr(value, 6, 5) != '02-29'").select("seq", at.alias("p")).select("seq", "p.epoch", "p.message")
+
+
+def _pos(spark, sf, frequency):
+    lines = event_lines(spark, sf)
+    return lines.select("seq", parse.retention_pos(F.timestamp_seconds("epoch"), frequency).alias("retention_pos"))
+
+
+@query("SELECT event_id AS seq, CAST(year(ts) * 100000 + dayofyear(ts) * 100 + hour(ts) AS BIGINT) AS retention_pos FROM events")
+def time_bucket_hour(spark, sf):
+    return _pos(spark, sf, "hour")
+
+
+@query("SELECT event_id AS seq, CAST(year(ts) * 1000 + dayofyear(ts) AS BIGINT) AS retention_pos FROM events")
+def time_bucket_day(spark, sf):
+    return _pos(spark, sf, "day")
+
+
+_KEY, _IGN = ("a", "props"), ("click",)
+
+
+@query(f"SELECT seq, array_to_string({_tokens_sql(keywords=_KEY, ignorewords=_IGN)}, ' ') AS tokens FROM ({_L1})")
+def keywords_and_ignorewords(spark, sf):
+    return tokenised(event_lines(spark, sf), _KEY, _IGN).select("seq", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 1) AS half, (sign(l_tax) * floor(abs(l_tax) * 10) + 1) / 10 AS away, sign(l_tax) * floor(abs(l_tax) * 10) / 10 AS down FROM lineitem WHERE l_linenumber = 1")
+def round_modes(spark, sf):
+    df = _t(spark, sf, "lineitem").where("l_linenumber = 1")
+    return df.select("l_orderkey", "l_linenumber", scalars.round_half(F.col("l_extendedprice"), 1).alias("half"), scalars.round_away(F.col("l_tax"), 1).alias("away"), scalars.round_down(F.col("l_tax"), 1).alias("down"))
+
+
+def _border_sql(rate):
+    return f"""{_TERMS}, r AS (SELECT cnt, sum(cnt) OVER (ORDER BY cnt DESC, term ROWS UNBOUNDED PRECEDING) / sum(cnt) OVER () AS share, max(cnt) OVER () AS top FROM terms),
+    q AS (SELECT DISTINCT cnt FROM r WHERE share < CAST({rate} AS DOUBLE)), o AS (SELECT list_sort(list(cnt)) AS a FROM q)
+    SELECT CAST(coalesce(a[2], a[1], (SELECT max(top) FROM r)) AS BIGINT) AS border FROM o"""
+
+
+@query(_border_sql(0.999))
+def count_border_999(spark, sf):
+    return terms.count_border(_terms(spark, sf), 0.999).select(F.col("border").cast("long"))
+
+
+@query(_border_sql(0.5))
+def count_border_50(spark, sf):
+    return terms.count_border(_terms(spark, sf), 0.5).select(F.col("border").cast("long"))
+
+
+@query(f"{_TERMS} SELECT cnt AS term_count, count(*) AS n_terms, array_to_string(list_transform(list_slice(list_sort(list(term)), 1, 5), lambda t: CASE WHEN length(t) > 10 THEN substr(t, 1, 10) || '...' ELSE t END), ' ') AS sample FROM terms GROUP BY cnt")
+def term_count_histogram(spark, sf):
+    return terms.histogram(_terms(spark, sf))
+
+
+@query("SELECT CAST(max(n) AS BIGINT) AS most FROM (SELECT count(*) AS n FROM events GROUP BY date_trunc('hour', ts))")
+def max_lines_per_bucket(spark, sf):
+    return ring.most_in_bucket(_pos(spark, sf, "hour"))
+
+
+@query(f"{_TERMS} SELECT term, round(ln((SELECT sum(cnt) FROM terms) / cnt) + 1, 6) AS idf FROM terms")
+def idf_scores(spark, sf):
+    t = _terms(spark, sf)
+    total = t.agg(F.sum("cnt")).first()[0] or 0
+    return t.select("term", F.round(terms.idf(F.col("cnt"), F.lit(total)), 6).alias("idf"))
+
+
+# --- templates of event lines -------------------------------------------------
+
+_BORDER, _MIN = 500, 0.6
+_MINE = f"""
+WITH l AS ({_L1}), k AS (SELECT seq, value, epoch, {_tokens_sql()} AS tokens FROM l),
+e AS (SELECT seq, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM k),
+terms AS (SELECT term, count(*) AS cnt, min(seq * 100000 + pos) AS first FROM e WHERE term <> '*' GROUP BY term),
+c AS (SELECT e.seq, e.pos, e.term, coalesce(cnt, 0) AS cnt, first FROM e LEFT JOIN terms USING (term)),
+s AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY cnt DESC, first, pos) - 1 AS i FROM c WHERE term <> '*'),
+p AS (SELECT *, string_agg(term, ' ') OVER (PARTITION BY seq ORDER BY i ROWS UNBOUNDED PRECEDING) AS key, coalesce(lag(cnt) OVER (PARTITION BY seq ORDER BY i), 0) AS prev FROM s),
+nodes AS (SELECT key, count(*) AS node FROM p GROUP BY key),
+z AS (SELECT seq, len(tokens) AS n, CASE WHEN len(tokens) > 3 THEN CAST(floor(len(tokens) * CAST({_MIN} AS DOUBLE)) AS INT) ELSE 3 END AS least FROM k),
+h AS (SELECT p.seq, min(struct_pack(i := i, m := prev)) AS st FROM p JOIN nodes USING (key) JOIN z USING (seq) WHERE (node <= 1 OR cnt < {_BORDER}) AND i + 1 > CASE WHEN least = 0 THEN 3 ELSE least END GROUP BY p.seq),
+r AS (SELECT seq, count(*) AS real, min(cnt) AS last FROM s GROUP BY seq),
+stop AS (SELECT z.seq, n, least, coalesce(h.st.i, CASE WHEN n > coalesce(real, 0) THEN coalesce(real, 0) ELSE -1 END) AS stop, coalesce(h.st.m, last, 0) AS min_cnt FROM z LEFT JOIN h USING (seq) LEFT JOIN r USING (seq)),
+kept AS (SELECT c.seq, string_agg(CASE WHEN term <> '*' AND cnt >= min_cnt AND cnt >= {_BORDER} THEN term ELSE '*' END, ' ' ORDER BY pos) AS kept, sum(CASE WHEN term <> '*' AND cnt >= min_cnt AND cnt >= {_BORDER} THEN 1 ELSE 0 END) AS n_kept FROM c JOIN stop USING (seq) GROUP BY c.seq),
+lines AS (SELECT k.seq, k.value, k.epoch, CASE WHEN stop >= least AND n_kept >= least THEN kept ELSE array_to_string(tokens, ' ') END AS phrase, stop, min_cnt, least FROM k JOIN stop USING (seq) LEFT JOIN kept USING (seq)),
+phrases AS (SELECT phrase, count(*) AS cnt, min(epoch) AS created, max(epoch) AS updated, arg_max(value, seq) AS last_value FROM lines GROUP BY phrase)
+"""
+
+
+def _mined(spark, sf):
+    """(lines with tokens, terms, vectors with stops, vectors with phrases)."""
+    lines = tokenised(event_lines(spark, sf))
+    t = terms.term_counts(lines)
+    stops = mining.stops(mining.ordered(mining.vectors(lines), t), _BORDER, _MIN)
+    return lines, t, stops, mining.templates(stops, _BORDER)
+
+
+def _line_phrases(spark, sf):
+    lines, t, _, found = _mined(spark, sf)
+    return lines.join(found.drop("w", "vid"), "tokens").withColumn("w", F.lit(1).cast("long")), t
+
+
+@query(_MINE + "SELECT seq, CAST(stop AS BIGINT) AS stop, CAST(min_cnt AS BIGINT) AS min_cnt, CAST(least AS BIGINT) AS least FROM lines")
+def stop_index(spark, sf):
+    lines, _, stops, _ = _mined(spark, sf)
+    cols = [F.col(c).cast("long").alias(c) for c in ("stop", "min_cnt", "least")]
+    return lines.select("seq", "tokens").join(stops, "tokens").select("seq", *cols)
+
+
+@query(_MINE + "SELECT i + 1 AS depth, count(*) AS n_nodes, CAST(sum(node) AS BIGINT) AS weight FROM (SELECT DISTINCT key, i, node FROM p JOIN nodes USING (key)) GROUP BY i")
+def prefix_counts(spark, sf):
+    lines, t, _, _ = _mined(spark, sf)
+    pre = mining.prefixes(mining.ordered(mining.vectors(lines), t))
+    nodes = pre.groupBy("key").agg(F.min("i").alias("i"), F.sum("w").alias("node"))
+    return nodes.groupBy("i").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("node").alias("weight")).select((F.col("i") + 1).cast("long").alias("depth"), "n_nodes", "weight")
+
+
+@query(_MINE + "SELECT phrase, cnt, created, updated, last_value FROM phrases")
+def phrase_counts(spark, sf):
+    return mining.phrases(_line_phrases(spark, sf)[0])
+
+
+_SCORED = _MINE + """, sc AS (SELECT phrase, avg(ln((SELECT sum(cnt) FROM terms) / tc.cnt) + 1) AS score
+FROM (SELECT phrase, unnest(string_split(phrase, ' ')) AS term FROM phrases) x LEFT JOIN terms tc USING (term) WHERE term NOT IN ('*', '') GROUP BY phrase)"""
+
+
+def _scored(spark, sf):
+    lines, t = _line_phrases(spark, sf)
+    total = t.agg(F.sum("cnt")).first()[0] or 0
+    return mining.scores(mining.phrases(lines), t, total)
+
+
+@query(_SCORED + "SELECT phrase, cnt, round(coalesce(score, 0), 6) AS score FROM phrases LEFT JOIN sc USING (phrase)")
+def phrase_scores(spark, sf):
+    return _scored(spark, sf).select("phrase", "cnt", F.round("score", 6).alias("score"))
+
+
+@query(_SCORED + "SELECT phrase, cnt, round(coalesce(score, 0), 6) AS score FROM phrases LEFT JOIN sc USING (phrase) WHERE cnt <= 2 ORDER BY coalesce(score, 0) DESC, phrase LIMIT 50")
+def top_n_rare(spark, sf):
+    return mining.top_rare(_scored(spark, sf), 50, 2).select("phrase", "cnt", F.round("score", 6).alias("score"))
+
+
+@query(_MINE + "SELECT seq, phrases.cnt AS cnt, phrase FROM lines JOIN phrases USING (phrase) WHERE phrases.cnt >= 2")
+def detect_counts(spark, sf):
+    lines, _ = _line_phrases(spark, sf)
+    n = lines.groupBy("phrase").agg(F.sum("w").alias("cnt"))
+    return lines.select("seq", "phrase").join(n, "phrase").where("cnt >= 2").select("seq", "cnt", "phrase")
+
+
+@query(f"SELECT seq, CASE WHEN len(t) = 3 AND t[1] = 'user' THEN 'user * *' ELSE array_to_string(t, ' ') END AS phrase FROM (SELECT event_id AS seq, {_tokens_sql('m')} AS t FROM (SELECT event_id, 'user ' || event_type || ' n' || event_id || 'x' AS m FROM events))")
+def custom_phrase_match(spark, sf):
+    line = F.concat(F.lit("user "), F.col("event_type"), F.lit(" n"), F.col("event_id"), F.lit("x"))
+    lines = tokenised(_t(spark, sf, "events").select(F.col("event_id").alias("seq"), line.alias("value")))
+    lines = lines.withColumn("phrase", F.array_join("tokens", " "))
+    return mining.custom_match(lines, [["user", "*", "*"], ["user", "click", "*"]]).select("seq", "phrase")
+
+
+@query()
+def subjects(spark, sf):
+    lines, _ = _line_phrases(spark, sf)
+    first = lines.groupBy("phrase").agg(F.min_by(F.struct("value", "hidden"), "seq").alias("f"))
+    hidden = F.array_union(F.col("f.hidden"), tk.excluded(F.col("f.value")))
+    return first.select("phrase", mining.subject(F.col("f.value"), hidden).alias("subject"))
+
+
+@query()
+def rearranged_phrases(spark, sf):
+    """The phrases again under a higher border, from one exemplar line each, weighted by its count."""
+    lines, t = _line_phrases(spark, sf)
+    p = mining.phrases(lines).select(F.xxhash64("phrase").alias("seq"), F.col("last_value").alias("value"), F.col("updated").alias("epoch"), F.col("cnt").alias("w"))
+    again = tokenised(p)
+    found = mining.mine(again, t, 2 * _BORDER, _MIN, weight="w")
+    return mining.phrases(again.join(found.drop("w", "vid"), "tokens")).select("phrase", "cnt")
+
+
+@query(f"{_TERMS} SELECT term, cnt FROM terms WHERE term IN (SELECT unnest({_tokens_sql()}) FROM (SELECT value FROM l ORDER BY seq LIMIT 1))")
+def analyze_line(spark, sf):
+    lines = document_lines(spark, sf)
+    one = tokenised(lines.orderBy("seq").limit(1)).select(F.explode(F.array_distinct("tokens")).alias("term"))
+    return _terms(spark, sf).join(one, "term", "left_semi").select("term", "cnt")
+
+
+# --- blocks -----------------------------------------------------------------------------
+
+
+def _daily(spark, sf):
+    lines = event_lines(spark, sf).withColumn("retention_pos", parse.retention_pos(F.timestamp_seconds("epoch"), "day"))
+    return lines.withColumn("phrase", F.element_at(F.split("value", " "), 3))
+
+
+_DAILY = f"SELECT seq, epoch, string_split(value, ' ')[3] AS phrase, CAST(year(make_timestamp(epoch * 1000000)) * 1000 + dayofyear(make_timestamp(epoch * 1000000)) AS BIGINT) AS retention_pos FROM ({_L1})"
+
+
+@query(f"SELECT seq, retention_pos, CAST(dense_rank() OVER (ORDER BY retention_pos) - 1 AS BIGINT) AS block_seq FROM ({_DAILY})")
+def block_assign_time(spark, sf):
+    return ring.block_by_time(_daily(spark, sf)).select("seq", "retention_pos", F.col("block_seq").cast("long").alias("block_seq"))
+
+
+@query(f"WITH l AS ({_L2}), e AS (SELECT seq, unnest({_tokens_sql()}) AS term FROM l), f AS (SELECT term, min(seq) AS first FROM e WHERE term <> '*' GROUP BY term) SELECT term, (row_number() OVER (ORDER BY first, term) - 1) // 1000 AS block_seq FROM f")
+def block_assign_size(spark, sf):
+    t = _terms(spark, sf).select("term", F.col("first.seq").alias("first"))
+    return ring.block_by_size(t, 1000).select("term", "block_seq")
+
+
+_BLOCKS = f"WITH d AS ({_DAILY}), b AS (SELECT *, dense_rank() OVER (ORDER BY retention_pos) - 1 AS block_seq FROM d)"
+
+
+@query(f"{_BLOCKS} SELECT phrase, block_seq % 5 AS block_no, count(*) AS cnt FROM b WHERE block_seq > (SELECT max(block_seq) FROM b) - 5 GROUP BY phrase, block_seq % 5")
+def ring_keep_last(spark, sf):
+    kept = ring.keep_last(ring.block_by_time(_daily(spark, sf)), 5)
+    return kept.groupBy("phrase", F.col("block_no").cast("long").alias("block_no")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(f"{_BLOCKS}, s AS (SELECT block_seq, max(epoch) AS last_epoch FROM b GROUP BY block_seq) SELECT block_seq, last_epoch FROM s WHERE last_epoch >= (SELECT max(last_epoch) FROM s) - 3 * 86400 + 1")
+def retention_filter(spark, sf):
+    status = ring.block_by_time(_daily(spark, sf)).groupBy(F.col("block_seq").cast("long").alias("block_seq")).agg(F.max("epoch").alias("last_epoch"))
+    return ring.retained(status, 3, "day")
+
+
+_HIST = f"{_BLOCKS}, p AS (SELECT phrase, block_seq, count(*) AS cnt, min(epoch) AS created FROM b GROUP BY phrase, block_seq), h AS (SELECT phrase, created // 86400 * 86400 AS at_, CAST(sum(cnt) AS BIGINT) AS cnt FROM p GROUP BY 1, 2)"
+
+
+def _history(spark, sf):
+    p = ring.block_by_time(_daily(spark, sf)).groupBy("phrase", "block_seq").agg(F.count(F.lit(1)).alias("cnt"), F.min("epoch").alias("created"))
+    return ring.history(p, 86400)
+
+
+@query(f'{_HIST} SELECT phrase, at_ AS "at", cnt FROM h')
+def history_long(spark, sf):
+    return _history(spark, sf)
+
+
+@query(f'{_HIST}, t AS (SELECT unnest(range(min(at_), max(at_) + 1, 86400)) AS a FROM h) SELECT a AS "at", CAST(sum(cnt) FILTER (phrase = \'click\') AS BIGINT) AS p1, CAST(sum(cnt) FILTER (phrase = \'view\') AS BIGINT) AS p2 FROM t LEFT JOIN h ON a = at_ GROUP BY a')
+def history_pivot(spark, sf):
+    return ring.history_grid(_history(spark, sf), ["click", "view"], 86400)
+
+
+@query(f"SELECT seq FROM ({_L2}) WHERE doc_id > 100 OR (doc_id = 100 AND seq % 1000000 >= 2)")
+def resume_offset(spark, sf):
+    lines = document_lines(spark, sf)
+    at = F.col("seq") % 1000000 + 1
+    return lines.where((F.col("doc_id") > 100) | ((F.col("doc_id") == 100) & (at > 2))).select("seq")
