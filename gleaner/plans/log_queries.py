@@ -45,7 +45,7 @@ def tokenised(lines, keywords=(), ignorewords=()):
     return lines.withColumn("tokens", tk.tokens(F.col("value"), keywords, ignorewords))
 
 
-_L1 = "SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' user' || user_id || ' props ' || props AS value, CAST(epoch(ts) AS BIGINT) AS epoch FROM events"
+_L1 = "SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' user' || user_id || ' props ' || props AS value, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events"
 _L2 = "SELECT doc_id, doc_id * 1000000 + at_ AS seq, value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(len(string_split(text, chr(10))))) AS at_ FROM documents) WHERE value <> ''"
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in tk.STOP_WORDS)
 _PAT = tk.DELIMITERS.replace("'", "''")
@@ -315,9 +315,9 @@ def phrase_scores(spark, sf):
     return _scored(spark, sf).select("phrase", "cnt", F.round("score", 6).alias("score"))
 
 
-@query(_SCORED + "SELECT phrase, cnt, round(coalesce(score, 0), 6) AS score FROM phrases LEFT JOIN sc USING (phrase) WHERE cnt <= 2 ORDER BY coalesce(score, 0) DESC, phrase LIMIT 50")
+@query(_SCORED + "SELECT phrase, cnt, round(coalesce(score, 0), 6) AS score FROM phrases LEFT JOIN sc USING (phrase) WHERE cnt <= 2000 ORDER BY coalesce(score, 0) DESC, phrase LIMIT 50")
 def top_n_rare(spark, sf):
-    return mining.top_rare(_scored(spark, sf), 50, 2).select("phrase", "cnt", F.round("score", 6).alias("score"))
+    return mining.top_rare(_scored(spark, sf), 50, 2000).select("phrase", "cnt", F.round("score", 6).alias("score"))
 
 
 @query(_MINE + "SELECT seq, phrases.cnt AS cnt, phrase FROM lines JOIN phrases USING (phrase) WHERE phrases.cnt >= 2")
