@@ -16,31 +16,43 @@ def _in(word: Column, words) -> Column:
     return word.isin(list(words)) if words else F.lit(False)
 
 
-def term(word: Column, keywords=(), ignorewords=()) -> Column:
-    """A word's term: itself normalised, an asterisk, or null if the word is dropped.
+def words(message: Column) -> Column:
+    return F.array_remove(F.split(F.regexp_replace(message, DELIMITERS, " "), " "), "")
 
-    Words to ignore become asterisks before all else; keywords are exempt from stop
-    words, from the length gate (over two bytes) and from the removal of long integers.
+
+def _normal(message: Column, keywords, ignorewords) -> Column:
+    """For each word (keyword, raw, its lower-cased form without one trailing full stop), stars among them.
+
+    One step for each array, so that no step computes what the one before has found.
     """
-    word = F.when(_in(word, ignorewords), STAR).otherwise(word)
-    keyword = _in(word, keywords)
-    word = F.when(_in(word, STOP_WORDS) & ~keyword, STAR).otherwise(word)
-    low = F.lower(word)
-    low = F.when(F.octet_length(low) > 1, F.regexp_replace(low, r"\.$", "")).otherwise(low)
-    long_integer = low.rlike(r"^\p{Nd}+$") & ~low.rlike("^0.") & (F.octet_length(low) > MAX_DIGITS)
-    return F.when(low == STAR, low).when(keyword, low).when((F.octet_length(low) > 2) & ~long_integer, low)
+    starred = F.transform(
+        words(message),
+        lambda w: F.when(_in(w, ignorewords) | (_in(w, STOP_WORDS) & ~_in(w, keywords)), STAR).otherwise(w),
+    )
+    low = F.transform(starred, lambda w: F.struct(_in(w, keywords).alias("k"), w.alias("w"), F.lower(w).alias("t")))
+    dotted = lambda x: x["t"].endswith(".") & (F.octet_length(x["t"]) > 1)
+    cut = lambda x: F.when(dotted(x), F.substr(x["t"], F.lit(1), F.length(x["t"]) - 1)).otherwise(x["t"])
+    return F.transform(low, lambda x: F.struct(x["k"].alias("k"), x["w"].alias("w"), cut(x).alias("t")))
 
 
-def words(message: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(message, DELIMITERS, " "), " "), "")
+def _stays(x: Column) -> Column:
+    """Stars, keywords, and terms of over two bytes that are no integers of over MAX_DIGITS digits."""
+    n = F.octet_length(x["t"])
+    integer = (n > MAX_DIGITS) & ~x["t"].startswith("0") & x["t"].rlike(r"^\p{Nd}+$")
+    return (x["t"] == STAR) | x["k"] | ((n > 2) & ~integer)
 
 
 def tokens(message: Column, keywords=(), ignorewords=()) -> Column:
-    """The terms of a message, in order."""
-    return F.filter(F.transform(words(message), lambda w: term(w, keywords, ignorewords)), lambda t: t.isNotNull())
+    """The terms of a message, in order.
+
+    Words to ignore become asterisks before all else; keywords are exempt from stop
+    words, from the length gate and from the removal of long integers.
+    """
+    return F.transform(F.filter(_normal(message, keywords, ignorewords), _stays), lambda x: x["t"])
 
 
 def excluded(message: Column, keywords=(), ignorewords=()) -> Column:
-    """Words that leave no term behind."""
-    gone = lambda w: term(w, keywords, ignorewords).isNull() | (term(w, keywords, ignorewords) == STAR)
-    return F.array_distinct(F.filter(words(message), lambda w: gone(w) & (w != STAR)))
+    """Words that leave no term behind: dropped or starred."""
+    gone = F.filter(_normal(message, keywords, ignorewords), lambda x: ~_stays(x) & (x["w"] != STAR))
+    plain = F.array_intersect(words(message), F.array(*[F.lit(w) for w in (*STOP_WORDS, *ignorewords)]))
+    return F.array_distinct(F.concat(F.transform(gone, lambda x: x["w"]), plain))

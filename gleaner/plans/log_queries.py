@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import parse, scalars
 from gleaner.functions import tokens as tk
 from gleaner.operators import mining, ring, table, terms
+from gleaner.sources.logs import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -31,13 +32,14 @@ def event_lines(spark, sf):
     """L1: one line for each event, with its time as text."""
     ts = F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss")
     line = F.concat(ts, F.lit(" "), F.col("event_type"), F.lit(" user"), F.col("user_id"), F.lit(" props "), F.col("props"))
-    return _t(spark, sf, "events").select(F.col("event_id").alias("seq"), line.alias("value"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"))
+    events = spread(_t(spark, sf, "events").select("event_id", "ts", "event_type", "user_id", "props"))
+    return events.select(F.col("event_id").alias("seq"), line.alias("value"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"))
 
 
 def document_lines(spark, sf):
     """L2: lines of documents that are not blank."""
     at = F.posexplode(F.split("text", "\n", -1)).alias("at", "value")
-    lines = _t(spark, sf, "documents").select("doc_id", at)
+    lines = spread(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", at)
     return lines.select("doc_id", (F.col("doc_id") * 1000000 + F.col("at")).alias("seq"), "value").where("value != ''")
 
 

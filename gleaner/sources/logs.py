@@ -62,3 +62,9 @@ def lines_of(spark: SparkSession, texts) -> DataFrame:
     """Lines from memory, such as standard input."""
     rows = [("", 0, 0, i, t.rstrip("\r\n")) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "file string, mtime long, part long, at long, value string")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if its files give fewer partitions than there are; a larger scan is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
