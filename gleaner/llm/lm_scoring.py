@@ -45,6 +45,10 @@ CLASSES = 48
 
 END = np.uint64(0x2545F4914F6CDD1D)
 
+#: Broadcasts of the last model; executors drop their copies when the next one is built, and
+#: fetch them again if an earlier result is still evaluated.
+_earlier: list = []
+
 
 def level(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(count) / math.log(BASE) + 1e-9).astype(np.int64)
@@ -280,7 +284,12 @@ def score(
     n_train, v_train = total["n"], total["v"]
     pieces = max(1, -(-v_train // piece_tokens))
     subs = max(SUB_FILTERS, -(-n_train // SUB_BIGRAMS))
-    share = spark.sparkContext.broadcast
+    while _earlier:
+        _earlier.pop().unpersist()
+
+    def share(value):
+        _earlier.append(spark.sparkContext.broadcast(value))
+        return _earlier[-1]
 
     # The driver holds one piece at a time; the broadcasts themselves live in files.
     words = [share(load_vocabulary(vocabulary, k, pieces)) for k in range(pieces)]
