@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -42,15 +43,39 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shielded(operator):
+    """operator, with columns whose names begin with _ renamed while it runs: its own helpers have such names.
+
+    Columns are those of the first argument; other tables and column names among the
+    arguments follow them.
+    """
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **named):
+        aside = {c: f"aside{i}{c}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+        if not aside:
+            return operator(docs, *args, **named)
+
+        def follow(x):
+            if isinstance(x, DataFrame):
+                return x.withColumnsRenamed(aside)
+            return aside.get(x, x) if isinstance(x, str) else x
+
+        out = operator(follow(docs), *map(follow, args), **{k: follow(v) for k, v in named.items()})
+        return out.withColumnsRenamed({v: k for k, v in aside.items()})
+
+    return run
+
+
 def extend(df: DataFrame, make, new: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
     """df with the columns `new`, which make() computes from each Arrow batch.
 
     make() is called once in a task and returns a function from a RecordBatch to a
     list of arrays in the order of `new`. A column of df that has the name of a new
-    one is replaced by it.
+    one, in any case of its letters, is replaced by it.
     """
-    names = {f.name for f in new} | set(drop)
-    keep = [i for i, c in enumerate(df.columns) if c not in names]
+    names = {f.name.lower() for f in new} | set(drop)
+    keep = [i for i, c in enumerate(df.columns) if c.lower() not in names]
     schema = T.StructType([df.schema[i] for i in keep] + new)
 
     def run(batches):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, extend, mix, powers, prepare, remainder, revive
+from .common import _BYTE, extend, mix, powers, prepare, remainder, revive, shielded
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 200
@@ -201,6 +201,7 @@ class Scorer:
         return out
 
 
+@shielded
 def identify(
     docs: DataFrame,
     key_col: str = "doc_id",

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, texts
+from .common import materialise, prepare, shielded, texts
 
 MIN_LINES = 2
 
@@ -105,6 +105,7 @@ def repeated_runs(docs: DataFrame, key_col: str, text_col: str, min_lines: int)
     return later.groupBy("_key", "_th").agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
 
 
+@shielded
 def dedup_lines(
     docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES
 ) -> DataFrame:

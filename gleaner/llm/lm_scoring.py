@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extend, materialise, mix, prepare, remainder, revive, slices, token_hashes
+from .common import extend, materialise, mix, prepare, remainder, revive, shielded, slices, token_hashes
 
 #: Counts from BASE**(q - 1) on and below BASE**q are of level q.
 BASE = 1.5
@@ -260,6 +260,7 @@ def _groups(sizes: dict[int, int], most: int) -> list[list[int]]:
     return out
 
 
+@shielded
 def score(
     docs: DataFrame,
     train: DataFrame,

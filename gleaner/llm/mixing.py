@@ -24,7 +24,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shielded
 
 BLOCK_ROWS = 100
 RESOLUTION = 1000
@@ -87,6 +87,7 @@ def phases(blocks: dict, weights: dict, resolution: int) -> list[tuple]:
     return out
 
 
+@shielded
 def mix(
     docs: DataFrame,
     weights: dict | None = None,

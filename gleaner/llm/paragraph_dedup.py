@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, _LOWER, _SPACE, extend, materialise, mix, powers, prepare, slices
+from .common import _BYTE, _LOWER, _SPACE, extend, materialise, mix, powers, prepare, shielded, slices
 from .components import components
 from .simhash import TASK_ROWS, deal, link
 
@@ -241,6 +241,7 @@ def repeated_paragraphs(
     )
 
 
+@shielded
 def remove_paragraphs(docs: DataFrame, repeated: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the removed paragraphs cut out of the text, and n_removed instead of any such column."""
     spans = (

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shielded
 
 KEY = "gleaner"
 ROUNDS = 40
@@ -204,6 +204,7 @@ def overrides(entities: DataFrame, key: str) -> DataFrame:
     return state.where("attempt > 0").select("kind", "value", "s")
 
 
+@shielded
 def pseudonymise(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """docs with surrogates in the text, and n_entities (the number of matches replaced).
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shielded
 
 BUCKETS = 10_000
 TRUSTED = 20_000
@@ -122,6 +122,7 @@ def trusted_sample(docs: DataFrame, labels: DataFrame, key_col: str, limit: int)
     return docs.join(F.broadcast(ids), F.col(key_col) == F.col("_id"), "left_semi")
 
 
+@shielded
 def judge(
     docs: DataFrame,
     trusted: DataFrame,
