@@ -32,14 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest doc_id, or of equal ids any one row.
-
-    Rows without a doc_id are kept if no row of their group has one; of those, too, one stays.
-    """
-    marks = simhash.near_duplicates(docs)
-    drop = marks.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each SimHash group: the one with the smallest doc_id, or of equal ids any one row."""
+    return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extend, materialise, prepare, texts
+from .common import extend, materialise, prepare, shielded, texts
 from .components import components
 
 WORDS = 4
@@ -62,8 +62,10 @@ def majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(h)).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """docs with fingerprint (long, the 64 bits as a signed number) instead of any such column."""
+def with_fingerprint(
+    docs: DataFrame, text_col: str = "text", words: int = WORDS, name: str = "fingerprint"
+) -> DataFrame:
+    """docs with the fingerprint (long, the 64 bits as a signed number) instead of any column of that name."""
     prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
 
@@ -74,7 +76,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS
 
         return step
 
-    return extend(docs, make, [T.StructField("fingerprint", T.LongType())])
+    return extend(docs, make, [T.StructField(name, T.LongType())])
 
 
 def spans(segments: int) -> list[tuple[int, int]]:
@@ -225,3 +227,29 @@ def near_duplicates(
         )
     )
     return fp.join(labels, "fingerprint").select(F.col("key").alias(key_col), "fingerprint", "component_id")
+
+
+@shielded
+def keep_one(
+    docs: DataFrame,
+    key_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    distance: int = DISTANCE,
+    segments: int = SEGMENTS,
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """One row of docs for each component that near_duplicates finds, with the columns of docs.
+
+    It is a row with the component's smallest key; a null key counts as the largest, and
+    of rows with equal keys any one stays. Rows with equal keys whose texts are in
+    different components are judged apart.
+    """
+    rows = with_fingerprint(docs, text_col, words, "_fp").withColumn("_row", F.monotonically_increasing_id())
+    rows = materialise(rows)
+    order = F.struct(F.col(key_col).isNull().alias("none"), F.col(key_col).alias("key"), F.col("_row").alias("row"))
+    firsts = materialise(rows.groupBy(F.col("_fp").alias("fingerprint")).agg(F.min(order).alias("first")))
+    roots = components(near_edges(firsts.select("fingerprint"), distance, segments, bucket_rows))
+    grouped = firsts.join(roots, F.col("fingerprint") == F.col("node"), "left")
+    chosen = grouped.groupBy(F.coalesce("root", "fingerprint").alias("g")).agg(F.min("first").alias("first"))
+    return rows.join(materialise(chosen.select(F.col("first.row").alias("_row"))), "_row", "left_semi").select(*docs.columns)

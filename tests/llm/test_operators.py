@@ -386,3 +386,42 @@ def test_components(spark):
     groups = lambda r: sorted(sorted(x for x in nodes if r[x] == k) for k in {r[x] for x in nodes})
     assert groups(got) == groups(root)
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def helpers_frame(spark, docs):
+    """docs with columns that have the names of the operators' helpers."""
+    from pyspark.sql import functions as F
+
+    names = ["_id", "_k", "_s", "_t", "_h", "_w", "_b", "_g", "_lang", "_gone", "_runs", "_counts", "_key", "_th", "_row", "_fp", "_N_Words"]
+    return docs.select("*", *(F.lit(n).alias(n) for n in names))
+
+
+def test_columns_named_like_helpers(spark):
+    docs = spark.createDataFrame([(i, "en", f"a red fox {i}\nran over the hill\nand away {i}") for i in range(4)] + [(9, None, None)], "doc_id long, lang string, text string")
+    docs = helpers_frame(spark, docs).withColumnRenamed("lang", "source")
+    operators = (
+        lambda d: mixing.mix(d),
+        lambda d: quality.judge(d, d),
+        lambda d: line_dedup.dedup_lines(d),
+        lambda d: pii.pseudonymise(d),
+        lambda d: lm_scoring.score(d, d),
+        lambda d: decontamination.decontaminate(d, spark.createDataFrame([(1, "red fox")], "item_id long, text string")),
+        lambda d: simhash.keep_one(d),
+        lambda d: simhash.near_duplicates(d),
+    )
+    for k, operator in enumerate(operators):
+        out = operator(docs)
+        if k < len(operators) - 1:
+            assert set(docs.columns) <= set(out.columns)
+        rows = out.collect()
+        assert rows and (k >= len(operators) - 1 or {r["_k"] for r in rows} == {"_k"})
+
+
+def test_keep_one_judges_texts_not_ids(spark):
+    """Repeated ids with different texts: every group keeps one row, with its own columns."""
+    rng = random.Random(4)
+    a, b, c, d = (text(rng, 80) for _ in range(4))
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (7, c, "u"), (7, d, "v"), (None, d, "w"), (None, "lone words that nobody else has at all", "n"), (8, None, "e"), (9, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
+    kept = multiset(simhash.keep_one(docs).collect())
+    assert kept == multiset([rows[0], rows[2], rows[3], rows[4], rows[6], rows[7]])
