@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from .common import extend, materialise, prepare
 
 WINDOW = 13
-#: Bytes of item text that are searched for together; bounds what is broadcast.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item text that are searched for together; bounds what is broadcast and each worker's tables.
+BLOCK_BYTES = 2 << 20
 
 #: A-Z become a-z; other ASCII characters but digits and letters part words.
 _TABLE = bytes(
@@ -39,18 +39,20 @@ class WordSearch:
     """Wu-Manber tables over (item id, text) rows."""
 
     def __init__(self, items, window: int = WINDOW):
-        found: dict[int, dict[tuple, set]] = {}
+        found: dict[int, dict[tuple, frozenset]] = {}
         for item, text in items:
             w = words((text or "").encode())
             m = min(window, len(w))
             if item is None or not m:
                 continue
+            own, patterns = frozenset([str(item)]), found.setdefault(m, {})
             for i in range(len(w) - m + 1):
-                found.setdefault(m, {}).setdefault(tuple(w[i : i + m]), set()).add(str(item))
+                p = tuple(w[i : i + m])
+                patterns[p] = patterns[p] | own if p in patterns else own
         self.groups = [(m, *self._tables(m, found[m])) for m in sorted(found)]
 
     @staticmethod
-    def _tables(m: int, patterns: dict[tuple, set]):
+    def _tables(m: int, patterns: dict[tuple, frozenset]):
         b = min(2, m)
         shift: dict[tuple, int] = {}
         bucket: dict[tuple, dict[tuple, list]] = {}
@@ -58,7 +60,7 @@ class WordSearch:
             for end in range(b, m + 1):
                 block = p[end - b : end]
                 shift[block] = min(shift.get(block, m), m - end)
-            bucket.setdefault(p[m - b :], {}).setdefault(p[:b], []).append((list(p), items))
+            bucket.setdefault(p[m - b :], {}).setdefault(p[:b], []).append((p, items))
         return shift, bucket
 
     def search(self, w: list[bytes]) -> tuple[list[int], set]:
@@ -76,7 +78,7 @@ class WordSearch:
                     continue
                 here = bucket[block].get(tuple(w[at - m : at - m + b]), ())
                 for p, of in here:
-                    if w[at - m : at] == p:
+                    if tuple(w[at - m : at]) == p:
                         items |= of
                         spans.append((at - m, at))
                 at += 1
