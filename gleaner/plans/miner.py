@@ -1,8 +1,8 @@
 """The log miner: feeds log files into a store and answers from it.
 
 State is Parquet under a folder: terms and phrases by block, the reading position and the
-settings. A feed writes its blocks first and its status last, so one that fails leaves
-the previous state in force.
+settings. A feed writes its blocks first and its status last; tables are swapped in one
+at a time, so a feed that fails between two of them can count its lines twice when repeated.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from gleaner.plans.miner import Miner
 
 
 def stream(miner: Miner, folder: str, checkpoint: str, **trigger):
-    """A query that feeds every new file of a folder, each batch once."""
+    """A query that feeds every new file of a folder; a batch retried after a failure may be fed twice."""
     spark = miner.spark
     lines = spark.readStream.text(folder).select(
         F.col("_metadata.file_path").alias("file"),
