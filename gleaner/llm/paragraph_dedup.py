@@ -1,8 +1,9 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
 Passages are pasted into the middle of lines, so a paragraph here is a sentence of
-MIN_WORDS words or more: lines are cut after words that end in . ! or ?. Its shingles
-are five consecutive lower-cased words. BANDS bands of ROWS minima are tuned for recall:
+MIN_WORDS words or more: lines are cut after words that end in . ! or ?. Shorter
+sentences that follow each other, over line ends too, are joined until they have as
+many. Shingles are five consecutive lower-cased words. BANDS bands of ROWS minima are tuned for recall:
 a pair with Jaccard similarity 0.8 shares a band with probability
 1 - (1 - 0.8 ** 3) ** 6 = 0.987, and equal paragraphs always do.
 
@@ -10,13 +11,18 @@ Equal paragraphs are collapsed to their hash. Bands that two different paragraph
 give candidates, whose exact Jaccard similarity is then computed inside buckets, without
 passing on pairs (see simhash.link). Components of the links, together with paragraphs
 that occur more than once, are the clusters: their first occurrence stays, the others go.
+
+Wherever sentences begin and end, any RUN words that stand earlier in the corpus are
+found as well, by winnowing: of the grams of GRAM words in every RUN words the smallest
+is a fingerprint, so equal runs have an equal one. Around fingerprints that recur all
+runs are compared, and overlapping later ones make up a passage, however long.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +35,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 6, 3
 BUCKET_ROWS = 4096
+RUN, GRAM = 50, 25
 
 _Q = np.uint64(0xC6A4A7935BD1E995)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
@@ -36,6 +43,48 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
 
+def words_of(offsets: np.ndarray, data: np.ndarray):
+    """(hash, first byte, last byte, text index) of each word of a slice of texts, A-Z lower-cased."""
+    data = _LOWER[data]
+    space = _SPACE[data]
+    inside = offsets[(offsets > 0) & (offsets < len(data))]
+    first = np.r_[True, space[:-1]]
+    first[inside] = True
+    last = np.r_[space[1:], True]
+    last[inside - 1] = True
+    starts, ends = np.flatnonzero(first & ~space), np.flatnonzero(last & ~space)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends, starts
+    up, down = powers(len(data))
+    v = _BYTE[data] * up
+    v[space] = 0
+    return mix(np.add.reduceat(v, starts) * down[starts]), starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def joined(start: np.ndarray, stop: np.ndarray, texts: np.ndarray, least: int):
+    """Spans (start, stop, number of the first sentence) of words: sentences of `least` words, and shorter ones joined.
+
+    Only sentences that follow each other are joined; what is left over goes to the
+    group before it, and is dropped if there is none.
+    """
+    size = stop - start
+    whole, short = np.flatnonzero(size >= least), np.flatnonzero(size < least)
+    new = np.flatnonzero((np.diff(short) != 1) | (texts[short[1:]] != texts[short[:-1]])) + 1
+    from_, to = short[np.r_[0, new][: len(short)]], short[np.r_[new - 1, len(short) - 1][: len(short)]]
+    spans: list = []
+    for a, z in zip(from_.tolist(), to.tolist()):
+        if stop[z] - start[a] < least:
+            continue
+        for k in range(a, z + 1):
+            if stop[k] - start[a] >= least:
+                spans.append([start[a], stop[k], a])
+                a = k + 1
+        spans[-1][1] = stop[z]
+    more = np.array(spans, np.int64).reshape(-1, 3)
+    all_of = np.concatenate([np.stack([start[whole], stop[whole], whole], 1), more])
+    return all_of[np.argsort(all_of[:, 0], kind="stable")].T
+
+
 class Paragraphs:
     """The paragraphs of a slice of texts: hash, text index, ordinal, bytes and shingles of each."""
 
@@ -43,21 +92,10 @@ class Paragraphs:
         self.count = 0
         if not len(data):
             return
-        raw, data = data, _LOWER[data]
-        space = _SPACE[data]
-        inside = offsets[(offsets > 0) & (offsets < len(data))]
-        first = np.r_[True, space[:-1]]
-        first[inside] = True
-        last = np.r_[space[1:], True]
-        last[inside - 1] = True
-        starts, ends = np.flatnonzero(first & ~space), np.flatnonzero(last & ~space)
-        if not len(starts):
+        h, starts, ends, doc = words_of(offsets, data)
+        if not len(h):
             return
-        up, down = powers(len(data))
-        v = _BYTE[data] * up
-        v[space] = 0
-        h = mix(np.add.reduceat(v, starts) * down[starts])
-        doc = np.searchsorted(offsets, starts, "right") - 1
+        raw = data
         lines = np.cumsum(raw == 10)
         cut = _ENDS[raw[ends]]
         cut[:-1] |= (doc[1:] != doc[:-1]) | (lines[starts[1:]] != lines[ends[:-1]])
@@ -66,13 +104,12 @@ class Paragraphs:
         start = np.r_[0, stop[:-1]]
         texts = doc[start]
         ordinal = np.arange(len(start)) - np.searchsorted(texts, texts)
+        start, stop, sentence = joined(start, stop, texts, max(min_words, SHINGLE))
         size = stop - start
-        keep = size >= max(min_words, SHINGLE)
-        start, stop, size = start[keep], stop[keep], size[keep]
         self.count = len(start)
         if not self.count:
             return
-        self.doc, self.ordinal, self.words = texts[keep], ordinal[keep], size
+        self.doc, self.ordinal, self.words = texts[sentence], ordinal[sentence], size
         self.first, self.end = starts[start] - offsets[self.doc], ends[stop - 1] + 1 - offsets[self.doc]
         # Shingles: all windows of words, of which those inside one paragraph count.
         s = np.zeros(len(h), np.uint64)
@@ -184,6 +221,144 @@ def verified_edges(candidates: DataFrame, similarity: float, bucket_rows: int) -
     return dealt.mapInArrow(join, "a long, b long")
 
 
+class Grams:
+    """The fingerprints of a slice of texts, and its runs of RUN words."""
+
+    def __init__(self, offsets: np.ndarray, data: np.ndarray):
+        self.at = np.zeros(0, np.int64)
+        if not len(data):
+            return
+        h, starts, ends, doc = words_of(offsets, data)
+        n = len(h) - RUN + 1
+        if n < 1:
+            return
+        up, self.down = powers(len(h) + 1)
+        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)]
+        self.doc, self.base = doc, np.searchsorted(doc, np.arange(len(offsets)))
+        self.first, self.last = starts - offsets[doc], ends + 1 - offsets[doc]
+        all_grams = np.arange(len(h) - GRAM + 1)
+        self.gram = self.hash(all_grams, all_grams + GRAM)
+        # The least gram of each run, zero where two texts meet; a gram that is the least of a run is picked.
+        self.least = _sliding(self.gram, RUN - GRAM + 1, np.minimum)
+        self.least[doc[:n] != doc[RUN - 1 :]] = 0
+        pad = np.zeros(RUN - GRAM, np.uint64)
+        most = _sliding(np.r_[pad, self.least, pad], RUN - GRAM + 1, np.maximum)
+        self.at = np.flatnonzero((most == self.gram) & (most > 0))
+
+    def hash(self, start, stop):
+        return mix((self.sums[stop] - self.sums[start]) * self.down[start])
+
+    def around(self):
+        """(start, stop, hash) of the words that runs with each fingerprint can have."""
+        d = self.doc[self.at]
+        start = np.maximum(self.base[d], self.at - (RUN - GRAM))
+        stop = np.minimum(self.base[d + 1], self.at + RUN)
+        return start, stop, mix(self.hash(start, stop) + (self.at - start).astype(np.uint64) * _Q + (stop - start).astype(np.uint64))
+
+
+def _sliding(x: np.ndarray, w: int, of) -> np.ndarray:
+    """of() over each w neighbours, by doubling."""
+    n, have = len(x) - w + 1, 1
+    while have * 2 <= w:
+        x = of(x[:-have], x[have:])
+        have *= 2
+    return of(x[:n], x[w - have : w - have + n]).copy()
+
+
+def _rows(keys, texts_hash, names, *columns):
+    """A batch of the words' rows: keys and hashes are Arrow arrays, of which the others are numpy."""
+    arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int32)) for c in columns]
+    return pa.RecordBatch.from_arrays([keys, texts_hash, *arrays], names=["key", "th", *names])
+
+
+_SPAN = "place int, stop int, first int, end int"
+
+
+def repeated_passages(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """(key, words, first, end, cluster, kept_key): passages of RUN words or more that stand earlier, word for word."""
+    kind = docs.schema[key_col].dataType.simpleString()
+    slim = docs.select(F.col(key_col).alias("key"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+
+    def fingerprints(batches):
+        for batch in batches:
+            for _, _, offsets, data in slices(batch.column(0)):
+                g = Grams(offsets, data)
+                if len(g.at):
+                    fp, n = np.unique(g.gram[g.at], return_counts=True)
+                    yield _batch(fp=fp.view(np.int64), n=n)
+
+    def surroundings(batches):
+        for batch in batches:
+            for i, _, offsets, data in slices(batch.column(2)):
+                g = Grams(offsets, data)
+                if not len(g.at):
+                    continue
+                start, stop, around = g.around()
+                doc = g.doc[g.at]
+                row, base = pa.array(doc + i), g.base[doc]
+                yield _rows(
+                    batch.column(0).take(row), batch.column(1).take(row),
+                    ["fp", "run", "at", "place", "stop", "first", "end"],
+                    g.gram[g.at], around, g.at - base, start - base, stop - base, g.first[start], g.last[stop - 1],
+                )
+
+    def runs(batches):
+        for batch in batches:
+            for i, j, offsets, data in slices(batch.column(2)):
+                g = Grams(offsets, data)
+                wanted = [np.asarray(x, np.int64) for x in batch.column(3).slice(i, j - i).to_pylist()]
+                at = np.concatenate([x + b for x, b in zip(wanted, g.base)])
+                start = (at[:, None] - np.arange(RUN - GRAM + 1)).ravel()
+                of = np.repeat(at, RUN - GRAM + 1)
+                fits = (start >= 0) & (start < len(g.least))
+                start, of = start[fits], of[fits]
+                start = np.unique(start[g.least[start] == g.gram[of]])
+                row, base = pa.array(g.doc[start] + i), g.base[g.doc[start]]
+                yield _rows(
+                    batch.column(0).take(row), batch.column(1).take(row), ["run", "place", "stop", "first", "end"],
+                    g.hash(start, start + RUN), start - base, start - base + RUN, g.first[start], g.last[start + RUN - 1],
+                )
+
+    counts = slim.select("text").mapInArrow(fingerprints, "fp long, n long")
+    again = materialise(counts.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp"))
+    near = slim.mapInArrow(surroundings, f"key {kind}, th long, fp long, run long, at int, {_SPAN}")
+    near = materialise(near.join(again, "fp", "left_semi"))
+    here = F.struct("key", "place")
+
+    def later(rows):
+        first = rows.groupBy("run").agg(F.min(F.struct("key", "place", "th", "end")).alias("a"), F.max(here).alias("z"))
+        first = materialise(first.where(~F.struct("a.key", "a.place").eqNullSafe(F.col("z"))).select("run", "a"))
+        found = rows.join(first, "run", "left")
+        return found, F.col("a").isNotNull() & ~here.eqNullSafe(F.struct("a.key", "a.place"))
+
+    found, is_later = later(near)
+    found = materialise(found.withColumn("later", is_later))
+    # Where the words around a fingerprint differ, single runs are compared; later equal ones need no more.
+    differ = materialise(near.groupBy("fp").agg(F.min("run").alias("x"), F.max("run").alias("y")).where("x != y").select("fp"))
+    edges = found.where("not later").join(differ, "fp", "left_semi").groupBy("key", "th").agg(F.collect_set("at").alias("at"))
+    edges = edges.select(F.col("key").alias("_k"), F.col("th").alias("_t"), "at")
+    with_text = slim.join(edges, F.col("key").eqNullSafe(F.col("_k")) & (F.col("th") == F.col("_t")))
+    single = materialise(with_text.select("key", "th", "text", "at").mapInArrow(runs, f"key {kind}, th long, run long, {_SPAN}"))
+    more, is_later = later(single)
+    columns = ["key", "th", "run", "place", "stop", "first", "end", "a"]
+    copies = found.where("later").select(columns).unionByName(more.where(is_later).select(columns))
+    # A copy that overlaps its first occurrence in the same text begins after it.
+    same = F.col("key").eqNullSafe(F.col("a.key")) & (F.col("th") == F.col("a.th"))
+    copies = copies.withColumn("first", F.when(same, F.greatest("first", "a.end")).otherwise(F.col("first"))).where("first < end")
+    copies = copies.withColumn("kept_key", F.col("a.key")).withColumn("ahead", F.col("place") - F.col("a.place"))
+    one = ("key", "th", "kept_key", "ahead")
+    ordered = Window.partitionBy(*one).orderBy("place", "stop")
+    reached = F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    copies = copies.withColumn("_new", F.coalesce((F.col("place") > reached).cast("int"), F.lit(0)))
+    copies = copies.withColumn("_part", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    return copies.groupBy(*one, "_part").agg(
+        (F.max("stop") - F.min("place")).alias("words"),
+        F.min("first").alias("first"),
+        F.max("end").alias("end"),
+        F.min("run").alias("cluster"),
+    ).select("key", "words", "first", "end", "cluster", "kept_key")
+
+
 def repeated_paragraphs(
     docs: DataFrame,
     key_col: str = "doc_id",
@@ -197,7 +372,9 @@ def repeated_paragraphs(
     Columns: key_col, paragraph (its ordinal in the text, from 0), n_words, first and end
     (its bytes [first, end) in the UTF-8 text), cluster (a hash), kept_key and
     kept_paragraph (the cluster's first occurrence, by key and ordinal; a null key comes
-    first) and removed (whether this is a later one). Texts that are null, empty or
+    first) and removed (whether this is a later one). A passage of RUN words or more that
+    stands word for word earlier, by key and place, gives a row too, with null paragraph and
+    kept_paragraph, wherever its sentences begin; it may overlap paragraphs. Texts that are null, empty or
     without a paragraph give no rows. Rows of docs with equal keys and texts count as one
     document: their paragraphs are the same occurrences, each listed. Other columns of
     docs play no part.
@@ -228,7 +405,7 @@ def repeated_paragraphs(
         .where(~F.col("a").eqNullSafe(F.col("z")))
         .select("cluster", "a")
     )
-    return clustered.join(clusters, "cluster").select(
+    paragraphs = clustered.join(clusters, "cluster").select(
         F.col("key").alias(key_col),
         F.col("place").alias("paragraph"),
         F.col("words").alias("n_words"),
@@ -239,6 +416,18 @@ def repeated_paragraphs(
         F.col("a.place").alias("kept_paragraph"),
         (~here.eqNullSafe(F.col("a"))).alias("removed"),
     )
+    passages = repeated_passages(docs, key_col, text_col).select(
+        F.col("key").alias(key_col),
+        F.lit(None).cast("int").alias("paragraph"),
+        F.col("words").alias("n_words"),
+        "first",
+        "end",
+        "cluster",
+        "kept_key",
+        F.lit(None).cast("int").alias("kept_paragraph"),
+        F.lit(True).alias("removed"),
+    )
+    return paragraphs.unionByName(passages)
 
 
 @shielded
@@ -257,8 +446,14 @@ def remove_paragraphs(docs: DataFrame, repeated: DataFrame, key_col: str = "doc_
             out, n = [], []
             for text, cut in zip(batch.column(at).cast(pa.large_binary()).to_pylist(), batch.column(cut_at).to_pylist()):
                 n.append(len(cut or ()))
-                for c in reversed(cut or ()):
-                    text = text[: c["first"]] + text[c["end"] :]
+                spans: list = []  # they may overlap
+                for c in cut or ():
+                    if spans and c["first"] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], c["end"])
+                    else:
+                        spans.append([c["first"], c["end"]])
+                for first, end in reversed(spans):
+                    text = text[:first] + text[end:]
                 out.append(text if text is None else text.decode())
             return [pa.array(out, pa.string()), pa.array(n, pa.int64())]
 

@@ -313,6 +313,45 @@ def test_paragraph_dedup(spark):
     assert paragraph_dedup.repeated_paragraphs(docs.limit(0)).isEmpty()
 
 
+def brute_passages(rows, n):
+    """Spans of words (key, word) that a run of n words covers which stands earlier."""
+    seen, gone = {}, set()
+    for i, t in sorted(rows):
+        w = spaced(lower(t))
+        for a in range(len(w) - n + 1):
+            if seen.setdefault(tuple(w[a : a + n]), (i, a)) != (i, a):
+                gone |= {(i, k) for k in range(a, a + n)}
+    return gone
+
+
+def test_passages_without_long_sentences(spark):
+    rng = random.Random(12)
+    new = lambda n, mark: " ".join(f"q{rng.randint(0, 10**9)}" + mark * (k % 3 == 2) for k in range(n))
+    short, plain = new(120, "."), new(120, "")
+    part = " ".join(plain.split()[40:91])
+    rows = [(1, new(30, ".") + " " + short + " " + new(9, "")), (2, plain), (3, short), (4, new(70, "") + " " + part.upper() + " " + new(80, "")), (5, new(20, "") + "\n" + part + "\n" + new(60, ".") + " " + short), (6, " ".join(plain.split()[:49])), (7, new(4, ".") + "."), (8, None), (9, "")]
+    rows += [(20 + k, " ".join(rng.choice([short, plain, new(40, ".")]) for _ in range(4))) for k in range(6)]
+    docs = frame(spark, rows)
+    found = paragraph_dedup.repeated_paragraphs(docs)
+    of, got = dict(rows), set()
+    for r in found.where("removed and paragraph is null").collect():
+        data = of[r.doc_id].encode()
+        before = len(spaced(data[: r.first].decode()))
+        got |= {(r.doc_id, before + k) for k in range(len(spaced(data[r.first : r.end].decode())))}
+    assert got == brute_passages([r for r in rows if r[1]], paragraph_dedup.RUN)
+    assert {k for i, k in got if i == 4} == set(range(70, 121)) and not any(i == 6 for i, _ in got)
+    cut = {r.doc_id: r.text for r in paragraph_dedup.remove_paragraphs(docs, found).collect()}
+    assert cut[3] == "" and cut[1] == of[1] and len(cut[4].split()) == 150
+    p = paragraph_dedup.Paragraphs(np.array([0, len(short)]), np.frombuffer(short.encode(), np.uint8), 6)
+    assert p.words.sum() == 120 and p.words.min() >= 6
+
+
+def test_passage_that_repeats_itself_keeps_one(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 100), (2, "a b c " * 100)], "doc_id long, text string")
+    found = paragraph_dedup.repeated_passages(docs, "doc_id", "text").collect()
+    assert min(r.first for r in found if r.key == 1) == 99 and min(r.first for r in found if r.key == 2) == 0
+
+
 def brute_quality(t):
     w = spaced(t)
     g = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
