@@ -6,11 +6,11 @@ slot the released block with the earliest deadline runs. As the weights sum to o
 single sequence meets every deadline, so after any slot each source is less than one
 block away from its target share.
 
-Weights are whole parts of a common resolution, so the schedule repeats: the driver
-computes one period (as many slots as the resolution), and the slot of any block is
-arithmetic. When a source runs out, the others' weights are renormalised and a new
-period begins; no row is dropped or repeated. What the driver holds depends on the
-number of sources and the resolution, not on rows.
+Weights are taken exactly, as whole parts of whatever total their decimal digits need,
+so nothing drifts however many slots there are. The driver computes the slot of each
+block until a source runs out; then the others' weights are renormalised and a new phase
+begins; no row is dropped or repeated. What the driver holds grows with the number of
+sources and of blocks, which are a block_rows-th of the rows.
 
 Ranks inside a source come from two levels: a row's place among the rows of its hash
 bucket, and the sizes of the buckets before it. Both have about the square root of the
@@ -20,6 +20,9 @@ source's rows, so no task gets a whole source.
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,60 +32,62 @@ from .common import materialise, shielded
 BLOCK_ROWS = 100
 RESOLUTION = 1000
 ALPHA = 0.5
+#: Blocks of a source whose slots stand in one row of the schedule.
+CHUNK = 4096
 #: Sources that a schedule can have; each is a configured name, not data.
 MOST_SOURCES = 5000
 
 
 def parts(weights: dict, resolution: int) -> dict:
-    """Whole parts of the resolution for each source, at least one, by largest remainder."""
-    resolution = max(resolution, len(weights))
-    total = sum(weights.values())
-    spare = resolution - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], str(s)))
-    for s in order[: resolution - sum(out.values())]:
-        out[s] += 1
-    return out
+    """Whole parts in exactly the ratio of the weights, as their decimal digits give it; at least `resolution` in all."""
+    exact = {s: Fraction(repr(float(w))) for s, w in weights.items()}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * unit) for s, w in exact.items()}
+    common = math.gcd(*whole.values())
+    times = -(-resolution * common // sum(whole.values()))
+    return {s: w // common * times for s, w in whole.items()}
+
 
+def period(shares: dict, left: dict | None = None) -> dict:
+    """Slots of each source's blocks: earliest deadline first among those released.
 
-def period(shares: dict) -> dict:
-    """Slots of each source's blocks in one period: earliest deadline first among those released."""
+    Either those of one period, or with `left` those up to the slot in which the first
+    source has run that many blocks.
+    """
     n = sum(shares.values())
     names = sorted(shares, key=str)
     waiting = [(0, k, 0) for k in range(len(names))]  # release, source, block
     heapq.heapify(waiting)
     ready: list = []
     slots: dict = {s: [] for s in names}
-    for t in range(n):
+    for t in range(n) if left is None else itertools.count():
         while waiting and waiting[0][0] <= t:
             _, k, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * n // shares[names[k]]), k, i))
         _, k, i = heapq.heappop(ready)
         slots[names[k]].append(t)
-        if i + 1 < shares[names[k]]:
+        if left is not None and i + 1 == left[names[k]]:
+            break
+        if left is not None or i + 1 < shares[names[k]]:
             heapq.heappush(waiting, ((i + 1) * n // shares[names[k]], k, i + 1))
     return slots
 
 
 def phases(blocks: dict, weights: dict, resolution: int) -> list[tuple]:
-    """(source, phase, first block, blocks, first slot, period, places in a period) until all have run out."""
+    """(source, phase, first block, first slot, slots of its blocks from there) until all have run out."""
     left, out, begin = {s: n for s, n in blocks.items() if n}, [], 0
     done = {s: 0 for s in left}
     k = 0
     while left:
-        shares = parts({s: weights[s] for s in left}, resolution)
-        n, slots = sum(shares.values()), period(shares)
-        # The phase ends with the slot in which the first source runs out.
-        length = min((r - 1) // shares[s] * n + slots[s][(r - 1) % shares[s]] + 1 for s, r in left.items())
-        for s in list(left):
-            ran = length // n * shares[s] + sum(x < length % n for x in slots[s])
-            out.append((s, k, done[s], ran, begin, n, slots[s]))
-            done[s] += ran
-            left[s] -= ran
+        slots = period(parts({s: weights[s] for s in left}, resolution), left)
+        for s, ran in slots.items():
+            if ran:
+                out.append((s, k, done[s], begin, ran))
+            done[s] += len(ran)
+            left[s] -= len(ran)
             if not left[s]:
                 del left[s]
-        begin += length
+        begin += sum(map(len, slots.values()))
         k += 1
     return out
 
@@ -140,16 +145,21 @@ def mix(
         .withColumn("block_no", F.floor(F.col("_r") / block_rows))
         .withColumn("place_in_block", F.pmod(F.col("_r"), F.lit(block_rows)))
     )
-    rows = [(names[s], k, int(a), int(a + n), int(b), p, len(t), t) for s, k, a, n, b, p, t in plan if n]
+    rows = []
+    for s, k, a, begin, slots in plan:
+        z = a + len(slots)
+        for c in range(a // CHUNK, (z - 1) // CHUNK + 1):
+            x, y = max(a, c * CHUNK), min(z, (c + 1) * CHUNK)
+            rows.append((names[s], c, k, x, y, begin, slots[x - a : y - a]))
     schedule = F.broadcast(
         spark.createDataFrame(
-            rows, "_k int, phase int, _from long, _to long, _begin long, _n int, _q int, _slots array<int>"
+            rows, "_k int, _c long, phase int, _from long, _to long, _begin long, _slots array<long>"
         )
     )
-    i = F.col("block_no") - F.col("_from")
-    slot = F.col("_begin") + F.floor(i / F.col("_q")) * F.col("_n") + F.get("_slots", F.pmod(i, F.col("_q")).cast("int"))
+    slot = F.col("_begin") + F.get("_slots", (F.col("block_no") - F.col("_from")).cast("int"))
     return (
-        ranked.join(schedule, "_k")
+        ranked.withColumn("_c", F.floor(F.col("block_no") / CHUNK))
+        .join(schedule, ["_k", "_c"])
         .where((F.col("block_no") >= F.col("_from")) & (F.col("block_no") < F.col("_to")))
         .withColumn("slot", slot)
         .select(*docs.columns, *new)

@@ -144,6 +144,32 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize(
+    "weights",
+    [{"a": 0.9, "b": 0.1}, {k: (10 if k else 141) ** 0.5 for k in range(21)}, {k: 1 if k else 450 for k in range(901)}],
+)
+def test_mixing_keeps_to_the_given_weights(weights):
+    total, got = sum(weights.values()), dict.fromkeys(weights, 0)
+    plan = mixing.phases({s: int(12_000 * w / total) + 50 for s, w in weights.items()}, weights, mixing.RESOLUTION)
+    first = sorted((t, s) for s, k, _, begin, slots in plan if k == 0 for t in slots)
+    assert len(first) > 12_000 and [t for t, _ in first] == list(range(len(first)))
+    for t, s in first:
+        got[s] += 1
+        assert abs(got[s] - (t + 1) * weights[s] / total) < 1
+        if t % 97 == 0:
+            assert all(abs(got[x] - (t + 1) * w / total) < 1 for x, w in weights.items())
+
+
+def test_mixing_over_chunks_of_the_schedule(spark):
+    docs = spark.range(9000).selectExpr("id as doc_id", "if(id % 10 = 0, 'b', 'a') as source")
+    got = {r.slot: r.source for r in mixing.mix(docs, {"a": 0.9, "b": 0.1}, block_rows=1).collect()}
+    assert sorted(got) == list(range(9000))
+    n = 0
+    for t in range(9000):
+        n += got[t] == "b"
+        assert abs(n - (t + 1) / 10) < 1
+
+
 def test_mixing_period_meets_windows():
     shares = {"a": 7, "b": 5, "c": 3, "d": 1, "e": 1}
     n = sum(shares.values())
