@@ -9,6 +9,9 @@ Fingerprints that occur at one position only are dropped. At the others the matc
 extended both ways: the runs around the positions are compared, each run's first
 position in the corpus is found, and all later ones are deleted; overlapping deleted
 runs make up a whole repeated run, however long. No pairs of positions are made.
+
+Lines of over `line_words` words can be runs of their own too, with a salted hash for
+both fingerprint and run.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialise, prepare, shielded, texts
 
 MIN_LINES = 2
+#: Seed of the hashes of lines that are runs of their own.
+ALONE = 1
 
 
 def winnow(h: np.ndarray, w: int) -> np.ndarray:
@@ -32,14 +37,17 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
     return np.unique(np.arange(len(views)) + w - 1 - np.argmin(views, axis=1))
 
 
-def runs_of(text: bytes, w: int):
-    """(fingerprint, [(run's hash, its first line, its last line)]) of a text."""
+def runs_of(text: bytes, w: int, line_words: int | None = None):
+    """(fingerprint, [(run's hash, its first line, its last line)]) of a text; a line of over line_words is a run."""
     at, hashes = [], []
     for i, line in enumerate(text.split(b"\n")):
         line = line.strip()
         if line:
             at.append(i)
             hashes.append(xxhash.xxh64_intdigest(line))
+            if line_words is not None and len(line.split()) > line_words:
+                alone = xxhash.xxh64_intdigest(line, ALONE)
+                yield alone, [(alone, i, i)]
     h = np.array(hashes, np.uint64)
     picked = winnow(h, w)
     if not len(picked):
@@ -55,7 +63,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def repeated_runs(docs: DataFrame, key_col: str, text_col: str, min_lines: int) -> DataFrame:
+def repeated_runs(docs: DataFrame, key_col: str, text_col: str, min_lines: int, line_words: int | None) -> DataFrame:
     """(_key, _th, _runs): the line ranges to delete in each document that has any."""
     kind = docs.schema[key_col].dataType.simpleString()
     slim = docs.select(
@@ -66,7 +74,7 @@ def repeated_runs(docs: DataFrame, key_col: str, text_col: str, min_lines: int)
         for b in batches:
             h, row, runs = [], [], []
             for i, text in enumerate(texts(b.column(2))):
-                for fp, around in runs_of(text, min_lines):
+                for fp, around in runs_of(text, min_lines, line_words):
                     h.append(_signed(fp))
                     row.append(i)
                     runs.append([{"run": _signed(r), "first": a, "last": z} for r, a, z in around])
@@ -107,7 +115,11 @@ def repeated_runs(docs: DataFrame, key_col: str, text_col: str, min_lines: int)
 
 @shielded
 def dedup_lines(
-    docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES
+    docs: DataFrame,
+    key_col: str = "doc_id",
+    text_col: str = "text",
+    min_lines: int = MIN_LINES,
+    line_words: int | None = None,
 ) -> DataFrame:
     """docs with later repeated runs of lines deleted from the text, and n_lines and n_removed.
 
@@ -116,7 +128,8 @@ def dedup_lines(
     (blank ones between them don't count) goes if the same lines, in this order, stand
     earlier: in a document with a smaller key (null is the smallest; among equal keys,
     the smaller hash of the text), or further up in the same one. Blank lines inside a
-    deleted run go with it. Rows equal in key and text are one document: they get the
+    deleted run go with it. Unless line_words is None, a single line of more words than
+    that goes as well if it stands earlier, in the same sense. Rows equal in key and text are one document: they get the
     same result and don't delete each other's lines. A null text stays null with
     n_lines 0; an empty one has one line. Columns of docs named n_lines or n_removed are
     replaced.
@@ -124,7 +137,7 @@ def dedup_lines(
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.drop("n_lines", "n_removed")
-    found = repeated_runs(docs, key_col, text_col, min_lines)
+    found = repeated_runs(docs, key_col, text_col, min_lines, line_words)
     theirs = found.select(F.col("_key").alias("_k"), F.col("_th").alias("_t"), "_runs")
     on = F.col(key_col).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text_col)) == F.col("_t"))
     joined = docs.join(theirs, on, "left").drop("_k", "_t")

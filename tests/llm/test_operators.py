@@ -232,6 +232,16 @@ def test_line_dedup(spark, t):
     assert line_dedup.dedup_lines(frame(spark, [])).isEmpty()
 
 
+def test_long_single_lines(spark):
+    new = lambda n, k: " ".join(f"l{k}w{i}" for i in range(n))
+    rows = [(1, f"head\n{new(51, 1)}\ntail"), (2, f"other\n  {new(51, 1)} \n{new(50, 2)}\nend"), (3, new(51, 1)), (4, f"x\n{new(50, 2)}\ny"), (5, f"{new(60, 3)}\nmid\n\n{new(60, 3)}\nq"), (6, None), (None, new(60, 3)), (7, f"head\n{new(51, 1)}\nz")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows), line_words=50).collect()}
+    of = dict(rows)
+    assert got[1] == (of[1], 0) and got[2] == (f"other\n{new(50, 2)}\nend", 1) and got[3] == ("", 1)
+    assert got[4] == (of[4], 0) and got[5] == ("mid\n\nq", 2) and got[6] == (None, 0) and got[None] == (of[None], 0)
+    assert got[7] == ("z", 2)
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 5, 300).astype(np.uint64)
