@@ -6,7 +6,7 @@ n-grams of trusted documents and among those of all documents gives its log-like
 ratio; a document's score is the mean ratio of its n-grams, and a fixed threshold
 decides on each document. Everything is DataFrame functions.
 
-Trusted documents are a sample of at most TRUSTED labelled ids, taken in the order of a
+Trusted documents are a sample of at most TRUSTED ids labelled good and not toxic, taken in the order of a
 hash; counts of the raw corpus cover all documents.
 """
 
@@ -109,12 +109,17 @@ def statistics(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def trusted_sample(docs: DataFrame, labels: DataFrame, key_col: str, limit: int) -> DataFrame:
-    """The documents of up to `limit` ids that labels call good, chosen by a hash of the id."""
+    """The documents of up to `limit` ids that labels call good, chosen by a hash of the id.
+
+    An id that any row calls toxic is left out, if labels have a column toxic.
+    """
+    toxic = F.col("toxic") == 1 if "toxic" in labels.columns else F.lit(False)
     ids = (
-        labels.where("quality = 1")
-        .select(F.col(key_col).alias("_id"))
-        .where(F.col("_id").isNotNull())
-        .distinct()
+        labels.where(F.col(key_col).isNotNull())
+        .groupBy(F.col(key_col).alias("_id"))
+        .agg(F.max(F.col("quality") == 1).alias("_good"), F.max(F.coalesce(toxic, F.lit(False))).alias("_toxic"))
+        .where("_good and not _toxic")
+        .select("_id")
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(limit)
     )

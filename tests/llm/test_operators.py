@@ -423,6 +423,13 @@ def test_trusted_sample_is_bounded(spark):
     assert len(ids) == 10 and all(i % 2 for i in ids)
 
 
+def test_trusted_sample_leaves_toxic_out(spark):
+    docs = spark.createDataFrame([(i, "t") for i in range(8)], "doc_id long, text string")
+    rows = [(0, 1, 0), (1, 1, 1), (2, 0, 0), (3, 1, None), (4, 1, 0), (4, 1, 1), (5, 1, 0), (5, 0, None), (None, 1, 0), (6, None, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in quality.trusted_sample(docs, labels, "doc_id", 10).collect()} == {0, 3, 5}
+
+
 def brute_fingerprint(t):
     w = spaced(lower(t))
     if not w:
