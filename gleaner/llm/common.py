@@ -8,28 +8,40 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows in an Arrow batch; bounds what a Python worker holds of whole texts.
 BATCH_ROWS = 500
+#: Bytes in an Arrow batch (one row may be longer).
+BATCH_BYTES = 16 << 20
 #: Bytes of text that a vectorised step looks at together (one text may be longer).
 SLICE_BYTES = 1 << 20
+#: Bits of a Bloom filter that decides which rows are exchanged.
+FILTER_BITS = 1 << 23
 
 _own_dir: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings under which the Arrow steps stay within bounded memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lowers the session's limits on Arrow batches to ours, so that a Python worker holds few whole texts.
+
+    They stay lowered, as Spark looks at them when a result is evaluated.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; in local mode, and there only, one of our own if that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="gleaner-")
@@ -40,7 +52,56 @@ def materialise(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/gleaner/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() wrote, once all that was made of them has been written too."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _bit(h: Column) -> tuple[Column, Column]:
+    """The word and the mask of a hash in a filter of FILTER_BITS bits."""
+    bit = F.pmod(h, F.lit(FILTER_BITS))
+    return F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def sieve(hashes: DataFrame) -> DataFrame:
+    """A Bloom filter of the one column of hashes (long), as a table of at most FILTER_BITS / 64 words."""
+    word, mask = _bit(F.col(hashes.columns[0]))
+    return materialise(hashes.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_mask")))
+
+
+def sifted(df: DataFrame, filter_: DataFrame, h: Column, name: str) -> DataFrame:
+    """df with a boolean: whether the filter may hold h. The filter's size is bounded, so it is broadcast."""
+    word, mask = _bit(h)
+    joined = df.withColumn("_at", word).join(F.broadcast(filter_), F.col("_at") == F.col("_word"), "left")
+    hit = F.coalesce(F.col("_mask").bitwiseAND(mask) != 0, F.lit(False))
+    return joined.withColumn(name, hit).drop("_at", "_word", "_mask")
+
+
+def with_few(docs: DataFrame, few: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """docs with the columns that few has beside _key and _th (key and xxhash64 of the text); null for other rows.
+
+    Texts are not exchanged, but for those of rows that a Bloom filter of few lets
+    through; as few grows these become all, so the result is exact at any size. docs is
+    read twice.
+    """
+    new = [f for f in few.schema if f.name not in ("_key", "_th")]
+    found = few.select(F.col("_key").alias("_k"), F.col("_th").alias("_t"), *[f.name for f in new])
+    filter_ = sieve(few.select(F.xxhash64("_key", "_th").alias("h")))
+    th = F.xxhash64(F.col(text_col))
+    marked = sifted(docs, filter_, F.xxhash64(F.col(key_col), th), "_hit")
+    on = F.col(key_col).eqNullSafe(F.col("_k")) & (th == F.col("_t"))
+    theirs = marked.where("_hit").join(found, on, "left")
+    others = marked.where("not _hit").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in new])
+    columns = [*docs.columns, *[f.name for f in new]]
+    return theirs.select(columns).union(others.select(columns))
 
 
 def shielded(operator):

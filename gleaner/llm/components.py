@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,13 +28,16 @@ def components(edges: DataFrame) -> DataFrame:
         levels.append(up)
         at = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}"))
         moved = edges.join(at("a"), "a").join(at("b"), "b").where("up_a != up_b")
-        edges = materialise(
+        before, edges = edges, materialise(
             moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct()
         )
+        discard(before)
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = levels[0].select("node", F.col("up").alias("root"))
     for up in levels[1:]:
         next_up = up.select(F.col("node").alias("root"), F.col("up").alias("_next"))
         out = out.join(next_up, "root", "left").select("node", F.coalesce("_next", "root").alias("root"))
-    return materialise(out)
+    out = materialise(out)
+    discard(edges, *levels)
+    return out

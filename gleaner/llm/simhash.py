@@ -15,6 +15,8 @@ which compares everything with bounded memory in each task.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extend, materialise, prepare, shielded, texts
+from .common import discard, extend, materialise, prepare, shielded, texts, with_few
 from .components import components
 
 WORDS = 4
 SEED = 42
 DISTANCE = 4
-SEGMENTS = 3
 BUCKET_ROWS = 4096
 #: Rows of buckets that one task holds.
 TASK_ROWS = 1_000_000
@@ -161,8 +162,25 @@ def deal(rows: DataFrame, by: str, chunk_of: str, most: int) -> DataFrame:
     )
 
 
-def near_edges(fps: DataFrame, distance: int, segments: int, bucket_rows: int) -> DataFrame:
+def segments_for(n: int) -> int:
+    """The number of segments for n fingerprints; any number gives the same result.
+
+    With 3 a fingerprint makes 34 rows, and buckets of 21 bits compare it with 17 n / 2 ** 21
+    others on the average; with 2, which probe balls of radius 2, it makes 530 rows, and
+    chance partners are rare. A row costs about as much as some hundred comparisons, so
+    the second is cheaper from some billions of fingerprints on.
+    """
+    return 3 if n <= 1 << 33 else 2
+
+
+def near_edges(fps: DataFrame, distance: int, segments: int | None, bucket_rows: int) -> DataFrame:
     """(a, b): edges between linked fingerprints, enough to connect all that links connect. fps: distinct."""
+    n = fps.count()
+    segments = segments or segments_for(n)
+    radius = distance // segments
+    probes = sum(sum(math.comb(b, r) for r in range(radius + 1)) for _, b in spans(segments))
+    spark = fps.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * probes // TASK_ROWS))
 
     def emit(batches):
         for b in batches:
@@ -173,10 +191,8 @@ def near_edges(fps: DataFrame, distance: int, segments: int, bucket_rows: int) -
                     names=["bucket", "fp", "filed"],
                 )
 
-    rows = deal(fps.mapInArrow(emit, "bucket long, fp long, filed boolean"), "bucket", "fp", bucket_rows)
-    n = fps.count() * (1 + sum(b for _, b in spans(segments)))
-    spark = fps.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+    emitted = fps.repartition(tasks, "fingerprint").mapInArrow(emit, "bucket long, fp long, filed boolean")
+    rows = deal(emitted, "bucket", "fp", bucket_rows)
     dealt = rows.select(F.xxhash64("_block").alias("block"), "fp", "filed").repartition(tasks, "block")
 
     def join(batches):
@@ -203,7 +219,7 @@ def near_duplicates(
     text_col: str = "text",
     words: int = WORDS,
     distance: int = DISTANCE,
-    segments: int = SEGMENTS,
+    segments: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """(key_col, fingerprint long, component_id): one row for each row of docs.
@@ -220,12 +236,13 @@ def near_duplicates(
     roots = components(near_edges(distinct.select("fingerprint"), distance, segments, bucket_rows))
     named = roots.join(distinct, F.col("node") == F.col("fingerprint")).select("node", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("of_root"))
-    linked = materialise(named.join(least, "root").select("node", "of_root"))
+    linked = named.join(least, "root").select("node", "of_root")
     labels = materialise(
         distinct.join(linked, F.col("fingerprint") == F.col("node"), "left").select(
             "fingerprint", F.coalesce("of_root", "least").alias("component_id")
         )
     )
+    discard(distinct)
     return fp.join(labels, "fingerprint").select(F.col("key").alias(key_col), "fingerprint", "component_id")
 
 
@@ -236,20 +253,31 @@ def keep_one(
     text_col: str = "text",
     words: int = WORDS,
     distance: int = DISTANCE,
-    segments: int = SEGMENTS,
+    segments: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row of docs for each component that near_duplicates finds, with the columns of docs.
 
-    It is a row with the component's smallest key; a null key counts as the largest, and
-    of rows with equal keys any one stays. Rows with equal keys whose texts are in
+    It is a row with the component's smallest key; a null key counts as the largest, of
+    rows with equal keys those with the smallest hash of the text come first, and of rows
+    with equal keys and texts any one stays. Rows with equal keys whose texts are in
     different components are judged apart.
     """
-    rows = with_fingerprint(docs, text_col, words, "_fp").withColumn("_row", F.monotonically_increasing_id())
-    rows = materialise(rows)
-    order = F.struct(F.col(key_col).isNull().alias("none"), F.col(key_col).alias("key"), F.col("_row").alias("row"))
-    firsts = materialise(rows.groupBy(F.col("_fp").alias("fingerprint")).agg(F.min(order).alias("first")))
+    th = F.xxhash64(F.col(text_col))
+    slim = docs.select(F.col(key_col).alias("_key"), th.alias("_th"), F.col(text_col).alias("text"))
+    slim = with_fingerprint(slim, "text", words).groupBy("_key", "_th", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialise(slim)
+    place = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_th").alias("th"))
+    firsts = materialise(rows.groupBy("fingerprint").agg(F.min(place).alias("first")))
     roots = components(near_edges(firsts.select("fingerprint"), distance, segments, bucket_rows))
     grouped = firsts.join(roots, F.col("fingerprint") == F.col("node"), "left")
-    chosen = grouped.groupBy(F.coalesce("root", "fingerprint").alias("g")).agg(F.min("first").alias("first"))
-    return rows.join(materialise(chosen.select(F.col("first.row").alias("_row"))), "_row", "left_semi").select(*docs.columns)
+    grouped = materialise(grouped.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("g")))
+    chosen = grouped.groupBy("g").agg(F.min("first").alias("chosen"))
+    judged = rows.join(grouped.join(chosen, "g").select("fingerprint", "chosen"), "fingerprint")
+    stays = place.eqNullSafe(F.col("chosen"))
+    # What is not said about a document is that all its rows, of which there is one, stay.
+    few = materialise(judged.where(~stays | (F.col("n") > 1)).select("_key", "_th", stays.alias("_stays")))
+    discard(rows, firsts, grouped)
+    said = with_few(docs, few, key_col, text_col)
+    repeated = said.where("_stays").withColumn("_th", th).dropDuplicates([key_col, "_th"])
+    return said.where("_stays is null").select(*docs.columns).union(repeated.select(*docs.columns))
