@@ -80,23 +80,17 @@ def statistics(docs: DataFrame, text_col: str) -> DataFrame:
             lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)),
         ).alias("_h"),
     ).drop("_l")
-    # Positions of a text's windows, sorted by hash: the low bits of each hash give way to the
-    # position, and neighbours with equal whole hashes are repeats.
+    # A text's windows with their positions, sorted by hash: neighbours with equal hashes are repeats.
     h = F.col("_h")
-    bits = F.ceil(F.log2(F.size(h) + F.lit(1.0))).cast("int")
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    df = df.withColumn("_low", low).withColumn("_twice", F.size(F.array_distinct(h)) < F.size(h))
-    packed = F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(F.col("_low"))).bitwiseOR(i.cast("long")))
-    df = df.withColumn("_v", F.when(F.col("_twice"), F.sort_array(packed)))
-
-    def same(i, j):
-        v, low = F.col("_v"), F.col("_low")
-        at = lambda k: F.get(h, F.get(v, k).bitwiseAND(low).cast("int"))
-        return F.coalesce(at(i) == at(j), F.lit(False))
-
-    again = F.filter("_v", lambda x, i: same(i, i - 1) | same(i, i + 1))
-    places = F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.col("_low")).cast("int")))
-    df = df.withColumn("_p", F.when(F.col("_twice"), places))
+    twice = F.size(F.array_distinct(h)) < F.size(h)
+    pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("int").alias("at"))))
+    df = df.withColumn("_v", F.when(twice, pairs))
+
+    def same(x, i):
+        return F.coalesce(F.get("_v", i)["h"] == x["h"], F.lit(False))
+
+    again = F.filter("_v", lambda x, i: same(x, i - 1) | same(x, i + 1))
+    df = df.withColumn("_p", F.sort_array(F.transform(again, lambda x: x["at"])))
     p = F.col("_p")
     covered = F.aggregate(
         F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))),
@@ -104,19 +98,23 @@ def statistics(docs: DataFrame, text_col: str) -> DataFrame:
         lambda acc, x: acc + x,
     )
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(
-        "_w", "_h", "_low", "_twice", "_v", "_p"
+        "_w", "_h", "_v", "_p"
     )
 
 
+@shielded
 def trusted_sample(docs: DataFrame, labels: DataFrame, key_col: str, limit: int) -> DataFrame:
     """The documents of up to `limit` ids that labels call good, chosen by a hash of the id.
 
-    An id that any row calls toxic is left out, if labels have a column toxic.
+    An id that any row calls toxic is left out, if labels have a column toxic. Null ids and
+    null labels count for nothing; all rows of docs with a chosen id are returned, with
+    all their columns.
     """
     toxic = F.col("toxic") == 1 if "toxic" in labels.columns else F.lit(False)
     ids = (
-        labels.where(F.col(key_col).isNotNull())
-        .groupBy(F.col(key_col).alias("_id"))
+        labels.select(F.col(key_col).alias("_id"), F.col("quality"), *(["toxic"] if "toxic" in labels.columns else []))
+        .where(F.col("_id").isNotNull())
+        .groupBy("_id")
         .agg(F.max(F.col("quality") == 1).alias("_good"), F.max(F.coalesce(toxic, F.lit(False))).alias("_toxic"))
         .where("_good and not _toxic")
         .select("_id")
