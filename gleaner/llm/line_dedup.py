@@ -22,9 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, shielded, texts
+from .common import discard, materialise, prepare, shielded, texts, with_few
 
 MIN_LINES = 2
+#: A line of more words than this is a run of its own for the query and the pipeline.
+LONG_LINE = 50
 #: Seed of the hashes of lines that are runs of their own.
 ALONE = 1
 
@@ -102,6 +104,7 @@ def repeated_runs(docs: DataFrame, key_col: str, text_col: str, min_lines: int,
         .select("_key", "_th", F.explode("runs").alias("r"))
         .select("_key", "_th", "r.run", "r.first", "r.last")
     )
+    discard(picked, again)
     here = F.struct("_key", "_th", "first")
     first = materialise(
         runs.groupBy("run")
@@ -110,7 +113,9 @@ def repeated_runs(docs: DataFrame, key_col: str, text_col: str, min_lines: int,
         .select("run", "a")
     )
     later = runs.join(first, "run").where(~here.eqNullSafe(F.col("a")))
-    return later.groupBy("_key", "_th").agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
+    found = materialise(later.groupBy("_key", "_th").agg(F.collect_set(F.struct("first", "last")).alias("_runs")))
+    discard(runs, first)
+    return found
 
 
 @shielded
@@ -138,9 +143,7 @@ def dedup_lines(
     prepare(spark)
     docs = docs.drop("n_lines", "n_removed")
     found = repeated_runs(docs, key_col, text_col, min_lines, line_words)
-    theirs = found.select(F.col("_key").alias("_k"), F.col("_th").alias("_t"), "_runs")
-    on = F.col(key_col).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text_col)) == F.col("_t"))
-    joined = docs.join(theirs, on, "left").drop("_k", "_t")
+    joined = with_few(docs, found, key_col, text_col)
     all_lines = F.split(F.col(text_col), "\n", -1)
     gone = F.array_distinct(
         F.flatten(F.transform("_runs", lambda r: F.sequence(r["first"], r["last"])))

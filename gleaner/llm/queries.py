@@ -44,7 +44,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, line_words=line_dedup.LONG_LINE)
     return out.select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
@@ -137,8 +137,12 @@ r AS (
   FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), f AS (
   SELECT doc_id, a, z, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, a) AS k FROM r WHERE z IS NOT NULL
+), alone AS (
+  SELECT doc_id, pos AS a, pos AS z, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS k
+  FROM n WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS pos FROM f WHERE k > 1
+  SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS pos
+  FROM (SELECT doc_id, a, z, k FROM f UNION ALL SELECT * FROM alone) WHERE k > 1
 ), kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
          coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL), '') AS t

@@ -208,7 +208,7 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(a, [[brute(w, k) for k in (0, 1)] for w in words])
 
 
-def brute_lines(rows, t):
+def brute_lines(rows, t, long_line=None):
     seen, gone = {}, {}
     docs = sorted({(i is not None, i if i is not None else 0, x) for i, x in rows if x is not None})
     for has, i, x in docs:
@@ -218,6 +218,9 @@ def brute_lines(rows, t):
             run = tuple(s for _, s in lines[a : a + t])
             if seen.setdefault(run, (has, i, x, a)) != (has, i, x, a):
                 gone.setdefault((i if has else None, x), set()).update(range(lines[a][0], lines[a + t - 1][0] + 1))
+        for k, line in lines:
+            if long_line and len(spaced(line)) > long_line and seen.setdefault(line, (has, i, x, k)) != (has, i, x, k):
+                gone.setdefault((i if has else None, x), set()).add(k)
     return [(i, x if x is None else "\n".join(s for k, s in enumerate(x.split("\n")) if k not in gone.get((i, x), ())), len(gone.get((i, x), ()))) for i, x in rows]
 
 

@@ -20,7 +20,7 @@ def test_stages_match_brute_force(spark, tmp_path):
         if name == "quality rules":
             assert not [i for i in ids if brute_quality(before[i])[-1]] and len(ids) > 0.7 * len(before)
         elif name == "line dedup":
-            after = {i: t for i, t, _ in brute_lines(list(before.items()), 2)}
+            after = {i: t for i, t, _ in brute_lines(list(before.items()), 2, 50)}
             assert {r.doc_id: r.text for r in docs.collect()} == {i: t for i, t in after.items() if t.strip() or t == before[i]}
         elif name == "simhash near-dedup":
             f = {i: brute_fingerprint(t) for i, t in before.items()}
