@@ -25,7 +25,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the text.
     """
-    out = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x00-\x20]"))
+    out = line_dedup.dedup_lines(docs, line_words=line_dedup.LONG_LINE).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x00-\x20]"))
     return out.withColumn(
         "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     ).select(*docs.columns)
