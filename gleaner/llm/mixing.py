@@ -9,12 +9,14 @@ block away from its target share.
 Weights are taken exactly, as whole parts of whatever total their decimal digits need,
 so nothing drifts however many slots there are. The driver computes the slot of each
 block until a source runs out; then the others' weights are renormalised and a new phase
-begins; no row is dropped or repeated. What the driver holds grows with the number of
-sources and of blocks, which are a block_rows-th of the rows.
+begins; no row is dropped or repeated. Slots go into a table piece by piece, so what the
+driver holds grows with the number of sources only; its time grows with that of blocks,
+which are a block_rows-th of the rows.
 
 Ranks inside a source come from two levels: a row's place among the rows of its hash
 bucket, and the sizes of the buckets before it. Both have about the square root of the
-source's rows, so no task gets a whole source.
+source's rows, so no task gets a whole source. Keys that many rows share, null among them,
+are dealt over all buckets.
 """
 
 from __future__ import annotations
@@ -22,18 +24,24 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+import uuid
+from array import array
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shielded
+from .common import materialise, shared_dir, shielded, sieve, sifted
 
 BLOCK_ROWS = 100
 RESOLUTION = 1000
 ALPHA = 0.5
 #: Blocks of a source whose slots stand in one row of the schedule.
-CHUNK = 4096
+CHUNK = 1024
+#: Rows of the schedule that the driver holds before it writes them.
+PIECE = 1000
+#: A key with more rows than this in a source is dealt over all buckets of the source.
+HOT_ROWS = 1000
 #: Sources that a schedule can have; each is a configured name, not data.
 MOST_SOURCES = 5000
 
@@ -48,48 +56,66 @@ def parts(weights: dict, resolution: int) -> dict:
     return {s: w // common * times for s, w in whole.items()}
 
 
-def period(shares: dict, left: dict | None = None) -> dict:
-    """Slots of each source's blocks: earliest deadline first among those released.
+def earliest_first(shares: dict, left: dict | None = None):
+    """The source of each slot: that whose released block has the earliest deadline, of equal ones the first by name.
 
-    Either those of one period, or with `left` those up to the slot in which the first
-    source has run that many blocks.
+    Either over one period, or with `left` up to the slot in which the first source has
+    run that many blocks.
     """
     n = sum(shares.values())
     names = sorted(shares, key=str)
     waiting = [(0, k, 0) for k in range(len(names))]  # release, source, block
     heapq.heapify(waiting)
     ready: list = []
-    slots: dict = {s: [] for s in names}
     for t in range(n) if left is None else itertools.count():
         while waiting and waiting[0][0] <= t:
             _, k, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * n // shares[names[k]]), k, i))
         _, k, i = heapq.heappop(ready)
-        slots[names[k]].append(t)
+        yield names[k]
         if left is not None and i + 1 == left[names[k]]:
-            break
+            return
         if left is not None or i + 1 < shares[names[k]]:
             heapq.heappush(waiting, ((i + 1) * n // shares[names[k]], k, i + 1))
-    return slots
-
-
-def phases(blocks: dict, weights: dict, resolution: int) -> list[tuple]:
-    """(source, phase, first block, first slot, slots of its blocks from there) until all have run out."""
-    left, out, begin = {s: n for s, n in blocks.items() if n}, [], 0
-    done = {s: 0 for s in left}
-    k = 0
-    while left:
-        slots = period(parts({s: weights[s] for s in left}, resolution), left)
-        for s, ran in slots.items():
-            if ran:
-                out.append((s, k, done[s], begin, ran))
-            done[s] += len(ran)
-            left[s] -= len(ran)
-            if not left[s]:
-                del left[s]
-        begin += sum(map(len, slots.values()))
-        k += 1
-    return out
+
+
+def schedule(blocks: dict, weights: dict, resolution: int):
+    """(slot, phase, source) of every block, until all sources have run out."""
+    left = {s: n for s, n in blocks.items() if n}
+    slot = 0
+    for phase in itertools.count():
+        if not left:
+            return
+        ran = dict.fromkeys(left, 0)
+        for s in earliest_first(parts({s: weights[s] for s in left}, resolution), left):
+            yield slot, phase, s
+            ran[s] += 1
+            slot += 1
+        left = {s: n - ran[s] for s, n in left.items() if n > ran[s]}
+
+
+def chunks(plan, names: dict):
+    """The plan's rows (_k, _c, _slots, _phases): slot and phase of CHUNK blocks of a source."""
+    held: dict = {}
+    for slot, phase, s in plan:
+        c, slots, kinds = held.setdefault(s, (0, array("q"), array("i")))
+        slots.append(slot)
+        kinds.append(phase)
+        if len(slots) == CHUNK:
+            yield names[s], c, slots.tolist(), kinds.tolist()
+            held[s] = (c + 1, array("q"), array("i"))
+    for s, (c, slots, kinds) in held.items():
+        if slots:
+            yield names[s], c, slots.tolist(), kinds.tolist()
+
+
+def written(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A table of rows that an iterator gives, of which the driver holds PIECE at a time."""
+    path = f"{shared_dir(spark)}/gleaner/{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for piece in itertools.batched(rows, PIECE):
+        spark.createDataFrame(piece, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 @shielded
@@ -122,16 +148,26 @@ def mix(
     target = {s: float(given.get(s, n**alpha)) for s, n in sizes.items()}
     if any(w <= 0 for w in target.values()):
         raise ValueError("weights must be above zero")
-    plan = phases({s: -(-n // block_rows) for s, n in sizes.items()}, target, resolution)
+    plan = schedule({s: -(-n // block_rows) for s, n in sizes.items()}, target, resolution)
 
     names = {s: k for k, s in enumerate(sorted(sizes, key=lambda s: (s is not None, s)))}
     bounded = [(s, names[s], max(1, int(n**0.5))) for s, n in sizes.items()]
     kind = docs.schema[source_col].dataType.simpleString()
     by_name = F.broadcast(spark.createDataFrame(bounded, f"_s {kind}, _k int, _b int"))
+    key = F.xxhash64(F.col(source_col), F.col(key_col))
+    hot = docs.groupBy(key.alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("h")
+    hot = materialise(hot)
+    salt = F.lit(0).cast("long")
+    if not hot.isEmpty():
+        # Numbers tell rows of a key apart; the table holds them fixed.
+        docs = materialise(docs.withColumn("_id", F.monotonically_increasing_id()))
+        docs = sifted(docs, sieve(hot), key, "_hot")
+        salt = F.when(F.col("_hot"), F.col("_id")).otherwise(salt)
+    columns = [c for c in docs.columns if c not in ("_id", "_hot")]
     dealt = (
         docs.join(by_name, F.col(source_col).eqNullSafe(F.col("_s")))
         .drop("_s")
-        .withColumn("_h", F.xxhash64(F.col(key_col)))
+        .withColumn("_h", F.xxhash64(F.col(key_col), salt))
         .withColumn("_u", F.pmod("_h", "_b").cast("int"))
     )
     per = materialise(dealt.groupBy("_k", "_u").agg(F.count(F.lit(1)).alias("_m")))
@@ -145,22 +181,12 @@ def mix(
         .withColumn("block_no", F.floor(F.col("_r") / block_rows))
         .withColumn("place_in_block", F.pmod(F.col("_r"), F.lit(block_rows)))
     )
-    rows = []
-    for s, k, a, begin, slots in plan:
-        z = a + len(slots)
-        for c in range(a // CHUNK, (z - 1) // CHUNK + 1):
-            x, y = max(a, c * CHUNK), min(z, (c + 1) * CHUNK)
-            rows.append((names[s], c, k, x, y, begin, slots[x - a : y - a]))
-    schedule = F.broadcast(
-        spark.createDataFrame(
-            rows, "_k int, _c long, phase int, _from long, _to long, _begin long, _slots array<long>"
-        )
-    )
-    slot = F.col("_begin") + F.get("_slots", (F.col("block_no") - F.col("_from")).cast("int"))
+    table = written(spark, chunks(plan, names), "_k int, _c long, _slots array<long>, _phases array<int>")
+    at = F.pmod("block_no", F.lit(CHUNK)).cast("int")
     return (
         ranked.withColumn("_c", F.floor(F.col("block_no") / CHUNK))
-        .join(schedule, ["_k", "_c"])
-        .where((F.col("block_no") >= F.col("_from")) & (F.col("block_no") < F.col("_to")))
-        .withColumn("slot", slot)
-        .select(*docs.columns, *new)
+        .join(table, ["_k", "_c"])
+        .withColumn("slot", F.get("_slots", at))
+        .withColumn("phase", F.get("_phases", at))
+        .select(*columns, *new)
     )

@@ -1,11 +1,13 @@
 """Each operator against a brute-force version, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -150,8 +152,8 @@ def test_mixing(spark):
 )
 def test_mixing_keeps_to_the_given_weights(weights):
     total, got = sum(weights.values()), dict.fromkeys(weights, 0)
-    plan = mixing.phases({s: int(12_000 * w / total) + 50 for s, w in weights.items()}, weights, mixing.RESOLUTION)
-    first = sorted((t, s) for s, k, _, begin, slots in plan if k == 0 for t in slots)
+    plan = mixing.schedule({s: int(12_000 * w / total) + 50 for s, w in weights.items()}, weights, mixing.RESOLUTION)
+    first = [(t, s) for t, k, s in plan if k == 0]
     assert len(first) > 12_000 and [t for t, _ in first] == list(range(len(first)))
     for t, s in first:
         got[s] += 1
@@ -173,11 +175,53 @@ def test_mixing_over_chunks_of_the_schedule(spark):
 def test_mixing_period_meets_windows():
     shares = {"a": 7, "b": 5, "c": 3, "d": 1, "e": 1}
     n = sum(shares.values())
-    for s, slots in mixing.period(shares).items():
-        for i, t in enumerate(slots):
+    ran = list(mixing.earliest_first(shares))
+    assert len(ran) == n
+    for s in shares:
+        for i, t in enumerate(t for t in range(n) if ran[t] == s):
             assert i * n // shares[s] <= t < -(-(i + 1) * n // shares[s])
 
 
+def brute_schedule(blocks, weights):
+    """Every slot looks at every source, in exact fractions."""
+    left, out = dict(blocks), []
+    while any(left.values()):
+        live = sorted(s for s in left if left[s])
+        total = sum(Fraction(str(weights[s])) for s in live)
+        w = {s: Fraction(str(weights[s])) / total for s in live}
+        ran = dict.fromkeys(live, 0)
+        for t in itertools.count():
+            free = [s for s in live if math.floor(ran[s] / w[s]) <= t]
+            s = min(free, key=lambda s: (math.ceil((ran[s] + 1) / w[s]), s))
+            ran[s] += 1
+            out.append(s)
+            if ran[s] == left[s]:
+                break
+        left = {s: left[s] - ran.get(s, 0) for s in left}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mixing_schedule_matches_brute_force(seed):
+    rng = random.Random(seed)
+    names = [f"s{i}" for i in range(rng.randint(1, 7))]
+    blocks = {s: rng.randint(0, 40) for s in names}
+    weights = {s: rng.choice([0.5, 1.0, 0.125, 3.75, 0.1, 12.0]) for s in names}
+    got = list(mixing.schedule(blocks, weights, mixing.RESOLUTION))
+    assert [t for t, _, _ in got] == list(range(sum(blocks.values())))
+    assert [s for _, _, s in got] == brute_schedule(blocks, weights)
+    assert [k for _, k, _ in got] == sorted(k for _, k, _ in got)
+
+
+def test_mixing_deals_out_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HOT_ROWS", 50)
+    rows = [(None if i % 3 else i, "a", i) for i in range(900)] + [(i, "b", i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n int")
+    got = mixing.mix(docs, {"a": 3, "b": 1}, block_rows=10).collect()
+    assert multiset((r.doc_id, r.source, r.n) for r in got) == multiset(rows)
+    assert len({(r.slot, r.place_in_block) for r in got}) == 1200 and {r.place_in_block for r in got} == set(range(10))
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     of = {"en": "the of and that with river stone".split(), "de": "der die und nicht sich straße über".split(), "fr": "le la que avec pour étoile être".split()}
