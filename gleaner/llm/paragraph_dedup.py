@@ -1,9 +1,10 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
 Passages are pasted into the middle of lines, so a paragraph here is a sentence of
-MIN_WORDS words or more: lines are cut after words that end in . ! or ?. Shorter
-sentences that follow each other, over line ends too, are joined until they have as
-many. Shingles are five consecutive lower-cased words. BANDS bands of ROWS minima are tuned for recall:
+MIN_WORDS words or more (half of the passages below): lines are cut after words that
+end in . ! or ?. Shorter sentences that follow each other, over line ends too, are joined
+until they have as many and the last one's hash ends a group; such ends depend on the
+words there only, so copies in other surroundings are grouped alike soon. Shingles are five consecutive lower-cased words. BANDS bands of ROWS minima are tuned for recall:
 a pair with Jaccard similarity 0.8 shares a band with probability
 1 - (1 - 0.8 ** 3) ** 6 = 0.987, and equal paragraphs always do.
 
@@ -26,11 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, _LOWER, _SPACE, extend, materialise, mix, powers, prepare, shielded, slices
+from .common import _BYTE, _LOWER, _SPACE, discard, extend, materialise, mix, powers, prepare, shielded, sieve, sifted, slices, with_few
 from .components import components
 from .simhash import TASK_ROWS, deal, link
 
-MIN_WORDS = 6
+MIN_WORDS = 25
+#: One in so many short sentences may end a group.
+GROUP = 2
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 6, 3
@@ -61,11 +64,12 @@ def words_of(offsets: np.ndarray, data: np.ndarray):
     return mix(np.add.reduceat(v, starts) * down[starts]), starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def joined(start: np.ndarray, stop: np.ndarray, texts: np.ndarray, least: int):
+def joined(start: np.ndarray, stop: np.ndarray, texts: np.ndarray, ends: np.ndarray, least: int):
     """Spans (start, stop, number of the first sentence) of words: sentences of `least` words, and shorter ones joined.
 
-    Only sentences that follow each other are joined; what is left over goes to the
-    group before it, and is dropped if there is none.
+    Only sentences that follow each other are joined, up to one that `ends` marks or that
+    makes them three times as long; what is left over goes to the group before it, or is
+    one if it is long enough, and is dropped otherwise.
     """
     size = stop - start
     whole, short = np.flatnonzero(size >= least), np.flatnonzero(size < least)
@@ -75,10 +79,12 @@ def joined(start: np.ndarray, stop: np.ndarray, texts: np.ndarray, least: int):
     for a, z in zip(from_.tolist(), to.tolist()):
         if stop[z] - start[a] < least:
             continue
+        some = False
         for k in range(a, z + 1):
-            if stop[k] - start[a] >= least:
+            size_now = stop[k] - start[a]
+            if size_now >= least and (ends[k] or size_now >= 3 * least or (k == z and not some)):
                 spans.append([start[a], stop[k], a])
-                a = k + 1
+                some, a = True, k + 1
         spans[-1][1] = stop[z]
     more = np.array(spans, np.int64).reshape(-1, 3)
     all_of = np.concatenate([np.stack([start[whole], stop[whole], whole], 1), more])
@@ -104,7 +110,8 @@ class Paragraphs:
         start = np.r_[0, stop[:-1]]
         texts = doc[start]
         ordinal = np.arange(len(start)) - np.searchsorted(texts, texts)
-        start, stop, sentence = joined(start, stop, texts, max(min_words, SHINGLE))
+        ends_group = mix(h[stop - 1]) % np.uint64(GROUP) == 0
+        start, stop, sentence = joined(start, stop, texts, ends_group, max(min_words, SHINGLE))
         size = stop - start
         self.count = len(start)
         if not self.count:
@@ -147,7 +154,10 @@ def _batch(**columns):
 
 
 def occurrences(docs: DataFrame, key_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(para, key, place, words, first, end): every paragraph, with its bytes [first, end) in the text."""
+    """(para, key, th, place, words, first, end): every paragraph, with its bytes [first, end) in the text.
+
+    th, a hash of the text, tells rows with equal keys apart.
+    """
     kind = docs.schema[key_col].dataType.simpleString()
 
     def run(batches):
@@ -157,14 +167,14 @@ def occurrences(docs: DataFrame, key_col: str, text_col: str, min_words: int) ->
                     [
                         pa.array(p.hash.view(np.int64)),
                         batch.column(0).take(pa.array(p.doc + i)),
+                        batch.column(2).take(pa.array(p.doc + i)),
                         *(pa.array(x.astype(np.int32)) for x in (p.ordinal, p.words, p.first, p.end)),
                     ],
-                    names=["para", "key", "place", "words", "first", "end"],
+                    names=["para", "key", "th", "place", "words", "first", "end"],
                 )
 
-    return docs.select(key_col, text_col).mapInArrow(
-        run, f"para long, key {kind}, place int, words int, first int, end int"
-    )
+    slim = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    return slim.mapInArrow(run, f"para long, key {kind}, th long, place int, words int, first int, end int")
 
 
 def band_rows(docs: DataFrame, text_col: str, min_words: int) -> DataFrame:
@@ -275,7 +285,7 @@ _SPAN = "place int, stop int, first int, end int"
 
 
 def repeated_passages(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """(key, words, first, end, cluster, kept_key): passages of RUN words or more that stand earlier, word for word."""
+    """(key, th, words, first, end, cluster, kept_key): passages of RUN words or more that stand earlier, word for word."""
     kind = docs.schema[key_col].dataType.simpleString()
     slim = docs.select(F.col(key_col).alias("key"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
@@ -323,13 +333,14 @@ def repeated_passages(docs: DataFrame, key_col: str, text_col: str) -> DataFrame
     again = materialise(counts.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp"))
     near = slim.mapInArrow(surroundings, f"key {kind}, th long, fp long, run long, at int, {_SPAN}")
     near = materialise(near.join(again, "fp", "left_semi"))
-    here = F.struct("key", "place")
+    here = F.struct("key", "th", "place")
+    first_of = F.struct("a.key", "a.th", "a.place")
 
     def later(rows):
-        first = rows.groupBy("run").agg(F.min(F.struct("key", "place", "th", "end")).alias("a"), F.max(here).alias("z"))
-        first = materialise(first.where(~F.struct("a.key", "a.place").eqNullSafe(F.col("z"))).select("run", "a"))
+        first = rows.groupBy("run").agg(F.min(F.struct("key", "th", "place", "end")).alias("a"), F.max(here).alias("z"))
+        first = materialise(first.where(~first_of.eqNullSafe(F.col("z"))).select("run", "a"))
         found = rows.join(first, "run", "left")
-        return found, F.col("a").isNotNull() & ~here.eqNullSafe(F.struct("a.key", "a.place"))
+        return found, F.col("a").isNotNull() & ~here.eqNullSafe(first_of)
 
     found, is_later = later(near)
     found = materialise(found.withColumn("later", is_later))
@@ -345,8 +356,8 @@ def repeated_passages(docs: DataFrame, key_col: str, text_col: str) -> DataFrame
     # A copy that overlaps its first occurrence in the same text begins after it.
     same = F.col("key").eqNullSafe(F.col("a.key")) & (F.col("th") == F.col("a.th"))
     copies = copies.withColumn("first", F.when(same, F.greatest("first", "a.end")).otherwise(F.col("first"))).where("first < end")
-    copies = copies.withColumn("kept_key", F.col("a.key")).withColumn("ahead", F.col("place") - F.col("a.place"))
-    one = ("key", "th", "kept_key", "ahead")
+    copies = copies.withColumn("kept_key", F.col("a.key")).withColumn("kept_th", F.col("a.th")).withColumn("ahead", F.col("place") - F.col("a.place"))
+    one = ("key", "th", "kept_key", "kept_th", "ahead")
     ordered = Window.partitionBy(*one).orderBy("place", "stop")
     reached = F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     copies = copies.withColumn("_new", F.coalesce((F.col("place") > reached).cast("int"), F.lit(0)))
@@ -356,7 +367,7 @@ def repeated_passages(docs: DataFrame, key_col: str, text_col: str) -> DataFrame
         F.min("first").alias("first"),
         F.max("end").alias("end"),
         F.min("run").alias("cluster"),
-    ).select("key", "words", "first", "end", "cluster", "kept_key")
+    ).select("key", "th", "words", "first", "end", "cluster", "kept_key")
 
 
 def repeated_paragraphs(
@@ -369,15 +380,16 @@ def repeated_paragraphs(
 ) -> DataFrame:
     """One row for each occurrence of a paragraph that recurs, exactly or nearly, anywhere in docs.
 
-    Columns: key_col, paragraph (its ordinal in the text, from 0), n_words, first and end
-    (its bytes [first, end) in the UTF-8 text), cluster (a hash), kept_key and
-    kept_paragraph (the cluster's first occurrence, by key and ordinal; a null key comes
-    first) and removed (whether this is a later one). A passage of RUN words or more that
-    stands word for word earlier, by key and place, gives a row too, with null paragraph and
-    kept_paragraph, wherever its sentences begin; it may overlap paragraphs. Texts that are null, empty or
-    without a paragraph give no rows. Rows of docs with equal keys and texts count as one
-    document: their paragraphs are the same occurrences, each listed. Other columns of
-    docs play no part.
+    Columns: key_col, text_hash (xxhash64 of the text, which tells rows with equal keys
+    apart), paragraph (its ordinal in the text, from 0), n_words, first and end (its bytes
+    [first, end) in the UTF-8 text), cluster (a hash), kept_key and kept_paragraph (the
+    cluster's first occurrence, by key, text_hash and ordinal; a null key comes first) and
+    removed (whether this is a later one). A passage of RUN words or more that stands word
+    for word earlier, by key, text_hash and place, gives a row too, with null paragraph and
+    kept_paragraph, wherever its sentences begin; it may overlap paragraphs. Texts that are
+    null, empty or without a paragraph give no rows. Rows of docs with equal keys and texts
+    count as one document: their paragraphs are the same occurrences, each listed. Other
+    columns of docs play no part.
     """
     prepare(docs.sparkSession)
     found = materialise(occurrences(docs, key_col, text_col, min_words))
@@ -388,17 +400,21 @@ def repeated_paragraphs(
         .where("a != z")
         .select("band")
     )
-    candidates = materialise(bands.join(materialise(shared), "band", "left_semi").distinct())
+    shared = materialise(shared)
+    # Most bands are seen once; a filter keeps them out of the exchange.
+    likely = sifted(bands, sieve(shared), F.col("band"), "hit").where("hit").drop("hit")
+    candidates = materialise(likely.join(shared, "band", "left_semi").distinct())
     names = candidates.select("para").distinct()
     shingles = shingle_rows(docs, text_col, min_words).join(materialise(names), "para", "left_semi")
     shingles = materialise(shingles.groupBy("para").agg(F.first("shingles").alias("shingles")))
     roots = components(verified_edges(materialise(candidates.join(shingles, "para")), similarity, bucket_rows))
     clustered = materialise(
         found.join(roots, found["para"] == roots["node"], "left").select(
-            F.coalesce("root", "para").alias("cluster"), "key", "place", "words", "first", "end"
+            F.coalesce("root", "para").alias("cluster"), "key", "th", "place", "words", "first", "end"
         )
     )
-    here = F.struct("key", "place")
+    discard(found)
+    here = F.struct("key", "th", "place")
     clusters = materialise(
         clustered.groupBy("cluster")
         .agg(F.min(here).alias("a"), F.max(here).alias("z"))
@@ -407,6 +423,7 @@ def repeated_paragraphs(
     )
     paragraphs = clustered.join(clusters, "cluster").select(
         F.col("key").alias(key_col),
+        F.col("th").alias("text_hash"),
         F.col("place").alias("paragraph"),
         F.col("words").alias("n_words"),
         "first",
@@ -418,6 +435,7 @@ def repeated_paragraphs(
     )
     passages = repeated_passages(docs, key_col, text_col).select(
         F.col("key").alias(key_col),
+        F.col("th").alias("text_hash"),
         F.lit(None).cast("int").alias("paragraph"),
         F.col("words").alias("n_words"),
         "first",
@@ -432,13 +450,19 @@ def repeated_paragraphs(
 
 @shielded
 def remove_paragraphs(docs: DataFrame, repeated: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the removed paragraphs cut out of the text, and n_removed instead of any such column."""
+    """docs with the removed paragraphs cut out of the text, and n_removed instead of any such column.
+
+    repeated: what repeated_paragraphs found in docs. Every row of docs comes out: one
+    without removed paragraphs as it is, a null text as null, each with n_removed 0. Rows
+    with equal keys and texts get equal results; rows with equal keys and other texts are
+    cut apart. Overlapping cuts are one.
+    """
     spans = (
         repeated.where("removed")
-        .groupBy(F.col(key_col).alias("_k"))
+        .groupBy(F.col(key_col).alias("_key"), F.col("text_hash").alias("_th"))
         .agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("_cut"))
     )
-    joined = docs.drop("n_removed").join(spans, F.col(key_col).eqNullSafe(F.col("_k")), "left").drop("_k")
+    joined = with_few(docs.drop("n_removed"), materialise(spans), key_col, text_col)
     at, cut_at = joined.columns.index(text_col), joined.columns.index("_cut")
 
     def make():

@@ -353,7 +353,7 @@ def test_url_filter(spark, block):
     assert url_filter.filter_urls(pages.limit(0)).isEmpty()
 
 
-def brute_paragraphs(t):
+def brute_paragraphs(t, least=6):
     out = []
     for line in (t or "").split("\n"):
         now = []
@@ -363,7 +363,7 @@ def brute_paragraphs(t):
                 out.append(now)
                 now = []
         out += [now] if now else []
-    return {k: tuple(lower(w) for w in p) for k, p in enumerate(out) if len(p) >= paragraph_dedup.MIN_WORDS}
+    return {k: tuple(lower(w) for w in p) for k, p in enumerate(out) if len(p) >= least}
 
 
 def test_paragraph_dedup(spark):
@@ -373,7 +373,7 @@ def test_paragraph_dedup(spark):
     other = [f"v{rng.randint(0, 9999)}" for _ in range(40)]
     rows = [(1, " ".join(long) + "."), (2, "Intro. " + " ".join(other) + ". " + " ".join(near) + "."), (3, "Intro words. " + " ".join(other) + ".\nshort one."), (4, " ".join(long).upper() + "."), (5, None), (6, ""), (7, "one two three four five six. one two three four five six."), (1, " ".join(long) + ".")]
     docs = frame(spark, rows)
-    found = paragraph_dedup.repeated_paragraphs(docs)
+    found = paragraph_dedup.repeated_paragraphs(docs, min_words=6)
     got = found.collect()
 
     def sh(p):
@@ -429,6 +429,46 @@ def test_passages_without_long_sentences(spark):
     assert p.words.sum() == 120 and p.words.min() >= 6
 
 
+def test_paragraphs_of_repeated_and_null_ids(spark):
+    rng = random.Random(13)
+    new = lambda n: " ".join(f"x{rng.randint(0, 10**9)}" for _ in range(n)) + "."
+    a, b, c, passage = new(30), new(30), new(31), new(60)
+    rows = [(5, f"{a} {b}"), (5, f"{a} {c}"), (5, None), (None, f"{b} {passage}"), (None, f"é {passage} {c}"), (None, None), (5, f"{a} {b}"), (6, "")]
+    docs = frame(spark, rows)
+    found = paragraph_dedup.repeated_paragraphs(docs)
+    assert {r.cluster for r in found.where("paragraph is not null").collect()} and found.where("text_hash is null").isEmpty()
+    listed = multiset((r.doc_id, r.removed) for r in found.where("paragraph is not null").collect())
+    assert sum(listed.values()) == 3 + 3 + 2 + 2 and sum(n for (_, gone), n in listed.items() if not gone) in (4, 5)
+    cut = paragraph_dedup.remove_paragraphs(docs, found).collect()
+    assert len(cut) == len(rows) and [r.text for r in cut].count(None) == 2
+    left = " ".join({(r.doc_id, r.text) for r in cut if r.text} and sorted({r.text for r in cut if r.text}))
+    for p in (a, b, c, passage):
+        assert left.count(p) == 1
+    assert all(r.n_removed == 0 for r in cut if not r.text and (r.doc_id == 6 or r.text is None))
+
+
+def test_near_paragraphs_are_recalled(spark):
+    """Of all pairs of paragraphs with a Jaccard similarity of 0.8 or more, by brute force, at least 0.9 are linked."""
+    rng = random.Random(14)
+    rows, paragraphs = [], []
+    for k in range(120):
+        base = [f"b{rng.randint(0, 10**9)}" for _ in range(rng.randint(60, 120))]
+        for _ in range(3):
+            p = list(base)
+            for _ in range(rng.randint(0, 3)):
+                p[rng.randrange(len(p))] = f"e{rng.randint(0, 10**9)}"
+            paragraphs.append((k, {tuple(p[i : i + 5]) for i in range(len(p) - 4)}))
+            rows.append((len(rows), f"n{len(rows)}. " + " ".join(p) + "."))
+    want = {(i, j) for i, (_, x) in enumerate(paragraphs) for j, (_, y) in enumerate(paragraphs[:i]) if len(x & y) >= 0.8 * len(x | y)}
+    got = {r.doc_id: r.cluster for r in paragraph_dedup.repeated_paragraphs(frame(spark, rows)).where("paragraph is not null").collect()}
+    hit = sum(got.get(i, -1) == got.get(j, -2) for i, j in want)
+    assert len(want) > 100 and hit >= 0.9 * len(want)
+    of = {}
+    for i, c in got.items():
+        of.setdefault(c, set()).add(paragraphs[i][0])
+    assert all(len(k) == 1 for k in of.values())
+
+
 def test_passage_that_repeats_itself_keeps_one(spark):
     docs = spark.createDataFrame([(1, "a b c " * 100), (2, "a b c " * 100)], "doc_id long, text string")
     found = paragraph_dedup.repeated_passages(docs, "doc_id", "text").collect()
