@@ -238,18 +238,55 @@ def test_language_id(spark):
 
 
 def test_forward_sums_all_segmentations():
-    names = sorted({bytes([b]) for b in range(256)} | {b" ab", b"ab", b"bc", b"abc", b"c "})
+    names = sorted({bytes([b]) for b in range(256)} | {b" ab", b"ab", b"bc", b"abc", b"c ", "é".encode(), b"abcabcabcabcabcabcabcabcabc"})
     table = language_id.Pieces(names)
-    p = np.random.default_rng(0).random((len(names) + 1, 2))
-    p[-1] = 0
+    p = np.random.default_rng(0).random((len(names), 2)) / 9
 
     def brute(w, k):
-        return 1.0 if not w else sum(p[i, k] * brute(w[len(n) :], k) for i, n in enumerate(names) if w.startswith(n))
-
-    words = [b" abc", b"cabc", b"xabb"]
-    m = np.frombuffer(b"".join(words), np.uint8).reshape(3, 4)
-    a = language_id.forward(4, table.ids(m), p)[4]
-    assert np.allclose(a, [[brute(w, k) for k in (0, 1)] for w in words])
+        """Log-sum over segmentations, from the word's begin on."""
+        total = [1.0]
+        for j in range(1, len(w) + 1):
+            total.append(sum(total[j - len(n)] * p[i, k] for i, n in enumerate(names) if w[:j].endswith(n)))
+        return math.log(total[-1])
+
+    words = [b"abc", b"cabc", b"xabb", b"abc" * 30, "éabñ".encode(), b"q"]
+    got = table.inside(words).log_words(np.log(p))
+    assert np.allclose(got, [[brute(b" " + w, k) for k in (0, 1)] for w in words])
+    whole = table.inside([b"abcx" * 60]).log_words(np.log(p))
+    assert np.isfinite(whole).all() and np.allclose(whole, [[brute(b" " + b"abcx" * 60, k) for k in (0, 1)]])
+
+
+def test_words_are_never_cut():
+    """A word of 200 bytes, a sentence without spaces, and one so long that plain products would underflow."""
+    words = language_id.words_of("Ab" * 100 + " これは空白のない日本語の文章であり、途中で切られてはなりません。\u00a0ÉTÉ")
+    assert words == [b"ab" * 100, "これは空白のない日本語の文章であり、途中で切られてはなりません。".encode(), "été".encode()]
+    table = language_id.Pieces(sorted({bytes([b]) for b in range(256)} | {b"ab"}))
+    log_p = np.full((table.size, 1), -5.0)
+    x = [0.0, -5.0]  # by a plain recursion: p(j) = p(j - 1) e^-5 + p(j - 2) e^-5 after every "ab"
+    for j in range(2, 6002):
+        x.append(np.logaddexp(x[-1] - 5, x[-2] - 5) if j % 2 else x[-1] - 5)
+    assert np.allclose(table.inside([b"ab" * 3000]).log_words(log_p)[0, 0], x[6001])
+
+
+def test_language_scores_match_brute_force(spark):
+    """Posteriors from the learnt probabilities by a plain recursion over each word."""
+    rows = [(i, t, x) for i, (t, x) in enumerate([("the river and the stone", "en"), ("der die und straße", "de"), ("le étoile avec", "fr")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table, log_p, prior = language_id.fit(docs, "doc_id", "text", "lang", language_id.VOCABULARY, 200, 3)
+    names = language_id.pieces(language_id.VOCABULARY)
+    assert np.allclose(np.exp(log_p).sum(axis=0), 1) and not any(n != n.decode(errors="ignore").lower().encode() for n in names if len(n) > 1)
+    at = {n: i for i, n in enumerate(names)}
+
+    def brute(word, k):
+        total = [1.0]
+        for j in range(1, len(word) + 1):
+            total.append(sum(total[i] * math.exp(log_p[at[word[i:j]], k]) for i in range(j) if word[i:j] in at))
+        return math.log(total[-1])
+
+    for r in language_id.identify(docs).collect():
+        logs = [prior[k] + sum(brute(b" " + w.encode(), k) for w in r.text.lower().split()) for k in range(len(langs))]
+        best = max(range(len(langs)), key=lambda k: logs[k])
+        assert r.lang_pred == langs[best] and abs(r.score - 1 / sum(math.exp(x - logs[best]) for x in logs)) < 1e-4
 
 
 def brute_lines(rows, t, long_line=None):
