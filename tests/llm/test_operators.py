@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 
 from gleaner.llm import (
@@ -334,6 +335,7 @@ def test_winnowing_guarantee():
         assert all(picked & set(range(i, i + w)) for i in range(len(h) - w + 1))
 
 
+KEY = "gleaner"
 PEOPLE = [
     (1, "Mail jane.doe@mail5.example.com or call +1 (743) 555-3824, card 4785380592391139."),
     (2, "Again jane.doe@mail5.example.com and 152.143.123.131, token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\""),
@@ -344,7 +346,7 @@ PEOPLE = [
 
 def test_pii(spark):
     docs = spark.createDataFrame([(*r, "x") for r in PEOPLE], "doc_id long, text string, n_entities string")
-    got = {(r.doc_id, i): r for i, r in enumerate(pii.pseudonymise(docs).orderBy("doc_id", "text").collect())}
+    got = {(r.doc_id, i): r for i, r in enumerate(pii.pseudonymise(docs, KEY).orderBy("doc_id", "text").collect())}
     out = {k[0]: v for k, v in got.items() if k[0] != 1}
     whole = "\n".join(r.text or "" for r in got.values())
     for secret in ("jane.doe", "555-3824", "4785380592391139", "152.143.123.131", "24be6443", "Smith", "Jones", "Muster", "Петров", "123-45-6789", "8.8.8.8"):
@@ -358,17 +360,112 @@ def test_pii(spark):
     assert m[1] in pii._GIVEN["m", "Latin"].split() and m[3] in pii._GIVEN["f", "Latin"].split()
     assert (out[5].text, out[5].n_entities, out[6].text, out[7].text) == (None, 0, "", "nothing here")
     assert max(r.n_entities for r in got.values()) == 2000
-    assert pii.pseudonymise(docs.limit(0)).isEmpty()
+    assert pii.pseudonymise(docs.limit(0), KEY).isEmpty()
 
 
 def test_pii_surrogates_stay_distinct(spark):
     names = [chr(65 + i // 26) + chr(97 + i % 26) + "on" for i in range(500)]
     rows = [(i, f"Mr. {n} came.") for i, n in enumerate(names)] + [(900, f"Mr. {pii._SURNAMES['Latin'].split()[0]} came.")]
-    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
     new = [r.text.split()[1] for r in got]
     assert len(set(new)) == len(rows) and not set(new) & {t.split()[1] for _, t in rows}
 
 
+def test_pii_small_formats_stay_distinct(spark):
+    """400 of the 676 addresses of one form: surrogates grow until all differ from each other and from all entities."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.io" for a in letters for b in letters][:400]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string"), KEY).collect()
+    new = {r.text for r in got}
+    assert len(new) == 400 and not new & set(mails) and all(re.fullmatch(r"[a-z]+@[a-z]\.io", x) for x in new)
+
+
+def test_pii_exhausted_formats_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 3)
+    monkeypatch.setattr(pii, "surrogate", lambda kind, value, attempt, key: pii.F.lit("1.1.1.1"))
+    with pytest.raises(ValueError, match="ip"):
+        pii.pseudonymise(spark.createDataFrame([(1, "8.8.8.8 9.9.9.9")], "doc_id long, text string"), KEY).collect()
+    with pytest.raises(ValueError):
+        pii.pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")
+
+
+def test_pii_every_script_is_replaced(spark):
+    rows = [(i, f"{x}@example.com") for i, x in enumerate(["محمد", "山田", "יוסי", "ανδρεασ", "каролина", "सविता", "かすみ", "ヤマダ", "김철수", "Ծովինար", "สมชาย", "ⴰⵎⵓⵔ", "٠١٢٣٤٥٦٧"])]
+    for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect():
+        old, new = dict(rows)[r.doc_id].split("@")[0], r.text.split("@")[0]
+        assert new != old and len(new) == len(old)
+        assert all(regex.match(r"[\p{L}\p{N}\p{M}]", c) for c in new)
+        if r.doc_id < 11:
+            script = next(s for s in ("Arabic", "Han", "Hebrew", "Greek", "Cyrillic", "Devanagari", "Hiragana", "Katakana", "Hangul", "Armenian", "Thai") if regex.match(rf"\p{{{s}}}", old))
+            assert all(regex.match(rf"\p{{{script}}}", b) for a, b in zip(old, new) if regex.match(r"\p{L}", a))
+
+
+def test_pii_names_without_titles_and_more_formats(spark):
+    rows = [
+        (1, "Mr. John Smith came. John Smith left; Smith's hat, and John. Smithson stayed, blacksmith too."),
+        (2, "Dr. Anna Weiss and Prof. Peter Klein; Herr Dr. Hans O'Brien-Müller. Weiss smiled."),
+        (3, "Ring 743-555-3824 or 743.555.3824; at 2001:db8::1 and fe80:0:0:0:0:0:0:1, not 12:30:45."),
+        (4, "M. Street is long. M. Jean Dupont lives there. Dupont!"),
+        (5, "Pay 4012 8888 8888 1881 or 4012888888881882."),
+        (6, "John Smith has no title here."),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) (\w+) left; (\w+)'s hat, and (\w+)\. Smithson stayed, blacksmith too\.", got[1].text)
+    assert m and m[1] == m[3] == m[6] != "John" and m[2] == m[4] == m[5] != "Smith" and got[1].n_entities == 5
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) and Prof\. (\w+) (\w+); Herr Dr\. (\w+) (\w+)\. (\w+) smiled\.", got[2].text)
+    assert m and m[1].startswith(tuple(pii._GIVEN["n", "Latin"].split())) and m[5].startswith(tuple(pii._GIVEN["m", "Latin"].split())) and m[7] == m[2]
+    m = re.fullmatch(r"Ring (\d{3}-\d{3}-\d{4}) or (\d{3}\.\d{3}\.\d{4}); at (\w{4}:\w{3}::\w) and (\w{4}(?::\w){7}), not 12:30:45\.", got[3].text)
+    assert m and got[3].n_entities == 4 and m[1] != "743-555-3824" and m[3] != "2001:db8::1"
+    m = re.fullmatch(r"M\. Street is long\. M\. (\w+) (\w+) lives there\. (\w+)!", got[4].text)
+    assert m and m[2] == m[3] != "Dupont" and m[1].startswith(tuple(pii._GIVEN["m", "Latin"].split()))
+
+    def luhn(x):
+        d = [int(c) for c in x if c.isdigit()][::-1]
+        return sum(c if i % 2 == 0 else 2 * c - 9 * (c > 4) for i, c in enumerate(d)) % 10 == 0
+
+    cards = re.findall(r"\d[\d ]{11,}\d", got[5].text)
+    assert luhn(cards[0]) and re.fullmatch(r"4\d{3}( \d{4}){3}", cards[0]) and cards[0] != "4012 8888 8888 1881"
+    assert got[6].text == rows[5][1]
+
+
+def brute_entities(text):
+    """The places of entities that begin at each character, found one at a time."""
+    out, i = [], 0
+    patterns = [(k, regex.compile(p.replace("Is", "").replace("&&", ""))) for k, p in pii.PATTERNS]
+    while i < len(text):
+        hit = next(((k, m) for k, p in patterns if (m := p.match(text, i)) and m.end() > i), None)
+        if hit:
+            out.append((hit[0], i, hit[1].end()))
+            i = hit[1].end()
+        else:
+            i += 1
+    return out
+
+
+def test_pii_matches_brute_force(spark):
+    """Places by a plain search; surrogates are a one-to-one map that keeps length classes and misses no place."""
+    rng = random.Random(21)
+    make = {
+        "email": lambda: f"u{rng.randint(0, 60)}@m{rng.randint(0, 3)}.example.com",
+        "ip": lambda: ".".join(str(rng.randint(1, 30)) for _ in range(4)),
+        "ssn": lambda: f"{rng.randint(100, 120)}-{rng.randint(10, 12)}-{rng.randint(1000, 1009)}",
+        "phone": lambda: f"+1 ({rng.randint(200, 210)}) 555-{rng.randint(1000, 1020)}",
+        "card": lambda: str(rng.randint(4 * 10**15, 4 * 10**15 + 40)),
+    }
+    rows = [(i, " ".join(f"{w} {make[rng.choice(list(make))]()}" if rng.random() < 0.3 else w for w in rng.choices(WORDS, k=30))) for i in range(120)]
+    to, back = {}, {}
+    for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect():
+        old = dict(rows)[r.doc_id]
+        found, new = brute_entities(old), brute_entities(r.text)
+        assert [k for k, _, _ in found] == [k for k, _, _ in new] and r.n_entities == len(found)
+        gaps = lambda t, f: [t[a:b] for a, b in zip([0, *[z for *_, z in f]], [*[a for _, a, _ in f], len(t)])]
+        assert gaps(old, found) == gaps(r.text, new)
+        for (k, a, z), (_, b, y) in zip(found, new):
+            assert to.setdefault((k, old[a:z]), r.text[b:y]) == r.text[b:y]
+            assert back.setdefault((k, r.text[b:y]), old[a:z]) == old[a:z]
+    assert len(to) > 200 and not {(k, v) for (k, _), v in to.items()} & set(to)
+
+
 def brute_url(url):
     if not url or "://" not in url:
         host = path = ""
@@ -609,7 +706,7 @@ def test_columns_named_like_helpers(spark):
         lambda d: mixing.mix(d),
         lambda d: quality.judge(d, d),
         lambda d: line_dedup.dedup_lines(d),
-        lambda d: pii.pseudonymise(d),
+        lambda d: pii.pseudonymise(d, KEY),
         lambda d: lm_scoring.score(d, d),
         lambda d: decontamination.decontaminate(d, spark.createDataFrame([(1, "red fox")], "item_id long, text string")),
         lambda d: simhash.keep_one(d),
