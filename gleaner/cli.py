@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import csv
+import os
 import sys
 
 from gleaner import config
 from gleaner.plans.miner import Miner, Settings
-from gleaner.session import session
+from gleaner.session import scratch, session
 from gleaner.sources import logs
 
 MODES = ("topN", "detect", "feed", "clean", "termCounts", "analyzeLine", "outputPhrases", "outputPhrasesHistory")
@@ -19,6 +21,8 @@ KEYS = {
     "retention": "retention", "maxBlocks": "max_blocks", "minMatchRate": "min_rate", "maxMatchRate": "max_rate",
     "termCountBorderRate": "border_rate", "termCountBorder": "border",
 }
+#: Modes that look at the stored phrases again under a border of their own, and the settings that give it.
+REARRANGING, RENEWED = ("topN", "detect", "outputPhrases"), ("border_rate", "border")
 LISTS = ("include", "exclude", "keywords", "ignorewords", "custom_phrases")
 
 
@@ -42,6 +46,8 @@ def arguments() -> argparse.ArgumentParser:
     a.add_argument("-delim", default=",")
     a.add_argument("-showLastText", action="store_true")
     a.add_argument("-readonly", action="store_true")
+    a.add_argument("-silent", action="store_true", help="no progress and no warnings")
+    a.add_argument("-debug", action="store_true", help="Spark's log as well")
     return a
 
 
@@ -54,39 +60,55 @@ def settings(args, file: dict) -> Settings:
             setattr(out, name, v.split(",") if name in LISTS and isinstance(v, str) else v)
     for name in KEYS.values():
         v = getattr(args, name, None)
-        if v is not None:
+        if v is not None and not (name in RENEWED and args.mode in REARRANGING):
             setattr(out, name, ([v] if name in ("include", "exclude") else v.split(",")) if name in LISTS else v)
     return out
 
 
 def table(rows, header, out: str, delim: str) -> None:
-    with open(out, "w", newline="") if out else sys.stdout as f:
+    """Rows one at a time into a file, or to the standard output, which stays open."""
+    with open(out, "w", newline="") if out else contextlib.nullcontext(sys.stdout) as f:
         w = csv.writer(f, delimiter=delim[0])
-        w.writerow(header)
+        if header:
+            w.writerow(header)
         w.writerows(rows)
 
 
+def history(miner: Miner, n: int, out: str, delim: str) -> None:
+    """history.csv and subjects.txt in a folder, or both to the standard output."""
+    _, grid = miner.history(n)
+    subjects = miner.ranked_subjects(n)
+    heads = [f"{rank}({cnt})" for rank, cnt, _ in subjects]
+    if out:
+        os.makedirs(out, exist_ok=True)
+    table(([*r] for r in grid.toLocalIterator()), ["time", *heads], out and f"{out}/history.csv", delim)
+    table(((h, s) for h, (_, _, s) in zip(heads, subjects)), None, out and f"{out}/subjects.txt", delim)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = arguments().parse_args(argv)
     file = config.load(args.config) if args.config else {}
     data, path = args.data or file.get("dataDir") or "", args.logs or file.get("logPath") or ""
-    spark = session(**{"spark.ui.enabled": "false"})
-    import tempfile
-
-    explicit = any(getattr(args, n, None) is not None for n in KEYS.values()) or bool(file)
-    miner = Miner(spark, data or tempfile.mkdtemp(), settings(args, file) if explicit else None, read_only=args.readonly)
+    spark = session(**{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": str(not args.silent).lower()})
+    spark.sparkContext.setLogLevel("INFO" if args.debug else "ERROR" if args.silent else "WARN")
+    renewed = RENEWED if args.mode in REARRANGING else ()
+    explicit = any(getattr(args, n, None) is not None for n in KEYS.values() if n not in renewed) or bool(file)
+    miner = Miner(spark, data or scratch(spark), settings(args, file) if explicit else None, read_only=args.readonly)
+    again = {"rate": args.border_rate or 0.0, "border": args.border or 0} if renewed else {}
     stdin = logs.lines_of(spark, sys.stdin) if not path and args.mode in ("topN", "feed", "detect") else None
     if args.mode == "clean":
         if input(f"Delete {data}? (y/N) ").strip().lower() == "y":
             miner.clean()
     elif args.mode == "feed":
-        print(miner.feed(path, lines=stdin))
+        fed = miner.feed(path, lines=stdin)
+        if not args.silent:
+            print(fed)
     elif args.mode == "topN":
         miner.feed(path, lines=stdin)
-        for r in miner.top_n(args.N, 1 if args.M is None else args.M, 0, args.showLastText).collect():
+        for r in miner.top_n(args.N, 1 if args.M is None else args.M, args.retention or 0, args.showLastText, **again).collect():
             print(f"{r.cnt},{r.score:f},{r.text}")
     elif args.mode == "detect":
-        for r in miner.detect(path, args.M or 0, lines=stdin).collect():
+        for r in miner.detect(path, args.M or 0, lines=stdin, **again).toLocalIterator():
             print(f"{r.cnt} {r.value}\n  {r.phrase}")
     elif args.mode == "termCounts":
         table(([*r] for r in miner.term_counts(args.N, path or None).collect()), ["count", "terms", "sample"], args.out, args.delim)
@@ -96,11 +118,10 @@ def main(argv: list[str] | None = None) -> int:
         for r in counts.collect():
             print(f"{r.term}: {r.cnt}")
     elif args.mode == "outputPhrases":
-        df = miner.output_phrases(args.biggestN)
-        table(([*r] for r in df.collect()), df.columns, args.out, args.delim)
+        df = miner.output_phrases(args.biggestN, **again)
+        table(([*r] for r in df.toLocalIterator()), df.columns, args.out, args.delim)
     else:
-        ranked, grid = miner.history(args.biggestN)
-        table(([*r] for r in grid.collect()), ["time", *ranked], args.out, args.delim)
+        history(miner, args.biggestN, args.out, args.delim)
     return 0
 
 

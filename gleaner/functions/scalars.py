@@ -32,3 +32,13 @@ def is_numeric(x: Column) -> Column:
 
 def to_long(x: Column) -> Column:
     return F.coalesce(x.try_cast("bigint"), F.lit(0))
+
+
+def next_divisible(x: Column, n: int) -> Column:
+    """x if n divides it, else the next multiple of n."""
+    return F.when(x % n == 0, x).otherwise((F.floor(x / n) + 1) * n).cast("long")
+
+
+def add_days(at: Column, days: int) -> Column:
+    """Unix seconds some calendar days later, at the same time of day in the session's time zone."""
+    return F.unix_timestamp(F.timestamp_seconds(at) + F.make_interval(days=F.lit(days)))

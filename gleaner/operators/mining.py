@@ -15,10 +15,10 @@ from gleaner.functions.tokens import STAR
 LEAST = 3
 
 
-def vectors(lines: DataFrame, weight: str | None = None) -> DataFrame:
-    """(vid, tokens, w) of lines with tokens."""
+def vectors(lines: DataFrame, weight: str | None = None, *more) -> DataFrame:
+    """(vid, tokens, w) of lines with tokens, and more aggregates; lines are exchanged by the vector's id."""
     w = F.col(weight) if weight else F.lit(1)
-    return lines.groupBy("tokens").agg(F.sum(w).alias("w")).withColumn("vid", vector_id())
+    return lines.groupBy(vector_id().alias("vid")).agg(F.first("tokens").alias("tokens"), F.sum(w).alias("w"), *more)
 
 
 def vector_id():
@@ -115,7 +115,12 @@ def templates(vecs: DataFrame, border: int, keywords=()) -> DataFrame:
 
 def mine(lines: DataFrame, terms: DataFrame, border: int, min_rate=0.6, max_rate=0.0, keywords=(), weight=None) -> DataFrame:
     """Templates of the vectors of lines (seq, tokens)."""
-    return templates(stops(ordered(vectors(lines, weight), terms), border, min_rate, max_rate), border, keywords)
+    return mined(vectors(lines, weight), terms, border, min_rate, max_rate, keywords)
+
+
+def mined(vecs: DataFrame, terms: DataFrame, border: int, min_rate=0.6, max_rate=0.0, keywords=()) -> DataFrame:
+    """Templates of vectors."""
+    return templates(stops(ordered(vecs, terms), border, min_rate, max_rate), border, keywords)
 
 
 def custom_match(vecs: DataFrame, custom: list[list[str]]) -> DataFrame:

@@ -16,21 +16,29 @@ def block_by_time(df: DataFrame, pos: str = "retention_pos") -> DataFrame:
     return df.join(ranks, pos)
 
 
-def block_by_size(items: DataFrame, block_size: int, order: str = "first", key: str = "term") -> DataFrame:
-    """Items with block_seq: a block is full after block_size new ones, in the order of first sight.
+#: Quantiles that deal items out by their numbers.
+CUTS = 200
+
+
+def ranked(items: DataFrame, order: str, key: str) -> DataFrame:
+    """Items with rank, from 0, by a number and then a key.
 
-    order: a number. An item's rank is its place among those of its bucket of numbers and
-    the sizes of the buckets before, so no task gets all items.
+    An item's rank is its place among those between two quantiles and the sizes of the
+    parts before, so no task gets all items, however the numbers cluster.
     """
-    span = items.agg(F.min(order).alias("_a"), F.max(order).alias("_z"), F.count(F.lit(1)).alias("_n"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_z") - F.col("_a") + 1) / F.sqrt("_n")))
-    dealt = items.join(F.broadcast(span)).withColumn("_u", F.floor((F.col(order) - F.col("_a")) / width)).drop("_a", "_z", "_n")
+    at = F.percentile_approx(order, F.array(*[F.lit((i + 1) / CUTS) for i in range(CUTS - 1)]), F.lit(10 * CUTS))
+    cuts = items.agg(F.array_distinct(at).alias("_cuts"))  # one row
+    dealt = items.join(F.broadcast(cuts)).withColumn("_u", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
     sizes = dealt.groupBy("_u").agg(F.count(F.lit(1)).alias("_m"))
     before = Window.orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_u", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_u").orderBy(order, key)) - 1
-    ranked = dealt.withColumn("_r", rank).join(starts, "_u")
-    return ranked.withColumn("block_seq", F.floor((F.col("_r") + F.col("_start")) / block_size)).drop("_u", "_r", "_start")
+    place = F.row_number().over(Window.partitionBy("_u").orderBy(order, key)) - 1
+    return dealt.withColumn("_r", place).join(F.broadcast(starts), "_u").withColumn("rank", F.col("_r") + F.col("_start")).drop("_u", "_r", "_start")
+
+
+def block_by_size(items: DataFrame, block_size: int, order: str = "first", key: str = "term") -> DataFrame:
+    """Items with block_seq: a block is full after block_size new ones, in the order of first sight. order: a number."""
+    return ranked(items, order, key).withColumn("block_seq", F.floor(F.col("rank") / block_size)).drop("rank")
 
 
 def keep_last(df: DataFrame, max_blocks: int) -> DataFrame:

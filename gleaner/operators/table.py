@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +30,9 @@ def total(df: DataFrame, column: str, where: Column | None = None) -> DataFrame:
     """The sum as a double, 0 without rows; a value that is no number is an error, in whichever row."""
     value = F.col(column).cast("double")
     fits = F.lit(True) if where is None else where
-    return df.agg(F.coalesce(F.sum(F.when(fits, value).otherwise(value * 0)), F.lit(0.0)).alias("total"))
+    # The maximum is over all values, so each is cast; only those that fit are added.
+    out = df.agg(F.max(value).alias("m"), F.sum(F.when(fits, value)).alias("s"))
+    return out.select(F.when(F.col("m").isNull(), 0.0).otherwise(F.coalesce("s", F.lit(0.0))).alias("total"))
 
 
 def extremes(df: DataFrame, column: str, where: Column | None = None) -> DataFrame:
@@ -87,8 +87,18 @@ def union_count(tables: list[DataFrame], where: Column | None = None) -> DataFra
     return count(out, where)
 
 
+def argsort(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """(place, rows' columns): df with each row's place by a number, from 0; ties by the other columns."""
+    from .ring import ranked
+
+    value = F.col(column).cast("double")
+    rest = F.to_json(F.struct(*[c for c in df.columns if c != column]))
+    out = df.withColumn("_o", -value if descending else value).withColumn("_t", rest)
+    return ranked(out, "_o", "_t").withColumnRenamed("rank", "place").drop("_o", "_t")
+
+
 class Store:
-    """Named tables under a folder. A change is written beside the table and swapped in by rename."""
+    """Named tables under a folder. A table is a row of versions; the newest one that is complete counts."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -100,9 +110,15 @@ class Store:
     def path(self, table: str, group: str = "") -> str:
         return f"{self.root}/{group or table}/{table}"
 
-    def exists(self, table: str, group: str = "") -> bool:
+    def _versions(self, table: str, group: str) -> list[int]:
+        """Those whose last file, the mark of success, is there."""
         fs, p = self._fs(self.path(table, group))
-        return fs.exists(p)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        whole = [n for n in names if n.startswith("v") and fs.exists(self._fs(f"{p}/{n}/_SUCCESS")[1])]
+        return sorted(int(n[1:]) for n in whole)
+
+    def exists(self, table: str, group: str = "") -> bool:
+        return bool(self._versions(table, group))
 
     def create(self, table: str, schema: str, group: str = "", if_missing: bool = False) -> DataFrame:
         if self.exists(table, group):
@@ -113,25 +129,25 @@ class Store:
         return self.read(table, group)
 
     def read(self, table: str, group: str = "") -> DataFrame:
-        return self.spark.read.parquet(self.path(table, group))
+        versions = self._versions(table, group)
+        if not versions:
+            raise LookupError(f"there is no table {table}")
+        return self.spark.read.parquet(f"{self.path(table, group)}/v{versions[-1]}")
 
     def append(self, table: str, rows: DataFrame, group: str = "") -> None:
-        rows.write.mode("append").parquet(self.path(table, group))
+        versions = self._versions(table, group)
+        if not versions:
+            return self.write(table, rows, group)
+        rows.write.mode("append").parquet(f"{self.path(table, group)}/v{versions[-1]}")
 
     def write(self, table: str, df: DataFrame, group: str = "") -> None:
-        """Replaces a table; df may read it."""
-        path = self.path(table, group)
-        new, old = (f"{self.root}/.{x}-{uuid.uuid4().hex}" for x in ("new", "old"))
-        df.write.parquet(new)
-        fs, p = self._fs(path)
-        Path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs.mkdirs(p.getParent())
-        had = fs.exists(p)
-        if had:
-            fs.rename(p, Path(old))
-        fs.rename(Path(new), p)
-        if had:
-            fs.delete(Path(old), True)
+        """Replaces a table by a new version; df may read it. Older versions than the one before are deleted."""
+        path, versions = self.path(table, group), self._versions(table, group)
+        new = versions[-1] + 1 if versions else 1
+        df.write.mode("overwrite").parquet(f"{path}/v{new}")
+        for n in versions[:-1]:
+            fs, p = self._fs(f"{path}/v{n}")
+            fs.delete(p, True)
 
     def truncate(self, table: str, group: str = "") -> None:
         self.write(table, self.read(table, group).limit(0), group)

@@ -21,6 +21,13 @@ def term_counts(lines: DataFrame, weight: str | None = None) -> DataFrame:
     )
 
 
+def with_ids(counts: DataFrame, order: str) -> DataFrame:
+    """counts with id: a term's number in the order of first sight (a number in column `order`), from 1."""
+    from .ring import ranked
+
+    return ranked(counts, order, "term").withColumn("id", F.col("rank") + 1).drop("rank")
+
+
 def merge_counts(old: DataFrame, new: DataFrame) -> DataFrame:
     """Counts of two batches as one; first places of the older one come first."""
     both = old.withColumn("_b", F.lit(0)).unionByName(new.withColumn("_b", F.lit(1)))

@@ -1,13 +1,14 @@
 """The log miner: feeds log files into a store and answers from it.
 
-State is Parquet under a folder: terms and phrases by block, the reading position and the
-settings. A feed writes its blocks first and its status last; tables are swapped in one
-at a time, so a feed that fails between two of them can count its lines twice when repeated.
+State is a ledger: terms and phrases by block as Parquet, and commits that say which of
+it counts, with the settings, the reading position and the last batch of each stream. A
+feed adds its own counts as new parts and one commit, so it counts wholly or not at all,
+and a stream's batch that comes again is passed over. Its cost follows the new lines; now
+and then parts are folded into one.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import parse
 from gleaner.functions import tokens as tk
 from gleaner.operators import mining, ring, terms
-from gleaner.operators.table import Store
+from gleaner.operators.ledger import MOST_PARTS, Ledger
 from gleaner.sources import logs
 
 
@@ -40,39 +41,36 @@ class Settings:
 
 _TERMS = "term string, cnt long, first struct<seq: struct<file_no: long, part: long, at: long>, pos: int>, block long"
 _PHRASES = "phrase string, cnt long, created long, updated long, last_value string, subject string, block long"
-_STATUS = "mtime long, file string, row long, feeds long, now long"
+#: Where reading goes on: time, name and line of the last file read.
+_START = {"mtime": -1, "file": "", "row": 0, "feeds": 0, "now": 0}
 
 
 class Miner:
     """now: the time that fills in timestamps' years, as Unix seconds; of the newest file by default."""
 
     def __init__(self, spark: SparkSession, data_dir: str, settings: Settings | None = None, now: int | None = None, read_only: bool = False):
-        self.spark, self.store, self.now, self.read_only = spark, Store(spark, data_dir), now, read_only
-        known = self._load("config")
-        self.settings = settings or (Settings(**json.loads(known.first()["json"])) if known is not None else Settings())
+        self.spark, self.store, self.now, self.read_only = spark, Ledger(spark, data_dir), now, read_only
+        known = self.store.head()["state"].get("settings")
+        self.settings = settings or (Settings(**known) if known else Settings())
 
     # --- state ---
 
-    def _load(self, name: str) -> DataFrame | None:
-        return self.store.read(name) if self.store.exists(name) else None
-
     def terms(self) -> DataFrame:
-        t = self._load("terms")
+        t = self.store.read("terms")
         if t is None:
             return self.spark.createDataFrame([], _TERMS).drop("block")
-        return t.groupBy("term").agg(F.sum("cnt").alias("cnt"), F.min_by("first", "block").alias("first"))
+        return t.groupBy("term").agg(F.sum("cnt").alias("cnt"), F.min(F.struct("block", "first"))["first"].alias("first"))
 
     def phrases(self) -> DataFrame:
-        p = self._load("phrases")
+        p = self.store.read("phrases")
         p = self.spark.createDataFrame([], _PHRASES) if p is None else p
         return p.groupBy("phrase").agg(
             F.sum("cnt").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated"),
-            F.max_by("last_value", F.struct("updated", "block")).alias("last_value"), F.min_by("subject", "block").alias("subject"),
+            F.max_by("last_value", F.struct("updated", "block")).alias("last_value"), F.min_by("subject", F.struct("block", "created")).alias("subject"),
         )
 
     def status(self) -> dict:
-        t = self._load("status")
-        return t.first().asDict() if t is not None else {"mtime": -1, "file": "", "row": 0, "feeds": 0, "now": 0}
+        return _START | self.store.head()["state"].get("position", {})
 
     # --- reading ---
 
@@ -98,7 +96,7 @@ class Miner:
     def _templates(self, lines: DataFrame, known: DataFrame, border: int, weight: str | None = None) -> DataFrame:
         s = self.settings
         found = mining.mine(lines, known, border, s.min_rate, s.max_rate, s.keywords, weight)
-        return lines.join(found.drop("w", "vid"), "tokens")
+        return lines.withColumn("vid", mining.vector_id()).join(found.select("vid", "phrase", "hidden"), "vid").drop("vid")
 
     def _custom(self, lines: DataFrame) -> DataFrame:
         if not self.settings.custom_phrases:
@@ -109,9 +107,17 @@ class Miner:
 
     # --- modes ---
 
-    def feed(self, paths=None, limit: int = 0, lines: DataFrame | None = None) -> dict:
-        """Counts new lines' terms, mines their templates and adds both to the blocks. Returns counts."""
+    def feed(self, paths=None, limit: int = 0, lines: DataFrame | None = None, batch_of: tuple[str, int] | None = None) -> dict:
+        """Counts new lines' terms, mines their templates and adds both to the blocks. Returns counts.
+
+        batch_of: a stream's name and the number of its batch, which is fed once however
+        often it is given.
+        """
         s = self.settings
+        before = self.store.head()
+        batches = before["state"].get("batches", {})
+        if batch_of and batches.get(batch_of[0], -1) >= batch_of[1]:
+            return {"lines": 0, "border": 0, "phrases": 0}
         raw = (self.new_lines(paths, limit) if lines is None else lines).persist()
         batch = self.parsed(raw).persist()
         known = terms.merge_counts(self.terms(), terms.term_counts(batch)).persist()
@@ -126,34 +132,52 @@ class Miner:
         by_block = batch.select("block", "seq", F.posexplode("tokens").alias("pos", "term")).where(F.col("term") != tk.STAR)
         by_block = by_block.groupBy("term", "block").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("seq", "pos")).alias("first"))
         n = batch.count()
-        before = self.status()
         if not self.read_only and n:
-            blocks = self._kept(by_block, table, before)
-            for name, new in blocks.items():
-                self.store.write(name, new)
-            self.store.write("config", self.spark.createDataFrame([(json.dumps(asdict(s)),)], "json string"))
+            position = before["state"].get("position", _START)
             if lines is None:
                 end = raw.agg(F.max(F.struct("mtime", "file", "line_no")).alias("m")).first()["m"]
-                row = (end["mtime"], end["file"], end["line_no"], before["feeds"] + 1, self.now or end["mtime"])
-                self.store.write("status", self.spark.createDataFrame([row], _STATUS))
+                position = {"mtime": end["mtime"], "file": end["file"], "row": end["line_no"], "feeds": position["feeds"] + 1, "now": self.now or end["mtime"]}
+            if batch_of:
+                batches = batches | {batch_of[0]: batch_of[1]}
+            state = {"settings": asdict(s), "position": position, "batches": batches}
+            sizes = batch.groupBy("block").agg(F.max("epoch").alias("last_epoch"), F.count(F.lit(1)).alias("lines"))
+            self._commit(before, {"phrases": table, "terms": by_block}, sizes, state)
         out = {"lines": n, "border": border, "phrases": table.select("phrase").distinct().count()}
         for df in (raw, batch, known):
             df.unpersist()
         return out
 
-    def _kept(self, by_block: DataFrame, table: DataFrame, before: dict) -> dict[str, DataFrame]:
-        """Old and new blocks, of which the ring keeps the newest and retention the recent ones."""
-        out = {}
-        for name, new in (("phrases", table), ("terms", by_block)):
-            old = self._load(name)
-            out[name] = new.select(*old.columns).unionByName(old) if old is not None else new
+    def _commit(self, before: dict, new: dict[str, DataFrame], sizes: DataFrame, state: dict) -> None:
+        """Adds parts to the blocks, of which the ring keeps the newest and retention the recent ones."""
         s = self.settings
-        blocks = out["phrases"].groupBy("block").agg(F.max("updated").alias("last_epoch"))
-        blocks = ring.retained(ring.block_by_time(blocks, "block"), s.retention, s.frequency)
-        keep = ring.keep_last(blocks, s.max_blocks or (s.retention if s.frequency else 0)).select("block")
+        status = {int(b): dict(x) for b, x in before["status"].items()}
+        for r in sizes.collect():  # one row for each time bucket of the batch
+            old = status.get(r["block"], {"last_epoch": 0, "lines": 0})
+            status[r["block"]] = {"last_epoch": max(old["last_epoch"], r["last_epoch"]), "lines": old["lines"] + r["lines"]}
         if s.frequency and (s.retention or s.max_blocks):
-            out = {k: v.join(F.broadcast(keep), "block", "left_semi").select(*v.columns) for k, v in out.items()}
-        return out
+            unit = parse.UNIT_SECONDS.get(s.frequency, 86400)
+            newest = max(x["last_epoch"] for x in status.values())
+            recent = sorted(b for b, x in status.items() if not s.retention or x["last_epoch"] >= newest - s.retention * unit + 1)
+            status = {b: status[b] for b in recent[-(s.max_blocks or s.retention) :]}
+        parts = {}
+        for name, df in new.items():
+            old = [{"id": p["id"], "blocks": [b for b in p["blocks"] if b in status]} for p in before["parts"].get(name, [])]
+            old = [p for p in old if p["blocks"]]
+            added = self.store.write_part(name, df.where(F.col("block").isin(list(status))))
+            parts[name] = old + ([added] if added["blocks"] else [])
+            if len(parts[name]) > MOST_PARTS:
+                whole = self.store.read(name, head={"parts": {name: parts[name]}})
+                parts[name] = [self.store.write_part(name, self._folded(name, whole))]
+        self.store.commit(before, parts, status, state)
+
+    def _folded(self, name: str, rows: DataFrame) -> DataFrame:
+        """One row for each term or phrase and block."""
+        if name == "terms":
+            return rows.groupBy("term", "block").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
+        return rows.groupBy("phrase", "block").agg(
+            F.sum("cnt").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated"),
+            F.max_by("last_value", "updated").alias("last_value"), F.min_by("subject", "created").alias("subject"),
+        )
 
     def rearranged(self, rate: float = 0.0, border: int = 0) -> DataFrame:
         """The phrases; under a higher border, mined again from one line each with its count as weight."""
@@ -222,7 +246,7 @@ class Miner:
     def history(self, n: int = 100) -> tuple[list[str], DataFrame]:
         """The n largest phrases, and their counts by time bucket: one row a bucket, one column a phrase."""
         unit = parse.UNIT_SECONDS.get(self.settings.frequency, 86400)
-        p = self._load("phrases")
+        p = self.store.read("phrases")
         if p is None:
             raise LookupError("the history needs a data folder that was fed")
         top = self.phrases().orderBy(F.desc("cnt"), "phrase")
@@ -230,5 +254,16 @@ class Miner:
         grid = ring.history_grid(ring.history(p, unit), ranked, unit)
         return ranked, grid.withColumn("time", ring.label(F.col("at"), self.settings.frequency)).select("time", *grid.columns[1:])
 
+    def ranked_subjects(self, n: int = 100) -> list[tuple[int, int, str]]:
+        """(rank from 1, count, subject) of the n largest phrases, in the order of the history's columns."""
+        top = self.phrases().orderBy(F.desc("cnt"), "phrase")
+        rows = (top.limit(n) if n > 0 else top).select("cnt", "subject").collect()
+        return [(i + 1, r.cnt, r.subject) for i, r in enumerate(rows)]
+
+    def sizing(self, retention: int | None = None) -> tuple[int, int]:
+        """(block size, number of blocks) for the most lines that a live block had."""
+        most = max((x["lines"] for x in self.store.head()["status"].values()), default=0)
+        return ring.sizing(most, retention or self.settings.retention or 1)
+
     def clean(self) -> None:
         self.store.drop_all()

@@ -42,9 +42,10 @@ def drop_blank(lines: DataFrame) -> DataFrame:
     return lines.where("value != ''")
 
 
-def count_files(lines: DataFrame) -> DataFrame:
-    """(file, mtime, n) of each file that has lines."""
-    return lines.groupBy("file", "mtime").agg(F.count(F.lit(1)).alias("n"))
+def count_files(lines: DataFrame, first: int = 0) -> DataFrame:
+    """(file, mtime, n) of each file that has lines, or of the first ones by time and name."""
+    n = lines.groupBy("file", "mtime").agg(F.count(F.lit(1)).alias("n"))
+    return n.orderBy("mtime", "file").limit(first) if first else n
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -55,9 +56,15 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 
 def read_words(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a short text file that are not blank: a list of settings, so the driver holds it."""
     return [r.value for r in spark.read.text(path).where("value != ''").collect()]
 
 
+def write_words(spark: SparkSession, words: list[str], path: str) -> None:
+    """A text file with one line for each word."""
+    spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, value string").coalesce(1).orderBy("i").select("value").write.text(path)
+
+
 def lines_of(spark: SparkSession, texts) -> DataFrame:
     """Lines from memory, such as standard input."""
     rows = [("", 0, 0, i, t.rstrip("\r\n")) for i, t in enumerate(texts)]

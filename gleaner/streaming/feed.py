@@ -8,7 +8,7 @@ from gleaner.plans.miner import Miner
 
 
 def stream(miner: Miner, folder: str, checkpoint: str, **trigger):
-    """A query that feeds every new file of a folder; a batch retried after a failure may be fed twice."""
+    """A query that feeds every new file of a folder, each batch once, also if a failure makes it come again."""
     spark = miner.spark
     lines = spark.readStream.text(folder).select(
         F.col("_metadata.file_path").alias("file"),
@@ -17,8 +17,8 @@ def stream(miner: Miner, folder: str, checkpoint: str, **trigger):
         "value",
     )
 
-    def step(batch, _):
-        miner.feed(lines=batch.withColumn("at", F.monotonically_increasing_id()))
+    def step(batch, number):
+        miner.feed(lines=batch.withColumn("at", F.monotonically_increasing_id()), batch_of=(checkpoint, number))
 
     writer = lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
