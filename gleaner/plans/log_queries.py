@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import parse, scalars
 from gleaner.functions import tokens as tk
 from gleaner.operators import mining, ring, table, terms
+from gleaner.plans.miner import Miner, Settings
+from gleaner.session import scratch, written
+from gleaner.sources import logs
 from gleaner.sources.logs import spread
 
 QUERIES: dict = {}
@@ -179,11 +184,11 @@ _FORMAT = r"^(?P<timestamp>\d+-\d+-\d+ \d+:\d+:\d+) (?P<message>.+)$"
 _NOW = "2031-12-31 00:00:00"
 
 
-@query(f"SELECT seq, CAST(epoch(CAST('2031' || substr(value, 5, 15) AS TIMESTAMP)) AS BIGINT) AS epoch, substr(value, 21) AS message FROM ({_L1}) WHERE substr(value, 6, 5) <> '02-29'")
+@query(f"SELECT seq, CAST(epoch(CAST('2031-' || CASE WHEN substr(value, 6, 5) = '02-29' THEN '03-01' ELSE substr(value, 6, 5) END || substr(value, 11, 9) AS TIMESTAMP)) AS BIGINT) AS epoch, substr(value, 21) AS message FROM ({_L1})")
 def parse_log_format(spark, sf):
     lines = event_lines(spark, sf)
     at = parse.parsed(F.col("value"), _FORMAT, "2006-01-02 15:04:05", F.lit(0), F.to_timestamp(F.lit(_NOW)))
-    return lines.where("substr(value, 6, 5) != '02-29'").select("seq", at.alias("p")).select("seq", "p.epoch", "p.message")
+    return lines.select("seq", at.alias("p")).select("seq", "p.epoch", "p.message")
 
 
 def _pos(spark, sf, frequency):
@@ -209,10 +214,40 @@ def keywords_and_ignorewords(spark, sf):
     return tokenised(event_lines(spark, sf), _KEY, _IGN).select("seq", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 1) AS half, (sign(l_tax) * floor(abs(l_tax) * 10) + 1) / 10 AS away, sign(l_tax) * floor(abs(l_tax) * 10) / 10 AS down FROM lineitem WHERE l_linenumber = 1")
+@query("""SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(18, 2)), 1) AS DOUBLE) AS half,
+    (sign(l_tax - l_discount) * floor(abs(l_tax - l_discount) * 10) + CASE WHEN l_tax < l_discount THEN -1 ELSE 1 END) / 10 AS away,
+    sign(l_tax - l_discount) * floor(abs(l_tax - l_discount) * 10) / 10 AS down FROM lineitem""")
 def round_modes(spark, sf):
-    df = _t(spark, sf, "lineitem").where("l_linenumber = 1")
-    return df.select("l_orderkey", "l_linenumber", scalars.round_half(F.col("l_extendedprice"), 1).alias("half"), scalars.round_away(F.col("l_tax"), 1).alias("away"), scalars.round_down(F.col("l_tax"), 1).alias("down"))
+    df = _t(spark, sf, "lineitem")
+    x = F.col("l_tax") - F.col("l_discount")
+    return df.select("l_orderkey", "l_linenumber", scalars.round_half(F.col("l_extendedprice"), 1).alias("half"), scalars.round_away(x, 1).alias("away"), scalars.round_down(x, 1).alias("down"))
+
+
+_MIXED = "SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN CAST(value AS VARCHAR) WHEN 2 THEN event_type ELSE '0' || user_id END AS x, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS at_ FROM events"
+
+
+@query(f"SELECT seq, regexp_matches(x, '^[0-9]+$') AND NOT regexp_matches(x, '^0.') AS is_int, TRY_CAST(x AS DOUBLE) IS NOT NULL AS is_numeric, coalesce(CASE WHEN regexp_matches(x, '^[0-9]+$') THEN CAST(x AS BIGINT) END, 0) AS as_long, CAST(CASE WHEN user_id % 7 = 0 THEN user_id ELSE (user_id // 7 + 1) * 7 END AS BIGINT) AS next7, at_ + 45 * 86400 AS later FROM ({_MIXED})")
+def scalar_helpers(spark, sf):
+    """Tests and casts of text, the next multiple of a number, and calendar days added to a time."""
+    kind = F.col("event_id") % 4
+    x = F.when(kind == 0, F.col("user_id").cast("string")).when(kind == 1, F.col("value").cast("string")).when(kind == 2, F.col("event_type")).otherwise(F.concat(F.lit("0"), F.col("user_id")))
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    return _t(spark, sf, "events").select(
+        F.col("event_id").alias("seq"), scalars.is_int(x).alias("is_int"), scalars.is_numeric(x).alias("is_numeric"), scalars.to_long(x).alias("as_long"),
+        scalars.next_divisible(F.col("user_id"), 7).alias("next7"), scalars.add_days(at, 45).alias("later"),
+    )
+
+
+@query("SELECT event_id AS seq, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H') AS hour, strftime(ts, '%Y-%m-%d %H:%M') AS minute, strftime(ts, '%Y-%m-%d %H:%M:%S') AS other FROM events")
+def time_labels(spark, sf):
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    return _t(spark, sf, "events").select(F.col("event_id").alias("seq"), *[ring.label(at, f).alias(f) for f in ("day", "hour", "minute", "other")])
+
+
+@query("SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS place, p_partkey, p_retailprice FROM part")
+def argsort(spark, sf):
+    df = _t(spark, sf, "part").select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("k"), "p_retailprice")
+    return table.argsort(df, "p_retailprice", descending=True).select("place", F.col("k").cast("long").alias("p_partkey"), "p_retailprice")
 
 
 def _border_sql(rate):
@@ -236,6 +271,25 @@ def term_count_histogram(spark, sf):
     return terms.histogram(_terms(spark, sf))
 
 
+@query(f"SELECT CAST(least AS BIGINT) AS given, CAST(coalesce(a[2], a[1], top) AS BIGINT) AS computed FROM (SELECT 77 AS least, * FROM ({_border_sql(0.999)[:_border_sql(0.999).rindex('SELECT CAST')]} SELECT a, (SELECT max(top) FROM r) AS top FROM o))")
+def border_selection(spark, sf):
+    """A border that is given wins; a rate of 0 stands for the default one."""
+    t = _terms(spark, sf)
+    return spark.createDataFrame([(terms.border_of(t, 0.0, 77), terms.border_of(t, 0.0))], "given long, computed long")
+
+
+@query(f"WITH l AS ({_L2}), e AS (SELECT seq, unnest({_tokens_sql()}) AS term, unnest(range(len({_tokens_sql()}))) AS pos FROM l), f AS (SELECT term, count(*) AS cnt, min(seq * 100000 + pos) AS first FROM e WHERE term <> '*' GROUP BY term) SELECT term, cnt, row_number() OVER (ORDER BY first) AS id FROM f")
+def term_ids(spark, sf):
+    t = _terms(spark, sf).select("term", "cnt", (F.col("first.seq") * 100000 + F.col("first.pos")).alias("at"))
+    return terms.with_ids(t, "at").select("term", "cnt", F.col("id").cast("long").alias("id"))
+
+
+@query("SELECT CAST(CASE WHEN most < 3000 THEN 10000 WHEN most < 300000 THEN 100000 ELSE 1000000 END AS BIGINT) AS block_size, CAST(ceil(most / CASE WHEN most < 3000 THEN 10000 WHEN most < 300000 THEN 100000 ELSE 1000000 END) * 7 AS BIGINT) AS n_blocks FROM (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM events GROUP BY date_trunc('day', ts)))")
+def block_sizing(spark, sf):
+    most = ring.most_in_bucket(_pos(spark, sf, "day")).first()[0]
+    return spark.createDataFrame([ring.sizing(most, 7)], "block_size long, n_blocks long")
+
+
 @query("SELECT CAST(max(n) AS BIGINT) AS most FROM (SELECT count(*) AS n FROM events GROUP BY date_trunc('hour', ts))")
 def max_lines_per_bucket(spark, sf):
     return ring.most_in_bucket(_pos(spark, sf, "hour"))
@@ -269,37 +323,49 @@ phrases AS (SELECT phrase, count(*) AS cnt, min(epoch) AS created, max(epoch) AS
 """
 
 
-def _mined(spark, sf):
-    """(lines with tokens, terms, vectors with stops, vectors with phrases)."""
+def _vectors(spark, sf):
+    """(lines, vectors, terms): lines are tokenised once; what follows works on their vectors, written as a table."""
     lines = tokenised(event_lines(spark, sf))
-    t = terms.term_counts(lines)
-    stops = mining.stops(mining.ordered(mining.vectors(lines), t), _BORDER, _MIN)
-    return lines, t, stops, mining.templates(stops, _BORDER)
+    one = [F.min("seq").alias("seq"), F.min("epoch").alias("created"), F.max("epoch").alias("updated"), F.max(F.struct("seq", "value")).alias("last"), F.min(F.struct("seq", "value")).alias("first_line")]
+    vecs = written(mining.vectors(lines, None, *one))
+    return lines, vecs, terms.term_counts(vecs, "w")
+
 
+def _stops(vecs, t):
+    return mining.stops(mining.ordered(vecs.select("vid", "tokens", "w"), t), _BORDER, _MIN)
 
-def _line_phrases(spark, sf):
-    lines, t, _, found = _mined(spark, sf)
-    return lines.join(found.drop("w", "vid"), "tokens").withColumn("w", F.lit(1).cast("long")), t
+
+def _vector_phrases(spark, sf):
+    """(lines, vectors with phrases, terms)."""
+    lines, vecs, t = _vectors(spark, sf)
+    found = mining.templates(_stops(vecs, t), _BORDER).select("vid", "phrase", "hidden")
+    return lines, vecs.join(found, "vid"), t
+
+
+def _phrases(vecs):
+    return vecs.groupBy("phrase").agg(
+        F.sum("w").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated"), F.max("last")["value"].alias("last_value")
+    )
 
 
 @query(_MINE + "SELECT seq, CAST(stop AS BIGINT) AS stop, CAST(min_cnt AS BIGINT) AS min_cnt, CAST(least AS BIGINT) AS least FROM lines")
 def stop_index(spark, sf):
-    lines, _, stops, _ = _mined(spark, sf)
+    lines, vecs, t = _vectors(spark, sf)
     cols = [F.col(c).cast("long").alias(c) for c in ("stop", "min_cnt", "least")]
-    return lines.select("seq", "tokens").join(stops, "tokens").select("seq", *cols)
+    return lines.select("seq", mining.vector_id().alias("vid")).join(_stops(vecs, t).select("vid", *cols), "vid").drop("vid")
 
 
 @query(_MINE + "SELECT i + 1 AS depth, count(*) AS n_nodes, CAST(sum(node) AS BIGINT) AS weight FROM (SELECT DISTINCT key, i, node FROM p JOIN nodes USING (key)) GROUP BY i")
 def prefix_counts(spark, sf):
-    lines, t, _, _ = _mined(spark, sf)
-    pre = mining.prefixes(mining.ordered(mining.vectors(lines), t))
+    _, vecs, t = _vectors(spark, sf)
+    pre = mining.prefixes(mining.ordered(vecs.select("vid", "tokens", "w"), t))
     nodes = pre.groupBy("key").agg(F.min("i").alias("i"), F.sum("w").alias("node"))
     return nodes.groupBy("i").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("node").alias("weight")).select((F.col("i") + 1).cast("long").alias("depth"), "n_nodes", "weight")
 
 
 @query(_MINE + "SELECT phrase, cnt, created, updated, last_value FROM phrases")
 def phrase_counts(spark, sf):
-    return mining.phrases(_line_phrases(spark, sf)[0])
+    return _phrases(_vector_phrases(spark, sf)[1])
 
 
 _SCORED = _MINE + """, sc AS (SELECT phrase, avg(ln((SELECT sum(cnt) FROM terms) / tc.cnt) + 1) AS score
@@ -307,9 +373,10 @@ FROM (SELECT phrase, unnest(string_split(phrase, ' ')) AS term FROM phrases) x L
 
 
 def _scored(spark, sf):
-    lines, t = _line_phrases(spark, sf)
+    _, vecs, t = _vector_phrases(spark, sf)
+    t = written(t.select("term", "cnt"))
     total = t.agg(F.sum("cnt")).first()[0] or 0
-    return mining.scores(mining.phrases(lines), t, total)
+    return mining.scores(_phrases(vecs), t, total)
 
 
 @query(_SCORED + "SELECT phrase, cnt, round(coalesce(score, 0), 6) AS score FROM phrases LEFT JOIN sc USING (phrase)")
@@ -322,11 +389,21 @@ def top_n_rare(spark, sf):
     return mining.top_rare(_scored(spark, sf), 50, 2000).select("phrase", "cnt", F.round("score", 6).alias("score"))
 
 
-@query(_MINE + "SELECT seq, phrases.cnt AS cnt, phrase FROM lines JOIN phrases USING (phrase) WHERE phrases.cnt >= 2")
-def detect_counts(spark, sf):
-    lines, _ = _line_phrases(spark, sf)
-    n = lines.groupBy("phrase").agg(F.sum("w").alias("cnt"))
-    return lines.select("seq", "phrase").join(n, "phrase").where("cnt >= 2").select("seq", "cnt", "phrase")
+# What stands around a word in a line (fixed), as the subject's rule has it.
+_AROUND = mining.AROUND.replace("'", "''")
+_SUBJECT = _MINE + f""", f AS (SELECT phrase, arg_min(value, seq) AS value, arg_min(seq, seq) AS seq FROM lines GROUP BY phrase),
+w AS (SELECT phrase, value, list_filter(string_split(regexp_replace(value, '{_PAT}', ' ', 'g'), ' '), lambda x: x <> '') AS words, k.tokens AS tokens, string_split(phrase, ' ') AS shown FROM f JOIN k USING (seq, value)),
+g AS (SELECT phrase, value, list_filter(tokens, lambda x: NOT list_contains(shown, x)) || list_transform(list_filter(words, lambda x: x IN ({_STOP}) OR NOT list_contains(tokens, CASE WHEN strlen(lower(x)) > 1 THEN regexp_replace(lower(x), '\\.$', '') ELSE lower(x) END)), lambda x: lower(x)) AS gone,
+  string_split_regex(value, '{_AROUND}') AS parts, regexp_extract_all(value, '{_AROUND}') || [''] AS seps FROM w)
+"""
+
+
+@query(_SUBJECT + "SELECT phrase, regexp_replace(array_to_string(list_transform(list_zip(parts, seps), lambda p: CASE WHEN list_contains(gone, lower(p[1])) THEN '*' ELSE p[1] END || p[2]), ''), '\\*(?:[\\s\\t]*\\*)+', '*', 'g') AS subject FROM g")
+def subjects(spark, sf):
+    vecs = _vector_phrases(spark, sf)[1]
+    first = vecs.groupBy("phrase").agg(F.min_by(F.struct(F.col("first_line.value").alias("value"), "hidden"), "seq").alias("f"))
+    hidden = F.array_union(F.col("f.hidden"), tk.excluded(F.col("f.value")))
+    return first.select("phrase", mining.subject(F.col("f.value"), hidden).alias("subject"))
 
 
 @query(f"SELECT seq, CASE WHEN len(t) = 3 AND t[1] = 'user' THEN 'user * *' ELSE array_to_string(t, ' ') END AS phrase FROM (SELECT event_id AS seq, {_tokens_sql('m')} AS t FROM (SELECT event_id, 'user ' || event_type || ' n' || event_id || 'x' AS m FROM events))")
@@ -337,29 +414,198 @@ def custom_phrase_match(spark, sf):
     return mining.custom_match(lines, [["user", "*", "*"], ["user", "click", "*"]]).select("seq", "phrase")
 
 
-@query()
-def subjects(spark, sf):
-    lines, _ = _line_phrases(spark, sf)
-    first = lines.groupBy("phrase").agg(F.min_by(F.struct("value", "hidden"), "seq").alias("f"))
-    hidden = F.array_union(F.col("f.hidden"), tk.excluded(F.col("f.value")))
-    return first.select("phrase", mining.subject(F.col("f.value"), hidden).alias("subject"))
+def _again_sql(border):
+    """_MINE once more, over the last line of each phrase, which weighs as much as the phrase, with the terms of all lines."""
+    q = _MINE.replace(f"WITH l AS ({_L1}), k AS", f"{_MINE}, l2 AS (SELECT row_number() OVER (ORDER BY phrase) AS seq, last_value AS value, updated AS epoch, cnt AS w FROM phrases), k2 AS", 1)
+    head, tail = q[: q.index(", k2 AS")], q[q.index(", k2 AS") :]
+    tail = tail.replace("FROM l)", "FROM l2)").replace("k2 AS (SELECT seq, value, epoch,", "k2 AS (SELECT seq, value, epoch, w,", 1)
+    tail = tail.replace("terms AS (SELECT term, count(*) AS cnt, min(seq * 100000 + pos) AS first FROM e WHERE term <> '*' GROUP BY term),\n", "")
+    for name in ("e", "c", "s", "p", "nodes", "z", "h", "r", "stop", "kept", "lines", "phrases"):
+        tail = re.sub(rf"(?<![\w.]){name}(?= AS \()|(?<=FROM ){name}\b|(?<=JOIN ){name}\b|(?<![\w.]){name}(?=\.\w)", f"{name}2", tail)
+    tail = re.sub(r"(?<=FROM )k\b|(?<=JOIN )k\b|(?<![\w.])k(?=\.\w)", "k2", tail)
+    tail = tail.replace("nodes2 AS (SELECT key, count(*) AS node FROM p2 GROUP BY key)", "nodes2 AS (SELECT key, sum(w) AS node FROM p2 JOIN k2 USING (seq) GROUP BY key)")
+    tail = tail.replace("lines2 AS (SELECT k2.seq, k2.value, k2.epoch,", "lines2 AS (SELECT k2.seq, k2.w,")
+    tail = re.sub(r"phrases2 AS \(.*?\)\n", "phrases2 AS (SELECT phrase, CAST(sum(w) AS BIGINT) AS cnt FROM lines2 GROUP BY phrase)\n", tail)
+    return head + tail.replace(f"cnt < {_BORDER}", f"cnt < {border}").replace(f"cnt >= {_BORDER}", f"cnt >= {border}")
 
 
-@query()
+@query(_again_sql(2 * _BORDER) + "SELECT phrase, cnt FROM phrases2")
 def rearranged_phrases(spark, sf):
     """The phrases again under a higher border, from one exemplar line each, weighted by its count."""
-    lines, t = _line_phrases(spark, sf)
-    p = mining.phrases(lines).select(F.xxhash64("phrase").alias("seq"), F.col("last_value").alias("value"), F.col("updated").alias("epoch"), F.col("cnt").alias("w"))
-    again = tokenised(p)
-    found = mining.mine(again, t, 2 * _BORDER, _MIN, weight="w")
-    return mining.phrases(again.join(found.drop("w", "vid"), "tokens")).select("phrase", "cnt")
+    _, vecs, t = _vector_phrases(spark, sf)
+    p = _phrases(vecs).select(F.xxhash64("phrase").alias("seq"), F.col("last_value").alias("value"), F.col("cnt").alias("w"))
+    again = mining.vectors(tokenised(p), "w")
+    return mining.mined(again, t, 2 * _BORDER, _MIN).groupBy("phrase").agg(F.sum("w").alias("cnt"))
+
+
+# --- the miner itself ------------------------------------------------------------------
+
+_fed: dict = {}
+
+
+def event_log(spark, sf):
+    """The event lines as a log: each at its own time, in the order of their ids."""
+    e = event_lines(spark, sf)
+    return e.select(F.lit("events").alias("file"), F.col("epoch").alias("mtime"), F.lit(0).cast("long").alias("part"), F.col("seq").alias("at"), "value")
+
+
+def miner(spark, sf) -> Miner:
+    """A miner that was fed the events in two batches, the second of them twice; fed once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fed:
+        m = Miner(spark, scratch(spark), Settings(border=_BORDER, min_rate=_MIN, frequency="day"))
+        lines = event_log(spark, sf)
+        for n in (0, 1, 1):
+            m.feed(lines=lines.where(F.col("at") % 2 == n), batch_of=("events", n))
+        _fed[key] = m.store.root
+    return Miner(spark, _fed[key])
+
+
+@query(f"{_MINE} SELECT term, cnt FROM terms")
+def miner_terms(spark, sf):
+    return miner(spark, sf).terms().select("term", "cnt")
+
+
+@query("SELECT CAST(year(ts) * 1000 + dayofyear(ts) AS BIGINT) AS block, dense_rank() OVER (ORDER BY CAST(ts AS DATE)) - 1 AS block_seq, CAST(max(floor(epoch(ts))) AS BIGINT) AS last_epoch, count(*) AS lines, CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM events) AS completed FROM events GROUP BY CAST(ts AS DATE), year(ts), dayofyear(ts)")
+def ring_status(spark, sf):
+    return miner(spark, sf).store.status()
+
+
+_DAY_TERMS = f"SELECT CAST(year(make_timestamp(epoch * 1000000)) * 1000 + dayofyear(make_timestamp(epoch * 1000000)) AS BIGINT) AS block, term, count(*) AS cnt FROM (SELECT epoch, unnest({_tokens_sql()}) AS term FROM ({_L1})) WHERE term <> '*' GROUP BY ALL"
 
 
-@query(f"{_TERMS} SELECT term, cnt FROM terms WHERE term IN (SELECT unnest({_tokens_sql()}) FROM (SELECT value FROM l ORDER BY seq LIMIT 1))")
+@query(f"SELECT * FROM ({_DAY_TERMS}) WHERE block IN (SELECT DISTINCT block FROM ({_DAY_TERMS}) ORDER BY block LIMIT 3)")
+def ring_scan(spark, sf):
+    """The first three blocks of the ring, which are the only folders read."""
+    store = miner(spark, sf).store
+    first = [r.block for r in store.status().orderBy("block").limit(3).collect()]
+    return store.read("terms", first).groupBy("block", "term").agg(F.sum("cnt").alias("cnt"))
+
+
+@query(f"SELECT term, cnt FROM ({_DAY_TERMS}) WHERE block = (SELECT max(block) FROM ({_DAY_TERMS}))")
+def ring_current_block(spark, sf):
+    return miner(spark, sf).store.current("terms").groupBy("term").agg(F.sum("cnt").alias("cnt"))
+
+
+@query(f"SELECT count(*) AS n FROM (SELECT DISTINCT block FROM ({_DAY_TERMS}) WHERE term LIKE 'user1%')")
+def ring_count(spark, sf):
+    """How many blocks hold a term that begins so: the rows of a ring that was fed in one go for each day."""
+    store = miner(spark, sf).store
+    hits = store.read("terms").where(F.col("term").startswith("user1"))
+    return hits.agg(F.countDistinct("block").alias("n"))
+
+
+@query(f"SELECT count(*) AS n FROM (SELECT DISTINCT seq % 2, block, term FROM (SELECT seq, CAST(floor(epoch / 86400) AS BIGINT) AS block, unnest({_tokens_sql()}) AS term FROM ({_L1})) WHERE term <> '*' AND term LIKE 'user%')")
+def ring_count_rows(spark, sf):
+    return miner(spark, sf).store.count("terms", F.col("term").startswith("user"))
+
+
+@query(_MINE + "SELECT value, phrase, phrases.cnt AS cnt FROM lines JOIN phrases USING (phrase) WHERE phrases.cnt >= 2")
+def detect_counts(spark, sf):
+    m = Miner(spark, scratch(spark), Settings(border=_BORDER, min_rate=_MIN))
+    return m.detect(lines=event_log(spark, sf), least=2).select("value", "phrase", "cnt")
+
+
+@query(f"{_MINE} SELECT term, coalesce(max(terms.cnt), 0) AS cnt, max(x.phrase) AS phrase FROM (SELECT unnest(tokens) AS term, array_to_string(tokens, ' ') AS phrase FROM k ORDER BY seq LIMIT (SELECT len(tokens) FROM k ORDER BY seq LIMIT 1)) x LEFT JOIN terms USING (term) WHERE term <> '*' GROUP BY term")
 def analyze_line(spark, sf):
-    lines = document_lines(spark, sf)
-    one = tokenised(lines.orderBy("seq").limit(1)).select(F.explode(F.array_distinct("tokens")).alias("term"))
-    return _terms(spark, sf).join(one, "term", "left_semi").select("term", "cnt")
+    """The first event's line: its template, and the counts of its terms."""
+    first = event_lines(spark, sf).orderBy("seq").limit(1).first()["value"]
+    phrase, counts = miner(spark, sf).analyze_line(first)
+    return counts.select("term", "cnt", F.lit(phrase).alias("phrase"))
+
+
+@query(f"{_MINE} SELECT cnt AS term_count, count(*) AS n_terms FROM terms GROUP BY cnt ORDER BY cnt DESC LIMIT 20")
+def miner_term_counts(spark, sf):
+    return miner(spark, sf).term_counts(20).select("term_count", "n_terms")
+
+
+@query(_SCORED + "SELECT phrase AS text, cnt, round(coalesce(score, 0), 6) AS score FROM phrases LEFT JOIN sc USING (phrase) WHERE cnt <= 100000 AND updated >= (SELECT max(updated) FROM phrases) - 5 * 86400 AND regexp_matches(last_value, 'click|view') AND NOT regexp_matches(last_value, 'nothing') ORDER BY coalesce(score, 0) DESC, phrase LIMIT 7")
+def miner_top_n(spark, sf):
+    """The rarest-worded phrases of the last five days whose last line passes the filters."""
+    m = Miner(spark, scratch(spark), Settings(border=_BORDER, min_rate=_MIN))
+    m.feed(lines=event_log(spark, sf))
+    m.settings.include, m.settings.exclude = ["click|view"], ["nothing"]
+    return m.top_n(7, 100_000, days=5).select("text", "cnt", F.round("score", 6).alias("score"))
+
+
+@query(_MINE + "SELECT strftime(make_timestamp(created * 1000000), '%Y-%m-%d %H:%M:%S') AS Created, strftime(make_timestamp(updated * 1000000), '%Y-%m-%d %H:%M:%S') AS Updated, cnt AS Count FROM phrases ORDER BY cnt DESC, phrase LIMIT 3")
+def output_phrases(spark, sf):
+    m = Miner(spark, scratch(spark), Settings(border=_BORDER, min_rate=_MIN))
+    m.feed(lines=event_log(spark, sf))
+    return m.output_phrases(3).select("Created", "Updated", "Count")
+
+
+# --- sources and stores -----------------------------------------------------------------
+
+
+@query("SELECT event_type AS kind, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line_no, CAST(event_id AS VARCHAR) || ' ' || props AS value FROM events WHERE event_id % 5 <> 0")
+def log_files(spark, sf):
+    """Events as gzip files by type, with blank lines and carriage returns, read back as numbered lines."""
+    path = scratch(spark)
+    blank = F.col("event_id") % 5 == 0
+    line = F.when(blank, "").otherwise(F.concat(F.col("event_id").cast("string"), F.lit(" "), F.col("props"), F.lit("\r")))
+    out = _t(spark, sf, "events").select("event_type", "event_id", line.alias("value"))
+    out = out.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value")
+    out.write.partitionBy("event_type").option("compression", "gzip").text(path)
+    lines = logs.numbered(logs.drop_blank(logs.read_lines(spark, f"{path}/*/*.gz")))
+    return lines.select(F.regexp_extract("file", "event_type=([^/]*)", 1).alias("kind"), F.col("line_no").cast("long").alias("line_no"), "value")
+
+
+def document_files(spark, sf):
+    """Every document as a file of numbered lines, blank ones too; its id is its time."""
+    at = F.posexplode(F.split("text", "\n", -1)).alias("at", "value")
+    lines = _t(spark, sf, "documents").select("doc_id", "text").select("doc_id", at)
+    name = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    return logs.numbered(lines.select("doc_id", name.alias("file"), F.col("doc_id").alias("mtime"), F.lit(0).cast("long").alias("part"), "at", "value"))
+
+
+@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY doc_id ORDER BY doc_id LIMIT 50")
+def line_counts(spark, sf):
+    """The number of lines of each of the first 50 files."""
+    return logs.count_files(document_files(spark, sf), first=50).select(F.col("mtime").alias("doc_id"), "n")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, h FROM nation, (SELECT unnest(['with', 'without']) AS h)")
+def csv_tables(spark, sf):
+    """The nations as CSV with a header and as gzip CSV without one, read back."""
+    df = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
+    a, b = scratch(spark), scratch(spark)
+    df.write.csv(a, header=True)
+    df.write.csv(b, compression="gzip")
+    one, two = logs.read_table(spark, a), logs.read_table(spark, b, ["id", "name"])
+    return one.withColumn("h", F.lit("with")).unionByName(two.withColumn("h", F.lit("without")))
+
+
+@query("SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS at_, r_name AS word FROM region")
+def word_list(spark, sf):
+    path = scratch(spark)
+    logs.write_words(spark, [r.r_name for r in _t(spark, sf, "region").orderBy("r_regionkey").collect()], path)
+    return spark.createDataFrame(list(enumerate(logs.read_words(spark, path))), "at_ long, word string")
+
+
+@query(f"SELECT id, CASE WHEN id < 5 THEN 'x' ELSE name END AS name, grp FROM ({_N} UNION ALL {_N}) WHERE grp <> 2")
+def table_store(spark, sf):
+    """A table made, filled in two appends, changed and reread from its store."""
+    store, rows = table.Store(spark, scratch(spark)), _nations(spark, sf)
+    store.create("nations", "id long, name string, grp long")
+    store.append("nations", rows)
+    store.append("nations", rows)
+    store.write("nations", table.delete(store.read("nations"), F.col("grp") == 2))
+    store.write("nations", table.update(store.read("nations"), {"name": "x"}, F.col("id") < 5))
+    return store.read("nations")
+
+
+@query(f"SELECT seq FROM ({_L2}) WHERE doc_id > 100 OR (doc_id = 100 AND seq % 1000000 >= 2)")
+def resume_offset(spark, sf):
+    """What is new after the second line of file 100."""
+    new = logs.drop_blank(logs.select_new(document_files(spark, sf), 100, f"{100:012d}", 2))
+    return new.select((F.col("doc_id") * 1000000 + F.col("line_no") - 1).alias("seq"))
+
+
+@query(f"SELECT seq FROM ({_L2}) ORDER BY seq LIMIT 500")
+def line_limit(spark, sf):
+    lines = logs.drop_blank(document_files(spark, sf)).orderBy("mtime", "file", "line_no").limit(500)
+    return lines.select((F.col("doc_id") * 1000000 + F.col("line_no") - 1).alias("seq"))
 
 
 # --- blocks -----------------------------------------------------------------------------
@@ -415,10 +661,3 @@ def history_long(spark, sf):
 @query(f'{_HIST}, t AS (SELECT unnest(range(min(at_), max(at_) + 1, 86400)) AS a FROM h) SELECT a AS "at", CAST(sum(cnt) FILTER (phrase = \'click\') AS BIGINT) AS p1, CAST(sum(cnt) FILTER (phrase = \'view\') AS BIGINT) AS p2 FROM t LEFT JOIN h ON a = at_ GROUP BY a')
 def history_pivot(spark, sf):
     return ring.history_grid(_history(spark, sf), ["click", "view"], 86400)
-
-
-@query(f"SELECT seq FROM ({_L2}) WHERE doc_id > 100 OR (doc_id = 100 AND seq % 1000000 >= 2)")
-def resume_offset(spark, sf):
-    lines = document_lines(spark, sf)
-    at = F.col("seq") % 1000000 + 1
-    return lines.where((F.col("doc_id") > 100) | ((F.col("doc_id") == 100) & (at > 2))).select("seq")
