@@ -10,23 +10,28 @@ With c the count of the history h and b its size class (floor of log2 c),
 where 1 - lambda_b is the Good-Turing mass of unseen continuations: the share of
 bigrams that occur once among all bigram tokens with such a history.
 
+Counts read back are the mean of their level, so the probabilities of a history's
+continuations sum to one only about; scores compare texts under one model.
+
 The filter is cut by hash into sub-filters of at most about a million bigrams each,
-which tasks build side by side; vocabulary and filter are broadcast in shards of
-bounded size, one pass over the texts for each shard, with the counts found so far
-carried along. A corpus whose model fits one shard is scored in a single pass.
+which tasks build side by side; vocabulary and filter are written by piece, so that each
+is read once, and broadcast in shards of bounded size, one pass over the texts for each
+shard. A corpus whose model fits one shard is scored in a single pass; otherwise each
+pass leaves the counts it found, which are brought together by row.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extend, materialise, mix, prepare, remainder, revive, shielded, slices, token_hashes
+from .common import discard, extend, materialise, mix, prepare, remainder, revive, shared_dir, shielded, slices, token_hashes
 
 #: Counts from BASE**(q - 1) on and below BASE**q are of level q.
 BASE = 1.5
@@ -39,17 +44,15 @@ PIECE_BYTES = 12 << 20
 #: Pieces of either that a task holds in one pass.
 SHARD_PIECES = 12
 SUB_FILTERS, SUB_BIGRAMS = 64, 1_000_000
+#: Sub-filters in one folder.
+FOLDER_SUBS = 8
+_NEW = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 #: Tokens that a task counts before it passes counts on.
 COUNT_TOKENS = 1_000_000
 CLASSES = 48
 
 END = np.uint64(0x2545F4914F6CDD1D)
 
-#: Broadcasts of the last model; executors drop their copies when the next one is built, and
-#: fetch them again if an earlier result is still evaluated.
-_earlier: list = []
-
-
 def level(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(count) / math.log(BASE) + 1e-9).astype(np.int64)
 
@@ -129,8 +132,17 @@ def piece_of(h: np.ndarray, pieces: int) -> np.ndarray:
     return (h >> np.uint64(32)) % np.uint64(pieces)
 
 
-def load_vocabulary(table: DataFrame, piece: int, pieces: int):
-    t = table.where(F.pmod(F.shiftrightunsigned("h", 32), F.lit(pieces)) == piece).toArrow()
+def by_piece(table: DataFrame, piece: Column, tasks: int) -> DataFrame:
+    """table written in folders by `piece`, which becomes its column _piece."""
+    path = f"{shared_dir(table.sparkSession)}/gleaner/{uuid.uuid4().hex}"
+    table.withColumn("_piece", piece.cast("int")).repartition(tasks, "_piece").write.partitionBy("_piece").parquet(path)
+    schema = T.StructType([*table.schema.fields, T.StructField("_piece", T.IntegerType())])
+    return table.sparkSession.read.schema(schema).parquet(path)
+
+
+def load_vocabulary(table: DataFrame, piece: int):
+    """One folder's rows, sorted by hash."""
+    t = table.where(F.col("_piece") == piece).select("h", "c").toArrow()
     h, c = t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy()
     order = np.argsort(h)
     c = c.astype(np.int32) if not len(c) or c.max() < 1 << 31 else c
@@ -285,91 +297,127 @@ def score(
     n_train, v_train = total["n"], total["v"]
     pieces = max(1, -(-v_train // piece_tokens))
     subs = max(SUB_FILTERS, -(-n_train // SUB_BIGRAMS))
-    while _earlier:
-        _earlier.pop().unpersist()
-
-    def share(value):
-        _earlier.append(spark.sparkContext.broadcast(value))
-        return _earlier[-1]
-
+    share = spark.sparkContext.broadcast
+    ends = vocabulary.where(F.col("h") == int(END)).first()
+    counted = vocabulary
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vocabulary = by_piece(counted, F.pmod(F.shiftrightunsigned("h", 32), F.lit(pieces)), min(pieces, tasks))
+    discard(counted)
     # The driver holds one piece at a time; the broadcasts themselves live in files.
-    words = [share(load_vocabulary(vocabulary, k, pieces)) for k in range(pieces)]
+    words = [share(load_vocabulary(vocabulary, k)) for k in range(pieces)]
     v_shards = [list(range(k, min(k + shard_pieces, pieces))) for k in range(0, pieces, shard_pieces)]
     rows = None
     for group in v_shards:
         more = bigram_rows(train, text_col, [words[k] for k in group], group, pieces)
         rows = more if rows is None else rows.union(more)
-    table = materialise(build(rows, subs))
+    table = by_piece(build(rows, subs), F.floor(F.col("p") / FOLDER_SUBS), min(tasks, -(-subs // FOLDER_SUBS)))
     at = [F.sum(F.get("tokens", F.lit(i))).alias(f"t{i}") for i in range(CLASSES)]
     once = [F.sum(F.get("once", F.lit(i))).alias(f"o{i}") for i in range(CLASSES)]
     sums = table.agg(*at, *once).first()
     seen = np.array(
         [min(0.999, max(0.001, 1 - sums[f"o{i}"] / sums[f"t{i}"])) if sums[f"t{i}"] else 0.0 for i in range(CLASSES)]
     )
-    ends = vocabulary.where(F.col("h") == int(END)).first()
     constants = (n_train, v_train, seen, ends["c"] if ends else 0, level_counts())
 
     sizes = {r["p"]: r["n"] for r in table.select("p", F.octet_length("filter").alias("n")).collect()}
     filters = []
     for group in _groups(sizes, piece_bytes):
-        some = table.where(F.col("p").isin(group)).select("p", "bits", "filter").collect()
+        folders = F.col("_piece").between(group[0] // FOLDER_SUBS, group[-1] // FOLDER_SUBS)
+        some = table.where(folders & F.col("p").between(group[0], group[-1])).select("p", "bits", "filter").collect()
         filters.append(share(vars(Filter([tuple(r) for r in some], subs))))
         del some
     f_shards = [filters[k : k + shard_pieces] for k in range(0, len(filters), shard_pieces)]
     passes = max(len(v_shards), len(f_shards))
-    final = [
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("n_known", T.LongType()),
-        T.StructField("train_tokens", T.LongType()),
-        T.StructField("base_score", T.DoubleType()),
-        T.StructField("score", T.DoubleType()),
-    ]
-    carry = [T.StructField("_counts", T.BinaryType()), T.StructField("_levels", T.BinaryType())]
-    out = docs
+    final = [T.StructField(n, T.LongType() if k < 3 else T.DoubleType()) for k, n in enumerate(_NEW)]
+    if passes == 1:
+        return extend(docs, _scorer(docs.columns.index(text_col), words, filters, constants, pieces), final)
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = None
     for k in range(passes):
         voc = [words[i] for i in v_shards[k]] if k < len(v_shards) else []
         filt = f_shards[k] if k < len(f_shards) else []
-        last = k == passes - 1
-        make = _pass(list(out.columns), text_col, voc, filt, k > 0, last, constants, pieces)
-        out = extend(out, make, final if last else carry, drop=("_counts", "_levels"))
-        if not last:
-            out = materialise(out)
-    return out
-
-
-def _pass(columns, text_col, voc, filt, carried, last, constants, pieces):
-    at = columns.index(text_col)
+        some = rows.select("_row", text_col).mapInArrow(_finder(voc, filt, pieces), _FOUND)
+        found = some if found is None else found.union(some)
+    one = F.struct("n", "at", "c", "bigram_at", "q")
+    gathered = found.groupBy("_row").agg(F.collect_list(one).alias("found"))
+    scored = gathered.mapInArrow(_gatherer(constants), T.StructType([T.StructField("_row", T.LongType()), *final]))
+    names = {f.name for f in final}
+    kept = [c for c in docs.columns if c.lower() not in names]
+    return rows.select(*kept, "_row").join(scored, "_row").select(*kept, *[f.name for f in final])
+
+
+def _counts(column: pa.Array, words, filters, pieces):
+    """(rows from, tokens each row, counts, levels) of slices of a text column."""
+    for i, _, size, seq, before in sequences(column):
+        u, inverse = np.unique(seq, return_inverse=True)
+        c = look_up(u, words, pieces)[inverse]
+        u, inverse = np.unique(bigram(before, seq), return_inverse=True)
+        q = np.zeros(len(u), np.uint8)
+        for f in filters:
+            q = np.maximum(q, f.levels(u))
+        yield i, size, c, q[inverse]
+
+
+def _scorer(at, voc, filt, constants, pieces):
+    """For a single pass: the scores of each batch."""
 
     def make():
-        words = [b.value for b in voc]
-        filters = [revive(Filter, b.value) for b in filt]
+        words, filters = [b.value for b in voc], [revive(Filter, b.value) for b in filt]
 
         def step(batch):
-            done = []
-            if carried:
-                old_c, old_q = (batch.column(columns.index(c)).to_pylist() for c in ("_counts", "_levels"))
-            for i, j, size, seq, before in sequences(batch.column(at)):
-                u, inverse = np.unique(seq, return_inverse=True)
-                c = look_up(u, words, pieces)[inverse]
-                u, inverse = np.unique(bigram(before, seq), return_inverse=True)
-                q = np.zeros(len(u), np.uint8)
-                for f in filters:
-                    q = np.maximum(q, f.levels(u))
-                q = q[inverse]
-                if carried:
-                    c = c + np.frombuffer(b"".join(old_c[i:j]), np.int64)
-                    q = np.maximum(q, np.frombuffer(b"".join(old_q[i:j]), np.uint8))
-                done.append((size, c, q))
-            if last:
-                return _scores([_evaluate(*d, constants) for d in done], constants[0])
-            cut = [(c[z - n : z], q[z - n : z]) for size, c, q in done for n, z in zip(size, np.cumsum(size))]
-            return [pa.array([x[k].tobytes() for x in cut], pa.binary()) for k in (0, 1)]
+            return _scores([_evaluate(*x, constants) for _, *x in _counts(batch.column(at), words, filters, pieces)], constants[0])
 
         return step
 
     return make
 
 
+#: What a pass finds of a text: its number of tokens, places (int32) and counts (int64) of
+#: tokens whose piece it had, places and levels (bytes) of bigrams that its filters hold.
+_FOUND = "_row long, n int, at binary, c binary, bigram_at binary, q binary"
+
+
+def _finder(voc, filt, pieces):
+    def run(batches):
+        words, filters = [b.value for b in voc], [revive(Filter, b.value) for b in filt]
+        for batch in batches:
+            for i, size, c, q in _counts(batch.column(1), words, filters, pieces):
+                cut = np.cumsum(size)
+                parts = [(c[z - n : z], q[z - n : z]) for n, z in zip(size, cut)]
+                places = [(np.flatnonzero(x).astype(np.int32), np.flatnonzero(y).astype(np.int32)) for x, y in parts]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(i, len(size)),
+                        pa.array(size, pa.int32()),
+                        pa.array([a.tobytes() for a, _ in places], pa.binary()),
+                        pa.array([x[a].astype(np.int64).tobytes() for (x, _), (a, _) in zip(parts, places)], pa.binary()),
+                        pa.array([b.tobytes() for _, b in places], pa.binary()),
+                        pa.array([y[b].tobytes() for (_, y), (_, b) in zip(parts, places)], pa.binary()),
+                    ],
+                    names=["_row", "n", "at", "c", "bigram_at", "q"],
+                )
+
+    return run
+
+
+def _gatherer(constants):
+    def run(batches):
+        for batch in batches:
+            done = []
+            for found in batch.column(1).to_pylist():
+                n = found[0]["n"]
+                c, q = np.zeros(n, np.int64), np.zeros(n, np.uint8)
+                for f in found:
+                    c[np.frombuffer(f["at"], np.int32)] = np.frombuffer(f["c"], np.int64)
+                    at = np.frombuffer(f["bigram_at"], np.int32)
+                    q[at] = np.maximum(q[at], np.frombuffer(f["q"], np.uint8))
+                done.append(_evaluate(np.array([n]), c, q, constants))
+            if done:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *_scores(done, constants[0])], names=["_row", *_NEW])
+
+    return run
+
+
 def _evaluate(size, c, q, constants):
     n, v, share, ends, counts = constants
     first = np.cumsum(size) - size
