@@ -48,7 +48,7 @@ SUB_FILTERS, SUB_BIGRAMS = 64, 1_000_000
 FOLDER_SUBS = 8
 _NEW = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 #: Tokens that a task counts before it passes counts on.
-COUNT_TOKENS = 1_000_000
+COUNT_TOKENS = 600_000
 CLASSES = 48
 
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -132,10 +132,11 @@ def piece_of(h: np.ndarray, pieces: int) -> np.ndarray:
     return (h >> np.uint64(32)) % np.uint64(pieces)
 
 
-def by_piece(table: DataFrame, piece: Column, tasks: int) -> DataFrame:
-    """table written in folders by `piece`, which becomes its column _piece."""
+def by_piece(table: DataFrame, piece: Column, tasks: int = 0) -> DataFrame:
+    """table written in folders by `piece`, which becomes its column _piece; dealt by it over so many tasks, or as it is."""
     path = f"{shared_dir(table.sparkSession)}/gleaner/{uuid.uuid4().hex}"
-    table.withColumn("_piece", piece.cast("int")).repartition(tasks, "_piece").write.partitionBy("_piece").parquet(path)
+    out = table.withColumn("_piece", piece.cast("int"))
+    (out.repartition(tasks, "_piece") if tasks else out).write.partitionBy("_piece").parquet(path)
     schema = T.StructType([*table.schema.fields, T.StructField("_piece", T.IntegerType())])
     return table.sparkSession.read.schema(schema).parquet(path)
 
@@ -310,7 +311,7 @@ def score(
     for group in v_shards:
         more = bigram_rows(train, text_col, [words[k] for k in group], group, pieces)
         rows = more if rows is None else rows.union(more)
-    table = by_piece(build(rows, subs), F.floor(F.col("p") / FOLDER_SUBS), min(tasks, -(-subs // FOLDER_SUBS)))
+    table = by_piece(build(rows, subs), F.floor(F.col("p") / FOLDER_SUBS))
     at = [F.sum(F.get("tokens", F.lit(i))).alias(f"t{i}") for i in range(CLASSES)]
     once = [F.sum(F.get("once", F.lit(i))).alias(f"o{i}") for i in range(CLASSES)]
     sums = table.agg(*at, *once).first()
