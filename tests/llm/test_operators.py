@@ -674,6 +674,40 @@ def test_quality(spark):
     assert all(r.llr == 0 for r in quality.judge(docs, trusted.limit(0)).collect())
 
 
+def test_quality_ratio_matches_brute_force(spark):
+    """Mean log-likelihood ratios of hashed uni- and bigrams, by a plain count."""
+    rows = [(i, t) for i, t in corpus(9) if i is not None and len(t or "") < 5000][:40] + [(400, "Über x2 -- a#b, ÜBER"), (401, None), (402, "")]
+    trusted = rows[:10]
+    n = 64
+
+    def signed_hash(x, seed):
+        h = xxhash.xxh64_intdigest(x.encode(), seed)
+        return h - (1 << 64) if h >> 63 else h
+
+    def grams(t):
+        w = regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+", (t or "").lower())
+        one = [signed_hash(x, 42) for x in w]
+        return [h % n for h in one] + [signed_hash(y, h % (1 << 64)) % n for h, y in zip(one, w[1:])]
+
+    def shares(of):
+        c = Counter(g for _, t in of for g in grams(t))
+        return [math.log((c[b] + 1) / (sum(c.values()) + n)) for b in range(n)]
+
+    ratio = [round(a - b, 4) for a, b in zip(shares(trusted), shares(rows))]
+    frame_of = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    for r in quality.judge(frame_of(rows), frame_of(trusted), buckets=n, threshold=0.01).collect():
+        g = grams(r.text)
+        want = sum(ratio[b] for b in g) / len(g) if g else 0.0
+        assert abs(r.llr - want) < 1e-3 and r.kept == (not r.base_failed and r.llr >= 0.01)
+
+
+def test_trusted_sample_of_clashing_columns(spark):
+    docs = helpers_frame(spark, spark.createDataFrame([(i, "t") for i in range(4)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, None), (3, 1)], "doc_id long, quality int")
+    got = quality.trusted_sample(docs, labels, "doc_id", 10)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {1, 3}
+
+
 def test_trusted_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, "t") for i in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (1, 1)], "doc_id long, quality int")
