@@ -81,10 +81,13 @@ class Ledger:
     # --- changing ---
 
     def write_part(self, table: str, df: DataFrame) -> dict:
-        """Writes rows (with block) as a new part, which counts from the commit that names it on."""
+        """Writes rows (with block) as a new part, which counts from the commit that names it on.
+
+        A block's rows are put together, but those of a large block are split over several tasks.
+        """
         name = uuid.uuid4().hex
         path = f"{self.root}/{table}/part={name}"
-        df.repartition("block").write.partitionBy("block").parquet(path)
+        df.hint("rebalance", "block").write.partitionBy("block").parquet(path)
         blocks = [r[0] for r in self.spark.read.parquet(path).select(F.col("block").cast("long")).distinct().collect()]
         return {"id": name, "blocks": sorted(blocks)}
 
