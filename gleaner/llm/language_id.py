@@ -104,36 +104,45 @@ class Segments:
     def __init__(self, size: np.ndarray, begin: np.ndarray, found: list):
         self.size, self.begin, self.slots = size, begin, int(size.sum()) + len(size)
         self.found = [(slot, piece) for _, slot, piece in found]
-        # Places with equal distance from the begin and equal length: (distance, length, from, to).
-        rows = [np.zeros((0, 4), np.int64)]
-        for n, (far, _, _) in enumerate(found, 1):
+        # Places with equal distance from the begin and equal length: (distance, length, from, to, first slot and piece).
+        rows = [np.zeros((0, 6), np.int32)]
+        for n, (far, slot, piece) in enumerate(found, 1):
             if len(far):
                 cut = np.r_[0, np.flatnonzero(np.diff(far)) + 1, len(far)]
-                rows.append(np.stack([far[cut[:-1]], np.full(len(cut) - 1, n), cut[:-1], cut[1:]], 1).astype(np.int64))
+                at = cut[:-1]
+                rows.append(np.stack([far[at], np.full(len(at), n), at, cut[1:], slot[at], piece[at]], 1).astype(np.int32))
         groups = np.concatenate(rows)
         self.groups = groups[np.lexsort((groups[:, 1], groups[:, 0]))]
 
     def steps(self, backwards: bool = False):
-        """(length, slots of ends, pieces), so that all that a place builds on has come before."""
+        """(length, slots of ends, pieces), so that all that a place builds on has come before.
+
+        A place without others beside it, as most are in a long word, comes as plain numbers.
+        """
         groups = self.groups[::-1] if backwards else self.groups
         for k in range(0, len(groups), 100_000):
-            for _, n, a, z in groups[k : k + 100_000].tolist():
-                slot, piece = self.found[n - 1]
-                yield n, slot[a:z], piece[a:z]
+            for _, n, a, z, slot, piece in groups[k : k + 100_000].tolist():
+                if z - a == 1:
+                    yield n, slot, piece
+                else:
+                    slots, names = self.found[n - 1]
+                    yield n, slots[a:z], names[a:z]
 
     def forward(self, log_p: np.ndarray) -> np.ndarray:
         """Logarithms of the sums over segmentations up to each slot: slots x languages."""
         a = np.full((self.slots, log_p.shape[1]), -np.inf)
         a[self.begin] = 0
         for n, slot, piece in self.steps():
-            a[slot] = np.logaddexp(a[slot], a[slot - n] + log_p[piece])
+            here = a[slot]  # of a single place a view, which spares the copies
+            a[slot] = np.logaddexp(here, a[slot - n] + log_p[piece], out=here)
         return a
 
     def backward(self, log_p: np.ndarray) -> np.ndarray:
         b = np.full((self.slots, log_p.shape[1]), -np.inf)
         b[self.begin + self.size] = 0
         for n, slot, piece in self.steps(backwards=True):
-            b[slot - n] = np.logaddexp(b[slot - n], b[slot] + log_p[piece])
+            here = b[slot - n]
+            b[slot - n] = np.logaddexp(here, b[slot] + log_p[piece], out=here)
         return b
 
     def log_words(self, log_p: np.ndarray) -> np.ndarray:
