@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, lm_scoring, mixing, paragraph_dedup, pii, quality, simhash, url_filter
+from . import (
+    collocations,
+    decontamination,
+    language_id,
+    licenses,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    paragraph_dedup,
+    pii,
+    quality,
+    simhash,
+    url_filter,
+    vector_codes,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +88,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +113,9 @@ QUERIES = {
         op8_substring_dedup,
         op9_quality_rules,
         op10_simhash,
+        op11_vector_codes,
+        op12_collocations,
+        op13_licenses,
     )
 }
 
@@ -174,4 +203,106 @@ WITH r(verdict, rh, rp) AS (
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
 """
 
-ORACLE_SQL = {"op7_url_filter": _OP7, "op1_decontamination": _OP1, "op5_line_dedup": _OP5}
+
+
+def _op11(rounds: int = vector_codes.ROUNDS) -> str:
+    best = """a{r} AS MATERIALIZED (
+  SELECT vec_id, p, min({{'d': d, 'e': e}}) AS best FROM (
+    SELECT vec_id, x.p, e, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b{r} USING (p)
+  ) GROUP BY vec_id, p
+)"""
+    step = """s{r} AS (
+  SELECT p, best.e AS e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS y FROM a{r} JOIN x USING (vec_id, p)
+), m{r} AS (
+  SELECT p, e, list((t - ((t % n) + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT p, e, i, CAST(sum(y) AS BIGINT) AS t, count(*) AS n FROM s{r} GROUP BY ALL) GROUP BY p, e
+), b{n} AS MATERIALIZED (SELECT p, e, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (p, e))"""
+    ctes = []
+    for r in range(rounds):
+        ctes += [best.format(r=r), step.format(r=r, n=r + 1)]
+    ctes.append(best.format(r=rounds))
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(CAST(y AS DOUBLE) * 1024) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, p, w[p * (len(w) // 4) + 1:(p + 1) * (len(w) // 4)] AS v FROM k, (SELECT unnest(range(4)) AS p)
+), f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT 256),
+b0 AS MATERIALIZED (SELECT p, e, v AS c FROM x JOIN f USING (vec_id)),
+{', '.join(ctes)},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+o AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM o JOIN k USING (vec_id), h
+"""
+
+
+_OP12 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)
+), f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS s FROM f WHERE m > 1),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+scores AS (
+  SELECT k.lang, k.phrase, k.k, x.a AS l, y.a AS r, n.n, (CAST(1000 AS HUGEINT) * k.a * n.n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM k JOIN n ON k.lang = n.lang
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(s[1:k.k], ' ')
+  JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(s[k.k + 1:], ' ')
+), best AS (SELECT lang, phrase, min({'score': score, 'k': k, 'l': l, 'r': r, 'n': n}) AS b FROM scores GROUP BY lang, phrase),
+inside AS (
+  SELECT lang, array_to_string(s[i:i + q - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - q + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS q FROM c)) GROUP BY ALL
+), kept AS (
+  SELECT c.lang, c.phrase, c.a, b.l AS l, b.r AS r, b.n AS n, CAST(b.score AS BIGINT) AS score
+  FROM c JOIN best USING (lang, phrase) LEFT JOIN inside ON inside.lang = c.lang AND inside.phrase = c.phrase
+  WHERE NOT coalesce(100 * longer >= 100 * c.a, false)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+def _op13() -> str:
+    known = licenses.prepared(licenses.TEMPLATES)
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = ", ".join(f"('{t.label}', {quoted(t.words)}, {t.half}, {t.least})" for t in known)
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in licenses.PHRASES)
+    return rf"""
+WITH t(label, words, half, least) AS (VALUES {templates}), ph(p, label) AS (VALUES {phrases}),
+d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
+hit AS (SELECT doc_id, i, label FROM i JOIN ph ON w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, list(DISTINCT label) AS labels FROM hit GROUP BY doc_id),
+b AS (
+  SELECT doc_id, half, list_distinct(w[b * half + 1:b * half + 2 * half]) AS block
+  FROM (SELECT doc_id, w, half, unnest(range(CAST(greatest(ceil(len(w) / half) - 2, 0) AS BIGINT) + 1)) AS b FROM d, (SELECT DISTINCT half FROM t) WHERE len(w) > 0)
+), m AS (
+  SELECT doc_id, label, len(list_intersect(block, words)) AS o, len(words) AS n, least FROM b JOIN t USING (half)
+), found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(o / n) AS containment FROM m WHERE o >= least GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(coalesce(base.labels, []) || coalesce(found.labels, []))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+ORACLE_SQL = {
+    "op7_url_filter": _OP7,
+    "op1_decontamination": _OP1,
+    "op5_line_dedup": _OP5,
+    "op11_vector_codes": _op11(),
+    "op12_collocations": _OP12,
+    "op13_licenses": _op13(),
+}
