@@ -13,12 +13,12 @@ from gleaner.plans.miner import Miner, Settings
 from gleaner.session import scratch, session
 from gleaner.sources import logs
 
-MODES = ("topN", "detect", "feed", "clean", "termCounts", "analyzeLine", "outputPhrases", "outputPhrasesHistory")
+MODES = ("topN", "detect", "feed", "remine", "clean", "termCounts", "analyzeLine", "outputPhrases", "outputPhrasesHistory")
 #: Keys of the configuration file, and the settings that they are.
 KEYS = {
     "logFormat": "log_format", "timestampLayout": "layout", "searchString": "include", "excludeString": "exclude",
     "keywords": "keywords", "ignorewords": "ignorewords", "customPhrases": "custom_phrases", "frequency": "frequency",
-    "retention": "retention", "maxBlocks": "max_blocks", "minMatchRate": "min_rate", "maxMatchRate": "max_rate",
+    "retention": "retention", "maxBlocks": "max_blocks", "blockSize": "block_size", "minMatchRate": "min_rate", "maxMatchRate": "max_rate",
     "termCountBorderRate": "border_rate", "termCountBorder": "border",
 }
 #: Modes that look at the stored phrases again under a border of their own, and the settings that give it.
@@ -36,7 +36,7 @@ def arguments() -> argparse.ArgumentParser:
         a.add_argument(flag, dest=name)
     for flag, name in (("-minR", "min_rate"), ("-maxR", "max_rate"), ("-R", "border_rate")):
         a.add_argument(flag, dest=name, type=float)
-    for flag, name in (("-b", "border"), ("-retention", "retention")):
+    for flag, name in (("-b", "border"), ("-retention", "retention"), ("-blockSize", "block_size"), ("-maxBlocks", "max_blocks")):
         a.add_argument(flag, dest=name, type=int)
     a.add_argument("-N", type=int, default=10)
     a.add_argument("-M", type=int, default=None)
@@ -75,14 +75,20 @@ def table(rows, header, out: str, delim: str) -> None:
 
 
 def history(miner: Miner, n: int, out: str, delim: str) -> None:
-    """history.csv and subjects.txt in a folder, or both to the standard output."""
-    _, grid = miner.history(n)
-    subjects = miner.ranked_subjects(n)
-    heads = [f"{rank}({cnt})" for rank, cnt, _ in subjects]
+    """history.csv and subjects.txt in a folder, or both to the standard output; rows pass one at a time."""
+    ranks = miner.ranked_phrases(n)
+    lines = miner.history_lines(ranks, delim[0])
     if out:
         os.makedirs(out, exist_ok=True)
-    table(([*r] for r in grid.toLocalIterator()), ["time", *heads], out and f"{out}/history.csv", delim)
-    table(((h, s) for h, (_, _, s) in zip(heads, subjects)), None, out and f"{out}/subjects.txt", delim)
+    with open(f"{out}/history.csv", "w") if out else contextlib.nullcontext(sys.stdout) as f:
+        f.write("time")
+        for r in ranks.orderBy("rank").select("rank", "cnt").toLocalIterator():
+            f.write(f"{delim[0]}{r['rank'] + 1}({r.cnt})")
+        f.write("\n")
+        for r in lines.orderBy("at").toLocalIterator():
+            f.write(r.line + "\n")
+    heads = ((f"{r['rank'] + 1}({r.cnt})", r.subject) for r in ranks.orderBy("rank").toLocalIterator())
+    table(heads, None, out and f"{out}/subjects.txt", delim)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -103,6 +109,10 @@ def main(argv: list[str] | None = None) -> int:
         fed = miner.feed(path, lines=stdin)
         if not args.silent:
             print(fed)
+    elif args.mode == "remine":
+        mined = miner.remine()
+        if not args.silent:
+            print(mined)
     elif args.mode == "topN":
         miner.feed(path, lines=stdin)
         for r in miner.top_n(args.N, 1 if args.M is None else args.M, args.retention or 0, args.showLastText, **again).collect():

@@ -7,7 +7,7 @@ its prefixes that is rare, found by joining its prefixes to that table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.tokens import STAR
@@ -39,26 +39,14 @@ def ordered(vecs: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def prefixes(vecs: DataFrame) -> DataFrame:
-    """(vid, w, i, cnt, prev, key) for each prefix of each ordered vector; i is its last index."""
-    keys = F.aggregate(
-        "path",
-        F.array().cast("array<bigint>"),
-        lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), x["term"]))),
-    )
-    return (
-        vecs.withColumn("_keys", keys)
-        .select("vid", "w", "n", "path", F.posexplode("_keys").alias("i", "key"))
-        .select(
-            "vid", "w", "n", "i", "key",
-            F.get("path", F.col("i"))["cnt"].alias("cnt"),
-            F.get("path", F.col("i") - 1)["cnt"].alias("prev"),
-        )
-    )
-
+def prefixes(vecs: DataFrame, border: int = 0) -> DataFrame:
+    """(vid, w, n, i, key) for each prefix of each ordered vector whose terms all reach the border; i is its last index.
 
-def prefix_counts(pre: DataFrame) -> DataFrame:
-    return pre.groupBy("key").agg(F.sum("w").alias("node"))
+    A key is the XOR of its terms' hashes, each with its place, so keys add up along a vector.
+    """
+    each = vecs.select("vid", "w", "n", F.posexplode("path").alias("i", "x")).where(F.col("x.cnt") >= border)
+    along = Window.partitionBy("vid").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return each.select("vid", "w", "n", "i", F.bit_xor(F.xxhash64("x.term", "i")).over(along).alias("key"))
 
 
 def lengths(n, min_rate: float, max_rate: float):
@@ -71,25 +59,34 @@ def lengths(n, min_rate: float, max_rate: float):
 
 
 def stops(vecs: DataFrame, border: int, min_rate: float = 0.6, max_rate: float = 0.0) -> DataFrame:
-    """Ordered vectors with least, min_cnt and stop (-1 for none)."""
-    pre = prefixes(vecs)
+    """Ordered vectors with least, min_cnt and stop (-1 for none).
+
+    A path's terms come by falling count, so from the first one below the border on every
+    prefix is rare; only the prefixes before it are counted.
+    """
     least, most = lengths(F.col("n"), min_rate, max_rate)
     search = F.when(least == 0, LEAST).otherwise(least)
-    i = F.col("i")
-    rare = ((F.col("node") <= 1) | (F.col("cnt") < border)) & (i + 1 > search)
-    long_enough = (most >= search) & (i + 1 >= most)
-    at = F.when(rare, F.struct(i, F.coalesce("prev", F.lit(0)).alias("m"))).when(long_enough, F.struct(i, F.col("cnt").alias("m")))
-    first = pre.join(prefix_counts(pre), "key").groupBy("vid").agg(F.min(at).alias("_stop"))
     real = F.size("path")
-    last = F.coalesce(F.get("path", real - 1)["cnt"], F.lit(0))
+    # A prefix of weight 1 has one vector, so the smallest is it.
+    nodes = prefixes(vecs, border).groupBy("key").agg(F.sum("w").alias("node"), *[F.min(c).alias(c) for c in ("vid", "n", "i")])
+    first = nodes.where((F.col("node") <= 1) & (F.col("i") >= search)).groupBy("vid").agg(F.min("i").alias("_single"))
+    common = F.size(F.filter("path", lambda x: x["cnt"] >= border))
     out = vecs.join(first, "vid", "left").withColumn("least", least)
+    inside = lambda i: F.when(i < real, i)
+    rare = F.least("_single", inside(F.greatest(common, search)))
+    long_enough = F.when(most >= search, inside(most - 1))
+    cnt = lambda i: F.coalesce(F.get("path", i)["cnt"], F.lit(0))
+    out = out.withColumn("_rare", rare).withColumn("_long", long_enough)
+    before = F.col("_rare") <= F.coalesce("_long", "_rare")
     return out.withColumns(
         {
             # Without a stop before, the first asterisk is one: no prefix has it.
-            "stop": F.coalesce(F.col("_stop.i"), F.when(F.col("n") > real, real).otherwise(-1)),
-            "min_cnt": F.coalesce(F.col("_stop.m"), last),
+            "stop": F.coalesce(F.least("_rare", "_long"), F.when(F.col("n") > real, real).otherwise(-1)),
+            "min_cnt": F.when(before, F.when(F.col("_rare") > 0, cnt(F.col("_rare") - 1)).otherwise(0))
+            .when(F.col("_long").isNotNull(), cnt(F.col("_long")))
+            .otherwise(cnt(real - 1)),
         }
-    ).drop("_stop")
+    ).drop("_single", "_rare", "_long")
 
 
 def templates(vecs: DataFrame, border: int, keywords=()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.parse import LABELS, UNIT_SECONDS
+from gleaner.session import written
 
 
 def block_by_time(df: DataFrame, pos: str = "retention_pos") -> DataFrame:
@@ -16,28 +17,27 @@ def block_by_time(df: DataFrame, pos: str = "retention_pos") -> DataFrame:
     return df.join(ranks, pos)
 
 
-#: Quantiles that deal items out by their numbers.
-CUTS = 200
-
-
 def ranked(items: DataFrame, order: str, key: str) -> DataFrame:
-    """Items with rank, from 0, by a number and then a key.
+    """Items with rank, from 0, by a column that can be ordered and then a key.
 
-    An item's rank is its place among those between two quantiles and the sizes of the
-    parts before, so no task gets all items, however the numbers cluster.
+    Rows are dealt by ranges of both and of their number, so that neither equal values nor
+    equal rows meet in one task, and sorted there; a row's rank is its place in its range and
+    the sizes of the ranges before.
     """
-    at = F.percentile_approx(order, F.array(*[F.lit((i + 1) / CUTS) for i in range(CUTS - 1)]), F.lit(10 * CUTS))
-    cuts = items.agg(F.array_distinct(at).alias("_cuts"))  # one row
-    dealt = items.join(F.broadcast(cuts)).withColumn("_u", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
-    sizes = dealt.groupBy("_u").agg(F.count(F.lit(1)).alias("_m"))
+    dealt = items.withColumn("_n", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(order, key, "_n").sortWithinPartitions(order, key, "_n").drop("_n")
+    # The id's upper bits number the range, its lower 33 bits the row in it.
+    table = written(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = table.groupBy(part.alias("_u")).agg(F.count(F.lit(1)).alias("_m"))  # one row for each range
     before = Window.orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_u", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_u").orderBy(order, key)) - 1
-    return dealt.withColumn("_r", place).join(F.broadcast(starts), "_u").withColumn("rank", F.col("_r") + F.col("_start")).drop("_u", "_r", "_start")
+    out = table.join(F.broadcast(starts), part == F.col("_u"))
+    return out.withColumn("rank", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start")).drop("_at", "_u", "_start")
 
 
 def block_by_size(items: DataFrame, block_size: int, order: str = "first", key: str = "term") -> DataFrame:
-    """Items with block_seq: a block is full after block_size new ones, in the order of first sight. order: a number."""
+    """Items with block_seq: a block is full after block_size new ones, in the order of first sight."""
     return ranked(items, order, key).withColumn("block_seq", F.floor(F.col("rank") / block_size)).drop("rank")
 
 
@@ -86,5 +86,23 @@ def history_grid(long: DataFrame, ranked: list[str], unit: int) -> DataFrame:
     return times.join(wide.drop("_"), "at", "left").orderBy("at")
 
 
+def history_lines(long: DataFrame, ranks: DataFrame, n: int, unit: int, frequency: str, delim: str = ",") -> DataFrame:
+    """(at, line): the grid of n phrases as text, one line for each bucket, cells parted by delim and empty where a phrase is absent.
+
+    ranks: (phrase, rank from 0). A line is put together from the cells that are there, so
+    its cost follows them and the line's length, however many phrases there are.
+    """
+    span = long.agg(F.min("at").alias("a"), F.max("at").alias("z")).where("a is not null")
+    times = span.select(F.explode(F.sequence("a", "z", F.lit(unit).cast("long"))).alias("at"))
+    cells = long.join(ranks.select("phrase", "rank"), "phrase").groupBy("at").agg(F.sort_array(F.collect_list(F.struct("rank", "cnt"))).alias("cells"))
+    gap = lambda k: F.repeat(F.lit(delim), k.cast("int"))
+    last = F.coalesce(F.try_element_at("cells", F.lit(-1))["rank"], F.lit(-1))
+    text = F.transform("cells", lambda x, i: F.concat(gap(x["rank"] - F.when(i > 0, F.get("cells", i - 1)["rank"]).otherwise(-1)), x["cnt"].cast("string")))
+    time = label(F.col("at"), frequency)
+    time = F.when(F.contains(time, F.lit(delim)), F.concat(F.lit('"'), time, F.lit('"'))).otherwise(time)
+    out = times.join(cells, "at", "left").withColumn("cells", F.coalesce("cells", F.array().cast(cells.schema["cells"].dataType)))
+    return out.select("at", F.concat(time, F.array_join(text, ""), gap(F.lit(n - 1) - last)).alias("line"))
+
+
 def label(at, frequency: str):
     return F.date_format(F.timestamp_seconds(at), LABELS.get(frequency, "yyyy-MM-dd HH:mm:ss"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scan(df: DataFrame, where: Column | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -97,8 +100,31 @@ def argsort(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
     return ranked(out, "_o", "_t").withColumnRenamed("rank", "place").drop("_o", "_t")
 
 
+def decode(df: DataFrame, fields: str, schema: str) -> DataFrame:
+    """Typed columns of rows of texts (a column array<string>); a row of another length, or with a value that doesn't fit, is an error.
+
+    A boolean is 1 or 0 (or true or false), as insert() and encode() write it.
+    """
+    types = T.StructType.fromDDL(schema).fields
+    row = F.col(fields)
+    wrong = F.concat(F.lit("row has "), F.size(row).cast("string"), F.lit(f" fields, not {len(types)}"))
+    checked = F.when(F.size(row) == len(types), row).otherwise(F.raise_error(wrong).cast("array<string>"))
+    out = df.withColumn("_fields", checked)
+    return out.select(*[F.get("_fields", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(types)])
+
+
+def encode(df: DataFrame, name: str = "fields") -> DataFrame:
+    """Rows as texts (array<string>): numbers in their shortest form, booleans as 1 or 0, null as the empty text."""
+    text = lambda f: (F.col(f.name).cast("int") if isinstance(f.dataType, T.BooleanType) else F.col(f.name)).cast("string")
+    return df.select(F.array(*[F.coalesce(text(f), F.lit("")) for f in df.schema]).alias(name))
+
+
 class Store:
-    """Named tables under a folder. A table is a row of versions; the newest one that is complete counts."""
+    """Named tables under a folder. A table is a row of versions, each a row of parts; the newest version's complete parts count.
+
+    Each version has its schema beside its rows, so an empty table keeps it. A reader sees
+    all of an append or a change, or nothing of it.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -107,18 +133,22 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
     def path(self, table: str, group: str = "") -> str:
         return f"{self.root}/{group or table}/{table}"
 
-    def _versions(self, table: str, group: str) -> list[int]:
-        """Those whose last file, the mark of success, is there."""
-        fs, p = self._fs(self.path(table, group))
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        whole = [n for n in names if n.startswith("v") and fs.exists(self._fs(f"{p}/{n}/_SUCCESS")[1])]
-        return sorted(int(n[1:]) for n in whole)
+    def _parts(self, table: str, group: str) -> list[tuple[int, int]]:
+        """(version, part) of those whose last file, the mark of success, is there."""
+        path = self.path(table, group)
+        fs, _ = self._fs(path)
+        names = [n for n in self._names(path) if n.startswith("v") and fs.exists(self._fs(f"{path}/{n}/_SUCCESS")[1])]
+        return sorted(tuple(map(int, n[1:].split("."))) for n in names)
 
     def exists(self, table: str, group: str = "") -> bool:
-        return bool(self._versions(table, group))
+        return bool(self._parts(table, group))
 
     def create(self, table: str, schema: str, group: str = "", if_missing: bool = False) -> DataFrame:
         if self.exists(table, group):
@@ -128,26 +158,40 @@ class Store:
             self.write(table, self.spark.createDataFrame([], schema), group)
         return self.read(table, group)
 
-    def read(self, table: str, group: str = "") -> DataFrame:
-        versions = self._versions(table, group)
-        if not versions:
+    def schema(self, table: str, group: str = "") -> T.StructType:
+        parts = self._parts(table, group)
+        if not parts:
             raise LookupError(f"there is no table {table}")
-        return self.spark.read.parquet(f"{self.path(table, group)}/v{versions[-1]}")
+        lines = self.spark.read.text(f"{self.path(table, group)}/s{parts[-1][0]}").collect()  # one line
+        return T.StructType.fromJson(json.loads(lines[0].value))
+
+    def read(self, table: str, group: str = "") -> DataFrame:
+        schema, parts = self.schema(table, group), self._parts(table, group)
+        newest = [p for v, p in parts if v == parts[-1][0]]
+        return self.spark.read.schema(schema).parquet(*[f"{self.path(table, group)}/v{parts[-1][0]}.{p}" for p in newest])
 
     def append(self, table: str, rows: DataFrame, group: str = "") -> None:
-        versions = self._versions(table, group)
-        if not versions:
+        """Adds a part to the newest version; rows need its columns."""
+        parts = self._parts(table, group)
+        if not parts:
             return self.write(table, rows, group)
-        rows.write.mode("append").parquet(f"{self.path(table, group)}/v{versions[-1]}")
+        schema = self.schema(table, group)
+        version, part = parts[-1]
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("overwrite").parquet(f"{self.path(table, group)}/v{version}.{part + 1}")
 
     def write(self, table: str, df: DataFrame, group: str = "") -> None:
         """Replaces a table by a new version; df may read it. Older versions than the one before are deleted."""
-        path, versions = self.path(table, group), self._versions(table, group)
-        new = versions[-1] + 1 if versions else 1
-        df.write.mode("overwrite").parquet(f"{path}/v{new}")
-        for n in versions[:-1]:
-            fs, p = self._fs(f"{path}/v{n}")
-            fs.delete(p, True)
+        path, parts = self.path(table, group), self._parts(table, group)
+        new = parts[-1][0] + 1 if parts else 1
+        # The schema is there before the rows, and so before the mark of success.
+        one = self.spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1)
+        one.write.mode("overwrite").text(f"{path}/s{new}")
+        df.write.mode("overwrite").parquet(f"{path}/v{new}.0")
+        fs, p = self._fs(path)
+        for v, part in parts:
+            if v < new - 1:
+                fs.delete(self._fs(f"{path}/v{v}.{part}")[1], True)
+                fs.delete(self._fs(f"{path}/s{v}")[1], True)
 
     def truncate(self, table: str, group: str = "") -> None:
         self.write(table, self.read(table, group).limit(0), group)
@@ -161,5 +205,12 @@ class Store:
         fs.delete(p, True)
 
     def tables(self, group: str) -> list[str]:
-        fs, p = self._fs(f"{self.root}/{group}")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return sorted(t for t in self._names(f"{self.root}/{group}") if self.exists(t, group))
+
+    def catalog(self) -> DataFrame:
+        """(group, table, place, column, type): the definition of each table, empty ones too."""
+        rows = []
+        for group in sorted(self._names(self.root)):
+            for table in self.tables(group):
+                rows += [(group, table, i, f.name, f.dataType.simpleString()) for i, f in enumerate(self.schema(table, group))]
+        return self.spark.createDataFrame(rows, "group string, table string, place int, column string, type string")

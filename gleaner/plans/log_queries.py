@@ -359,7 +359,7 @@ def stop_index(spark, sf):
 def prefix_counts(spark, sf):
     _, vecs, t = _vectors(spark, sf)
     pre = mining.prefixes(mining.ordered(vecs.select("vid", "tokens", "w"), t))
-    nodes = pre.groupBy("key").agg(F.min("i").alias("i"), F.sum("w").alias("node"))
+    nodes = pre.groupBy("key").agg(F.min("i").alias("i"), F.sum("w").alias("node"))  # all of them: no border
     return nodes.groupBy("i").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("node").alias("weight")).select((F.col("i") + 1).cast("long").alias("depth"), "n_nodes", "weight")
 
 
@@ -432,16 +432,13 @@ def _again_sql(border):
 @query(_again_sql(2 * _BORDER) + "SELECT phrase, cnt FROM phrases2")
 def rearranged_phrases(spark, sf):
     """The phrases again under a higher border, from one exemplar line each, weighted by its count."""
-    _, vecs, t = _vector_phrases(spark, sf)
-    p = _phrases(vecs).select(F.xxhash64("phrase").alias("seq"), F.col("last_value").alias("value"), F.col("cnt").alias("w"))
-    again = mining.vectors(tokenised(p), "w")
-    return mining.mined(again, t, 2 * _BORDER, _MIN).groupBy("phrase").agg(F.sum("w").alias("cnt"))
+    m = new_miner(spark, settings())
+    m.feed(lines=event_log(spark, sf))
+    return m.rearranged(border=2 * _BORDER).select("phrase", "cnt")
 
 
 # --- the miner itself ------------------------------------------------------------------
 
-_fed: dict = {}
-
 
 def event_log(spark, sf):
     """The event lines as a log: each at its own time, in the order of their ids."""
@@ -449,16 +446,28 @@ def event_log(spark, sf):
     return e.select(F.lit("events").alias("file"), F.col("epoch").alias("mtime"), F.lit(0).cast("long").alias("part"), F.col("seq").alias("at"), "value")
 
 
+def settings(**more) -> Settings:
+    return Settings(border=_BORDER, min_rate=_MIN, **more)
+
+
+def new_miner(spark, s: Settings) -> Miner:
+    return Miner(spark, scratch(spark), s)
+
+
 def miner(spark, sf) -> Miner:
-    """A miner that was fed the events in two batches, the second of them twice; fed once a session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _fed:
-        m = Miner(spark, scratch(spark), Settings(border=_BORDER, min_rate=_MIN, frequency="day"))
-        lines = event_log(spark, sf)
-        for n in (0, 1, 1):
-            m.feed(lines=lines.where(F.col("at") % 2 == n), batch_of=("events", n))
-        _fed[key] = m.store.root
-    return Miner(spark, _fed[key])
+    """A miner that was fed the events in two batches, the second of them twice."""
+    m = new_miner(spark, settings(frequency="day"))
+    lines = event_log(spark, sf)
+    for n in (0, 1, 1):
+        m.feed(lines=lines.where(F.col("at") % 2 == n), batch_of=("events", n))
+    return Miner(spark, m.store.root)
+
+
+def halves(spark, sf) -> list[DataFrame]:
+    """The event log in two parts: the first half of the ids, and the rest."""
+    lines = event_log(spark, sf)
+    middle = _t(spark, sf, "events").agg(F.max("event_id")).first()[0] // 2
+    return [lines.where(F.col("at") <= middle), lines.where(F.col("at") > middle)]
 
 
 @query(f"{_MINE} SELECT term, cnt FROM terms")
@@ -468,7 +477,7 @@ def miner_terms(spark, sf):
 
 @query("SELECT CAST(year(ts) * 1000 + dayofyear(ts) AS BIGINT) AS block, dense_rank() OVER (ORDER BY CAST(ts AS DATE)) - 1 AS block_seq, CAST(max(floor(epoch(ts))) AS BIGINT) AS last_epoch, count(*) AS lines, CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM events) AS completed FROM events GROUP BY CAST(ts AS DATE), year(ts), dayofyear(ts)")
 def ring_status(spark, sf):
-    return miner(spark, sf).store.status()
+    return miner(spark, sf).store.status().select("block", "block_seq", "last_epoch", "lines", "completed")
 
 
 _DAY_TERMS = f"SELECT CAST(year(make_timestamp(epoch * 1000000)) * 1000 + dayofyear(make_timestamp(epoch * 1000000)) AS BIGINT) AS block, term, count(*) AS cnt FROM (SELECT epoch, unnest({_tokens_sql()}) AS term FROM ({_L1})) WHERE term <> '*' GROUP BY ALL"
@@ -502,7 +511,7 @@ def ring_count_rows(spark, sf):
 
 @query(_MINE + "SELECT value, phrase, phrases.cnt AS cnt FROM lines JOIN phrases USING (phrase) WHERE phrases.cnt >= 2")
 def detect_counts(spark, sf):
-    m = Miner(spark, scratch(spark), Settings(border=_BORDER, min_rate=_MIN))
+    m = new_miner(spark, settings())
     return m.detect(lines=event_log(spark, sf), least=2).select("value", "phrase", "cnt")
 
 
@@ -514,25 +523,142 @@ def analyze_line(spark, sf):
     return counts.select("term", "cnt", F.lit(phrase).alias("phrase"))
 
 
-@query(f"{_MINE} SELECT cnt AS term_count, count(*) AS n_terms FROM terms GROUP BY cnt ORDER BY cnt DESC LIMIT 20")
+@query(f"{_MINE} SELECT cnt AS term_count, count(*) AS n_terms, array_to_string(list_transform(list_slice(list_sort(list(term)), 1, 5), lambda t: CASE WHEN length(t) > 10 THEN substr(t, 1, 10) || '...' ELSE t END), ' ') AS sample FROM terms GROUP BY cnt ORDER BY cnt DESC LIMIT 20")
 def miner_term_counts(spark, sf):
-    return miner(spark, sf).term_counts(20).select("term_count", "n_terms")
+    return miner(spark, sf).term_counts(20)
 
 
 @query(_SCORED + "SELECT phrase AS text, cnt, round(coalesce(score, 0), 6) AS score FROM phrases LEFT JOIN sc USING (phrase) WHERE cnt <= 100000 AND updated >= (SELECT max(updated) FROM phrases) - 5 * 86400 AND regexp_matches(last_value, 'click|view') AND NOT regexp_matches(last_value, 'nothing') ORDER BY coalesce(score, 0) DESC, phrase LIMIT 7")
 def miner_top_n(spark, sf):
     """The rarest-worded phrases of the last five days whose last line passes the filters."""
-    m = Miner(spark, scratch(spark), Settings(border=_BORDER, min_rate=_MIN))
+    m = new_miner(spark, settings())
     m.feed(lines=event_log(spark, sf))
     m.settings.include, m.settings.exclude = ["click|view"], ["nothing"]
     return m.top_n(7, 100_000, days=5).select("text", "cnt", F.round("score", 6).alias("score"))
 
 
-@query(_MINE + "SELECT strftime(make_timestamp(created * 1000000), '%Y-%m-%d %H:%M:%S') AS Created, strftime(make_timestamp(updated * 1000000), '%Y-%m-%d %H:%M:%S') AS Updated, cnt AS Count FROM phrases ORDER BY cnt DESC, phrase LIMIT 3")
+_MEMBER = "regexp_replace(array_to_string(list_transform(list_zip(parts, seps), lambda p: CASE WHEN list_contains(gone, lower(p[1])) THEN '*' ELSE p[1] END || p[2]), ''), '\\*(?:[\\s\\t]*\\*)+', '*', 'g')"
+
+
+@query(_SUBJECT + f"SELECT strftime(make_timestamp(created * 1000000), '%Y-%m-%d %H:%M:%S') AS Created, strftime(make_timestamp(updated * 1000000), '%Y-%m-%d %H:%M:%S') AS Updated, cnt AS Count, {_MEMBER} AS Member FROM g JOIN phrases USING (phrase) ORDER BY cnt DESC, phrase LIMIT 3")
 def output_phrases(spark, sf):
-    m = Miner(spark, scratch(spark), Settings(border=_BORDER, min_rate=_MIN))
+    m = new_miner(spark, settings())
+    m.feed(lines=event_log(spark, sf))
+    return m.output_phrases(3)
+
+
+# --- the miner over several feeds -------------------------------------------------------
+
+_MIDDLE = "(SELECT max(event_id) // 2 FROM events)"
+
+
+@query(f"{_MINE} SELECT term, cnt, row_number() OVER (ORDER BY first) AS id FROM terms")
+def miner_term_ids(spark, sf):
+    """Terms of two feeds; their ids are given in the order of first sight, and stay."""
+    m = new_miner(spark, settings())
+    for half in halves(spark, sf):
+        m.feed(lines=half)
+    return m.terms().select("term", "cnt", F.col("first").alias("id"))
+
+
+@query(_MINE + "SELECT phrase, cnt, created, updated, last_value FROM phrases")
+def miner_remine(spark, sf):
+    """Two feeds, and all their lines mined again: what one feed gives."""
+    m = new_miner(spark, settings(frequency="day"))
+    for half in halves(spark, sf):
+        m.feed(lines=half)
+    m.remine()
+    return m.phrases().select("phrase", "cnt", "created", "updated", "last_value")
+
+
+_LAST_DAYS = f"SELECT block, term, cnt FROM ({_DAY_TERMS}) WHERE block IN (SELECT DISTINCT block FROM ({_DAY_TERMS}) ORDER BY block DESC LIMIT 5)"
+
+
+@query(f"SELECT term, CAST(sum(cnt) AS BIGINT) AS cnt FROM ({_LAST_DAYS}) GROUP BY term")
+def miner_ring_totals(spark, sf):
+    """Totals after the ring has dropped all days but five: kept by difference, as if counted again."""
+    m = new_miner(spark, settings(frequency="day", max_blocks=5))
+    for half in halves(spark, sf):
+        m.feed(lines=half)
+    return m.terms().select("term", "cnt")
+
+
+_SIZE = 50
+
+
+@query(_MINE + f""", f AS (SELECT phrase, min(seq) AS seq FROM lines GROUP BY phrase), r AS (SELECT seq, row_number() OVER (ORDER BY seq) AS n FROM f),
+p2 AS (SELECT lines.phrase, lines.seq, coalesce((SELECT max(n) FROM r WHERE r.seq < lines.seq), 0) // {_SIZE} AS piece FROM lines)
+SELECT phrase, CAST(piece AS BIGINT) AS piece, count(*) AS cnt FROM p2 GROUP BY ALL""")
+def miner_size_blocks(spark, sf):
+    """A feed in pieces that end with every fiftieth new phrase."""
+    m = new_miner(spark, settings(block_size=_SIZE))
+    m.feed(lines=event_log(spark, sf))
+    return m.store.read("phrases").select("phrase", F.col("piece").cast("long").alias("piece"), "cnt")
+
+
+@query("SELECT CAST(CASE WHEN most < 3000 THEN 10000 WHEN most < 300000 THEN 100000 ELSE 1000000 END AS BIGINT) AS block_size, CAST(ceil(most / CASE WHEN most < 3000 THEN 10000 WHEN most < 300000 THEN 100000 ELSE 1000000 END) * 7 AS BIGINT) AS max_blocks FROM (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM events GROUP BY date_trunc('day', ts)))")
+def miner_sizing(spark, sf):
+    """The block size and ring length that a feed without either chooses and stores."""
+    m = new_miner(spark, settings(frequency="day", retention=7))
+    m.feed(lines=event_log(spark, sf))
+    return spark.createDataFrame([Miner(spark, m.store.root).sizes()], "block_size long, max_blocks long")
+
+
+_COMPLETED = f"SELECT block, term, cnt, block < (SELECT max(block) FROM ({_DAY_TERMS})) AS completed FROM ({_DAY_TERMS})"
+
+
+@query(_COMPLETED)
+def ring_rows_completed(spark, sf):
+    """The ring's rows, each with whether its block is completed."""
+    m = new_miner(spark, settings(frequency="day"))
     m.feed(lines=event_log(spark, sf))
-    return m.output_phrases(3).select("Created", "Updated", "Count")
+    return m.store.read("terms", with_status=True).select("block", "term", "cnt", "completed")
+
+
+def _mined_sql(lines: str, among: str) -> str:
+    """The CTEs of _MINE over some lines, with the terms of more."""
+    own = _MINE.replace(f"l AS ({_L1})", f"l AS ({lines})", 1)
+    count = "terms AS (SELECT term, count(*) AS cnt, min(seq * 100000 + pos) AS first FROM e WHERE term <> '*' GROUP BY term)"
+    assert count in own
+    everything = f"terms AS (SELECT term, count(*) AS cnt, min(seq * 100000 + pos) AS first FROM (SELECT seq, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM (SELECT seq, {_tokens_sql()} AS tokens FROM ({among}))) WHERE term <> '*' GROUP BY term)"
+    return own.replace(count, everything, 1)
+
+
+_FIRST, _SECOND = f"SELECT * FROM ({_L1}) WHERE seq <= {_MIDDLE}", f"SELECT * FROM ({_L1}) WHERE seq > {_MIDDLE}"
+#: A phrase that the user names, and its test in SQL: tokens of the same number, one of which is given.
+_CUSTOM = "* click * props *"
+_FITS = "len(t) = 5 AND t[2] = 'click' AND t[4] = 'props'"
+
+
+@query(f"""WITH old AS ({_mined_sql(_FIRST, _FIRST)} SELECT last_value AS value, phrase, cnt FROM phrases),
+new AS ({_mined_sql(_SECOND, _L1)} SELECT value, phrase, 1 AS cnt FROM lines),
+both_ AS (SELECT 'old' AS w, * FROM old UNION ALL SELECT 'new', * FROM new),
+named AS (SELECT w, value, CASE WHEN {_FITS} THEN '{_CUSTOM}' ELSE phrase END AS phrase, cnt FROM (SELECT *, {_tokens_sql()} AS t FROM both_)),
+total AS (SELECT phrase, CAST(sum(cnt) AS BIGINT) AS cnt FROM named GROUP BY phrase)
+SELECT value, phrase, total.cnt AS cnt FROM named JOIN total USING (phrase) WHERE w = 'new' AND total.cnt >= 3""")
+def detect_history(spark, sf):
+    """The second half of the events against a store of the first, with a custom phrase that folds stored ones as well."""
+    first, second = halves(spark, sf)
+    m = new_miner(spark, settings())
+    m.feed(lines=first)
+    m.settings.custom_phrases = [_CUSTOM]
+    return m.detect(lines=second, least=3).select("value", "phrase", "cnt")
+
+
+@query(f"SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n FROM events WHERE CAST(ts AS DATE) > (SELECT CAST(min(ts) AS DATE) + 3 FROM events) GROUP BY 1")
+def miner_new_files(spark, sf):
+    """A log folder with a file for each day, of which a feed has read four days: the lines that the next one reads."""
+    path = scratch(spark)
+    events = event_lines(spark, sf).select(F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd").alias("day"), "seq", "value")
+    first = events.agg(F.min("day")).first()[0]
+    early = F.col("day") <= F.date_format(F.date_add(F.lit(first), 3), "yyyy-MM-dd")
+    write = lambda df: df.repartitionByRange("day", "seq").sortWithinPartitions("day", "seq").select("day", "value").write.mode("append").partitionBy("day").text(path)
+    write(events.where(early))
+    m = new_miner(spark, settings())
+    m.feed(f"{path}/*")
+    write(events.where(~early))
+    new = logs.drop_blank(m.new_lines(f"{path}/*"))
+    return new.groupBy(F.regexp_extract("file", "day=([^/]*)", 1).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- sources and stores -----------------------------------------------------------------
@@ -545,10 +671,13 @@ def log_files(spark, sf):
     blank = F.col("event_id") % 5 == 0
     line = F.when(blank, "").otherwise(F.concat(F.col("event_id").cast("string"), F.lit(" "), F.col("props"), F.lit("\r")))
     out = _t(spark, sf, "events").select("event_type", "event_id", line.alias("value"))
-    out = out.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value")
+    out = out.repartitionByRange("event_type", "event_id").sortWithinPartitions("event_type", "event_id").select("event_type", "value")
     out.write.partitionBy("event_type").option("compression", "gzip").text(path)
-    lines = logs.numbered(logs.drop_blank(logs.read_lines(spark, f"{path}/*/*.gz")))
-    return lines.select(F.regexp_extract("file", "event_type=([^/]*)", 1).alias("kind"), F.col("line_no").cast("long").alias("line_no"), "value")
+    lines = logs.drop_blank(logs.read_lines(spark, f"{path}/*/*.gz"))
+    # A type's files are numbered on as one: their names follow the ranges of ids.
+    lines = lines.withColumn("kind", F.regexp_extract("file", "event_type=([^/]*)", 1))
+    lines = logs.numbered(lines.select(F.col("kind").alias("file"), F.struct("file", "part").alias("part"), "at", "value"))
+    return lines.select(F.col("file").alias("kind"), F.col("line_no").cast("long").alias("line_no"), "value")
 
 
 def document_files(spark, sf):
@@ -595,6 +724,23 @@ def table_store(spark, sf):
     return store.read("nations")
 
 
+@query(f"SELECT * FROM ({_N})")
+def row_decode(spark, sf):
+    """Rows as texts, and back with their types, each checked for its number of fields."""
+    return table.decode(table.encode(_nations(spark, sf)), "fields", "id long, name string, grp long")
+
+
+@query("SELECT * FROM (VALUES ('geo', 'nations', 0, 'id', 'bigint'), ('geo', 'nations', 1, 'name', 'string'), ('geo', 'nations', 2, 'grp', 'bigint'), ('geo', 'regions', 0, 'r_regionkey', 'bigint'), ('geo', 'regions', 1, 'r_name', 'string'), ('lone', 'lone', 0, 'x', 'double')) v(\"group\", \"table\", place, \"column\", type)")
+def table_catalog(spark, sf):
+    """The definitions of a store's tables: two of a group, of which one was emptied, and one that never had rows."""
+    store = table.Store(spark, scratch(spark))
+    store.write("nations", _nations(spark, sf), "geo")
+    store.write("regions", _t(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name"), "geo")
+    store.truncate("regions", "geo")
+    store.create("lone", "x double")
+    return store.catalog()
+
+
 @query(f"SELECT seq FROM ({_L2}) WHERE doc_id > 100 OR (doc_id = 100 AND seq % 1000000 >= 2)")
 def resume_offset(spark, sf):
     """What is new after the second line of file 100."""
@@ -602,10 +748,14 @@ def resume_offset(spark, sf):
     return new.select((F.col("doc_id") * 1000000 + F.col("line_no") - 1).alias("seq"))
 
 
-@query(f"SELECT seq FROM ({_L2}) ORDER BY seq LIMIT 500")
+@query(f"SELECT seq, value FROM ({_L1}) ORDER BY seq LIMIT 500")
 def line_limit(spark, sf):
-    lines = logs.drop_blank(document_files(spark, sf)).orderBy("mtime", "file", "line_no").limit(500)
-    return lines.select((F.col("doc_id") * 1000000 + F.col("line_no") - 1).alias("seq"))
+    """The first 500 lines of a log: what a feed with that limit reads."""
+    path = scratch(spark)
+    line = F.concat(F.col("seq").cast("string"), F.lit("|"), F.col("value"))
+    event_lines(spark, sf).repartitionByRange("seq").sortWithinPartitions("seq").select(line).write.text(path)
+    lines = new_miner(spark, settings()).new_lines(path, limit=500)
+    return lines.select(F.substring_index("value", "|", 1).cast("long").alias("seq"), F.expr("substr(value, instr(value, '|') + 1)").alias("value"))
 
 
 # --- blocks -----------------------------------------------------------------------------
@@ -661,3 +811,14 @@ def history_long(spark, sf):
 @query(f'{_HIST}, t AS (SELECT unnest(range(min(at_), max(at_) + 1, 86400)) AS a FROM h) SELECT a AS "at", CAST(sum(cnt) FILTER (phrase = \'click\') AS BIGINT) AS p1, CAST(sum(cnt) FILTER (phrase = \'view\') AS BIGINT) AS p2 FROM t LEFT JOIN h ON a = at_ GROUP BY a')
 def history_pivot(spark, sf):
     return ring.history_grid(_history(spark, sf), ["click", "view"], 86400)
+
+
+@query(f"""{_HIST}, r AS (SELECT phrase, row_number() OVER (ORDER BY sum(cnt) DESC, phrase) AS n FROM h GROUP BY phrase), t AS (SELECT unnest(range(min(at_), max(at_) + 1, 86400)) AS a FROM h),
+g AS (SELECT a, n, cnt FROM t CROSS JOIN r LEFT JOIN h ON h.phrase = r.phrase AND at_ = a)
+SELECT strftime(make_timestamp(a * 1000000), '%Y-%m-%d') || ',' || string_agg(coalesce(CAST(cnt AS VARCHAR), ''), ',' ORDER BY n) AS line FROM g GROUP BY a""")
+def history_lines(spark, sf):
+    """The history of all phrases as lines of a delimited file."""
+    h = _history(spark, sf)
+    total = h.groupBy("phrase").agg((-F.sum("cnt")).alias("o"))
+    ranks = ring.ranked(total, "o", "phrase")
+    return ring.history_lines(h, ranks, ranks.count(), 86400, "day").select("line")

@@ -1,23 +1,27 @@
 """The log miner: feeds log files into a store and answers from it.
 
-State is a ledger: terms and phrases by block as Parquet, and commits that say which of
-it counts, with the settings, the reading position and the last batch of each stream. A
-feed adds its own counts as new parts and one commit, so it counts wholly or not at all,
-and a stream's batch that comes again is passed over. Its cost follows the new lines; now
-and then parts are folded into one.
+State is a ledger: by block, the vectors (distinct token lists) of the lines with their
+counts, the terms and the phrases; totals of terms and phrases over all live blocks; and
+commits that say which of it counts, with the settings, the reading position and the last
+batch of each stream. A feed reads new files only. It adds its own counts as new parts and
+to the totals, takes those of blocks that the ring drops from the totals, and makes one
+commit; so it counts wholly or not at all, and a stream's batch that comes again is passed
+over. It reads its lines, the totals and the dropped blocks, and no other history.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import parse
 from gleaner.functions import tokens as tk
 from gleaner.operators import mining, ring, terms
-from gleaner.operators.ledger import MOST_PARTS, Ledger
+from gleaner.operators.ledger import MOST_PARTS, Ledger, among, key_of, place_of
+from gleaner.session import written
 from gleaner.sources import logs
 
 
@@ -33,16 +37,19 @@ class Settings:
     frequency: str = ""
     retention: int = 0
     max_blocks: int = 0
+    block_size: int = 0
     min_rate: float = 0.6
     max_rate: float = 0.0
     border_rate: float = terms.BORDER_RATE
     border: int = 0
 
 
-_TERMS = "term string, cnt long, first struct<seq: struct<file_no: long, part: long, at: long>, pos: int>, block long"
-_PHRASES = "phrase string, cnt long, created long, updated long, last_value string, subject string, block long"
-#: Where reading goes on: time, name and line of the last file read.
-_START = {"mtime": -1, "file": "", "row": 0, "feeds": 0, "now": 0}
+_TOTAL_TERMS = "term string, cnt long, id long"
+_TOTAL_PHRASES = "phrase string, cnt long, created long, updated long, last_value string, subject string, feed long"
+#: Tables whose rows go with their block.
+BY_BLOCK = ("vectors", "terms", "phrases")
+#: Where reading goes on: time, name, line and the line's hash of the last file read.
+_START = {"mtime": -1, "file": "", "row": 0, "last": None, "feeds": 0, "now": 0}
 
 
 class Miner:
@@ -55,23 +62,26 @@ class Miner:
 
     # --- state ---
 
-    def terms(self) -> DataFrame:
-        t = self.store.read("terms")
-        if t is None:
-            return self.spark.createDataFrame([], _TERMS).drop("block")
-        return t.groupBy("term").agg(F.sum("cnt").alias("cnt"), F.min(F.struct("block", "first"))["first"].alias("first"))
+    def terms(self, head: dict | None = None) -> DataFrame:
+        """(term, cnt, first) of the live blocks; first: the term's id, given in the order of first sight, for good."""
+        t = self.store.read("term_totals", head=head)
+        t = self.spark.createDataFrame([], _TOTAL_TERMS) if t is None else t
+        return t.groupBy("term").agg(F.sum("cnt").alias("cnt"), F.min("id").alias("first")).where("cnt > 0")
 
-    def phrases(self) -> DataFrame:
-        p = self.store.read("phrases")
-        p = self.spark.createDataFrame([], _PHRASES) if p is None else p
-        return p.groupBy("phrase").agg(
-            F.sum("cnt").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated"),
-            F.max_by("last_value", F.struct("updated", "block")).alias("last_value"), F.min_by("subject", F.struct("block", "created")).alias("subject"),
-        )
+    def phrases(self, head: dict | None = None) -> DataFrame:
+        """(phrase, cnt, created, updated, last_value, subject) of the live blocks; created: when it was first seen at all."""
+        p = self.store.read("phrase_totals", head=head)
+        p = self.spark.createDataFrame([], _TOTAL_PHRASES) if p is None else p
+        return _summed_phrases(p).drop("feed").where("cnt > 0")
 
     def status(self) -> dict:
         return _START | self.store.head()["state"].get("position", {})
 
+    def sizes(self) -> tuple[int, int]:
+        """(block size, number of blocks): settings, else what the first feed chose; 0 for any."""
+        chosen = self.store.head()["state"].get("sizes", {})
+        return self.settings.block_size or chosen.get("block_size", 0), self.settings.max_blocks or chosen.get("max_blocks", 0)
+
     # --- reading ---
 
     def parsed(self, lines: DataFrame) -> DataFrame:
@@ -89,9 +99,33 @@ class Miner:
         )
 
     def new_lines(self, paths, limit: int = 0) -> DataFrame:
+        """Lines after the position; of files that are not new only the listing is read."""
+        return self._reading(paths, limit)[0]
+
+    def _reading(self, paths, limit: int = 0) -> tuple[DataFrame, str, int]:
+        """(new lines, the file that is resumed, its line).
+
+        The file that was read last goes on after its last line, if that stands where it
+        stood. It is looked for under its name, then (logs are renamed) in the oldest file
+        that has changed. Any other file is new as a whole.
+        """
         at = self.status()
-        lines = logs.select_new(logs.numbered(logs.read_lines(self.spark, paths)), at["mtime"], at["file"], at["row"])
-        return lines.orderBy("mtime", "file", "line_no").limit(limit) if limit else lines
+        files = logs.new_files(logs.files_of(self.spark, paths), at["mtime"], at["file"])
+        out, resumed = None, ""
+        if at["row"]:
+            same = [f for f in files if f.file == at["file"]]
+            for f in dict.fromkeys([*same, *files[:1]]):
+                rest = logs.after_row(logs.read_files(self.spark, [f]), at["row"], at["last"])
+                if rest is not None:
+                    files, out, resumed = [x for x in files if x != f], rest, f.file
+                    break
+        if files:
+            new = logs.read_files(self.spark, files)
+            out = new if out is None else out.unionByName(new)
+        if out is None:
+            out = logs.lines_of(self.spark, [])
+        out = logs.first_lines(out, limit) if limit else out
+        return out, resumed, at["row"] if resumed else 0
 
     def _templates(self, lines: DataFrame, known: DataFrame, border: int, weight: str | None = None) -> DataFrame:
         s = self.settings
@@ -111,73 +145,187 @@ class Miner:
         """Counts new lines' terms, mines their templates and adds both to the blocks. Returns counts.
 
         batch_of: a stream's name and the number of its batch, which is fed once however
-        often it is given.
+        often it is given. Lines that the filters drop, that have no term or that are older
+        than retention move the position on as any others. With a block size, a new piece of
+        a block begins once it has seen that many phrases that no feed had seen before.
         """
         s = self.settings
         before = self.store.head()
         batches = before["state"].get("batches", {})
         if batch_of and batches.get(batch_of[0], -1) >= batch_of[1]:
             return {"lines": 0, "border": 0, "phrases": 0}
-        raw = (self.new_lines(paths, limit) if lines is None else lines).persist()
-        batch = self.parsed(raw).persist()
-        known = terms.merge_counts(self.terms(), terms.term_counts(batch)).persist()
+        raw, resumed, row = self._reading(paths, limit) if lines is None else (lines, "", 0)
+        raw = raw.persist()
+        batch = self.parsed(raw).withColumns({"vid": mining.vector_id(), "piece": F.lit(0)})
+        vecs = written(_vectors(batch))
+        n = vecs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+        known, next_id = self._known(before, _terms_of(vecs))
         border = terms.border_of(known, s.border_rate, s.border)
-        mined = self._templates(batch, known, border).withColumn("w", F.lit(1).cast("long"))
-        table = mined.groupBy("phrase", "block").agg(
-            F.sum("w").alias("cnt"), F.min("epoch").alias("created"), F.max("epoch").alias("updated"),
-            F.max_by("value", "seq").alias("last_value"), F.min_by(F.struct("value", "hidden", "message"), "seq").alias("f"),
-        )
-        hidden = F.array_union(F.col("f.hidden"), tk.excluded(F.col("f.message"), s.keywords, s.ignorewords))
-        table = table.withColumn("subject", mining.subject(F.col("f.value"), hidden)).drop("f")
-        by_block = batch.select("block", "seq", F.posexplode("tokens").alias("pos", "term")).where(F.col("term") != tk.STAR)
-        by_block = by_block.groupBy("term", "block").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("seq", "pos")).alias("first"))
-        n = batch.count()
-        if not self.read_only and n:
+        found = written(self._mined(vecs, known, border))
+        if not self.read_only:
+            size, chosen = self._sizes_after(before, vecs)
+            fresh, pieces, cut = self._pieces(before, vecs, found, size)
+            if cut:
+                vecs = written(_vectors(batch.drop("piece").join(F.broadcast(pieces), "block").withColumn("piece", _piece_of("seq"))))
+            else:
+                vecs = vecs.drop("piece").join(F.broadcast(pieces), "block").withColumn("piece", F.col("base")).drop("base", "ends")
             position = before["state"].get("position", _START)
             if lines is None:
-                end = raw.agg(F.max(F.struct("mtime", "file", "line_no")).alias("m")).first()["m"]
-                position = {"mtime": end["mtime"], "file": end["file"], "row": end["line_no"], "feeds": position["feeds"] + 1, "now": self.now or end["mtime"]}
+                end = logs.end_of(raw, resumed, row)
+                if end:
+                    position = end | {"feeds": position["feeds"] + 1, "now": self.now or end["mtime"]}
             if batch_of:
                 batches = batches | {batch_of[0]: batch_of[1]}
-            state = {"settings": asdict(s), "position": position, "batches": batches}
-            sizes = batch.groupBy("block").agg(F.max("epoch").alias("last_epoch"), F.count(F.lit(1)).alias("lines"))
-            self._commit(before, {"phrases": table, "terms": by_block}, sizes, state)
-        out = {"lines": n, "border": border, "phrases": table.select("phrase").distinct().count()}
-        for df in (raw, batch, known):
-            df.unpersist()
+            feeds = before["state"].get("fed", 0) + 1
+            state = {"settings": asdict(s), "position": position, "batches": batches, "next_id": next_id, "sizes": chosen, "fed": feeds}
+            self._commit(before, vecs, found, known, fresh, state)
+        out = {"lines": n, "border": border, "phrases": found.select("phrase").distinct().count()}
+        raw.unpersist()
         return out
 
-    def _commit(self, before: dict, new: dict[str, DataFrame], sizes: DataFrame, state: dict) -> None:
-        """Adds parts to the blocks, of which the ring keeps the newest and retention the recent ones."""
+    def _known(self, before: dict, new: DataFrame) -> tuple[DataFrame, int]:
+        """((term, cnt, first) of the totals and of new counts, written; the next free id).
+
+        Terms that the totals lack get ids after all that were ever given, in the order of first sight.
+        """
+        old = self.terms(before)
+        new = new.groupBy("term").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
+        start = before["state"].get("next_id", 1)
+        unseen = ring.ranked(new.join(old, "term", "left_anti"), "first", "term").withColumn("first", F.col("rank") + start)
+        both = new.select("term", "cnt").join(old.select("term", F.col("cnt").alias("had"), "first"), "term", "full")
+        both = both.select("term", (F.coalesce("cnt", F.lit(0)) + F.coalesce("had", F.lit(0))).alias("cnt"), "first")
+        known = written(both.where("first is not null").unionByName(unseen.select("term", "cnt", "first")))
+        return known, max(start, (known.agg(F.max("first")).first()[0] or 0) + 1)
+
+    def _mined(self, vecs: DataFrame, known: DataFrame, border: int) -> DataFrame:
+        """(vid, phrase, hidden) of the vectors."""
         s = self.settings
-        status = {int(b): dict(x) for b, x in before["status"].items()}
-        for r in sizes.collect():  # one row for each time bucket of the batch
-            old = status.get(r["block"], {"last_epoch": 0, "lines": 0})
-            status[r["block"]] = {"last_epoch": max(old["last_epoch"], r["last_epoch"]), "lines": old["lines"] + r["lines"]}
-        if s.frequency and (s.retention or s.max_blocks):
+        one = vecs.groupBy("vid").agg(F.first("tokens").alias("tokens"), F.sum("w").alias("w"))
+        return mining.mined(one, known, border, s.min_rate, s.max_rate, s.keywords).select("vid", "phrase", "hidden")
+
+    def _sizes_after(self, before: dict, vecs: DataFrame) -> tuple[int, dict]:
+        """(block size, what is stored): settings, else chosen once, for the most lines that a block of this feed has."""
+        s, chosen = self.settings, before["state"].get("sizes", {})
+        if s.frequency and not chosen and not (s.block_size and s.max_blocks):
+            most = vecs.groupBy("block").agg(F.sum("w").alias("n")).agg(F.max("n")).first()[0] or 0
+            if most:
+                size, blocks = ring.sizing(most, s.retention)
+                chosen = {"block_size": size, "max_blocks": blocks}
+        return s.block_size or chosen.get("block_size", 0), chosen
+
+    def _pieces(self, before: dict, vecs: DataFrame, found: DataFrame, size: int) -> tuple[dict, DataFrame, bool]:
+        """(new phrases by block and piece; (block, base, ends): the piece that a block's lines go on in, and the lines that end one; whether any does)."""
+        newest: dict[int, int] = {}
+        for block, piece in sorted(map(place_of, before["status"])):
+            newest[block] = piece
+        blocks = [r["block"] for r in vecs.select("block").distinct().collect()]  # time buckets
+        base = {b: newest.get(b, 0) for b in blocks}
+        starts = self.spark.createDataFrame([(b, base[b]) for b in blocks], "block long, base int")
+        if not size:
+            return {}, starts.withColumn("ends", F.lit(None).cast("array<int>")), False
+        # Phrases that the totals lack, where they are first seen.
+        new = vecs.join(found.select("vid", "phrase"), "vid").groupBy("phrase").agg(F.min(F.struct("first.seq", "block")).alias("at"))
+        new = written(new.join(self.phrases(before).select("phrase"), "phrase", "left_anti").select("phrase", "at.block", "at.seq"))
+        counts = {r["block"]: r["n"] for r in new.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+        carried = {b: before["status"].get(key_of(b, base[b]), {}).get("fresh", 0) for b in blocks}
+        if all(carried[b] + counts.get(b, 0) < size for b in blocks):
+            return {(b, base[b]): counts.get(b, 0) for b in blocks}, starts.withColumn("ends", F.lit(None).cast("array<int>")), False
+        starts = self.spark.createDataFrame([(b, base[b], carried[b]) for b in blocks], "block long, base int, carried long")
+        ranks = ring.ranked(new.withColumn("o", F.struct("block", "seq")), "o", "phrase")
+        first = ranks.groupBy("block").agg(F.min("rank").alias("r0"))  # a row for each time bucket
+        nth = ranks.join(F.broadcast(first), "block").join(F.broadcast(starts), "block")
+        nth = nth.withColumn("nth", F.col("carried") + F.col("rank") - F.col("r0"))
+        # One row for each `size` new phrases: a piece ends with the line that brings its last one.
+        ends = nth.where((F.col("nth") + 1) % size == 0).groupBy("block").agg(F.sort_array(F.collect_list("seq")).alias("ends"))
+        at = lambda n: (F.col("base") + F.floor(n / size)).cast("int")
+        pieces = written(starts.join(ends, "block", "left").select("block", at(F.col("carried")).alias("base"), "ends"))
+        fresh = nth.groupBy("block", at(F.col("nth")).alias("piece")).agg(F.count(F.lit(1)).alias("n"))
+        return {(r["block"], r["piece"]): r["n"] for r in fresh.collect()}, pieces, True  # a row for each piece
+
+    def _commit(self, before: dict, vecs: DataFrame, found: DataFrame, known: DataFrame, fresh: dict, state: dict) -> None:
+        """Adds parts to the blocks, of which the ring keeps the newest and retention the recent ones, and to the totals."""
+        s = self.settings
+        status = {k: dict(x) for k, x in before["status"].items()}
+        for r in vecs.groupBy("block", "piece").agg(F.max("updated").alias("e"), F.sum("w").alias("n")).collect():  # a row for each block
+            old = status.get(key_of(r["block"], r["piece"]), {"last_epoch": 0, "lines": 0, "fresh": 0})
+            status[key_of(r["block"], r["piece"])] = {
+                "last_epoch": max(old["last_epoch"], r["e"]), "lines": old["lines"] + r["n"], "fresh": old["fresh"] + fresh.get((r["block"], r["piece"]), 0),
+            }
+        most = s.max_blocks or (state["sizes"].get("max_blocks", 0) if s.retention else 0) or s.retention
+        if s.frequency and (s.retention or s.max_blocks) and status:
             unit = parse.UNIT_SECONDS.get(s.frequency, 86400)
             newest = max(x["last_epoch"] for x in status.values())
-            recent = sorted(b for b, x in status.items() if not s.retention or x["last_epoch"] >= newest - s.retention * unit + 1)
-            status = {b: status[b] for b in recent[-(s.max_blocks or s.retention) :]}
-        parts = {}
-        for name, df in new.items():
-            old = [{"id": p["id"], "blocks": [b for b in p["blocks"] if b in status]} for p in before["parts"].get(name, [])]
-            old = [p for p in old if p["blocks"]]
-            added = self.store.write_part(name, df.where(F.col("block").isin(list(status))))
-            parts[name] = old + ([added] if added["blocks"] else [])
-            if len(parts[name]) > MOST_PARTS:
-                whole = self.store.read(name, head={"parts": {name: parts[name]}})
-                parts[name] = [self.store.write_part(name, self._folded(name, whole))]
-        self.store.commit(before, parts, status, state)
-
-    def _folded(self, name: str, rows: DataFrame) -> DataFrame:
-        """One row for each term or phrase and block."""
-        if name == "terms":
-            return rows.groupBy("term", "block").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
-        return rows.groupBy("phrase", "block").agg(
-            F.sum("cnt").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated"),
-            F.max_by("last_value", "updated").alias("last_value"), F.min_by("subject", "created").alias("subject"),
+            recent = sorted((place_of(k) for k, x in status.items() if not s.retention or x["last_epoch"] >= newest - s.retention * unit + 1))
+            status = {key_of(*p): status[key_of(*p)] for p in recent[-most:]}
+        live = among([place_of(k) for k in status])
+        dropped = [place_of(k) for k in before["status"] if k not in status]
+        kept = vecs.where(live)
+        by_block = {"vectors": kept, "terms": _terms_of(kept).drop("first"), "phrases": self._phrases_of(kept, found)}
+        per_total = self._phrases_of(kept.withColumns({"block": F.lit(0).cast("long"), "piece": F.lit(0)}), found)
+        totals = {
+            "term_totals": self._total_terms(before, kept, known, dropped),
+            "phrase_totals": self._total_phrases(before, per_total, dropped, state["fed"]),
+        }
+        with ThreadPoolExecutor(len(by_block | totals)) as pool:  # one small job each
+            written_parts = pool.map(lambda x: self.store.write_part(*x), (by_block | totals).items())
+            new = dict(zip(by_block | totals, written_parts))
+        parts, schemas = self.store.added(before, new, {name: set(status) for name in BY_BLOCK})
+        for name in parts:
+            head = {"parts": parts, "schemas": schemas}
+            parts[name] = self.store.folded(head, name, lambda rows, name=name: _folded(name, rows), MOST_PARTS)
+        self.store.commit(before, parts, status, state, schemas)
+
+    def _phrases_of(self, vecs: DataFrame, found: DataFrame) -> DataFrame:
+        """(phrase, cnt, created, updated, last_value, subject, block, piece) of vectors."""
+        s = self.settings
+        table = vecs.join(found, "vid").groupBy("phrase", "block", "piece").agg(
+            F.sum("w").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated"),
+            F.max("last")["value"].alias("last_value"), F.min_by(F.struct("first", "hidden"), "first.seq").alias("f"),
         )
+        hidden = F.array_union(F.col("f.hidden"), tk.excluded(F.col("f.first.message"), s.keywords, s.ignorewords))
+        return table.withColumn("subject", mining.subject(F.col("f.first.value"), hidden)).drop("f")
+
+    def _total_terms(self, before: dict, kept: DataFrame, known: DataFrame, dropped: list) -> DataFrame:
+        """What a feed adds to the totals, and what dropped blocks take from them."""
+        place = {"block": F.lit(0).cast("long"), "piece": F.lit(0)}
+        new = _terms_of(kept).groupBy("term").agg(F.sum("cnt").alias("cnt"))
+        out = new.join(known.select("term", F.col("first").alias("id")), "term")
+        gone = self.store.read("terms", dropped, before) if dropped else None
+        if gone is not None:
+            out = out.unionByName(gone.groupBy("term").agg((-F.sum("cnt")).alias("cnt")).withColumn("id", F.lit(None).cast("long")))
+        return out.withColumns(place)
+
+    def _total_phrases(self, before: dict, new: DataFrame, dropped: list, feed: int) -> DataFrame:
+        out = new.withColumn("feed", F.lit(feed).cast("long"))
+        gone = self.store.read("phrases", dropped, before) if dropped else None
+        if gone is not None:
+            gone = gone.groupBy("phrase", F.lit(0).cast("long").alias("block"), F.lit(0).alias("piece")).agg((-F.sum("cnt")).alias("cnt"))
+            out = out.unionByName(gone, allowMissingColumns=True)
+        return out
+
+    def remine(self) -> dict:
+        """Mines all live lines again, with the terms of all feeds: the phrases that one feed of all these lines would give.
+
+        Feeds see the terms of all feeds before them, but look for shared beginnings among
+        their own lines; this looks among all. It reads the stored vectors, not the logs,
+        and replaces the phrases of all blocks in one commit.
+        """
+        s, before = self.settings, self.store.head()
+        vecs = self.store.read("vectors")
+        if vecs is None:
+            return {"lines": 0, "border": 0, "phrases": 0}
+        known = written(self.terms(before))
+        border = terms.border_of(known, s.border_rate, s.border)
+        found = written(self._mined(vecs, known, border))
+        phrases = self._phrases_of(vecs, found)
+        all_ = self._phrases_of(vecs.withColumns({"block": F.lit(0).cast("long"), "piece": F.lit(0)}), found)
+        n = vecs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+        if not self.read_only:
+            feeds = before["state"]["fed"] + 1
+            new = {"phrases": self.store.write_part("phrases", phrases), "phrase_totals": self.store.write_part("phrase_totals", self._total_phrases(before, all_, [], feeds))}
+            parts, schemas = self.store.added(before, new, {"phrases": set(), "phrase_totals": set()})
+            self.store.commit(before, parts, before["status"], before["state"] | {"fed": feeds}, schemas)
+        return {"lines": n, "border": border, "phrases": found.select("phrase").distinct().count()}
 
     def rearranged(self, rate: float = 0.0, border: int = 0) -> DataFrame:
         """The phrases; under a higher border, mined again from one line each with its count as weight."""
@@ -211,18 +359,39 @@ class Miner:
         top = mining.top_rare(mining.scores(p, known, total), n, most, max(0, latest - (days or n) * 86400))
         return top.select((F.col("last_value") if last_text else F.col("phrase")).alias("text"), "cnt", F.col("score"))
 
+    def _folded_into_custom(self, p: DataFrame) -> DataFrame:
+        """(phrase, cnt) of stored phrases, those whose last line fits a custom phrase under its name."""
+        if not self.settings.custom_phrases:
+            return p.select("phrase", "cnt")
+        tokens = self._message_tokens(F.col("last_value"), F.col("updated"))
+        return self._custom(p.select("phrase", "cnt", tokens.alias("tokens"))).groupBy("phrase").agg(F.sum("cnt").alias("cnt"))
+
+    def _message_tokens(self, line: Column, at: Column) -> Column:
+        s = self.settings
+        return tk.tokens(parse.parsed(line, s.log_format, s.layout, at, F.timestamp_seconds(at))["message"], s.keywords, s.ignorewords)
+
     def detect(self, paths=None, least: int = 0, rate: float = 0.0, border: int = 0, lines: DataFrame | None = None) -> DataFrame:
-        """(value, phrase, cnt) of new lines: how often each one's template occurred, this batch included."""
+        """(value, phrase, cnt) of new lines: how often each one's template occurred, this batch included.
+
+        With custom phrases, lines and stored phrases that fit one count as it, whichever
+        of them was there first: a stored phrase fits if its last line does.
+        """
         raw = self.new_lines(paths) if lines is None else lines
-        batch = self.parsed(raw)
-        known = terms.merge_counts(self.terms(), terms.term_counts(batch))
+        batch = self.parsed(raw).withColumns({"vid": mining.vector_id(), "piece": F.lit(0)})
+        vecs = written(_vectors(batch))
+        before = self.store.head()
+        known, _ = self._known(before, _terms_of(vecs))
         base = terms.border_of(known, self.settings.border_rate, self.settings.border)
         chosen = max(base, terms.border_of(known, rate, border)) if rate > 0 or border > 0 else base
-        old = self.rearranged(rate, border).select("phrase", "cnt")
-        mined = self._custom(self._templates(batch, known, chosen))
-        here = mined.groupBy("phrase").agg(F.count(F.lit(1)).alias("cnt"))
+        old = self._folded_into_custom(self.rearranged(rate, border))
+        one = vecs.groupBy("vid").agg(F.first("tokens").alias("tokens"), F.sum("w").alias("w"))
+        found = self._mined(vecs, known, chosen).join(one, "vid")
+        found = written(self._custom(found).select("vid", "phrase", "w"))
+        here = found.groupBy("phrase").agg(F.sum("w").alias("cnt"))
         total = old.unionByName(here).groupBy("phrase").agg(F.sum("cnt").alias("cnt"))
-        return mined.select("seq", "value", "phrase").join(total, "phrase").where(F.col("cnt") >= least).orderBy("seq").select("value", "phrase", "cnt")
+        # Counts go to the vectors first, so that lines meet one row each.
+        counted = found.join(total, "phrase").where(F.col("cnt") >= least).select("vid", "phrase", "cnt")
+        return batch.select("seq", "value", "vid").join(counted, "vid").orderBy("seq").select("value", "phrase", "cnt")
 
     def term_counts(self, n: int = 0, paths=None) -> DataFrame:
         known = terms.term_counts(self.parsed(self.new_lines(paths))) if paths else self.terms()
@@ -254,16 +423,72 @@ class Miner:
         grid = ring.history_grid(ring.history(p, unit), ranked, unit)
         return ranked, grid.withColumn("time", ring.label(F.col("at"), self.settings.frequency)).select("time", *grid.columns[1:])
 
-    def ranked_subjects(self, n: int = 100) -> list[tuple[int, int, str]]:
-        """(rank from 1, count, subject) of the n largest phrases, in the order of the history's columns."""
-        top = self.phrases().orderBy(F.desc("cnt"), "phrase")
-        rows = (top.limit(n) if n > 0 else top).select("cnt", "subject").collect()
-        return [(i + 1, r.cnt, r.subject) for i, r in enumerate(rows)]
+    def ranked_phrases(self, n: int = 0) -> DataFrame:
+        """(rank from 0, phrase, cnt, subject) of the n largest phrases (all for n of 0), in the order of the history's columns."""
+        ranks = ring.ranked(self.phrases().withColumn("o", -F.col("cnt")), "o", "phrase").select("rank", "phrase", "cnt", "subject")
+        return ranks.where(F.col("rank") < n) if n > 0 else ranks
+
+    def history_lines(self, ranks: DataFrame, delim: str = ",") -> DataFrame:
+        """(at, line): the counts of ranked phrases by time bucket, as lines of a delimited file; for any number of phrases."""
+        p = self.store.read("phrases")
+        if p is None:
+            raise LookupError("the history needs a data folder that was fed")
+        unit = parse.UNIT_SECONDS.get(self.settings.frequency, 86400)
+        return ring.history_lines(ring.history(p, unit), ranks, ranks.count(), unit, self.settings.frequency, delim)
 
     def sizing(self, retention: int | None = None) -> tuple[int, int]:
-        """(block size, number of blocks) for the most lines that a live block had."""
-        most = max((x["lines"] for x in self.store.head()["status"].values()), default=0)
-        return ring.sizing(most, retention or self.settings.retention or 1)
+        """(block size, number of blocks) for the most lines that a live block had, all its pieces together."""
+        lines: dict[int, int] = {}
+        for k, x in self.store.head()["status"].items():
+            lines[place_of(k)[0]] = lines.get(place_of(k)[0], 0) + x["lines"]
+        return ring.sizing(max(lines.values(), default=0), retention or self.settings.retention or 1)
 
     def clean(self) -> None:
         self.store.drop_all()
+
+
+def _vectors(lines: DataFrame) -> DataFrame:
+    """Lines with equal tokens as one row in each block, with their first and last line."""
+    return lines.groupBy("vid", "block", "piece").agg(
+        F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("w"), F.min("epoch").alias("created"), F.max("epoch").alias("updated"),
+        F.min(F.struct("seq", "value", "message")).alias("first"), F.max(F.struct("seq", "value")).alias("last"),
+    )
+
+
+def _terms_of(vecs: DataFrame) -> DataFrame:
+    """(term, cnt, first) of vectors, by block if they are: first orders terms by where they were first seen."""
+    each = vecs.select("block", "piece", "w", F.col("first.seq").alias("seq"), F.posexplode("tokens").alias("pos", "term")).where(F.col("term") != tk.STAR)
+    return each.groupBy("term", "block", "piece").agg(F.sum("w").alias("cnt"), F.min(F.struct("seq", "pos")).alias("first"))
+
+
+def _piece_of(seq: str) -> Column:
+    """A line's piece: as many after the base as ended before the line."""
+    return F.col("base") + F.coalesce(F.size(F.filter("ends", lambda e: e < F.col(seq))), F.lit(0))
+
+
+def _summed_phrases(rows: DataFrame, *by: str) -> DataFrame:
+    """One row for each phrase of rows of several feeds; what blocks that were dropped take away has no time."""
+    fed = F.when(F.col("cnt") > 0, F.col("feed"))
+    return rows.groupBy("phrase", *by).agg(
+        F.sum("cnt").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated"),
+        F.max_by("last_value", F.struct("updated", "feed")).alias("last_value"), F.min_by("subject", fed).alias("subject"), F.max("feed").alias("feed"),
+    )
+
+
+def _folded(name: str, rows: DataFrame) -> DataFrame:
+    """The rows of several parts as one for each vector, term or phrase and block."""
+    if name == "terms":
+        return rows.groupBy("term", "block", "piece").agg(F.sum("cnt").alias("cnt"))
+    if name == "term_totals":
+        return rows.groupBy("term", "block", "piece").agg(F.sum("cnt").alias("cnt"), F.min("id").alias("id"))
+    if name == "phrase_totals":
+        return _summed_phrases(rows, "block", "piece")
+    if name == "vectors":
+        return rows.groupBy("vid", "block", "piece").agg(
+            F.first("tokens").alias("tokens"), F.sum("w").alias("w"), F.min("created").alias("created"), F.max("updated").alias("updated"),
+            F.min("first").alias("first"), F.max("last").alias("last"),
+        )
+    return rows.groupBy("phrase", "block", "piece").agg(
+        F.sum("cnt").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated"),
+        F.max_by("last_value", "updated").alias("last_value"), F.min_by("subject", "created").alias("subject"),
+    )

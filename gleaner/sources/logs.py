@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,65 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select("file", "mtime", "part", F.monotonically_increasing_id().alias("at"), value.alias("value"))
 
 
+def files_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, file, mtime) of files: a listing, which reads none of them. file is named as in read_lines."""
+    found = spark.read.format("binaryFile").load(paths)
+    return found.select("path", F.col("_metadata.file_path").alias("file"), F.unix_timestamp("modificationTime").alias("mtime"), "modificationTime")
+
+
+def new_files(files: DataFrame, mtime: int, file: str) -> list:
+    """The files of a listing that were changed after a position's file, and this one, by time and name.
+
+    The driver holds the names of new files, as it does to read them.
+    """
+    since = F.timestamp_seconds(F.lit(mtime))
+    later = (F.col("mtime") > mtime) | (F.col("file") >= file)
+    return files.where((F.col("modificationTime") >= since) & later).drop("modificationTime").orderBy("mtime", "file").collect()
+
+
+def read_files(spark: SparkSession, files: list) -> DataFrame:
+    """read_lines of listed files, whatever characters their names have."""
+    return read_lines(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", f.path) for f in files])
+
+
+def line_hash(value):
+    """What a position remembers of the last line that was read."""
+    return F.xxhash64(value)
+
+
+def after_row(lines: DataFrame, row: int, last: int) -> DataFrame | None:
+    """The lines of one file after line `row`, whose hash is `last`; None if that line is another one."""
+    found = numbered(lines)
+    if found.where((F.col("line_no") == row) & (line_hash("value") == last)).isEmpty():
+        return None
+    return found.where(F.col("line_no") > row).drop("line_no")
+
+
+def first_lines(lines: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` lines: whole splits, by their sizes, and a part of one; only that one is ranked."""
+    split = ["mtime", "file", "part"]
+    sizes = lines.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))  # one row for each split
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    room = F.lit(limit) - F.coalesce(F.sum("_n").over(before), F.lit(0))
+    used = sizes.withColumn("_room", room).where(F.col("_room") > 0)
+    whole, cut = used.where("_n <= _room"), used.where("_n > _room")  # one split at most is cut
+    rank = F.row_number().over(Window.partitionBy(*split).orderBy("at"))
+    parted = lines.join(F.broadcast(cut), split).withColumn("_rank", rank).where("_rank <= _room")
+    return lines.join(whole, split, "left_semi").unionByName(parted.select(*lines.columns))
+
+
+def end_of(lines: DataFrame, resumed: str = "", row: int = 0) -> dict | None:
+    """The position after lines: time, name, line and the line's hash of the last file; None without lines.
+
+    resumed, row: a file that was read from a line on.
+    """
+    by_file = lines.groupBy("mtime", "file").agg(F.count(F.lit(1)).alias("n"), F.max_by(line_hash("value"), F.struct("part", "at")).alias("last"))
+    end = by_file.orderBy(F.desc("mtime"), F.desc("file")).first()
+    if end is None:
+        return None
+    return {"mtime": end["mtime"], "file": end["file"], "row": end["n"] + (row if end["file"] == resumed else 0), "last": end["last"]}
+
+
 def numbered(lines: DataFrame) -> DataFrame:
     """lines with line_no, from 1 in each file: the rank in a split and the sizes of the splits before it."""
     sizes = lines.groupBy("file", "part").agg(F.count(F.lit(1)).alias("_n"))

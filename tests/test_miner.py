@@ -245,3 +245,182 @@ def test_timestamps(spark):
     now = F.to_timestamp(F.lit("2024-08-01 00:00:00"))
     got = spark.createDataFrame(rows, "t string, want string").select(F.timestamp_seconds(epoch(F.col("t"), "Jan 2 15:04:05", now)).cast("string").alias("g"), "want")
     assert [(r.g, r.want) for r in got.collect()] == [(w, w) for _, w in rows]
+
+
+STOPS = ["a an the", "- ; the", "a"]
+
+
+def test_feed_of_stop_words_and_of_old_lines(spark, tmp_path):
+    """Batches that leave no terms, or that are wholly older than retention, count nothing and pass."""
+    m = Miner(spark, str(tmp_path / "a"), settings(), now=NOW)
+    assert m.feed(lines=logs.lines_of(spark, STOPS), batch_of=("s", 0))["lines"] == 3
+    assert m.terms().isEmpty() and m.phrases().agg(F.sum("cnt")).first()[0] == 3
+    assert m.feed(lines=logs.lines_of(spark, []), batch_of=("s", 1)) == {"lines": 0, "border": 0, "phrases": 0}
+    assert m.feed(lines=logs.lines_of(spark, OLD), batch_of=("s", 2))["lines"] == 20
+    s = Settings(log_format=r"^(?P<timestamp>\d+\-\d+\-\d+ \d+:\d+:\d+)\ (?P<message>.+)$", layout="2006-01-02 15:04:05", frequency="hour", retention=3)
+    m = Miner(spark, str(tmp_path / "b"), s, now=NOW)
+    m.feed(lines=logs.lines_of(spark, HOURLY), batch_of=("s", 0))
+    old = [x.replace("2024-09-15 0", "2024-09-14 0") for x in HOURLY]
+    for _ in range(2):
+        m.feed(lines=logs.lines_of(spark, old), batch_of=("s", 1))
+    assert m.store.head()["state"]["batches"] == {"s": 1} and m.terms().where("term = 'grp1a'").first().cnt == 4
+    assert {r.block for r in m.store.status().collect()} == {202425900, 202425901}
+    tables = m.store.tables()
+    assert tables["terms"].names == ["term", "cnt", "block", "piece"] and set(tables) == {"vectors", "terms", "phrases", "term_totals", "phrase_totals"}
+
+
+def test_stream_of_stop_words(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "a.log", STOPS, 1_722_000_000)
+    m = Miner(spark, str(tmp_path / "data"), settings(), now=NOW)
+    feed.stream(m, str(tmp_path / "in"), str(tmp_path / "ck")).awaitTermination(120)
+    write(tmp_path / "in" / "b.log", OLD, 1_722_000_100)
+    feed.stream(m, str(tmp_path / "in"), str(tmp_path / "ck")).awaitTermination(120)
+    assert m.phrases().agg(F.sum("cnt")).first()[0] == 23
+
+
+def scanned(df):
+    return sorted(x.rsplit("/", 1)[1] for x in df.inputFiles())
+
+
+def test_only_new_files_are_read(spark, tmp_path):
+    for i in range(30):
+        write(tmp_path / f"o{i:02d}.log", OLD[:2], 1_722_000_000 + i)
+    m = Miner(spark, str(tmp_path / "data"), settings(), now=NOW)
+    every = str(tmp_path / "*.log")
+    assert m.feed(every)["lines"] == 60
+    write(tmp_path / "new [1].log", MORE, 1_722_000_500)
+    new = m.new_lines(every)
+    assert scanned(new) == ["new%20%5B1%5D.log", "o29.log"] and new.count() == 5
+    assert m.feed(every)["lines"] == 5 and m.feed(every)["lines"] == 0
+
+
+def test_files_that_grow_and_are_renamed(spark, tmp_path):
+    m = Miner(spark, str(tmp_path / "data"), settings(), now=NOW)
+    every = str(tmp_path / "app.log*")
+    write(tmp_path / "app.log", OLD[:8], 1_722_000_000)
+    assert m.feed(every)["lines"] == 8
+    write(tmp_path / "app.log", OLD[:12], 1_722_000_100)
+    assert m.feed(every)["lines"] == 4
+    (tmp_path / "app.log").rename(tmp_path / "app.log.1")
+    write(tmp_path / "app.log.1", OLD, 1_722_000_200)
+    write(tmp_path / "app.log", MORE, 1_722_000_300)
+    assert sorted(r.value for r in m.new_lines(every).collect()) == sorted(OLD[12:] + MORE)
+    assert m.feed(every, limit=10)["lines"] == 10
+    assert m.feed(every)["lines"] == 3
+    assert m.phrases().agg(F.sum("cnt")).first()[0] == 25
+
+
+def test_line_limit_takes_first_lines(spark, tmp_path):
+    for i, n in enumerate((3, 0, 7, 4)):
+        write(tmp_path / f"{i}.log", [f"{i}-{k}" for k in range(n)], 1_722_000_000 + i)
+    lines = logs.read_lines(spark, str(tmp_path / "*.log"))
+    everything = [f"{i}-{k}" for i, n in enumerate((3, 0, 7, 4)) for k in range(n)]
+    for limit in (1, 3, 5, 10, 13, 14, 99):
+        assert sorted(r.value for r in logs.first_lines(lines, limit).collect()) == everything[:limit]
+
+
+def hourly(hours, per=6):
+    return [f"2024-09-{15 + h // 24} {h % 24:02d}:{i:02d}:00 common words here grp{h % 3} item{(h * per + i) % 11}" for h in hours for i in range(per)]
+
+
+STAMPED = {"log_format": r"^(?P<timestamp>\d+\-\d+\-\d+ \d+:\d+:\d+)\ (?P<message>.+)$", "layout": "2006-01-02 15:04:05"}
+
+
+def test_totals_by_difference_equal_recomputation(spark, tmp_path, monkeypatch):
+    from gleaner.plans import miner as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 3)
+    s = Settings(**STAMPED, frequency="hour", max_blocks=3)
+    m = Miner(spark, str(tmp_path / "data"), s, now=NOW)
+    ids = {}
+    for hours in ([0, 1], [2, 3], [3, 4, 1], [5], [6, 7, 8, 9]):
+        m.feed(lines=logs.lines_of(spark, hourly(hours)))
+        for table, key in (("terms", "term"), ("phrases", "phrase")):
+            again = {r[key]: r.n for r in m.store.read(table).groupBy(key).agg(F.sum("cnt").alias("n")).collect()}
+            assert {r[key]: r.cnt for r in getattr(m, table)().collect()} == again
+        now = {r.term: r.first for r in m.terms().collect()}
+        assert all(ids.get(t, i) == i for t, i in now.items()) and len(set(now.values())) == len(now)
+        ids |= now
+        assert m.store.status().count() <= 3
+    last = {r.phrase: r.updated for r in m.phrases().collect()}
+    assert last == {r.phrase: r.u for r in m.store.read("phrases").groupBy("phrase").agg(F.max("updated").alias("u")).collect()}
+
+
+def test_a_feed_reads_no_history(spark, tmp_path, monkeypatch):
+    """No folder of an old block's terms, phrases or vectors is read, but for one that the ring drops."""
+    m = Miner(spark, str(tmp_path / "data"), Settings(**STAMPED, frequency="hour"), now=NOW)
+    m.feed(lines=logs.lines_of(spark, hourly([0])))
+    read, whole = [], m.store.read
+    monkeypatch.setattr(m.store, "read", lambda table, *a, **b: read.append(table) or whole(table, *a, **b))
+    m.feed(lines=logs.lines_of(spark, hourly([1])))
+    assert set(read) == {"term_totals", "phrase_totals"}
+
+
+def test_rotation_by_size(spark, tmp_path):
+    def expected(batches, size):
+        seen, fresh, piece, out = set(), 0, 0, []
+        for lines in batches:
+            for x in lines:
+                if fresh >= size:
+                    fresh, piece = 0, piece + 1
+                if x not in seen:
+                    seen.add(x)
+                    fresh += 1
+                out.append((x, piece))
+        return Counter(out)
+
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
+    batches = [[f"{words[i % 3]} {words[i // 3 % 7]} {words[i % 5]}" for i in range(n, n + 17)] for n in (0, 17, 3, 60)]
+    m = Miner(spark, str(tmp_path / "data"), Settings(block_size=4, border=1), now=NOW)
+    for lines in batches:
+        m.feed(lines=logs.lines_of(spark, lines))
+    got = Counter({(r.phrase, r.piece): r.n for r in m.store.read("phrases").groupBy("phrase", "piece").agg(F.sum("cnt").alias("n")).collect()})
+    assert got == expected(batches, 4) and max(p for _, p in got) > 2
+    status = m.store.status().orderBy("piece").collect()
+    assert sum(r.lines for r in status) == 68 and all(r.fresh == 4 for r in status[:-1])
+    newest = {(r.block, r.piece) for r in m.store.current("phrases").select("block", "piece").distinct().collect()}
+    assert newest == {(0, status[-1].piece)}
+
+
+@pytest.mark.parametrize("most,size", [(2999, 10_000), (3000, 100_000), (30_000, 100_000), (300_000, 1_000_000)])
+def test_sizes_are_chosen_by_the_first_feed(spark, tmp_path, most, size):
+    m = Miner(spark, str(tmp_path / "data"), Settings(**STAMPED, frequency="day", retention=4), now=NOW)
+    lines = spark.range(most).select(
+        F.lit("").alias("file"), F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("part"), F.col("id").alias("at"), F.lit("2024-09-15 10:00:00 some words here").alias("value")
+    )
+    m.feed(lines=lines)
+    assert Miner(spark, str(tmp_path / "data")).sizes() == (size, -(-most // size) * 4)
+
+
+def test_remine_equals_one_feed(spark, tmp_path):
+    lines = ["alpha beta gamma one", "alpha beta gamma two", "alpha beta gamma three", "alpha beta gamma four"]
+    one = Miner(spark, str(tmp_path / "one"), Settings(border=2), now=NOW)
+    one.feed(lines=logs.lines_of(spark, lines))
+    many = Miner(spark, str(tmp_path / "many"), Settings(border=2), now=NOW)
+    for k, x in enumerate(lines):
+        many.feed(lines=logs.lines_of(spark, [x]).withColumn("part", F.lit(k).cast("long")))
+    rows = lambda m: sorted(map(tuple, m.phrases().collect()))
+    assert rows(one) != rows(many)
+    assert many.remine()["phrases"] == 1
+    assert rows(one) == rows(many) and many.terms().count() == one.terms().count()
+    many.feed(lines=logs.lines_of(spark, lines[:1]))
+    assert many.phrases().agg(F.sum("cnt")).first()[0] == 5
+
+
+def test_detect_counts_custom_phrases(spark, tmp_path):
+    m = Miner(spark, str(tmp_path / "data"), Settings(custom_phrases=["alpha * gamma"], border=1), now=NOW)
+    m.feed(lines=logs.lines_of(spark, ["alpha one gamma", "alpha two gamma", "alpha three gamma", "other words here"]))
+    found = m.detect(lines=logs.lines_of(spark, ["alpha four gamma", "other words here", "alpha five delta"])).collect()
+    assert [(r.phrase, r.cnt) for r in found] == [("alpha * gamma", 4), ("other words here", 2), ("alpha five delta", 1)]
+
+
+def test_history_of_many_phrases(spark, tmp_path):
+    m = Miner(spark, str(tmp_path / "data"), Settings(**STAMPED, frequency="hour", border=1), now=NOW)
+    m.feed(lines=logs.lines_of(spark, hourly([0, 1, 3])))
+    cli.history(m, 0, str(tmp_path / "h"), ";")
+    rows = [x.split(";") for x in (tmp_path / "h" / "history.csv").read_text().splitlines()]
+    subjects = (tmp_path / "h" / "subjects.txt").read_text().splitlines()
+    assert len({len(r) for r in rows}) == 1 and len(rows[0]) == 1 + len(subjects) and [r[0] for r in rows[1:]] == [f"2024-09-15 0{h}" for h in range(4)]
+    _, grid = m.history(0)
+    assert rows[1:] == [[r[0], *("" if x is None else str(x) for x in r[1:])] for r in grid.collect()]
