@@ -35,21 +35,26 @@ _MALE = ("Mr", "Mister", "Herr", "Señor", "Sr", "Monsieur", "Господин")
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Mlle", "Госпожа")
 _ANY = ("Dr", "Prof", "Professor", "Доктор")
 _TITLES = "|".join(sorted(_MALE + _FEMALE + _ANY, key=len, reverse=True))
-_WORD = r"\p{Lu}(?:['’-]?[\p{L}\p{M}])*[\p{Ll}\p{M}]"
-_TITLE = rf"(?:(?:{_TITLES})\.? )+"
+# Groups repeat a bounded number of times, and classes give nothing back: a group that repeats
+# without bound would take the matcher's stack, and a class that is tried again from each of its
+# characters the square of its length.
+_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++){0,4}+(?<=[\p{Ll}\p{M}])"
+_TITLE = rf"(?:(?:{_TITLES})\.? ){{1,4}}"
+_LOCAL, _LABEL = r"[\p{L}\p{M}\p{N}._%+-]", r"[\p{L}\p{M}\p{N}-]"
 _ALONE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Patterns by type; where two begin at the same character the first wins.
 PATTERNS = (
-    ("email", r"[\p{L}\p{M}\p{N}._%+-]+@[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)*\.[\p{L}\p{M}]{2,}"),
+    # From the beginning of a run or the end of the match before; up to 127 labels, as many as a domain may have.
+    ("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@(?:{_LABEL}++\.){{1,127}}[\p{{L}}\p{{M}}]{{2,}}"),
     ("secret", rf"{_ALONE}(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{{32,128}}{_AFTER}"),
     ("phone", rf"{_ALONE}\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:[ .-]?\d{{2,4}}){{2,3}}(?!\d)|{_ALONE}\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\p{{L}}\p{{N}}.-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?![\p{{L}}\p{{N}}-])"),
     ("ip", r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)"),
-    ("ip6", rf"(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*\d)(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}})(?![\p{{L}}\p{{N}}:])"),
+    ("ip6", rf"(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*\d)(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,5}})(?![\p{{L}}\p{{N}}:])"),
     ("ssn", r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"),
     ("card", rf"{_ALONE}\d(?:[ -]?\d){{12,18}}{_AFTER}"),
     # M. alone may be an initial, so it is a title before two names only.
-    ("name", rf"{_ALONE}(?:{_TITLE}{_WORD}(?: {_WORD})?|M\.? {_WORD} {_WORD})"),
+    ("name", rf"{_ALONE}(?:{_TITLE}(?!(?:{_TITLES})[. ]){_WORD}(?: {_WORD})?|M\.? {_WORD} {_WORD})"),
 )
 PATTERN = "|".join(p for _, p in PATTERNS)
 
@@ -211,8 +216,8 @@ def name_parts(match: Column) -> tuple[Column, Column, Column, Column]:
     """(title with its space, given name or '', surname, gender) of a match of type name."""
     title = F.regexp_extract(match, rf"^(?:{_TITLE}|M\.? )", 0)
     rest = F.substr(match, F.length(title) + 1, F.length(match))
-    given = F.regexp_extract(rest, r"^(\S+) \S", 1)
-    surname = F.regexp_extract(rest, r"(\S+)$", 1)
+    given = F.when(F.contains(rest, F.lit(" ")), F.substring_index(rest, " ", 1)).otherwise("")
+    surname = F.substring_index(rest, " ", -1)
     has = lambda titles: title.rlike(rf"(?:^| )(?:{'|'.join(titles)})\.? ")
     gender = F.when(has((*_MALE, "M")), "given_m").when(has(_FEMALE), "given_f").otherwise("given_n")
     return title, given, surname, gender

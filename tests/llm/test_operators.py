@@ -503,6 +503,42 @@ def test_pii_matches_brute_force(spark):
     assert len(to) > 200 and not {(k, v) for (k, _), v in to.items()} & set(to)
 
 
+def test_pii_planted_entities_are_found(spark):
+    """Places are known from how the texts were made, not from the operator's patterns."""
+    rng = random.Random(33)
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    make = [
+        lambda: f"{rng.choice(['Mr', 'Mrs', 'Dr.', 'Frau', 'Prof.'])} {rng.choice(['Anna', 'Jörg', 'Zoë'])} {rng.choice(['O’Neill', 'Brown-Ikeda', 'Müller'])}",
+        lambda: "7" + hexes(31),
+        lambda: "2001:db8:" + ":".join(hexes(4) for _ in range(5)) + ":1",
+        lambda: f"fe80::{hexes(4)}:{rng.randint(1, 9)}",
+        lambda: f"a.b_{rng.randint(0, 99)}+x@sub.host-{rng.randint(0, 9)}.example.org",
+        lambda: f"10.{rng.randint(0, 255)}.0.{rng.randint(1, 255)}",
+    ]
+    texts = []
+    for i in range(60):
+        planted = [rng.choice(make)() for _ in range(rng.randint(0, 6))]
+        gaps = [" " + " ".join(rng.choices(WORDS, k=3)) + rng.choice([" ", ", ", "; (", " "]) for _ in range(len(planted) + 1)]
+        texts.append((i, planted, gaps, "".join(g + p for g, p in zip(gaps, [*planted, ""]))))
+    got = pii.pseudonymise(spark.createDataFrame([(i, t) for i, _, _, t in texts], "doc_id long, text string"), KEY).collect()
+    for r in got:
+        _, planted, gaps, _ = texts[r.doc_id]
+        found = re.fullmatch("(.+?)".join(re.escape(g) for g in gaps), r.text, re.S)
+        assert found and r.n_entities == len(planted)
+        assert not set(planted) & set(found.groups())
+
+
+def test_pii_very_long_words(spark):
+    """Neither the matcher's stack nor the square of a word's length."""
+    m = 10**6
+    rows = ["Mr. A" + "a" * m, "x@" + "a." * (m // 2) + "com", "a" * m, "Mr. " * (m // 8) + "Smith", "1 " * (m // 4), "f" * m]
+    rows += ["Mr. A" + "-a" * (m // 4), "Mr. A" + "a" * m + " Smith", ":1" * (m // 4), "x@" * (m // 4)]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    assert "aaaaaaaaaa" not in got[0].text and got[0].n_entities == 1 and got[7].n_entities == 1 and "Smith" not in got[7].text
+    assert got[3].text.startswith("Mr. Mr. ") and "Smith" not in got[3].text
+    assert [got[i].text == rows[i] for i in (1, 2, 5, 8, 9)] == [True] * 5
+
+
 def brute_url(url):
     if not url or "://" not in url:
         host = path = ""
