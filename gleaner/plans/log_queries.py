@@ -583,14 +583,14 @@ def miner_ring_totals(spark, sf):
     return m.terms().select("term", "cnt")
 
 
-_SIZE = 50
+_SIZE = 2
 
 
-@query(_MINE + f""", f AS (SELECT phrase, min(seq) AS seq FROM lines GROUP BY phrase), r AS (SELECT seq, row_number() OVER (ORDER BY seq) AS n FROM f),
-p2 AS (SELECT lines.phrase, lines.seq, coalesce((SELECT max(n) FROM r WHERE r.seq < lines.seq), 0) // {_SIZE} AS piece FROM lines)
+@query(_MINE + f""", f AS (SELECT phrase, min(seq) AS seq FROM lines GROUP BY phrase), seen AS (SELECT seq, row_number() OVER (ORDER BY seq) AS n FROM f),
+p2 AS (SELECT lines.phrase, lines.seq, coalesce((SELECT max(n) FROM seen WHERE seen.seq < lines.seq), 0) // {_SIZE} AS piece FROM lines)
 SELECT phrase, CAST(piece AS BIGINT) AS piece, count(*) AS cnt FROM p2 GROUP BY ALL""")
 def miner_size_blocks(spark, sf):
-    """A feed in pieces that end with every fiftieth new phrase."""
+    """A feed in pieces that end with every second new phrase."""
     m = new_miner(spark, settings(block_size=_SIZE))
     m.feed(lines=event_log(spark, sf))
     return m.store.read("phrases").select("phrase", F.col("piece").cast("long").alias("piece"), "cnt")
