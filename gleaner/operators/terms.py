@@ -22,7 +22,7 @@ def term_counts(lines: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def with_ids(counts: DataFrame, order: str) -> DataFrame:
-    """counts with id: a term's number in the order of first sight (a number in column `order`), from 1."""
+    """counts with id: a term's number in the order of first sight (a column that can be ordered), from 1."""
     from .ring import ranked
 
     return ranked(counts, order, "term").withColumn("id", F.col("rank") + 1).drop("rank")

@@ -42,10 +42,11 @@ def event_lines(spark, sf):
 
 
 def document_lines(spark, sf):
-    """L2: lines of documents that are not blank."""
-    at = F.posexplode(F.split("text", "\n", -1)).alias("at", "value")
+    """L2: lines of documents that are not blank; seq orders them, by document and line."""
+    at = F.posexplode(F.split("text", "\n", -1)).alias("line", "value")
     lines = spread(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", at)
-    return lines.select("doc_id", (F.col("doc_id") * 1000000 + F.col("at")).alias("seq"), "value").where("value != ''")
+    lines = lines.select("doc_id", F.col("line").cast("long").alias("line"), "value")
+    return lines.select("doc_id", "line", F.struct("doc_id", "line").alias("seq"), "value").where("value != ''")
 
 
 def tokenised(lines, keywords=(), ignorewords=()):
@@ -53,7 +54,7 @@ def tokenised(lines, keywords=(), ignorewords=()):
 
 
 _L1 = "SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' user' || user_id || ' props ' || props AS value, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events"
-_L2 = "SELECT doc_id, doc_id * 1000000 + at_ AS seq, value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(len(string_split(text, chr(10))))) AS at_ FROM documents) WHERE value <> ''"
+_L2 = "SELECT doc_id, at_ AS line, {'doc_id': doc_id, 'line': at_} AS seq, value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(len(string_split(text, chr(10))))) AS at_ FROM documents) WHERE value <> ''"
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in tk.STOP_WORDS)
 _PAT = tk.DELIMITERS.replace("'", "''")
 
@@ -71,9 +72,9 @@ def _tokens_sql(value="value", keywords=(), ignorewords=()):
 _TERMS = f"WITH l AS ({_L2}), k AS (SELECT seq, {_tokens_sql()} AS tokens FROM l), e AS (SELECT seq, unnest(tokens) AS term FROM k), terms AS (SELECT term, count(*) AS cnt FROM e WHERE term <> '*' GROUP BY term)"
 
 
-@query(f"SELECT seq, len({_tokens_sql()}) AS n_tokens, array_to_string({_tokens_sql()}, ' ') AS tokens FROM ({_L2})")
+@query(f"SELECT doc_id, line, len({_tokens_sql()}) AS n_tokens, array_to_string({_tokens_sql()}, ' ') AS tokens FROM ({_L2})")
 def tokenize_docs(spark, sf):
-    return tokenised(document_lines(spark, sf)).select("seq", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+    return tokenised(document_lines(spark, sf)).select("doc_id", "line", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
 def _terms(spark, sf):
@@ -278,10 +279,9 @@ def border_selection(spark, sf):
     return spark.createDataFrame([(terms.border_of(t, 0.0, 77), terms.border_of(t, 0.0))], "given long, computed long")
 
 
-@query(f"WITH l AS ({_L2}), e AS (SELECT seq, unnest({_tokens_sql()}) AS term, unnest(range(len({_tokens_sql()}))) AS pos FROM l), f AS (SELECT term, count(*) AS cnt, min(seq * 100000 + pos) AS first FROM e WHERE term <> '*' GROUP BY term) SELECT term, cnt, row_number() OVER (ORDER BY first) AS id FROM f")
+@query(f"WITH l AS ({_L2}), e AS (SELECT seq, unnest({_tokens_sql()}) AS term, unnest(range(len({_tokens_sql()}))) AS pos FROM l), f AS (SELECT term, count(*) AS cnt, min({{'s': seq, 'p': pos}}) AS first FROM e WHERE term <> '*' GROUP BY term) SELECT term, cnt, row_number() OVER (ORDER BY first) AS id FROM f")
 def term_ids(spark, sf):
-    t = _terms(spark, sf).select("term", "cnt", (F.col("first.seq") * 100000 + F.col("first.pos")).alias("at"))
-    return terms.with_ids(t, "at").select("term", "cnt", F.col("id").cast("long").alias("id"))
+    return terms.with_ids(_terms(spark, sf), "first").select("term", "cnt", F.col("id").cast("long").alias("id"))
 
 
 @query("SELECT CAST(CASE WHEN most < 3000 THEN 10000 WHEN most < 300000 THEN 100000 ELSE 1000000 END AS BIGINT) AS block_size, CAST(ceil(most / CASE WHEN most < 3000 THEN 10000 WHEN most < 300000 THEN 100000 ELSE 1000000 END) * 7 AS BIGINT) AS n_blocks FROM (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM events GROUP BY date_trunc('day', ts)))")
@@ -741,11 +741,11 @@ def table_catalog(spark, sf):
     return store.catalog()
 
 
-@query(f"SELECT seq FROM ({_L2}) WHERE doc_id > 100 OR (doc_id = 100 AND seq % 1000000 >= 2)")
+@query(f"SELECT doc_id, line FROM ({_L2}) WHERE doc_id > 100 OR (doc_id = 100 AND line >= 2)")
 def resume_offset(spark, sf):
     """What is new after the second line of file 100."""
     new = logs.drop_blank(logs.select_new(document_files(spark, sf), 100, f"{100:012d}", 2))
-    return new.select((F.col("doc_id") * 1000000 + F.col("line_no") - 1).alias("seq"))
+    return new.select("doc_id", (F.col("line_no") - 1).cast("long").alias("line"))
 
 
 @query(f"SELECT seq, value FROM ({_L1}) ORDER BY seq LIMIT 500")
