@@ -33,7 +33,9 @@ def ranked(items: DataFrame, order: str, key: str) -> DataFrame:
     before = Window.orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_u", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
     out = table.join(F.broadcast(starts), part == F.col("_u"))
-    return out.withColumn("rank", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start")).drop("_at", "_u", "_start")
+    out = out.withColumn("rank", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start")).drop("_at", "_u", "_start")
+    out._written = table._written  # so that it can be erased
+    return out
 
 
 def block_by_size(items: DataFrame, block_size: int, order: str = "first", key: str = "term") -> DataFrame:

@@ -21,7 +21,7 @@ from gleaner.functions import parse
 from gleaner.functions import tokens as tk
 from gleaner.operators import mining, ring, terms
 from gleaner.operators.ledger import MOST_PARTS, Ledger, among, key_of, place_of
-from gleaner.session import written
+from gleaner.session import erase, written
 from gleaner.sources import logs
 
 
@@ -159,14 +159,17 @@ class Miner:
         batch = self.parsed(raw).withColumns({"vid": mining.vector_id(), "piece": F.lit(0)})
         vecs = written(_vectors(batch))
         n = vecs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+        used = [vecs]
         known, next_id = self._known(before, _terms_of(vecs))
         border = terms.border_of(known, s.border_rate, s.border)
         found = written(self._mined(vecs, known, border))
+        used += [known, found]
         if not self.read_only:
             size, chosen = self._sizes_after(before, vecs)
             fresh, pieces, cut = self._pieces(before, vecs, found, size)
             if cut:
                 vecs = written(_vectors(batch.drop("piece").join(F.broadcast(pieces), "block").withColumn("piece", _piece_of("seq"))))
+                used += [vecs, pieces]
             else:
                 vecs = vecs.drop("piece").join(F.broadcast(pieces), "block").withColumn("piece", F.col("base")).drop("base", "ends")
             position = before["state"].get("position", _START)
@@ -181,6 +184,7 @@ class Miner:
             self._commit(before, vecs, found, known, fresh, state)
         out = {"lines": n, "border": border, "phrases": found.select("phrase").distinct().count()}
         raw.unpersist()
+        erase(*used)
         return out
 
     def _known(self, before: dict, new: DataFrame) -> tuple[DataFrame, int]:
@@ -191,10 +195,12 @@ class Miner:
         old = self.terms(before)
         new = new.groupBy("term").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
         start = before["state"].get("next_id", 1)
-        unseen = ring.ranked(new.join(old, "term", "left_anti"), "first", "term").withColumn("first", F.col("rank") + start)
+        ranks = ring.ranked(new.join(old, "term", "left_anti"), "first", "term")
+        unseen = ranks.withColumn("first", F.col("rank") + start)
         both = new.select("term", "cnt").join(old.select("term", F.col("cnt").alias("had"), "first"), "term", "full")
         both = both.select("term", (F.coalesce("cnt", F.lit(0)) + F.coalesce("had", F.lit(0))).alias("cnt"), "first")
         known = written(both.where("first is not null").unionByName(unseen.select("term", "cnt", "first")))
+        erase(ranks)
         return known, max(start, (known.agg(F.max("first")).first()[0] or 0) + 1)
 
     def _mined(self, vecs: DataFrame, known: DataFrame, border: int) -> DataFrame:
@@ -229,6 +235,7 @@ class Miner:
         counts = {r["block"]: r["n"] for r in new.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
         carried = {b: before["status"].get(key_of(b, base[b]), {}).get("fresh", 0) for b in blocks}
         if all(carried[b] + counts.get(b, 0) < size for b in blocks):
+            erase(new)
             return {(b, base[b]): counts.get(b, 0) for b in blocks}, starts.withColumn("ends", F.lit(None).cast("array<int>")), False
         starts = self.spark.createDataFrame([(b, base[b], carried[b]) for b in blocks], "block long, base int, carried long")
         ranks = ring.ranked(new.withColumn("o", F.struct("block", "seq")), "o", "phrase")
@@ -240,7 +247,9 @@ class Miner:
         at = lambda n: (F.col("base") + F.floor(n / size)).cast("int")
         pieces = written(starts.join(ends, "block", "left").select("block", at(F.col("carried")).alias("base"), "ends"))
         fresh = nth.groupBy("block", at(F.col("nth")).alias("piece")).agg(F.count(F.lit(1)).alias("n"))
-        return {(r["block"], r["piece"]): r["n"] for r in fresh.collect()}, pieces, True  # a row for each piece
+        counted = {(r["block"], r["piece"]): r["n"] for r in fresh.collect()}  # a row for each piece
+        erase(new, ranks)
+        return counted, pieces, True
 
     def _commit(self, before: dict, vecs: DataFrame, found: DataFrame, known: DataFrame, fresh: dict, state: dict) -> None:
         """Adds parts to the blocks, of which the ring keeps the newest and retention the recent ones, and to the totals."""
@@ -325,7 +334,9 @@ class Miner:
             new = {"phrases": self.store.write_part("phrases", phrases), "phrase_totals": self.store.write_part("phrase_totals", self._total_phrases(before, all_, [], feeds))}
             parts, schemas = self.store.added(before, new, {"phrases": set(), "phrase_totals": set()})
             self.store.commit(before, parts, before["status"], before["state"] | {"fed": feeds}, schemas)
-        return {"lines": n, "border": border, "phrases": found.select("phrase").distinct().count()}
+        out = {"lines": n, "border": border, "phrases": found.select("phrase").distinct().count()}
+        erase(known, found)
+        return out
 
     def rearranged(self, rate: float = 0.0, border: int = 0) -> DataFrame:
         """The phrases; under a higher border, mined again from one line each with its count as weight."""
@@ -387,6 +398,7 @@ class Miner:
         one = vecs.groupBy("vid").agg(F.first("tokens").alias("tokens"), F.sum("w").alias("w"))
         found = self._mined(vecs, known, chosen).join(one, "vid")
         found = written(self._custom(found).select("vid", "phrase", "w"))
+        erase(vecs, known)
         here = found.groupBy("phrase").agg(F.sum("w").alias("cnt"))
         total = old.unionByName(here).groupBy("phrase").agg(F.sum("cnt").alias("cnt"))
         # Counts go to the vectors first, so that lines meet one row each.

@@ -34,4 +34,14 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, which cuts its lineage."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def erase(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once all that was made of them has been written too."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
