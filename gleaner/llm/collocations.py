@@ -414,7 +414,7 @@ def collocations(
     frequent = frequent_phrases(docs, words, least, longest, width, dictionary_bytes)
     phrases = scored(frequent, totals, words, width, longest)
     kept = materialise(spelled(without_covered(phrases, width, longest, covered), words, width))
-    discard(frequent, phrases)
+    discard(frequent, phrases, words, totals)
     order = (F.desc("score"), F.desc("a"), "phrase")
     # First by parts, so that no task sorts a whole language.
     salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
