@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -250,6 +251,44 @@ def test_mixing_schedule_matches_brute_force(seed):
     assert [k for _, k, _ in got] == sorted(k for _, k, _ in got)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_mixing_frames_need_no_earlier_ones(seed):
+    rng = random.Random(seed)
+    names = [f"s{i}" for i in range(rng.choice([2, 3, 5, 9, 14]))]
+    weights = {s: rng.choice([1.0, 1.0, 0.3, 7.1, 0.125, rng.random() + 0.02]) for s in names}
+    total = sum(weights.values())
+    blocks = {s: int(rng.choice([0.5, 1, 1, 1.3]) * 4000 * w / total) + rng.randint(0, 3) for s, w in weights.items()}
+    every = list(mixing.frames(blocks, weights, mixing.RESOLUTION, 1))
+    assert max(f[3] for f in every) > 0  # a phase has several
+    got = list(mixing.schedule(blocks, weights, mixing.RESOLUTION, 1))
+    assert got == list(mixing.schedule(blocks, weights, mixing.RESOLUTION)) and [t for t, _, _ in got] == list(range(sum(blocks.values())))
+    assert [s for _, _, s in got] == brute_schedule(blocks, weights)
+    rng.shuffle(every)
+    slots = sorted((t, f[0], s) for f in every for t, s, _ in mixing.in_frame(f, weights, mixing.RESOLUTION))
+    assert slots == got
+
+
+def test_mixing_hands_out_frames_without_running_blocks():
+    blocks = {f"s{i}": 10**8 + i for i in range(20)}
+    weights = {s: (i + 1) ** 0.5 for i, s in enumerate(blocks)}
+    began = time.time()
+    every = list(mixing.frames(blocks, weights, mixing.RESOLUTION))
+    assert time.time() - began < 60 and sum(f[4] - f[3] for f in every) == sum(blocks.values())
+
+
+def test_mixing_plan_is_made_by_tasks(spark):
+    blocks, weights = {"a": 9000, None: 2500, "c": 700, "d": 1}, {"a": 0.7, None: 0.2, "c": 0.09, "d": 0.01}
+    names = {None: 0, "a": 1, "c": 2, "d": 3}
+    rows = mixing.plan(spark, blocks, weights, mixing.RESOLUTION, names, 500).collect()
+    assert all(len(r["_slots"]) <= mixing.CHUNK for r in rows) and len({(r["_k"], r["_c"]) for r in rows}) == len(rows)
+    got = {(t, p): (r["_k"], r["_c"] * mixing.CHUNK + i) for r in rows for i, (t, p) in enumerate(zip(r["_slots"], r["_phases"], strict=True))}
+    ran, expected = dict.fromkeys(names, 0), {}
+    for t, p, s in mixing.schedule(blocks, weights, mixing.RESOLUTION):
+        expected[t, p] = names[s], ran[s]
+        ran[s] += 1
+    assert got == expected
+
+
 def test_mixing_deals_out_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(mixing, "HOT_ROWS", 50)
     rows = [(None if i % 3 else i, "a", i) for i in range(900)] + [(i, "b", i) for i in range(300)]
