@@ -74,8 +74,15 @@ def table(rows, header, out: str, delim: str) -> None:
         w.writerows(rows)
 
 
+def shared(out: str) -> bool:
+    """Whether an output is a folder of a file system that Spark's tasks write to, such as hdfs://host/path."""
+    return "://" in out
+
+
 def history(miner: Miner, n: int, out: str, delim: str) -> None:
     """history.csv and subjects.txt in a folder, or both to the standard output; rows pass one at a time."""
+    if shared(out):
+        return miner.write_history(out, n, delim[0])
     ranks = miner.ranked_phrases(n)
     lines = miner.history_lines(ranks, delim[0])
     if out:
@@ -101,7 +108,7 @@ def main(argv: list[str] | None = None) -> int:
     explicit = any(getattr(args, n, None) is not None for n in KEYS.values() if n not in renewed) or bool(file)
     miner = Miner(spark, data or scratch(spark), settings(args, file) if explicit else None, read_only=args.readonly)
     again = {"rate": args.border_rate or 0.0, "border": args.border or 0} if renewed else {}
-    stdin = logs.lines_of(spark, sys.stdin) if not path and args.mode in ("topN", "feed", "detect") else None
+    stdin = logs.spooled(spark, sys.stdin, scratch(spark)) if not path and args.mode in ("topN", "feed", "detect") else None
     if args.mode == "clean":
         if input(f"Delete {data}? (y/N) ").strip().lower() == "y":
             miner.clean()
@@ -127,6 +134,8 @@ def main(argv: list[str] | None = None) -> int:
         print(phrase)
         for r in counts.collect():
             print(f"{r.term}: {r.cnt}")
+    elif args.mode == "outputPhrases" and shared(args.out):
+        miner.write_phrases(args.out, args.biggestN, args.delim[0], **again)
     elif args.mode == "outputPhrases":
         df = miner.output_phrases(args.biggestN, **again)
         table(([*r] for r in df.toLocalIterator()), df.columns, args.out, args.delim)

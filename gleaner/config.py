@@ -6,9 +6,9 @@ import os
 import re
 
 
-def substituted(text: str) -> str:
+def substituted(text: str, variables=os.environ) -> str:
     """Environment variables filled in; one that is not set is empty."""
-    return re.sub(r"\{\{\s*(\w+)\s*\}\}", lambda m: os.environ.get(m[1], ""), text)
+    return re.sub(r"\{\{\s*(\w+)\s*\}\}", lambda m: variables.get(m[1], ""), text)
 
 
 def _scalar(v: str):
@@ -23,9 +23,13 @@ def _scalar(v: str):
 
 
 def load(path: str) -> dict:
-    """Keys with scalars or lists of scalars: PyYAML's result if it is there, else the same for such files."""
     with open(path) as f:
-        text = substituted(f.read())
+        return parsed(f.read())
+
+
+def parsed(text: str, variables=os.environ) -> dict:
+    """Keys with scalars or lists of scalars: PyYAML's result if it is there, else the same for such files."""
+    text = substituted(text, variables)
     try:
         import yaml
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner import cli, config
 from gleaner.functions import parse, scalars
 from gleaner.functions import tokens as tk
 from gleaner.operators import mining, ring, table, terms
@@ -192,6 +193,16 @@ def parse_log_format(spark, sf):
     return lines.select("seq", at.alias("p")).select("seq", "p.epoch", "p.message")
 
 
+@query(f"SELECT seq, value, CASE WHEN string_split(value, ' ')[3] IN ('click', 'view') THEN 'fits' ELSE 'other' END AS kind, CASE WHEN string_split(value, ' ')[3] IN ('click', 'view') THEN CAST(epoch(CAST('2031-' || CASE WHEN substr(value, 6, 5) = '02-29' THEN '03-01' ELSE substr(value, 6, 5) END || substr(value, 11, 9) AS TIMESTAMP)) AS BIGINT) ELSE 1000 + seq END AS epoch, CASE WHEN string_split(value, ' ')[3] = 'click' THEN substr(value, 27) WHEN string_split(value, ' ')[3] = 'view' THEN substr(value, 26) ELSE value END AS message FROM ({_L1})")
+def unfit_lines(spark, sf):
+    """Lines of which some don't fit the format: these are their own messages, at their file's time."""
+    lines = event_lines(spark, sf)
+    pattern = r"^(?P<timestamp>\d+-\d+-\d+ \d+:\d+:\d+) (?:click|view) (?P<message>.+)$"
+    at = parse.parsed(F.col("value"), pattern, "2006-01-02 15:04:05", F.col("seq") + 1000, F.to_timestamp(F.lit(_NOW)))
+    kind = F.when(F.col("value").rlike(" (?:click|view) "), "fits").otherwise("other")
+    return lines.select("seq", "value", kind.alias("kind"), at.alias("p")).select("seq", "value", "kind", "p.epoch", "p.message")
+
+
 def _pos(spark, sf, frequency):
     lines = event_lines(spark, sf)
     return lines.select("seq", parse.retention_pos(F.timestamp_seconds("epoch"), frequency).alias("retention_pos"))
@@ -661,6 +672,65 @@ def miner_new_files(spark, sf):
     return new.groupBy(F.regexp_extract("file", "day=([^/]*)", 1).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_DAY_TERMS)
+def miner_late_lines(spark, sf):
+    """The later half of the log first, then the earlier one: late lines join the blocks of their own days."""
+    lines = event_log(spark, sf)
+    middle = lines.agg(((F.min("mtime") + F.max("mtime")) / 2).cast("long")).first()[0]
+    m = new_miner(spark, settings(frequency="day"))
+    for part in (F.col("mtime") > middle, F.col("mtime") <= middle):
+        m.feed(lines=lines.where(part))
+    return m.store.read("terms").groupBy("block", "term").agg(F.sum("cnt").alias("cnt"))
+
+
+@query(f"{_mined_sql(_SECOND, _SECOND)} SELECT term, cnt, first_id AS id FROM (SELECT term, cnt, row_number() OVER (ORDER BY first) AS first_id FROM terms)")
+def miner_clean(spark, sf):
+    """A store that was fed, deleted and fed something else: nothing of the first feed is left, ids included."""
+    first, second = halves(spark, sf)
+    m = new_miner(spark, settings())
+    m.feed(lines=first)
+    m.clean()
+    again = Miner(spark, m.store.root, settings())
+    again.feed(lines=second)
+    return again.terms().select("term", "cnt", F.col("first").alias("id"))
+
+
+_CHOSEN = f"SELECT * FROM ({_L1}) WHERE (contains(value, ' click ') OR contains(value, ' view ')) AND NOT contains(value, 'user1')"
+
+
+@query(f"{_mined_sql(_CHOSEN, _CHOSEN)} SELECT CAST(year(make_timestamp(epoch * 1000000)) * 1000 + dayofyear(make_timestamp(epoch * 1000000)) AS BIGINT) AS block, phrase, count(*) AS cnt FROM lines GROUP BY ALL")
+def configured_feed(spark, sf):
+    """A feed whose settings come from a file with variables, of which the command line overrides one."""
+    text = f"frequency: '{{{{ UNIT }}}}'\nsearchString: '(click|{{{{ OTHER }}}}) '\nexcludeString:\n- user1\n- '{{{{ NONE }}}}'\ntermCountBorder: 7\nminMatchRate: {_MIN}\n"
+    file = config.parsed(text, {"UNIT": "day", "OTHER": "view"})
+    m = new_miner(spark, cli.settings(cli.arguments().parse_args(["-m", "feed", "-b", str(_BORDER)]), file))
+    m.feed(lines=event_log(spark, sf))
+    return m.store.read("phrases").groupBy("block", "phrase").agg(F.sum("cnt").alias("cnt"))
+
+
+@query(_SUBJECT + f"SELECT strftime(make_timestamp(created * 1000000), '%Y-%m-%d %H:%M:%S') AS Created, strftime(make_timestamp(updated * 1000000), '%Y-%m-%d %H:%M:%S') AS Updated, CAST(cnt AS VARCHAR) AS Count, {_MEMBER} AS Member FROM g JOIN phrases USING (phrase)")
+def phrases_file(spark, sf):
+    """All phrases written as CSV, and read back."""
+    m = new_miner(spark, settings())
+    m.feed(lines=event_log(spark, sf))
+    path = scratch(spark)
+    m.write_phrases(path)
+    return logs.read_table(spark, path)
+
+
+@query(_MINE + f""", days AS (SELECT phrase, epoch // 86400 * 86400 AS at_, count(*) AS cnt FROM lines GROUP BY ALL), ranks AS (SELECT phrase, cnt, row_number() OVER (ORDER BY cnt DESC, phrase) AS n FROM phrases),
+t AS (SELECT unnest(range(min(at_), max(at_) + 1, 86400)) AS a FROM days), g AS (SELECT a, n, days.cnt FROM t CROSS JOIN ranks LEFT JOIN days ON days.phrase = ranks.phrase AND at_ = a)
+SELECT 'time,' || string_agg(n || '(' || cnt || ')', ',' ORDER BY n) AS line FROM ranks
+UNION ALL SELECT strftime(make_timestamp(a * 1000000), '%Y-%m-%d') || ',' || string_agg(coalesce(CAST(cnt AS VARCHAR), ''), ',' ORDER BY n) FROM g GROUP BY a""")
+def history_file(spark, sf):
+    """The history of all phrases written as a file with a header, and read back."""
+    m = new_miner(spark, settings(frequency="day"))
+    m.feed(lines=event_log(spark, sf))
+    path = scratch(spark)
+    m.write_history(path)
+    return logs.read_lines(spark, f"{path}/history.csv").select(F.col("value").alias("line"))
+
+
 # --- sources and stores -----------------------------------------------------------------
 
 

@@ -448,6 +448,23 @@ class Miner:
         unit = parse.UNIT_SECONDS.get(self.settings.frequency, 86400)
         return ring.history_lines(ring.history(p, unit), ranks, ranks.count(), unit, self.settings.frequency, delim)
 
+    def write_phrases(self, path: str, n: int = 0, delim: str = ",", rate: float = 0.0, border: int = 0) -> None:
+        """output_phrases as a folder of CSV files with a header, whose names are in the order of the rows."""
+        logs.write_table(self.output_phrases(n, rate, border), path, delim)
+
+    def write_history(self, path: str, n: int = 0, delim: str = ",") -> None:
+        """Two folders in path: history.csv, a header and a line for each time bucket, and subjects.txt, a row for each column.
+
+        Tasks write both, so the driver holds neither phrases nor lines; a header is as long as a line.
+        """
+        ranks = self.ranked_phrases(n)
+        name = F.concat((F.col("rank") + 1).cast("string"), F.lit("("), F.col("cnt").cast("string"), F.lit(")"))
+        names = F.sort_array(F.collect_list(F.struct("rank", name.alias("name"))))
+        head = ranks.agg(F.array_join(F.concat(F.array(F.lit("time")), F.transform(names, lambda x: x["name"])), delim).alias("line"))
+        lines = self.history_lines(ranks, delim).unionByName(head.withColumn("at", F.lit(None).cast("long")))
+        lines.orderBy(F.asc_nulls_first("at")).select("line").write.text(f"{path}/history.csv")
+        logs.write_table(ranks.orderBy("rank").select(name.alias("name"), "subject"), f"{path}/subjects.txt", delim, header=False)
+
     def sizing(self, retention: int | None = None) -> tuple[int, int]:
         """(block size, number of blocks) for the most lines that a live block had, all its pieces together."""
         lines: dict[int, int] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -112,8 +113,13 @@ def count_files(lines: DataFrame, first: int = 0) -> DataFrame:
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A CSV table, plain or gzip: with a header, or without one if its columns are named."""
     if columns:
-        return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
-    return spark.read.csv(path, header=True, mode="PERMISSIVE")
+        return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).csv(path, escape='"')
+    return spark.read.csv(path, header=True, mode="PERMISSIVE", escape='"')
+
+
+def write_table(df: DataFrame, path: str, delim: str = ",", header: bool = True) -> None:
+    """A CSV table as read_table reads it: values as they are, quotes in them doubled."""
+    df.write.csv(path, sep=delim, header=header, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_words(spark: SparkSession, path: str) -> list[str]:
@@ -126,10 +132,24 @@ def write_words(spark: SparkSession, words: list[str], path: str) -> None:
     spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, value string").coalesce(1).orderBy("i").select("value").write.text(path)
 
 
+_LINE = "file string, mtime long, part long, at long, value string"
+
+
 def lines_of(spark: SparkSession, texts) -> DataFrame:
     """Lines from memory, such as standard input."""
     rows = [("", 0, 0, i, t.rstrip("\r\n")) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "file string, mtime long, part long, at long, value string")
+    return spark.createDataFrame(rows, _LINE)
+
+
+def spooled(spark: SparkSession, texts, path: str, chunk: int = 100_000) -> DataFrame:
+    """lines_of for a stream of any length, such as standard input: written to a folder, `chunk` lines at a time.
+
+    The driver holds one chunk; each is a part, in which lines are numbered.
+    """
+    for part, some in enumerate(itertools.batched(texts, chunk)):
+        lines_of(spark, some).withColumn("part", F.lit(part).cast("long")).write.mode("append").parquet(path)
+    lines_of(spark, []).write.mode("append").parquet(path)  # so that there is a folder without lines, too
+    return spark.read.schema(_LINE).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

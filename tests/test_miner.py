@@ -424,3 +424,30 @@ def test_history_of_many_phrases(spark, tmp_path):
     assert len({len(r) for r in rows}) == 1 and len(rows[0]) == 1 + len(subjects) and [r[0] for r in rows[1:]] == [f"2024-09-15 0{h}" for h in range(4)]
     _, grid = m.history(0)
     assert rows[1:] == [[r[0], *("" if x is None else str(x) for x in r[1:])] for r in grid.collect()]
+
+
+def test_history_and_phrases_of_tasks(spark, tmp_path):
+    m = Miner(spark, str(tmp_path / "data"), Settings(**STAMPED, frequency="hour", border=1), now=NOW)
+    m.feed(lines=logs.lines_of(spark, hourly([0, 1, 3])))
+    cli.history(m, 0, str(tmp_path / "h"), ";")
+    cli.history(m, 0, f"file://{tmp_path}/t", ";")
+    read = lambda name: [r.value for r in logs.read_lines(spark, f"{tmp_path}/t/{name}").orderBy("file", "at").collect()]
+    for name in ("history.csv", "subjects.txt"):
+        assert read(name) == (tmp_path / "h" / name).read_text().splitlines()
+    assert cli.main(["-d", f"{tmp_path}/data", "-m", "outputPhrases", "-o", f"file://{tmp_path}/p"]) == 0
+    rows = [tuple(map(str, r)) for r in m.output_phrases(0).collect()]
+    assert [tuple(r) for r in logs.read_table(spark, f"{tmp_path}/p").orderBy(F.desc("Count"), "Member").collect()] == sorted(rows, key=lambda r: (-int(r[2]), r[3]))
+
+
+def test_csv_keeps_quotes_and_spaces(spark, tmp_path):
+    rows = [(1, ' a "b", \\ c '), (2, "x;y"), (3, "")]
+    logs.write_table(spark.createDataFrame(rows, "i int, t string"), str(tmp_path / "c"))
+    assert [(int(r.i), r.t or "") for r in logs.read_table(spark, str(tmp_path / "c")).orderBy("i").collect()] == rows
+
+
+@pytest.mark.parametrize("n", [0, 1, 7])
+def test_standard_input_in_chunks(spark, tmp_path, n):
+    texts = (f"line {i} of\r\n" for i in range(n))
+    got = logs.spooled(spark, texts, str(tmp_path / "in"), chunk=3).orderBy("mtime", "file", "part", "at").collect()
+    assert [r.value for r in got] == [f"line {i} of" for i in range(n)]
+    assert [r.part for r in got] == [i // 3 for i in range(n)]
