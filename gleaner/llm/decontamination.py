@@ -7,8 +7,11 @@ no window holds lets the search jump over all positions that it rules out. Where
 shift is zero, the block selects a bucket of windows, their first block narrows it,
 and a direct comparison of all words confirms an occurrence.
 
-Test items are read to the driver in blocks of bounded size. Each block makes one pass
-over the documents; hits are carried from pass to pass, so any number of items works.
+Test items are read to the driver in blocks of bounded size, which are broadcast. A single
+block is searched for in one pass. With several, each block's search passes on only the
+texts with hits, by their digest: equal texts have equal hits. These are brought together
+and given to the documents, whose other rows are not exchanged and which are written
+nowhere, so any number of items works. A worker makes a block's tables once.
 """
 
 from __future__ import annotations
@@ -17,9 +20,10 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extend, materialise, prepare
+from .common import extend, materialise, prepare, shielded, sieve, sifted
 
 WINDOW = 13
 #: Bytes of item text that are searched for together; bounds what is broadcast and each worker's tables.
@@ -98,14 +102,59 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
 def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int):
     block, size = [], 0
     for r in items.select(item_col, text_col).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1] or "")
         if size >= block_bytes:
             yield block
             block, size = [], 0
+        block.append((r[0], r[1]))
+        size += len((r[1] or "").encode())
     yield block
 
 
+def _tables(shared, window: int) -> WordSearch:
+    """The tables of a broadcast block, kept beside its items: a worker has them until another block's tasks come."""
+    block = shared.value
+    if "tables" not in block:
+        block["tables"] = WordSearch(block["items"], window)
+    return block["tables"]
+
+
+_FOUND = "array<struct<items: array<string>, spans: array<int>>>"
+
+
+def _hits(docs: DataFrame, text_col: str, blocks: list, window: int) -> DataFrame:
+    """(_digest, _found): for each different text with hits, those of each block that has any."""
+
+    def of(shared, number):
+        def run(batches):
+            tables = _tables(shared, window)
+            for batch in batches:
+                out = []
+                for digest, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
+                    spans, found = tables.search(words(t)) if t else ((), ())
+                    if spans:
+                        out.append((digest, number, sorted(found), spans))
+                kinds = (pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()))
+                columns = zip(*out) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["_digest", "_block", "items", "spans"])
+
+        return run
+
+    slim = docs.select(_digest(text_col).alias("_digest"), F.col(text_col))
+    kind = "_digest string, _block int, items array<string>, spans array<int>"
+    out = None
+    for number, shared in enumerate(blocks):
+        one = slim.mapInArrow(of(shared, number), kind)
+        out = one if out is None else out.union(one)
+    # Copies of a text bring the same hits, of which one is kept before the blocks' are gathered.
+    each = out.groupBy("_digest", "_block").agg(F.first(F.struct("items", "spans")).alias("hit"))
+    return each.groupBy("_digest").agg(F.collect_list("hit").alias("_found"))
+
+
+def _digest(text_col: str):
+    return F.md5(F.col(text_col).cast("binary"))
+
+
+@shielded
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,
@@ -133,43 +182,52 @@ def decontaminate(
         T.StructField("hit_spans", T.ArrayType(T.IntegerType())),
         T.StructField("contaminated", T.BooleanType()),
     ]
-    out, passes = docs, 0
-    for block in _blocks(items, item_col, item_text_col, block_bytes):
-        carried = passes > 0
-        shared = spark.sparkContext.broadcast(block)
-        at = out.columns.index(text_col)
-
-        def make(shared=shared, carried=carried, at=at, names=tuple(out.columns)):
-            tables = WordSearch(shared.value, window)
-
-            def step(batch):
-                cols = {n: [] for n in ("n", "hit", "items", "spans", "bad")}
-                old = zip(
-                    *(batch.column(names.index(c)).to_pylist() for c in ("hit_items", "hit_spans"))
-                ) if carried else None
-                for t in batch.column(at).cast(pa.large_binary()).to_pylist():
-                    w = words(t) if t else []
-                    spans, found = tables.search(w)
-                    if old:
-                        i0, s0 = next(old)
-                        found = found | set(i0)
-                        spans = merged(list(zip(s0[::2], s0[1::2])) + list(zip(spans[::2], spans[1::2])))
-                    hit = sum(spans[1::2]) - sum(spans[::2])
-                    cols["n"].append(len(w))
-                    cols["hit"].append(hit)
-                    cols["items"].append(sorted(found))
-                    cols["spans"].append(spans)
-                    cols["bad"].append(hit > 0 and 20 * hit >= len(w))
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.bool_())
-                return [pa.array(v, k) for v, k in zip(cols.values(), kinds)]
-
-            return step
-
-        if carried:
-            out = materialise(out)
-        out = extend(out, make, new)
-        passes += 1
-    return out
+    blocks = [spark.sparkContext.broadcast({"items": b}) for b in _blocks(items, item_col, item_text_col, block_bytes)]
+    kept = [c for c in docs.columns if c.lower() not in {f.name for f in new}]
+    if len(blocks) == 1:
+        at = docs.columns.index(text_col)
+
+        def search():
+            tables = _tables(blocks[0], window)
+            return lambda batch: _judged(batch.column(at), lambda i, w: tables.search(w))
+
+        return extend(docs, search, new)
+    found = materialise(_hits(docs, text_col, blocks, window))
+    marked = sifted(docs.select(*kept, _digest(text_col).alias("_digest")), sieve(found.select(F.xxhash64("_digest"))), F.xxhash64("_digest"), "_hit")
+    theirs = marked.where("_hit").join(found, "_digest", "left").select(*kept, "_found")
+    both = theirs.union(marked.where("not _hit").select(*kept, F.lit(None).cast(_FOUND)))
+    at = both.columns.index(text_col)
+
+    def gather():
+        def step(batch):
+            found = batch.column(len(kept)).to_pylist()
+
+            def of(i, w):
+                hits = found[i] or []
+                spans = [pair for h in hits for pair in zip(h["spans"][::2], h["spans"][1::2])]
+                return merged(spans), {item for h in hits for item in h["items"]}
+
+            return _judged(batch.column(at), of)
+
+        return step
+
+    return extend(both, gather, new, drop=("_found",))
+
+
+def _judged(column: pa.Array, hits) -> list[pa.Array]:
+    """The new columns: hits(i, words) gives the spans and items of text i."""
+    n, n_hit, found, at, bad = [], [], [], [], []
+    for i, t in enumerate(column.cast(pa.large_binary()).to_pylist()):
+        w = words(t) if t else []
+        spans, items = hits(i, w)
+        hit = sum(spans[1::2]) - sum(spans[::2])
+        n.append(len(w))
+        n_hit.append(hit)
+        found.append(sorted(items))
+        at.append(spans)
+        bad.append(hit > 0 and 20 * hit >= len(w))
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.bool_())
+    return [pa.array(v, k) for v, k in zip((n, n_hit, found, at, bad), kinds)]
 
 
 def items_digest(ids: list[str]) -> str:

@@ -89,6 +89,13 @@ def test_decontamination(spark, block_bytes):
     got = [(r.doc_id, r.n_words, r.n_hit, ",".join(r.hit_items), r.contaminated) for r in got.collect()]
     assert multiset(got) == multiset((i, *brute_hits(t, items)) for i, t in rows)
     assert decontamination.decontaminate(frame(spark, rows), bench.limit(0)).where("n_hit > 0 or contaminated").isEmpty()
+    # Columns whose names clash with new ones or with helpers', and many copies of a text with hits.
+    more = frame(spark, rows + [(200 + i, items[7][1]) for i in range(300)]).selectExpr("doc_id", "text", "'x' as n_hit", "doc_id as _digest", "1 as _found")
+    again = decontamination.decontaminate(more, bench, block_bytes=block_bytes)
+    assert again.columns == ["doc_id", "text", "_digest", "_found", "n_words", "n_hit", "hit_items", "hit_spans", "contaminated"]
+    assert again.where("doc_id >= 200 and n_hit = 40 and contaminated and _digest = doc_id").count() == 300
+    merged_spans = lambda r: [*r.hit_spans] == sorted(r.hit_spans) and sum(r.hit_spans[1::2]) - sum(r.hit_spans[::2]) == r.n_hit
+    assert all(merged_spans(r) for r in again.collect())
     assert decontamination.decontaminate(frame(spark, []), bench).isEmpty()
     assert decontamination.items_digest([]) == hashlib.sha256(b"").hexdigest()
 
