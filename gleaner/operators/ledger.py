@@ -34,11 +34,9 @@ def place_of(key: str) -> tuple[int, int]:
 
 
 def among(places):
-    """Whether a row's block and piece are among some."""
-    out = F.lit(False)
-    for piece in sorted({q for _, q in places}):
-        out = out | (F.col("block").isin([b for b, q in places if q == piece]) & (F.col("piece") == piece))
-    return out
+    """Whether a row's block and piece are among some: one flat list, however many pieces there are."""
+    key = F.concat_ws(".", F.col("block").cast("string"), F.col("piece").cast("string"))
+    return key.isin([key_of(*p) for p in places])
 
 
 class Ledger:
