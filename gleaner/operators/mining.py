@@ -11,8 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.tokens import STAR
+from gleaner.session import erase, written
 
 LEAST = 3
+#: What stands for a term below the border in a pattern; words are parted at spaces, so none is it.
+RARE = " "
+#: Common terms beyond which a join finds them.
+MOST_LISTED = 4000
 
 
 def vectors(lines: DataFrame, weight: str | None = None, *more) -> DataFrame:
@@ -25,28 +30,33 @@ def vector_id():
     return F.md5(F.array_join("tokens", "\u0001"))
 
 
-def ordered(vecs: DataFrame, terms: DataFrame) -> DataFrame:
-    """vecs with `counts` (of each token, 0 for an asterisk) and `path` (terms by falling count, then first seen)."""
-    each = vecs.select("vid", F.posexplode("tokens").alias("pos", "term")).join(terms, "term", "left")
-    cnt = F.coalesce("cnt", F.lit(0))
-    one = F.struct((-cnt).alias("o"), F.col("first").alias("first"), "term", cnt.alias("cnt"))
+def ordered(vecs: DataFrame, terms: DataFrame, border: int = 0) -> DataFrame:
+    """vecs with n, real (tokens that are no asterisks), `counts` (of each token) and `path`, written as a table.
+
+    A path has the terms that reach the border, by falling count, then first seen: of each
+    its place i, its count and the key of the prefix that it ends. A key is the XOR of its
+    terms' hashes, each with its place, so keys add up along a vector. Terms below the border
+    count 0, as asterisks do. vecs should be dealt by vid, and terms be a table, so that tokens
+    stay where they are if it is small enough to be broadcast.
+    """
+    common = terms.where(F.col("cnt") >= border).select("term", "cnt", "first")
+    each = vecs.select("vid", F.posexplode("tokens").alias("pos", "term")).join(common, "term", "left")
+    each = each.withColumns({"cnt": F.coalesce("cnt", F.lit(0)), "off": (F.col("term") == STAR) | (F.coalesce("cnt", F.lit(0)) < border)})
+    by = Window.partitionBy("vid").orderBy("off", F.desc("cnt"), "first", "term")
+    along = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("i", F.row_number().over(by) - 1).withColumn("key", F.bit_xor(F.xxhash64("term", "i")).over(along))
     each = each.groupBy("vid").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", cnt.alias("cnt")))), lambda x: x["cnt"]).alias("counts"),
-        F.sort_array(F.collect_list(F.when(F.col("term") != STAR, one))).alias("path"),
-    )
-    return vecs.join(each, "vid", "left").withColumns(
-        {"counts": F.coalesce("counts", F.array().cast("array<bigint>")), "n": F.size("tokens")}
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "cnt"))), lambda x: x["cnt"]).alias("counts"),
+        F.sort_array(F.collect_list(F.when(~F.col("off"), F.struct("i", "cnt", "key")))).alias("path"),
     )
+    out = vecs.withColumns({"n": F.size("tokens"), "real": F.size(F.array_remove("tokens", STAR))}).join(each, "vid", "left")
+    none = F.array()
+    return written(out.withColumns({c: F.coalesce(c, none.cast(each.schema[c].dataType)) for c in ("counts", "path")}))
 
 
-def prefixes(vecs: DataFrame, border: int = 0) -> DataFrame:
-    """(vid, w, n, i, key) for each prefix of each ordered vector whose terms all reach the border; i is its last index.
-
-    A key is the XOR of its terms' hashes, each with its place, so keys add up along a vector.
-    """
-    each = vecs.select("vid", "w", "n", F.posexplode("path").alias("i", "x")).where(F.col("x.cnt") >= border)
-    along = Window.partitionBy("vid").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return each.select("vid", "w", "n", "i", F.bit_xor(F.xxhash64("x.term", "i")).over(along).alias("key"))
+def prefixes(vecs: DataFrame, *more: str) -> DataFrame:
+    """(i, key, more) for each prefix of each ordered vector's path; i is its last index."""
+    return vecs.select(*more, F.explode("path").alias("x")).select(*more, "x.i", "x.key")
 
 
 def lengths(n, min_rate: float, max_rate: float):
@@ -58,6 +68,11 @@ def lengths(n, min_rate: float, max_rate: float):
     )
 
 
+def _least_search(min_rate: float) -> int:
+    """The smallest `search` of any vector: no prefix before it is looked for."""
+    return min(LEAST, max(1, int((LEAST + 1) * min_rate))) if min_rate > 0 else LEAST
+
+
 def stops(vecs: DataFrame, border: int, min_rate: float = 0.6, max_rate: float = 0.0) -> DataFrame:
     """Ordered vectors with least, min_cnt and stop (-1 for none).
 
@@ -66,14 +81,18 @@ def stops(vecs: DataFrame, border: int, min_rate: float = 0.6, max_rate: float =
     """
     least, most = lengths(F.col("n"), min_rate, max_rate)
     search = F.when(least == 0, LEAST).otherwise(least)
-    real = F.size("path")
-    # A prefix of weight 1 has one vector, so the smallest is it.
-    nodes = prefixes(vecs, border).groupBy("key").agg(F.sum("w").alias("node"), *[F.min(c).alias(c) for c in ("vid", "n", "i")])
-    first = nodes.where((F.col("node") <= 1) & (F.col("i") >= search)).groupBy("vid").agg(F.min("i").alias("_single"))
-    common = F.size(F.filter("path", lambda x: x["cnt"] >= border))
-    out = vecs.join(first, "vid", "left").withColumn("least", least)
+    real = F.col("real")
+    common = F.filter("path", lambda x: x["cnt"] >= border)
+    # A prefix of weight 1 has one vector, so the smallest of its hashes (128 bits, as a vid has) is its own.
+    named = vecs.withColumns({"path": common, "_a": F.xxhash64("vid"), "_b": F.xxhash64("vid", F.lit(1)), "_search": search})
+    pre = prefixes(named, "_a", "_b", "_search", "w").where(F.col("i") >= _least_search(min_rate))
+    own = lambda c: F.min(F.when((F.col("w") <= 1) & (F.col("i") >= F.col("_search")), F.col(c))).alias(c)
+    nodes = pre.groupBy("key").agg(F.sum("w").alias("node"), own("_a"), own("_b"), F.min("i").alias("i"))
+    first = nodes.where("node <= 1 and _a is not null").groupBy("_a", "_b").agg(F.min("i").alias("_single"))
+    same = (F.xxhash64("vid") == F.col("_a")) & (F.xxhash64("vid", F.lit(1)) == F.col("_b"))
+    out = vecs.join(first, same, "left").drop("_a", "_b").withColumn("least", least)
     inside = lambda i: F.when(i < real, i)
-    rare = F.least("_single", inside(F.greatest(common, search)))
+    rare = F.least("_single", inside(F.greatest(F.size(common), search)))
     long_enough = F.when(most >= search, inside(most - 1))
     cnt = lambda i: F.coalesce(F.get("path", i)["cnt"], F.lit(0))
     out = out.withColumn("_rare", rare).withColumn("_long", long_enough)
@@ -90,34 +109,62 @@ def stops(vecs: DataFrame, border: int, min_rate: float = 0.6, max_rate: float =
 
 
 def templates(vecs: DataFrame, border: int, keywords=()) -> DataFrame:
-    """(vid, tokens, w, phrase, hidden): the template of each vector, and the terms it hides."""
+    """(tokens, kept, use): for vectors with stops the tokens that stay, asterisks for others, and whether this is the template."""
     words = F.lit([k.lower() for k in keywords]) if keywords else F.array().cast("array<string>")
 
     def keep(t, c):
         return F.array_contains(words, t) | ((t != STAR) & (c >= F.col("min_cnt")) & (c >= border))
 
     kept = F.zip_with("tokens", "counts", lambda t, c: F.when(keep(t, c), t).otherwise(STAR))
-    n_kept = F.size(F.filter(F.col("_kept"), lambda t: t != STAR))
+    n_kept = F.size(F.filter(F.col("kept"), lambda t: t != STAR))
     use = (F.col("stop") >= F.col("least")) & (n_kept >= F.col("least"))
-    chosen = F.when(use, F.col("_kept")).otherwise(F.col("tokens"))
-    return (
-        vecs.withColumn("_kept", kept)
-        .withColumn("_chosen", chosen)
-        .select(
-            "vid", "tokens", "w", F.array_join("_chosen", " ").alias("phrase"),
-            F.array_except("tokens", F.array_union("_chosen", F.array(F.lit(STAR)))).alias("hidden"),
-        )
-    )
+    return vecs.withColumn("kept", kept).select("tokens", "kept", use.alias("use"))
+
+
+def _shown(vecs: DataFrame, common: DataFrame, keywords=()) -> DataFrame:
+    """vecs with pattern: their tokens, of which those that are neither common, keywords nor asterisks are RARE.
+
+    A few common terms are a list in the expression; more are joined, token by token.
+    """
+    words = [STAR, *(k.lower() for k in keywords)]
+    few = [r.term for r in common.select("term").limit(MOST_LISTED + 1).collect()]
+    if len(few) <= MOST_LISTED:
+        return vecs.withColumn("pattern", F.transform("tokens", lambda t: F.when(t.isin([*words, *few]), t).otherwise(RARE)))
+    each = vecs.select("vid", "tokens").groupBy("vid").agg(F.first("tokens").alias("tokens")).select("vid", F.posexplode("tokens").alias("pos", "term"))
+    each = each.join(common.select("term", F.lit(True).alias("common")), "term", "left")
+    each = each.withColumn("term", F.when(F.col("common") | F.col("term").isin(words), F.col("term")).otherwise(RARE))
+    each = each.groupBy("vid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("pattern"))
+    none = F.array().cast("array<string>")
+    return written(vecs.join(each, "vid", "left").withColumn("pattern", F.coalesce("pattern", none)))
 
 
 def mine(lines: DataFrame, terms: DataFrame, border: int, min_rate=0.6, max_rate=0.0, keywords=(), weight=None) -> DataFrame:
     """Templates of the vectors of lines (seq, tokens)."""
-    return mined(vectors(lines, weight), terms, border, min_rate, max_rate, keywords)
+    vecs = written(vectors(lines, weight))
+    out = mined(vecs, terms, border, min_rate, max_rate, keywords)
+    out._work.append(vecs)
+    return out
 
 
 def mined(vecs: DataFrame, terms: DataFrame, border: int, min_rate=0.6, max_rate=0.0, keywords=()) -> DataFrame:
-    """Templates of vectors."""
-    return templates(stops(ordered(vecs, terms), border, min_rate, max_rate), border, keywords)
+    """vecs (vid, tokens, w and more; a table) with phrase, their template, and hidden, the terms that it hides.
+
+    Below the border all terms are treated alike, so vectors that differ in such terms only
+    have one pattern; the patterns are mined, and each vector takes its pattern's template,
+    or its own tokens. A minimum below the border keeps the same terms as any other below
+    it, so these terms need no counts.
+    """
+    common = written(terms.where(F.col("cnt") >= border).select("term", "cnt", "first"))
+    shown = _shown(vecs, common, keywords)
+    patterns = written(shown.groupBy("pattern").agg(F.sum("w").alias("w")).select(F.col("pattern").alias("tokens"), "w"))
+    paths = ordered(patterns.withColumn("vid", vector_id()).repartition("vid"), common, border)
+    kinds = written(templates(stops(paths, border, min_rate, max_rate), border, keywords).withColumnRenamed("tokens", "pattern"))
+    chosen = F.when(F.col("use"), F.col("kept")).otherwise(F.col("tokens"))
+    hidden = F.array_except("tokens", F.array_union(chosen, F.array(F.lit(STAR))))
+    out = shown.join(kinds, "pattern").select(*vecs.columns, F.array_join(chosen, " ").alias("phrase"), hidden.alias("hidden"))
+    erase(patterns, paths)
+    out._work = [common, kinds, *([shown] if hasattr(shown, "_written") else [])]
+    return out
 
 
 def custom_match(vecs: DataFrame, custom: list[list[str]]) -> DataFrame:

@@ -160,18 +160,23 @@ class Miner:
         vecs = written(_vectors(batch))
         n = vecs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
         used = [vecs]
-        known, next_id = self._known(before, _terms_of(vecs))
+        counts = written(_terms_of(vecs))
+        known, next_id = self._known(before, counts)
         border = terms.border_of(known, s.border_rate, s.border)
-        found = written(self._mined(vecs, known, border))
-        used += [known, found]
+        seen = self._mined(vecs, known, border)
+        grouped = written(_phrases_seen(seen))
+        used += [counts, known, grouped, *seen._work]
         if not self.read_only:
             size, chosen = self._sizes_after(before, vecs)
-            fresh, pieces, cut = self._pieces(before, vecs, found, size)
+            fresh, pieces, cut = self._pieces(before, grouped, size)
             if cut:
                 vecs = written(_vectors(batch.drop("piece").join(F.broadcast(pieces), "block").withColumn("piece", _piece_of("seq"))))
-                used += [vecs, pieces]
+                seen, counts = self._mined(vecs, known, border), written(_terms_of(vecs))  # the same lines, so the same phrases
+                grouped = written(_phrases_seen(seen))
+                used += [vecs, counts, grouped, pieces, *seen._work]
             else:
-                vecs = vecs.drop("piece").join(F.broadcast(pieces), "block").withColumn("piece", F.col("base")).drop("base", "ends")
+                base = F.broadcast(pieces.select("block", F.col("base").alias("piece")))
+                vecs, counts, grouped = (t.drop("piece").join(base, "block") for t in (vecs, counts, grouped))
             position = before["state"].get("position", _START)
             if lines is None:
                 end = logs.end_of(raw, resumed, row)
@@ -181,8 +186,8 @@ class Miner:
                 batches = batches | {batch_of[0]: batch_of[1]}
             feeds = before["state"].get("fed", 0) + 1
             state = {"settings": asdict(s), "position": position, "batches": batches, "next_id": next_id, "sizes": chosen, "fed": feeds}
-            self._commit(before, vecs, found, known, fresh, state)
-        out = {"lines": n, "border": border, "phrases": found.select("phrase").distinct().count()}
+            self._commit(before, vecs, counts, grouped, known, fresh, state)
+        out = {"lines": n, "border": border, "phrases": grouped.select("phrase").distinct().count()}
         raw.unpersist()
         erase(*used)
         return out
@@ -204,10 +209,9 @@ class Miner:
         return known, max(start, (known.agg(F.max("first")).first()[0] or 0) + 1)
 
     def _mined(self, vecs: DataFrame, known: DataFrame, border: int) -> DataFrame:
-        """(vid, phrase, hidden) of the vectors."""
+        """The vectors with phrase and hidden."""
         s = self.settings
-        one = vecs.groupBy("vid").agg(F.first("tokens").alias("tokens"), F.sum("w").alias("w"))
-        return mining.mined(one, known, border, s.min_rate, s.max_rate, s.keywords).select("vid", "phrase", "hidden")
+        return mining.mined(vecs, known, border, s.min_rate, s.max_rate, s.keywords)
 
     def _sizes_after(self, before: dict, vecs: DataFrame) -> tuple[int, dict]:
         """(block size, what is stored): settings, else chosen once, for the most lines that a block of this feed has."""
@@ -219,18 +223,18 @@ class Miner:
                 chosen = {"block_size": size, "max_blocks": blocks}
         return s.block_size or chosen.get("block_size", 0), chosen
 
-    def _pieces(self, before: dict, vecs: DataFrame, found: DataFrame, size: int) -> tuple[dict, DataFrame, bool]:
+    def _pieces(self, before: dict, grouped: DataFrame, size: int) -> tuple[dict, DataFrame, bool]:
         """(new phrases by block and piece; (block, base, ends): the piece that a block's lines go on in, and the lines that end one; whether any does)."""
         newest: dict[int, int] = {}
         for block, piece in sorted(map(place_of, before["status"])):
             newest[block] = piece
-        blocks = [r["block"] for r in vecs.select("block").distinct().collect()]  # time buckets
+        blocks = [r["block"] for r in grouped.select("block").distinct().collect()]  # time buckets
         base = {b: newest.get(b, 0) for b in blocks}
         starts = self.spark.createDataFrame([(b, base[b]) for b in blocks], "block long, base int")
         if not size:
             return {}, starts.withColumn("ends", F.lit(None).cast("array<int>")), False
         # Phrases that the totals lack, where they are first seen.
-        new = vecs.join(found.select("vid", "phrase"), "vid").groupBy("phrase").agg(F.min(F.struct("first.seq", "block")).alias("at"))
+        new = grouped.groupBy("phrase").agg(F.min(F.struct("f.first.seq", "block")).alias("at"))
         new = written(new.join(self.phrases(before).select("phrase"), "phrase", "left_anti").select("phrase", "at.block", "at.seq"))
         counts = {r["block"]: r["n"] for r in new.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
         carried = {b: before["status"].get(key_of(b, base[b]), {}).get("fresh", 0) for b in blocks}
@@ -251,11 +255,14 @@ class Miner:
         erase(new, ranks)
         return counted, pieces, True
 
-    def _commit(self, before: dict, vecs: DataFrame, found: DataFrame, known: DataFrame, fresh: dict, state: dict) -> None:
-        """Adds parts to the blocks, of which the ring keeps the newest and retention the recent ones, and to the totals."""
+    def _commit(self, before: dict, vecs: DataFrame, counts: DataFrame, grouped: DataFrame, known: DataFrame, fresh: dict, state: dict) -> None:
+        """Adds parts to the blocks, of which the ring keeps the newest and retention the recent ones, and to the totals.
+
+        counts: the vectors' terms; grouped: their phrases.
+        """
         s = self.settings
         status = {k: dict(x) for k, x in before["status"].items()}
-        for r in vecs.groupBy("block", "piece").agg(F.max("updated").alias("e"), F.sum("w").alias("n")).collect():  # a row for each block
+        for r in grouped.groupBy("block", "piece").agg(F.max("updated").alias("e"), F.sum("cnt").alias("n")).collect():  # a row for each block
             old = status.get(key_of(r["block"], r["piece"]), {"last_epoch": 0, "lines": 0, "fresh": 0})
             status[key_of(r["block"], r["piece"])] = {
                 "last_epoch": max(old["last_epoch"], r["e"]), "lines": old["lines"] + r["n"], "fresh": old["fresh"] + fresh.get((r["block"], r["piece"]), 0),
@@ -268,12 +275,11 @@ class Miner:
             status = {key_of(*p): status[key_of(*p)] for p in recent[-most:]}
         live = among([place_of(k) for k in status])
         dropped = [place_of(k) for k in before["status"] if k not in status]
-        kept = vecs.where(live)
-        by_block = {"vectors": kept, "terms": _terms_of(kept).drop("first"), "phrases": self._phrases_of(kept, found)}
-        per_total = self._phrases_of(kept.withColumns({"block": F.lit(0).cast("long"), "piece": F.lit(0)}), found)
+        kept, counts, grouped = vecs.where(live), counts.where(live), grouped.where(live)
+        by_block = {"vectors": kept, "terms": counts.drop("first"), "phrases": self._phrases_of(grouped)}
         totals = {
-            "term_totals": self._total_terms(before, kept, known, dropped),
-            "phrase_totals": self._total_phrases(before, per_total, dropped, state["fed"]),
+            "term_totals": self._total_terms(before, counts, known, dropped),
+            "phrase_totals": self._total_phrases(before, self._phrases_of(_phrases_in_all(grouped)), dropped, state["fed"]),
         }
         with ThreadPoolExecutor(len(by_block | totals)) as pool:  # one small job each
             written_parts = pool.map(lambda x: self.store.write_part(*x), (by_block | totals).items())
@@ -284,20 +290,17 @@ class Miner:
             parts[name] = self.store.folded(head, name, lambda rows, name=name: _folded(name, rows), MOST_PARTS)
         self.store.commit(before, parts, status, state, schemas)
 
-    def _phrases_of(self, vecs: DataFrame, found: DataFrame) -> DataFrame:
-        """(phrase, cnt, created, updated, last_value, subject, block, piece) of vectors."""
+    def _phrases_of(self, grouped: DataFrame) -> DataFrame:
+        """(phrase, cnt, created, updated, last_value, subject, block, piece) of phrases with their first and last lines."""
         s = self.settings
-        table = vecs.join(found, "vid").groupBy("phrase", "block", "piece").agg(
-            F.sum("w").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated"),
-            F.max("last")["value"].alias("last_value"), F.min_by(F.struct("first", "hidden"), "first.seq").alias("f"),
-        )
-        hidden = F.array_union(F.col("f.hidden"), tk.excluded(F.col("f.first.message"), s.keywords, s.ignorewords))
-        return table.withColumn("subject", mining.subject(F.col("f.first.value"), hidden)).drop("f")
+        message = F.coalesce("f.first.message", "f.first.value")
+        hidden = F.array_union(F.col("f.hidden"), tk.excluded(message, s.keywords, s.ignorewords))
+        return grouped.select("phrase", "block", "piece", "cnt", "created", "updated", F.col("last.value").alias("last_value"), mining.subject(F.col("f.first.value"), hidden).alias("subject"))
 
-    def _total_terms(self, before: dict, kept: DataFrame, known: DataFrame, dropped: list) -> DataFrame:
+    def _total_terms(self, before: dict, counts: DataFrame, known: DataFrame, dropped: list) -> DataFrame:
         """What a feed adds to the totals, and what dropped blocks take from them."""
         place = {"block": F.lit(0).cast("long"), "piece": F.lit(0)}
-        new = _terms_of(kept).groupBy("term").agg(F.sum("cnt").alias("cnt"))
+        new = counts.groupBy("term").agg(F.sum("cnt").alias("cnt"))
         out = new.join(known.select("term", F.col("first").alias("id")), "term")
         gone = self.store.read("terms", dropped, before) if dropped else None
         if gone is not None:
@@ -325,17 +328,18 @@ class Miner:
             return {"lines": 0, "border": 0, "phrases": 0}
         known = written(self.terms(before))
         border = terms.border_of(known, s.border_rate, s.border)
-        found = written(self._mined(vecs, known, border))
-        phrases = self._phrases_of(vecs, found)
-        all_ = self._phrases_of(vecs.withColumns({"block": F.lit(0).cast("long"), "piece": F.lit(0)}), found)
+        found = self._mined(vecs, known, border)
+        grouped = written(_phrases_seen(found))
+        erase(*found._work)
+        phrases, all_ = self._phrases_of(grouped), self._phrases_of(_phrases_in_all(grouped))
         n = vecs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
         if not self.read_only:
             feeds = before["state"]["fed"] + 1
             new = {"phrases": self.store.write_part("phrases", phrases), "phrase_totals": self.store.write_part("phrase_totals", self._total_phrases(before, all_, [], feeds))}
             parts, schemas = self.store.added(before, new, {"phrases": set(), "phrase_totals": set()})
             self.store.commit(before, parts, before["status"], before["state"] | {"fed": feeds}, schemas)
-        out = {"lines": n, "border": border, "phrases": found.select("phrase").distinct().count()}
-        erase(known, found)
+        out = {"lines": n, "border": border, "phrases": grouped.select("phrase").distinct().count()}
+        erase(known, grouped)
         return out
 
     def rearranged(self, rate: float = 0.0, border: int = 0) -> DataFrame:
@@ -388,17 +392,17 @@ class Miner:
         of them was there first: a stored phrase fits if its last line does.
         """
         raw = self.new_lines(paths) if lines is None else lines
-        batch = self.parsed(raw).withColumns({"vid": mining.vector_id(), "piece": F.lit(0)})
+        # Written, as the lines are read twice: their vectors are mined, and then each gets its vector's count.
+        batch = written(self.parsed(raw).withColumns({"vid": mining.vector_id(), "piece": F.lit(0)}))
         vecs = written(_vectors(batch))
         before = self.store.head()
         known, _ = self._known(before, _terms_of(vecs))
         base = terms.border_of(known, self.settings.border_rate, self.settings.border)
         chosen = max(base, terms.border_of(known, rate, border)) if rate > 0 or border > 0 else base
         old = self._folded_into_custom(self.rearranged(rate, border))
-        one = vecs.groupBy("vid").agg(F.first("tokens").alias("tokens"), F.sum("w").alias("w"))
-        found = self._mined(vecs, known, chosen).join(one, "vid")
-        found = written(self._custom(found).select("vid", "phrase", "w"))
-        erase(vecs, known)
+        mined = self._mined(vecs, known, chosen)
+        found = written(self._custom(mined).groupBy("vid", "phrase").agg(F.sum("w").alias("w")))
+        erase(vecs, known, *mined._work)
         here = found.groupBy("phrase").agg(F.sum("w").alias("cnt"))
         total = old.unionByName(here).groupBy("phrase").agg(F.sum("cnt").alias("cnt"))
         # Counts go to the vectors first, so that lines meet one row each.
@@ -477,10 +481,26 @@ class Miner:
 
 
 def _vectors(lines: DataFrame) -> DataFrame:
-    """Lines with equal tokens as one row in each block, with their first and last line."""
+    """Lines with equal tokens as one row in each block, with their first and last line; a message that is the whole line is null."""
     return lines.groupBy("vid", "block", "piece").agg(
         F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("w"), F.min("epoch").alias("created"), F.max("epoch").alias("updated"),
-        F.min(F.struct("seq", "value", "message")).alias("first"), F.max(F.struct("seq", "value")).alias("last"),
+        F.min(F.struct("seq", "value", F.nullif("message", "value").alias("message"))).alias("first"), F.max(F.struct("seq", "value")).alias("last"),
+    )
+
+
+def _phrases_seen(vecs: DataFrame) -> DataFrame:
+    """(phrase, block, piece, cnt, created, updated, last, f) of vectors with their phrases; f: the first line and what the phrase hides."""
+    return vecs.groupBy("phrase", "block", "piece").agg(
+        F.sum("w").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated"),
+        F.max("last").alias("last"), F.min_by(F.struct("first", "hidden"), "first.seq").alias("f"),
+    )
+
+
+def _phrases_in_all(grouped: DataFrame) -> DataFrame:
+    """One row for each phrase, in block 0, of _phrases_seen."""
+    return grouped.groupBy("phrase", F.lit(0).cast("long").alias("block"), F.lit(0).alias("piece")).agg(
+        F.sum("cnt").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated"),
+        F.max("last").alias("last"), F.min_by("f", "f.first.seq").alias("f"),
     )
 
 
