@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, prepare, shielded, texts, with_few
+from .common import discard, materialise, prepare, shielded, sieve, sifted, texts, with_few
 
 MIN_LINES = 2
 #: A line of more words than this is a run of its own for the query and the pipeline.
@@ -91,25 +91,28 @@ def repeated_runs(docs: DataFrame, key_col: str, text_col: str, min_lines: int,
         fingerprints, f"h long, _key {kind}, _th long, runs array<struct<run: long, first: int, last: int>>"
     )
     picked = materialise(picked)
-    place = F.struct("_key", "_th", "at")
+    # Whether there are several places is seen from their hashes alone, so that rows stay small.
+    place = F.xxhash64("_key", "_th", F.col("runs")[0]["first"])
     again = materialise(
-        picked.withColumn("at", F.col("runs")[0]["first"])
+        picked.select("h", place.alias("p"))
         .groupBy("h")
-        .agg(F.min(place).alias("a"), F.max(place).alias("z"))
-        .where(~F.col("a").eqNullSafe(F.col("z")))
+        .agg(F.min("p").alias("a"), F.max("p").alias("z"))
+        .where("a <> z")
         .select("h")
     )
+    # Fingerprints that a Bloom filter of the repeated ones holds back keep their runs where they are.
+    maybe = sifted(picked, sieve(again), F.col("h"), "_maybe").where("_maybe")
     runs = materialise(
-        picked.join(again, "h", "left_semi")
+        maybe.join(again, "h", "left_semi")
         .select("_key", "_th", F.explode("runs").alias("r"))
         .select("_key", "_th", "r.run", "r.first", "r.last")
     )
     discard(picked, again)
-    here = F.struct("_key", "_th", "first")
+    here, place = F.struct("_key", "_th", "first"), F.xxhash64("_key", "_th", "first")
     first = materialise(
         runs.groupBy("run")
-        .agg(F.min(here).alias("a"), F.max(here).alias("z"))
-        .where(~F.col("a").eqNullSafe(F.col("z")))
+        .agg(F.min(here).alias("a"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+        .where("lo <> hi")
         .select("run", "a")
     )
     later = runs.join(first, "run").where(~here.eqNullSafe(F.col("a")))

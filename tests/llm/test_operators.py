@@ -399,6 +399,23 @@ def test_line_dedup(spark, t):
     assert line_dedup.dedup_lines(frame(spark, [])).isEmpty()
 
 
+def test_fingerprints_of_lines_that_stand_once_are_not_exchanged(spark, monkeypatch):
+    rows = [(i, "\n".join(f"line {k} of {i}" for k in range(20))) for i in range(200)]
+    rows += [(900, "new\n" + rows[7][1])]
+    seen, real = [], line_dedup.sifted
+
+    def sifted(df, filter_, h, name):
+        out = real(df, filter_, h, name)
+        seen.append((df.count(), out.where(name).count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "sifted", sifted, raising=False)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {i: (x, 0) for i, x in rows[:-1]} | {900: ("new", 20)}
+    ((fingerprints, exchanged),) = seen
+    assert fingerprints > 2000 and exchanged < fingerprints / 50
+
+
 def test_long_single_lines(spark):
     new = lambda n, k: " ".join(f"l{k}w{i}" for i in range(n))
     rows = [(1, f"head\n{new(51, 1)}\ntail"), (2, f"other\n  {new(51, 1)} \n{new(50, 2)}\nend"), (3, new(51, 1)), (4, f"x\n{new(50, 2)}\ny"), (5, f"{new(60, 3)}\nmid\n\n{new(60, 3)}\nq"), (6, None), (None, new(60, 3)), (7, f"head\n{new(51, 1)}\nz")]
