@@ -21,7 +21,7 @@ from gleaner.functions import parse
 from gleaner.functions import tokens as tk
 from gleaner.operators import mining, ring, terms
 from gleaner.operators.ledger import MOST_PARTS, Ledger, among, key_of, place_of
-from gleaner.session import erase, written
+from gleaner.session import empty, erase, written
 from gleaner.sources import logs
 
 
@@ -65,13 +65,13 @@ class Miner:
     def terms(self, head: dict | None = None) -> DataFrame:
         """(term, cnt, first) of the live blocks; first: the term's id, given in the order of first sight, for good."""
         t = self.store.read("term_totals", head=head)
-        t = self.spark.createDataFrame([], _TOTAL_TERMS) if t is None else t
+        t = empty(self.spark, _TOTAL_TERMS) if t is None else t
         return t.groupBy("term").agg(F.sum("cnt").alias("cnt"), F.min("id").alias("first")).where("cnt > 0")
 
     def phrases(self, head: dict | None = None) -> DataFrame:
         """(phrase, cnt, created, updated, last_value, subject) of the live blocks; created: when it was first seen at all."""
         p = self.store.read("phrase_totals", head=head)
-        p = self.spark.createDataFrame([], _TOTAL_PHRASES) if p is None else p
+        p = empty(self.spark, _TOTAL_PHRASES) if p is None else p
         return _summed_phrases(p).drop("feed").where("cnt > 0")
 
     def status(self) -> dict:
@@ -158,7 +158,6 @@ class Miner:
         raw = raw.persist()
         batch = self.parsed(raw).withColumns({"vid": mining.vector_id(), "piece": F.lit(0)})
         vecs = written(_vectors(batch))
-        n = vecs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
         used = [vecs]
         counts = written(_terms_of(vecs))
         known, next_id = self._known(before, counts)
@@ -166,6 +165,7 @@ class Miner:
         seen = self._mined(vecs, known, border)
         grouped = written(_phrases_seen(seen))
         used += [counts, known, grouped, *seen._work]
+        n = grouped.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]  # each line has one phrase
         if not self.read_only:
             size, chosen = self._sizes_after(before, vecs)
             fresh, pieces, cut = self._pieces(before, grouped, size)

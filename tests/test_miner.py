@@ -451,3 +451,10 @@ def test_standard_input_in_chunks(spark, tmp_path, n):
     got = logs.spooled(spark, texts, str(tmp_path / "in"), chunk=3).orderBy("mtime", "file", "part", "at").collect()
     assert [r.value for r in got] == [f"line {i} of" for i in range(n)]
     assert [r.part for r in got] == [i // 3 for i in range(n)]
+
+
+def test_a_new_store_has_totals_that_are_planned_as_empty(spark, tmp_path):
+    m = Miner(spark, str(tmp_path / "new"))
+    for t, columns in ((m.terms(), ["term", "cnt", "first"]), (m.phrases(), ["phrase", "cnt", "created", "updated", "last_value", "subject"])):
+        plan = t._jdf.queryExecution().optimizedPlan().toString()
+        assert t.columns == columns and plan.startswith("LocalRelation <empty>") and t.count() == 0
