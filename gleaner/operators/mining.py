@@ -129,7 +129,9 @@ def _shown(vecs: DataFrame, common: DataFrame, keywords=()) -> DataFrame:
     words = [STAR, *(k.lower() for k in keywords)]
     few = [r.term for r in common.select("term").limit(MOST_LISTED + 1).collect()]
     if len(few) <= MOST_LISTED:
-        return vecs.withColumn("pattern", F.transform("tokens", lambda t: F.when(t.isin([*words, *few]), t).otherwise(RARE)))
+        pattern = F.transform("tokens", lambda t: F.when(t.isin([*words, *few]), t).otherwise(RARE))
+        # Never null, or a join by it would compute it once more to leave out nulls.
+        return vecs.withColumn("pattern", F.coalesce(pattern, F.array().cast("array<string>")))
     each = vecs.select("vid", "tokens").groupBy("vid").agg(F.first("tokens").alias("tokens")).select("vid", F.posexplode("tokens").alias("pos", "term"))
     each = each.join(common.select("term", F.lit(True).alias("common")), "term", "left")
     each = each.withColumn("term", F.when(F.col("common") | F.col("term").isin(words), F.col("term")).otherwise(RARE))
@@ -161,7 +163,10 @@ def mined(vecs: DataFrame, terms: DataFrame, border: int, min_rate=0.6, max_rate
     kinds = written(templates(stops(paths, border, min_rate, max_rate), border, keywords).withColumnRenamed("tokens", "pattern"))
     chosen = F.when(F.col("use"), F.col("kept")).otherwise(F.col("tokens"))
     hidden = F.array_except("tokens", F.array_union(chosen, F.array(F.lit(STAR))))
-    out = shown.join(kinds, "pattern").select(*vecs.columns, F.array_join(chosen, " ").alias("phrase"), hidden.alias("hidden"))
+    phrase = F.coalesce(F.array_join(chosen, " "), F.lit(""))
+    named = lambda rows: rows.join(kinds, "pattern").select(*vecs.columns, phrase.alias("phrase"), hidden.alias("hidden"))
+    out = named(shown)
+    out._some = lambda keep: named(keep(shown))  # of some vectors only, chosen before they get phrases
     erase(patterns, paths)
     out._work = [common, kinds, *([shown] if hasattr(shown, "_written") else [])]
     return out
@@ -213,5 +218,5 @@ def scores(phrase_table: DataFrame, terms: DataFrame, total: int) -> DataFrame:
 
 def top_rare(scored: DataFrame, n: int, most: int, since: int = 0) -> DataFrame:
     """The n best-scored phrases that occurred at most `most` times and since an epoch."""
-    keep = (F.col("cnt") <= most) & ((F.lit(since) == 0) | (F.col("updated") >= since))
+    keep = (F.col("cnt") <= most) & (F.col("updated") >= since if since else F.lit(True))
     return scored.where(keep).orderBy(F.desc("score"), "phrase").limit(n)
