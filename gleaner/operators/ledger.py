@@ -131,14 +131,21 @@ class Ledger:
 
         The part tells its blocks and its number of rows, which the write itself observes,
         and its schema. A block's rows are put together, but those of a large block are
-        split over several tasks.
+        split over several tasks. Rows marked with the one place (`_place`) that they all have
+        are neither exchanged nor sorted.
         """
-        name, seen = uuid.uuid4().hex, Observation()
+        name, seen, place = uuid.uuid4().hex, Observation(), getattr(df, "_place", None)
         places = F.collect_set(F.struct("block", "piece"))  # live blocks, not rows
         df = df.withColumn("block", F.col("block").cast("long")).withColumn("piece", F.col("piece").cast("int"))
-        df = df.hint("rebalance", "block", "piece").observe(seen, F.count(F.lit(1)).alias("rows"), places.alias("places"))
-        df.write.partitionBy("block", "piece").parquet(f"{self.root}/{table}/part={name}")
-        got = seen.get
+        path, rows = f"{self.root}/{table}/part={name}", F.count(F.lit(1)).alias("rows")
+        if place is not None:
+            plain = df.drop("block", "piece").observe(seen, rows)
+            plain.write.parquet(f"{path}/block={place[0]}/piece={place[1]}")
+            got = {"rows": seen.get["rows"], "places": [{"block": place[0], "piece": place[1]}]}
+        else:
+            df = df.hint("rebalance", "block", "piece").observe(seen, rows, places.alias("places"))
+            df.write.partitionBy("block", "piece").parquet(path)
+            got = seen.get
         schema = T.StructType([f for f in df.schema if f.name not in ("block", "piece")])
         return {"id": name, "rows": got["rows"], "blocks": sorted(key_of(x["block"], x["piece"]) for x in got["places"]), "pieces": max((x["piece"] for x in got["places"]), default=0), "level": level, "schema": json.loads(schema.json())}
 

@@ -16,6 +16,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions import parse
 from gleaner.functions import tokens as tk
@@ -155,25 +156,26 @@ class Miner:
         if batch_of and batches.get(batch_of[0], -1) >= batch_of[1]:
             return {"lines": 0, "border": 0, "phrases": 0}
         raw, resumed, row = self._reading(paths, limit) if lines is None else (lines, "", 0)
-        raw = raw.persist()
+        raw = raw.persist() if lines is None else raw  # files are read once; lines that are given are cheaper to read again than to keep
         batch = self.parsed(raw).withColumns({"vid": mining.vector_id(), "piece": F.lit(0)})
         vecs = written(_vectors(batch))
         used = [vecs]
-        counts = written(_terms_of(vecs))
+        codes = _codes(vecs)
+        counts = written(_terms_of(vecs, codes))
         known, next_id = self._known(before, counts)
         border = terms.border_of(known, s.border_rate, s.border)
         seen = self._mined(vecs, known, border)
-        grouped = written(_phrases_seen(seen))
-        used += [counts, known, grouped, *seen._work]
+        grouped, work = _phrases_seen(seen, codes)
+        used += [counts, known, grouped, *seen._work, *work]
         n = grouped.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]  # each line has one phrase
         if not self.read_only:
             size, chosen = self._sizes_after(before, vecs)
             fresh, pieces, cut = self._pieces(before, grouped, size)
             if cut:
                 vecs = written(_vectors(batch.drop("piece").join(F.broadcast(pieces), "block").withColumn("piece", _piece_of("seq"))))
-                seen, counts = self._mined(vecs, known, border), written(_terms_of(vecs))  # the same lines, so the same phrases
-                grouped = written(_phrases_seen(seen))
-                used += [vecs, counts, grouped, pieces, *seen._work]
+                seen, counts = self._mined(vecs, known, border), written(_terms_of(vecs, codes))  # the same lines, so the same phrases and codes
+                grouped, work = _phrases_seen(seen, codes)
+                used += [vecs, counts, grouped, pieces, *seen._work, *work]
             else:
                 base = F.broadcast(pieces.select("block", F.col("base").alias("piece")))
                 vecs, counts, grouped = (t.drop("piece").join(base, "block") for t in (vecs, counts, grouped))
@@ -262,7 +264,8 @@ class Miner:
         """
         s = self.settings
         status = {k: dict(x) for k, x in before["status"].items()}
-        for r in grouped.groupBy("block", "piece").agg(F.max("updated").alias("e"), F.sum("cnt").alias("n")).collect():  # a row for each block
+        seen = grouped.groupBy("block", "piece").agg(F.max("updated").alias("e"), F.sum("cnt").alias("n")).collect()  # a row for each block
+        for r in seen:
             old = status.get(key_of(r["block"], r["piece"]), {"last_epoch": 0, "lines": 0, "fresh": 0})
             status[key_of(r["block"], r["piece"])] = {
                 "last_epoch": max(old["last_epoch"], r["e"]), "lines": old["lines"] + r["n"], "fresh": old["fresh"] + fresh.get((r["block"], r["piece"]), 0),
@@ -275,8 +278,12 @@ class Miner:
             status = {key_of(*p): status[key_of(*p)] for p in recent[-most:]}
         live = among([place_of(k) for k in status])
         dropped = [place_of(k) for k in before["status"] if k not in status]
-        kept, counts, grouped = vecs.where(live), counts.where(live), grouped.where(live)
-        by_block = {"vectors": kept, "terms": counts.drop("first"), "phrases": self._phrases_of(grouped)}
+        kept, counts, grouped = vecs, counts.drop("first"), grouped.where(live)
+        if len(seen) == 1 and key_of(seen[0]["block"], seen[0]["piece"]) in status:
+            kept._place = counts._place = (seen[0]["block"], seen[0]["piece"])
+        else:
+            kept, counts = kept.where(live), counts.where(live)
+        by_block = {"vectors": kept, "terms": counts, "phrases": self._phrases_of(grouped)}
         totals = {
             "term_totals": self._total_terms(before, counts, known, dropped),
             "phrase_totals": self._total_phrases(before, self._phrases_of(_phrases_in_all(grouped)), dropped, state["fed"]),
@@ -329,8 +336,8 @@ class Miner:
         known = written(self.terms(before))
         border = terms.border_of(known, s.border_rate, s.border)
         found = self._mined(vecs, known, border)
-        grouped = written(_phrases_seen(found))
-        erase(*found._work)
+        grouped, work = _phrases_seen(found, _codes(vecs))
+        erase(*found._work, *work)
         phrases, all_ = self._phrases_of(grouped), self._phrases_of(_phrases_in_all(grouped))
         n = vecs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
         if not self.read_only:
@@ -393,10 +400,11 @@ class Miner:
         """
         raw = self.new_lines(paths) if lines is None else lines
         # Written, as the lines are read twice: their vectors are mined, and then each gets its vector's count.
-        batch = written(self.parsed(raw).withColumns({"vid": mining.vector_id(), "piece": F.lit(0)}))
-        vecs = written(_vectors(batch))
+        batch = written(self.parsed(raw).select("seq", "value", "tokens", mining.vector_id().alias("vid")))
+        codes = terms.order_codes(batch, "seq", room=F.max(F.size("tokens"))) or [F.col("seq")]
+        vecs = written(batch.groupBy("vid", "tokens").agg(F.count(F.lit(1)).alias("w"), F.min(codes[0]).alias("at")))
         before = self.store.head()
-        known, _ = self._known(before, _terms_of(vecs))
+        known, _ = self._known(before, terms.vector_terms(vecs, "at", F.col("at") if vecs.schema["at"].dataType == T.LongType() else None))
         base = terms.border_of(known, self.settings.border_rate, self.settings.border)
         chosen = max(base, terms.border_of(known, rate, border)) if rate > 0 or border > 0 else base
         old = self._folded_into_custom(self.rearranged(rate, border))
@@ -488,12 +496,34 @@ def _vectors(lines: DataFrame) -> DataFrame:
     )
 
 
-def _phrases_seen(vecs: DataFrame) -> DataFrame:
-    """(phrase, block, piece, cnt, created, updated, last, f) of vectors with their phrases; f: the first line and what the phrase hides."""
-    return vecs.groupBy("phrase", "block", "piece").agg(
-        F.sum("w").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated"),
-        F.max("last").alias("last"), F.min_by(F.struct("first", "hidden"), "first.seq").alias("f"),
-    )
+def _codes(vecs: DataFrame) -> list[Column] | None:
+    """Longs that order vectors by their first and last lines, if there are such: the first with room for a token's place."""
+    return terms.order_codes(vecs, "first.seq", "last.seq", room=F.max(F.size("tokens")))
+
+
+def _phrases_seen(vecs: DataFrame, codes: list[Column] | None) -> tuple[DataFrame, list[DataFrame]]:
+    """((phrase, block, piece, cnt, created, updated, last, f) of vectors with their phrases, written; other tables to erase). f: the first line and what the phrase hides.
+
+    With codes vectors are summed by hash, and only those that hold a phrase's first or last
+    line are sorted; where phrases are nearly as many as vectors, all are.
+    """
+    key = ["phrase", "block", "piece"]
+    sums = [F.sum("w").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated")]
+    ends = [F.max("last").alias("last"), F.min_by(F.struct("first", "hidden"), "first.seq").alias("f")]
+    if codes is None:
+        return written(vecs.groupBy(*key).agg(*sums, *ends)), []
+    first, last = codes
+    all_ = written(vecs.groupBy(*key).agg(*sums, F.min(first).alias("_a"), F.max(last).alias("_z"), F.count(F.lit(1)).alias("_n")))
+    if all_.agg(F.coalesce(F.sum("_n") < 4 * F.count(F.lit(1)), F.lit(False))).first()[0]:
+        return written(vecs.groupBy(*key).agg(*sums, *ends)), [all_]
+    out = all_.drop("_a", "_z", "_n")
+    for code, end, agg in zip(codes, ("_a", "_z"), reversed(ends)):
+        # Vectors whose line ends any phrase come first, and get their phrases then.
+        here = all_.select(F.col(end).alias("_c"))
+        found = vecs._some(lambda rows: rows.join(here, code == F.col("_c"), "left_semi")).withColumn("_c", code)  # noqa: B023
+        found = found.join(all_.select(*key, F.col(end).alias("_c")), [*key, "_c"])
+        out = out.join(found.groupBy(*key).agg(agg), key)
+    return written(out), [all_]
 
 
 def _phrases_in_all(grouped: DataFrame) -> DataFrame:
@@ -504,10 +534,9 @@ def _phrases_in_all(grouped: DataFrame) -> DataFrame:
     )
 
 
-def _terms_of(vecs: DataFrame) -> DataFrame:
-    """(term, cnt, first) of vectors, by block if they are: first orders terms by where they were first seen."""
-    each = vecs.select("block", "piece", "w", F.col("first.seq").alias("seq"), F.posexplode("tokens").alias("pos", "term")).where(F.col("term") != tk.STAR)
-    return each.groupBy("term", "block", "piece").agg(F.sum("w").alias("cnt"), F.min(F.struct("seq", "pos")).alias("first"))
+def _terms_of(vecs: DataFrame, codes: list[Column] | None) -> DataFrame:
+    """(term, cnt, first) of vectors by block: first orders terms by where they were first seen."""
+    return terms.vector_terms(vecs, "first.seq", codes and codes[0], "block", "piece")
 
 
 def _piece_of(seq: str) -> Column:

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from gleaner.operators import terms
+from gleaner.operators.ledger import Ledger
+from gleaner.plans.miner import Miner, Settings
 from gleaner.sources.logs import spread
 
 _ROWS = "first struct<seq: struct<a: long, b: int, at: long>>, tokens array<string>, w long"
@@ -35,6 +37,36 @@ def test_terms_of_vectors_are_hashed(spark):
     assert order(hashed) == order(sorted_) == [("x", 2), ("y", 2)]
 
 
+def test_feeds_are_the_same_with_codes_and_without(spark, tmp_path, monkeypatch):
+    lines = [("f", 100 + i % 7, i % 3, i, f"Some common words id{i % 40}x of kind{i % 4}") for i in range(400)]
+    df = spark.createDataFrame(lines, "file string, mtime long, part long, at long, value string")
+
+    def fed(name):
+        m = Miner(spark, str(tmp_path / name), Settings(border=50))
+        for n in (0, 1):
+            m.feed(lines=df.where(F.col("at") % 2 == n))
+        m.remine()
+        found = m.detect(lines=df.where("at < 9"))
+        return [sorted(map(tuple, t.collect())) for t in (m.phrases(), m.terms(), m.store.read("terms"), found)]
+
+    with_codes = fed("a")
+    assert len(with_codes[0]) == 4
+    monkeypatch.setattr(terms, "order_codes", lambda *_, **__: None)
+    assert fed("b") == with_codes
+
+
+def test_rows_of_one_place_stay_where_they_are(spark, tmp_path):
+    store = Ledger(spark, str(tmp_path))
+    df = spark.range(90).repartition(3).select("id", F.lit(7).cast("long").alias("block"), F.lit(2).alias("piece"))
+    df._place = (7, 2)
+    part = store.write_part("t", df)
+    assert part["rows"] == 90 and part["blocks"] == ["7.2"] and part["pieces"] == 2
+    assert len(list(tmp_path.glob("t/part=*/block=7/piece=2/*.parquet"))) == 3
+    parts, schemas = store.added(store.head(), {"t": part}, {})
+    store.commit(store.head(), parts, {"7.2": {"last_epoch": 0, "lines": 90}}, {}, schemas)
+    assert sorted(map(tuple, store.read("t").collect())) == [(i, 7, 2) for i in range(90)]
+
+
 def test_few_partitions_are_dealt(spark):
     """A scan with a partition for each core may have fewer row groups."""
     got = spread(spark.range(0, 1000, 1, 4))
