@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.session import small
+
 #: Parts of one level beyond which a change folds them into one part of the next level.
 MOST_PARTS = 16
 _PLACE = [T.StructField("block", T.LongType()), T.StructField("piece", T.IntegerType())]
@@ -116,7 +118,7 @@ class Ledger:
         """(block, piece, block_seq, last_epoch, lines, fresh, completed) of live blocks; all but the newest are completed."""
         known = sorted((*place_of(k), s["last_epoch"], s["lines"], s.get("fresh", 0)) for k, s in (head or self.head())["status"].items())
         rows = [(b, q, k, e, n, f, k < len(known) - 1) for k, (b, q, e, n, f) in enumerate(known)]
-        return self.spark.createDataFrame(rows, "block long, piece int, block_seq long, last_epoch long, lines long, fresh long, completed boolean")
+        return small(self.spark, rows, "block long, piece int, block_seq long, last_epoch long, lines long, fresh long, completed boolean")
 
     def current(self, table: str) -> DataFrame | None:
         """The rows of the newest block."""
@@ -149,6 +151,14 @@ class Ledger:
         schema = T.StructType([f for f in df.schema if f.name not in ("block", "piece")])
         return {"id": name, "rows": got["rows"], "blocks": sorted(key_of(x["block"], x["piece"]) for x in got["places"]), "pieces": max((x["piece"] for x in got["places"]), default=0), "level": level, "schema": json.loads(schema.json())}
 
+    def rows_of(self, table: str, part: dict) -> DataFrame:
+        """The rows of a part that was written, whether a commit names it or not."""
+        plain = T.StructType.fromJson(part["schema"])
+        base = f"{self.root}/{table}/part={part['id']}"
+        out = self.spark.read.schema(T.StructType([*plain.fields, *_PLACE])).option("basePath", base).parquet(base)
+        out._written = base  # so that it can be erased
+        return out
+
     def added(self, before: dict, new: dict[str, dict], live: dict[str, set[str]]) -> tuple[dict, dict]:
         """(parts, schemas) of a head with new parts; live: the blocks that stay, by table (all, if it isn't named)."""
         parts, schemas = {}, dict(before["schemas"])

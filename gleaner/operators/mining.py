@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.tokens import STAR
-from gleaner.session import erase, written
+from gleaner.session import erase, small, written
 
 LEAST = 3
 #: What stands for a term below the border in a pattern; words are parted at spaces, so none is it.
@@ -121,14 +121,13 @@ def templates(vecs: DataFrame, border: int, keywords=()) -> DataFrame:
     return vecs.withColumn("kept", kept).select("tokens", "kept", use.alias("use"))
 
 
-def _shown(vecs: DataFrame, common: DataFrame, keywords=()) -> DataFrame:
+def _shown(vecs: DataFrame, common: DataFrame, few: list[str] | None, keywords=()) -> DataFrame:
     """vecs with pattern: their tokens, of which those that are neither common, keywords nor asterisks are RARE.
 
-    A few common terms are a list in the expression; more are joined, token by token.
+    A few common terms are a list in the expression; more (few is None) are joined, token by token.
     """
     words = [STAR, *(k.lower() for k in keywords)]
-    few = [r.term for r in common.select("term").limit(MOST_LISTED + 1).collect()]
-    if len(few) <= MOST_LISTED:
+    if few is not None:
         pattern = F.transform("tokens", lambda t: F.when(t.isin([*words, *few]), t).otherwise(RARE))
         # Never null, or a join by it would compute it once more to leave out nulls.
         return vecs.withColumn("pattern", F.coalesce(pattern, F.array().cast("array<string>")))
@@ -148,27 +147,36 @@ def mine(lines: DataFrame, terms: DataFrame, border: int, min_rate=0.6, max_rate
     return out
 
 
-def mined(vecs: DataFrame, terms: DataFrame, border: int, min_rate=0.6, max_rate=0.0, keywords=()) -> DataFrame:
+def mined(vecs: DataFrame, terms: DataFrame, border: int, min_rate=0.6, max_rate=0.0, keywords=(), by=(), sums=()) -> DataFrame:
     """vecs (vid, tokens, w and more; a table) with phrase, their template, and hidden, the terms that it hides.
 
     Below the border all terms are treated alike, so vectors that differ in such terms only
     have one pattern; the patterns are mined, and each vector takes its pattern's template,
     or its own tokens. A minimum below the border keeps the same terms as any other below
     it, so these terms need no counts.
+
+    by, sums: more columns that patterns are grouped by, and aggregates of theirs (`_groups`).
     """
-    common = written(terms.where(F.col("cnt") >= border).select("term", "cnt", "first"))
-    shown = _shown(vecs, common, keywords)
-    patterns = written(shown.groupBy("pattern").agg(F.sum("w").alias("w")).select(F.col("pattern").alias("tokens"), "w"))
+    common = terms.where(F.col("cnt") >= border).select("term", "cnt", "first")
+    few = common.limit(MOST_LISTED + 1).collect()
+    common = small(terms.sparkSession, few, common.schema.simpleString()[7:-1]) if len(few) <= MOST_LISTED else written(common)
+    shown = _shown(vecs, common, [r.term for r in few] if len(few) <= MOST_LISTED else None, keywords)
+    groups = written(shown.groupBy("pattern", *by).agg(F.sum("w").alias("w"), *sums))
+    patterns = (groups.groupBy("pattern").agg(F.sum("w").alias("w")) if by else groups).select(F.col("pattern").alias("tokens"), "w")
     paths = ordered(patterns.withColumn("vid", vector_id()).repartition("vid"), common, border)
     kinds = written(templates(stops(paths, border, min_rate, max_rate), border, keywords).withColumnRenamed("tokens", "pattern"))
     chosen = F.when(F.col("use"), F.col("kept")).otherwise(F.col("tokens"))
     hidden = F.array_except("tokens", F.array_union(chosen, F.array(F.lit(STAR))))
-    phrase = F.coalesce(F.array_join(chosen, " "), F.lit(""))
-    named = lambda rows: rows.join(kinds, "pattern").select(*vecs.columns, phrase.alias("phrase"), hidden.alias("hidden"))
+    phrase = F.coalesce(F.array_join(chosen, " "), F.lit("")).alias("phrase")
+    named = lambda rows, kinds=kinds: rows.join(kinds, "pattern").select(*vecs.columns, phrase, hidden.alias("hidden"))
     out = named(shown)
     out._some = lambda keep: named(keep(shown))  # of some vectors only, chosen before they get phrases
-    erase(patterns, paths)
-    out._work = [common, kinds, *([shown] if hasattr(shown, "_written") else [])]
+    # Patterns whose template is their phrase, and the vectors whose phrase is their own tokens (a function, as a job looks for them; None without such).
+    out._groups = groups.join(kinds.where("use"), "pattern").withColumn("tokens", F.col("pattern")).select(phrase, *[c for c in groups.columns if c != "pattern"])
+    own = kinds.where(~F.col("use"))
+    out._own = lambda: None if own.isEmpty() else named(shown, own)
+    erase(paths)
+    out._work = [groups, kinds, *(t for t in (common, shown) if hasattr(t, "_written"))]
     return out
 
 

@@ -22,7 +22,7 @@ from gleaner.functions import parse
 from gleaner.functions import tokens as tk
 from gleaner.operators import mining, ring, terms
 from gleaner.operators.ledger import MOST_PARTS, Ledger, among, key_of, place_of
-from gleaner.session import empty, erase, written
+from gleaner.session import empty, erase, small, written
 from gleaner.sources import logs
 
 
@@ -157,28 +157,29 @@ class Miner:
             return {"lines": 0, "border": 0, "phrases": 0}
         raw, resumed, row = self._reading(paths, limit) if lines is None else (lines, "", 0)
         raw = raw.persist() if lines is None else raw  # files are read once; lines that are given are cheaper to read again than to keep
-        batch = self.parsed(raw).withColumns({"vid": mining.vector_id(), "piece": F.lit(0)})
-        vecs = written(_vectors(batch))
-        used = [vecs]
+        newest = _newest(before)
+        batch = self.parsed(raw).withColumn("vid", mining.vector_id())
+        vecs, part = self._kept(_vectors(self._placed(batch, newest)), newest)
         codes = _codes(vecs)
         counts = written(_terms_of(vecs, codes))
         known, next_id = self._known(before, counts)
         border = terms.border_of(known, s.border_rate, s.border)
-        seen = self._mined(vecs, known, border)
+        seen = self._mined(vecs, known, border, codes)
         grouped, work = _phrases_seen(seen, codes)
-        used += [counts, known, grouped, *seen._work, *work]
-        n = grouped.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]  # each line has one phrase
+        used = [counts, known, grouped, *seen._work, *work]
+        here = _places_of(grouped)
+        n = sum(x["n"] for x in here)  # each line has one phrase
         if not self.read_only:
             size, chosen = self._sizes_after(before, vecs)
-            fresh, pieces, cut = self._pieces(before, grouped, size)
+            fresh, pieces, cut = self._pieces(before, grouped, size, sorted({x["block"] for x in here}), newest)
             if cut:
-                vecs = written(_vectors(batch.drop("piece").join(F.broadcast(pieces), "block").withColumn("piece", _piece_of("seq"))))
-                seen, counts = self._mined(vecs, known, border), written(_terms_of(vecs, codes))  # the same lines, so the same phrases and codes
+                erase(vecs)
+                cut_up = _vectors(batch.join(F.broadcast(pieces), "block").withColumn("piece", _piece_of("seq")))
+                vecs, part = self._kept(cut_up, None)
+                seen, counts = self._mined(vecs, known, border, codes), written(_terms_of(vecs, codes))  # the same lines, so the same phrases and codes
                 grouped, work = _phrases_seen(seen, codes)
-                used += [vecs, counts, grouped, pieces, *seen._work, *work]
-            else:
-                base = F.broadcast(pieces.select("block", F.col("base").alias("piece")))
-                vecs, counts, grouped = (t.drop("piece").join(base, "block") for t in (vecs, counts, grouped))
+                used += [counts, grouped, pieces, *seen._work, *work]
+                here = _places_of(grouped)
             position = before["state"].get("position", _START)
             if lines is None:
                 end = logs.end_of(raw, resumed, row)
@@ -188,12 +189,31 @@ class Miner:
                 batches = batches | {batch_of[0]: batch_of[1]}
             feeds = before["state"].get("fed", 0) + 1
             state = {"settings": asdict(s), "position": position, "batches": batches, "next_id": next_id, "sizes": chosen, "fed": feeds}
-            self._commit(before, vecs, counts, grouped, known, fresh, state)
+            self._commit(before, part, counts, grouped, known, fresh, state, here)
         out = {"lines": n, "border": border, "phrases": grouped.select("phrase").distinct().count()}
         raw.unpersist()
-        erase(*used)
+        erase(*used, *([vecs] if self.read_only else []))
         return out
 
+    def _placed(self, lines: DataFrame, newest: dict[int, int]) -> DataFrame:
+        """Lines with the piece that their block goes on in."""
+        if not any(newest.values()):
+            return lines.withColumn("piece", F.lit(0))
+        at = F.broadcast(small(self.spark, [(b, p) for b, p in newest.items() if p], "block long, _p int"))
+        return lines.join(at, "block", "left").withColumn("piece", F.coalesce("_p", F.lit(0))).drop("_p")
+
+    def _kept(self, vecs: DataFrame, newest: dict[int, int] | None) -> tuple[DataFrame, dict]:
+        """(vectors, written; their part of the store): they are written once, where they stay if a commit names them.
+
+        newest: each block's piece, if it is known that its lines go there.
+        """
+        if self.read_only:
+            return written(vecs), {}
+        if newest is not None and self.settings.frequency not in parse.UNIT_SECONDS:
+            vecs._place = (0, newest.get(0, 0))
+        part = self.store.write_part("vectors", vecs)
+        return self.store.rows_of("vectors", part), part
+
     def _known(self, before: dict, new: DataFrame) -> tuple[DataFrame, int]:
         """((term, cnt, first) of the totals and of new counts, written; the next free id).
 
@@ -210,10 +230,11 @@ class Miner:
         erase(ranks)
         return known, max(start, (known.agg(F.max("first")).first()[0] or 0) + 1)
 
-    def _mined(self, vecs: DataFrame, known: DataFrame, border: int) -> DataFrame:
-        """The vectors with phrase and hidden."""
+    def _mined(self, vecs: DataFrame, known: DataFrame, border: int, codes: list[Column] | None = None) -> DataFrame:
+        """The vectors with phrase and hidden; with codes their patterns have what _phrases_seen sums."""
         s = self.settings
-        return mining.mined(vecs, known, border, s.min_rate, s.max_rate, s.keywords)
+        by = ("block", "piece") if codes else ()
+        return mining.mined(vecs, known, border, s.min_rate, s.max_rate, s.keywords, by, _ends_of(codes))
 
     def _sizes_after(self, before: dict, vecs: DataFrame) -> tuple[int, dict]:
         """(block size, what is stored): settings, else chosen once, for the most lines that a block of this feed has."""
@@ -225,16 +246,14 @@ class Miner:
                 chosen = {"block_size": size, "max_blocks": blocks}
         return s.block_size or chosen.get("block_size", 0), chosen
 
-    def _pieces(self, before: dict, grouped: DataFrame, size: int) -> tuple[dict, DataFrame, bool]:
-        """(new phrases by block and piece; (block, base, ends): the piece that a block's lines go on in, and the lines that end one; whether any does)."""
-        newest: dict[int, int] = {}
-        for block, piece in sorted(map(place_of, before["status"])):
-            newest[block] = piece
-        blocks = [r["block"] for r in grouped.select("block").distinct().collect()]  # time buckets
-        base = {b: newest.get(b, 0) for b in blocks}
-        starts = self.spark.createDataFrame([(b, base[b]) for b in blocks], "block long, base int")
+    def _pieces(self, before: dict, grouped: DataFrame, size: int, blocks: list[int], newest: dict[int, int]) -> tuple[dict, DataFrame | None, bool]:
+        """(new phrases by block and piece; (block, base, ends): the piece that a block's lines go on in, and the lines that end one; whether any does).
+
+        blocks: those of the feed; newest: the piece that each block of the store is in.
+        """
         if not size:
-            return {}, starts.withColumn("ends", F.lit(None).cast("array<int>")), False
+            return {}, None, False
+        base = {b: newest.get(b, 0) for b in blocks}
         # Phrases that the totals lack, where they are first seen.
         new = grouped.groupBy("phrase").agg(F.min(F.struct("f.first.seq", "block")).alias("at"))
         new = written(new.join(self.phrases(before).select("phrase"), "phrase", "left_anti").select("phrase", "at.block", "at.seq"))
@@ -242,8 +261,8 @@ class Miner:
         carried = {b: before["status"].get(key_of(b, base[b]), {}).get("fresh", 0) for b in blocks}
         if all(carried[b] + counts.get(b, 0) < size for b in blocks):
             erase(new)
-            return {(b, base[b]): counts.get(b, 0) for b in blocks}, starts.withColumn("ends", F.lit(None).cast("array<int>")), False
-        starts = self.spark.createDataFrame([(b, base[b], carried[b]) for b in blocks], "block long, base int, carried long")
+            return {(b, base[b]): counts.get(b, 0) for b in blocks}, None, False
+        starts = small(self.spark, [(b, base[b], carried[b]) for b in blocks], "block long, base int, carried long")
         ranks = ring.ranked(new.withColumn("o", F.struct("block", "seq")), "o", "phrase")
         first = ranks.groupBy("block").agg(F.min("rank").alias("r0"))  # a row for each time bucket
         nth = ranks.join(F.broadcast(first), "block").join(F.broadcast(starts), "block")
@@ -257,14 +276,13 @@ class Miner:
         erase(new, ranks)
         return counted, pieces, True
 
-    def _commit(self, before: dict, vecs: DataFrame, counts: DataFrame, grouped: DataFrame, known: DataFrame, fresh: dict, state: dict) -> None:
+    def _commit(self, before: dict, part: dict, counts: DataFrame, grouped: DataFrame, known: DataFrame, fresh: dict, state: dict, seen: list) -> None:
         """Adds parts to the blocks, of which the ring keeps the newest and retention the recent ones, and to the totals.
 
-        counts: the vectors' terms; grouped: their phrases.
+        part: the vectors' part, which is written; counts: their terms; grouped: their phrases; seen: _places_of these.
         """
         s = self.settings
         status = {k: dict(x) for k, x in before["status"].items()}
-        seen = grouped.groupBy("block", "piece").agg(F.max("updated").alias("e"), F.sum("cnt").alias("n")).collect()  # a row for each block
         for r in seen:
             old = status.get(key_of(r["block"], r["piece"]), {"last_epoch": 0, "lines": 0, "fresh": 0})
             status[key_of(r["block"], r["piece"])] = {
@@ -278,19 +296,22 @@ class Miner:
             status = {key_of(*p): status[key_of(*p)] for p in recent[-most:]}
         live = among([place_of(k) for k in status])
         dropped = [place_of(k) for k in before["status"] if k not in status]
-        kept, counts, grouped = vecs, counts.drop("first"), grouped.where(live)
+        counts, grouped = counts.drop("first"), grouped.where(live)
         if len(seen) == 1 and key_of(seen[0]["block"], seen[0]["piece"]) in status:
-            kept._place = counts._place = (seen[0]["block"], seen[0]["piece"])
+            counts._place = (seen[0]["block"], seen[0]["piece"])
         else:
-            kept, counts = kept.where(live), counts.where(live)
-        by_block = {"vectors": kept, "terms": counts, "phrases": self._phrases_of(grouped)}
+            counts = counts.where(live)
+        # Of vectors in blocks that the ring drops the files stay until vacuum.
+        part = part | {"blocks": [k for k in part["blocks"] if k in status]}
+        part["rows"] = part["rows"] if part["blocks"] else 0
+        by_block = {"terms": counts, "phrases": self._phrases_of(grouped)}
         totals = {
             "term_totals": self._total_terms(before, counts, known, dropped),
             "phrase_totals": self._total_phrases(before, self._phrases_of(_phrases_in_all(grouped)), dropped, state["fed"]),
         }
         with ThreadPoolExecutor(len(by_block | totals)) as pool:  # one small job each
             written_parts = pool.map(lambda x: self.store.write_part(*x), (by_block | totals).items())
-            new = dict(zip(by_block | totals, written_parts))
+            new = {"vectors": part} | dict(zip(by_block | totals, written_parts))
         parts, schemas = self.store.added(before, new, {name: set(status) for name in BY_BLOCK})
         for name in parts:
             head = {"parts": parts, "schemas": schemas}
@@ -335,8 +356,9 @@ class Miner:
             return {"lines": 0, "border": 0, "phrases": 0}
         known = written(self.terms(before))
         border = terms.border_of(known, s.border_rate, s.border)
-        found = self._mined(vecs, known, border)
-        grouped, work = _phrases_seen(found, _codes(vecs))
+        codes = _codes(vecs)
+        found = self._mined(vecs, known, border, codes)
+        grouped, work = _phrases_seen(found, codes)
         erase(*found._work, *work)
         phrases, all_ = self._phrases_of(grouped), self._phrases_of(_phrases_in_all(grouped))
         n = vecs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
@@ -488,6 +510,16 @@ class Miner:
         self.store.drop_all()
 
 
+def _newest(head: dict) -> dict[int, int]:
+    """The newest piece of each live block."""
+    return dict(sorted(map(place_of, head["status"])))
+
+
+def _places_of(grouped: DataFrame) -> list:
+    """(block, piece, e, n) of phrases: their latest time and their lines; a row for each block."""
+    return grouped.groupBy("block", "piece").agg(F.max("updated").alias("e"), F.sum("cnt").alias("n")).collect()
+
+
 def _vectors(lines: DataFrame) -> DataFrame:
     """Lines with equal tokens as one row in each block, with their first and last line; a message that is the whole line is null."""
     return lines.groupBy("vid", "block", "piece").agg(
@@ -501,29 +533,42 @@ def _codes(vecs: DataFrame) -> list[Column] | None:
     return terms.order_codes(vecs, "first.seq", "last.seq", room=F.max(F.size("tokens")))
 
 
+def _ends_of(codes: list[Column] | None) -> list[Column]:
+    """What a pattern's or a phrase's vectors come to, but for texts: times, first and last line by code, and their number."""
+    if codes is None:
+        return []
+    return [F.min("created").alias("created"), F.max("updated").alias("updated"), F.min(codes[0]).alias("_a"), F.max(codes[1]).alias("_z"), F.count(F.lit(1)).alias("_n")]
+
+
 def _phrases_seen(vecs: DataFrame, codes: list[Column] | None) -> tuple[DataFrame, list[DataFrame]]:
     """((phrase, block, piece, cnt, created, updated, last, f) of vectors with their phrases, written; other tables to erase). f: the first line and what the phrase hides.
 
-    With codes vectors are summed by hash, and only those that hold a phrase's first or last
-    line are sorted; where phrases are nearly as many as vectors, all are.
+    With codes phrases are summed from their patterns, by hash, and only vectors that hold a
+    phrase's first or last line are read once more, named and sorted; where phrases are nearly
+    as many as vectors, all are.
     """
     key = ["phrase", "block", "piece"]
     sums = [F.sum("w").alias("cnt"), F.min("created").alias("created"), F.max("updated").alias("updated")]
     ends = [F.max("last").alias("last"), F.min_by(F.struct("first", "hidden"), "first.seq").alias("f")]
     if codes is None:
         return written(vecs.groupBy(*key).agg(*sums, *ends)), []
-    first, last = codes
-    all_ = written(vecs.groupBy(*key).agg(*sums, F.min(first).alias("_a"), F.max(last).alias("_z"), F.count(F.lit(1)).alias("_n")))
+    parts = vecs._groups
+    own = vecs._own()
+    if own is not None:
+        parts = parts.unionByName(own.groupBy(*key).agg(F.sum("w").alias("w"), *_ends_of(codes)))
+    all_ = written(parts.groupBy(*key).agg(*sums, F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.sum("_n").alias("_n")))
     if all_.agg(F.coalesce(F.sum("_n") < 4 * F.count(F.lit(1)), F.lit(False))).first()[0]:
         return written(vecs.groupBy(*key).agg(*sums, *ends)), [all_]
-    out = all_.drop("_a", "_z", "_n")
-    for code, end, agg in zip(codes, ("_a", "_z"), reversed(ends)):
-        # Vectors whose line ends any phrase come first, and get their phrases then.
-        here = all_.select(F.col(end).alias("_c"))
-        found = vecs._some(lambda rows: rows.join(here, code == F.col("_c"), "left_semi")).withColumn("_c", code)  # noqa: B023
-        found = found.join(all_.select(*key, F.col(end).alias("_c")), [*key, "_c"])
-        out = out.join(found.groupBy(*key).agg(agg), key)
-    return written(out), [all_]
+    # Vectors whose line ends any phrase come first, and get their phrases then.
+    end = lambda c, name: all_.select(F.col(c).alias(name)).distinct().withColumn(f"{name}?", F.lit(True))
+    at = lambda rows: rows.withColumns({"_c0": codes[0], "_c1": codes[1]})
+    found = at(vecs._some(lambda rows: at(rows).join(end("_a", "_c0"), "_c0", "left").join(end("_z", "_c1"), "_c1", "left").where("`_c0?` or `_c1?`")))
+    found = found.join(all_.select(*key, "_a", "_z"), key).withColumns({"_first": F.col("_c0") == F.col("_a"), "_last": F.col("_c1") == F.col("_z")})
+    ends = found.where("_first or _last").groupBy(*key).agg(
+        F.max(F.when(F.col("_last"), F.col("last"))).alias("last"),
+        F.min_by(F.struct("first", "hidden"), F.when(F.col("_first"), F.col("first.seq"))).alias("f"),
+    )
+    return written(all_.drop("_a", "_z", "_n").join(ends, key)), [all_]
 
 
 def _phrases_in_all(grouped: DataFrame) -> DataFrame:
