@@ -421,23 +421,22 @@ class Miner:
         of them was there first: a stored phrase fits if its last line does.
         """
         raw = self.new_lines(paths) if lines is None else lines
-        # Written, as the lines are read twice: their vectors are mined, and then each gets its vector's count.
-        batch = written(self.parsed(raw).select("seq", "value", "tokens", mining.vector_id().alias("vid")))
-        codes = terms.order_codes(batch, "seq", room=F.max(F.size("tokens"))) or [F.col("seq")]
-        vecs = written(batch.groupBy("vid", "tokens").agg(F.count(F.lit(1)).alias("w"), F.min(codes[0]).alias("at")))
+        # Written, as the lines are read four times: for ranges, terms, patterns, and to get their patterns' phrases.
+        batch = written(self.parsed(raw).select("seq", "value", "tokens"))
+        codes = terms.order_codes(batch, "seq", room=F.max(F.size("tokens")))
+        batch = batch.withColumns({"vid": mining.vector_id(), "w": F.lit(1).cast("long")})
         before = self.store.head()
-        known, _ = self._known(before, terms.vector_terms(vecs, "at", F.col("at") if vecs.schema["at"].dataType == T.LongType() else None))
+        known, _ = self._known(before, terms.vector_terms(batch, "seq", codes and codes[0]))
         base = terms.border_of(known, self.settings.border_rate, self.settings.border)
         chosen = max(base, terms.border_of(known, rate, border)) if rate > 0 or border > 0 else base
         old = self._folded_into_custom(self.rearranged(rate, border))
-        mined = self._mined(vecs, known, chosen)
-        found = written(self._custom(mined).groupBy("vid", "phrase").agg(F.sum("w").alias("w")))
-        erase(vecs, known, *mined._work)
-        here = found.groupBy("phrase").agg(F.sum("w").alias("cnt"))
+        mined = self._mined(batch, known, chosen)
+        found = self._custom(mined)
+        here = _counted(mined) if not self.settings.custom_phrases else found.groupBy("phrase").agg(F.sum("w").alias("cnt"))
         total = old.unionByName(here).groupBy("phrase").agg(F.sum("cnt").alias("cnt"))
-        # Counts go to the vectors first, so that lines meet one row each.
-        counted = found.join(total, "phrase").where(F.col("cnt") >= least).select("vid", "phrase", "cnt")
-        return batch.select("seq", "value", "vid").join(counted, "vid").orderBy("seq").select("value", "phrase", "cnt")
+        total = written(total.where(F.col("cnt") >= least))  # so that Spark knows whether it can be broadcast
+        erase(known)
+        return found.select("seq", "value", "phrase").join(total, "phrase").orderBy("seq").select("value", "phrase", "cnt")
 
     def term_counts(self, n: int = 0, paths=None) -> DataFrame:
         known = terms.term_counts(self.parsed(self.new_lines(paths))) if paths else self.terms()
@@ -533,6 +532,13 @@ def _codes(vecs: DataFrame) -> list[Column] | None:
     return terms.order_codes(vecs, "first.seq", "last.seq", room=F.max(F.size("tokens")))
 
 
+def _counted(vecs: DataFrame) -> DataFrame:
+    """(phrase, cnt) of mined vectors: of their patterns, and of those vectors whose tokens are their phrase."""
+    own, all_ = vecs._own(), vecs._groups.select("phrase", "w")
+    all_ = all_ if own is None else all_.unionByName(own.groupBy("phrase").agg(F.sum("w").alias("w")))
+    return all_.groupBy("phrase").agg(F.sum("w").alias("cnt"))
+
+
 def _ends_of(codes: list[Column] | None) -> list[Column]:
     """What a pattern's or a phrase's vectors come to, but for texts: times, first and last line by code, and their number."""
     if codes is None:

@@ -40,6 +40,19 @@ def test_vectors_are_written_once(spark, tmp_path, monkeypatch, frequency):
     assert sorted((r.cnt, r.last_value) for r in m.phrases().collect()) == sorted(want.values())
 
 
+def test_detection_exchanges_no_lines_but_to_sort_them(spark, tmp_path):
+    m = Miner(spark, str(tmp_path / "store"), Settings(border=50))
+    m.feed(lines=log(spark).where("at < 200"))
+    for custom, least in ([], 0), (["* common * * * kind1"], 60):
+        m.settings.custom_phrases = custom
+        found = m.detect(lines=log(spark).where("at >= 200"), least=least)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        got = [(r.value, r.cnt) for r in found.collect()]
+        lines = [r.value for r in log(spark).where("at >= 200").orderBy("mtime", "at").collect()]
+        assert got == [(v, 100) for v in lines]
+
+
 def test_small_tables_start_no_python_worker(spark):
     df = small(spark, [(1, "a", None), (2, "b", 5)], "x long, y string, z int")
     assert sorted(map(tuple, df.collect())) == [(1, "a", None), (2, "b", 5)]
