@@ -301,7 +301,7 @@ class Miner:
             counts._place = (seen[0]["block"], seen[0]["piece"])
         else:
             counts = counts.where(live)
-        # Of vectors in blocks that the ring drops the files stay until vacuum.
+        # Vectors in blocks that the ring drops are not read; their files stay as long as the part does.
         part = part | {"blocks": [k for k in part["blocks"] if k in status]}
         part["rows"] = part["rows"] if part["blocks"] else 0
         by_block = {"terms": counts, "phrases": self._phrases_of(grouped)}
